@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, table
+from tidemark.llm.common import new_path, stage, table
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,17 +24,34 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), ids=False, decoded=False)
 
 
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import digest, format_windows
+
+    talk = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return digest(stage(format_windows(talk.unionByName(own)), "chat-windows"))
+
+
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
+        "op10_chat_windows": op10_chat_windows,
     }
 
 
