@@ -24,6 +24,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import neighbours
+
+    return neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_counts import count_tokens
 
@@ -49,6 +55,7 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op7_weighted_fingerprints": op7_weighted_fingerprints,
         "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
         "op10_chat_windows": op10_chat_windows,
