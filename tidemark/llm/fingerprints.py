@@ -22,6 +22,9 @@ empty table gives no rows.  Only DataFrame and SQL functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +35,35 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 DIGITS = 6
 
 
-def draws(term: Column, log_weight: Column, samples: int) -> list[Column]:
-    """ln a of each draw for a hashed term: two 64-bit hashes give five numbers
-    in (0, 1), and the logarithm of a product of two uniform ones is minus a
-    Gamma(2, 1)."""
+def draws(term: Column, log_weights: list[Column], samples: int) -> list[list[Column]]:
+    """ln a of each draw for a hashed term under each weight (null: no such
+    term): two 64-bit hashes give five numbers in (0, 1), and the logarithm of a
+    product of two uniform ones is minus a Gamma(2, 1).  Weights share them."""
     out = []
     low, mid = (1 << 25) - 1, 2.0**-25
     for i in range(samples):
         g, h = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
         u = lambda x, s: (F.shiftrightunsigned(x, s).bitwiseAND(F.lit(low)) + F.lit(0.5)) * F.lit(mid)  # noqa: B023, E731
         r = -F.ln(u(g, 0) * u(g, 25))
-        c = -F.ln(u(h, 0) * u(h, 25))
+        c = F.ln(-F.ln(u(h, 0) * u(h, 25)))
         b = (F.shiftrightunsigned(g, 50) * F.lit(16384) + F.shiftrightunsigned(h, 50) + F.lit(0.5)) * F.lit(2.0**-28)
-        t = F.floor(log_weight / r + b)
-        out.append(F.ln(c) - r * (t - b + F.lit(1.0)))
+        out.append([c - r * (F.floor(w / r + b) - b + F.lit(1.0)) for w in log_weights])
     return out
 
 
+@contextmanager
+def split_methods(spark) -> Iterator[None]:
+    """While a plan with this many draws runs: generated methods that are too
+    large for the JVM's compiler are split instead (some five times faster)."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pick(least: Column) -> Column:
     """A draw's pick in hex; of no words, all zeros."""
     return F.lpad(F.hex(F.coalesce(F.xxhash64(least), F.lit(0)).bitwiseAND(F.lit((1 << (4 * DIGITS)) - 1))), DIGITS, "0")
@@ -63,21 +78,27 @@ def likeness(a: Column, b: Column, samples: int) -> Column:
     return total / F.lit(float(samples))
 
 
-def _fingerprint(rows: DataFrame, ids: list[str], samples: int) -> DataFrame:
-    """``rows`` of ``ids`` and ``t`` (text), already placed so that the ids need
-    no exchange: one fingerprint for each combination of ids."""
-    words = rows.select(*ids, F.explode(F.split(F.lower("t"), WORD_GAP)).alias("w")).select(*ids, F.when(F.col("w") != "", F.xxhash64("w")).alias("w"))
-    terms = words.groupBy(*ids, "w").agg(F.count("*").alias("n"))
-    values = terms.select(*ids, F.col("w"), F.ln(F.col("n").cast("double")).alias("lw"))
-    picks = [F.when(F.col("w").isNotNull(), d).alias(f"d{i}") for i, d in enumerate(draws(F.col("w"), F.col("lw"), samples))]
-    least = values.select(*ids, *picks).groupBy(*ids).agg(*[F.min(f"d{i}").alias(f"d{i}") for i in range(samples)])
-    return least.select(*ids, F.concat(*[pick(F.col(f"d{i}")) for i in range(samples)]).alias("fingerprint"))
+def _fingerprints(rows: DataFrame, ids: list[str], kinds: dict[str, Column], samples: int) -> DataFrame:
+    """``rows`` of ``ids``, ``w`` (a word) and what the kinds use, placed so that
+    grouping by the ids needs no exchange: per ids a fingerprint for each kind,
+    whose column says how often a row's word counts."""
+    counts = [F.sum(c).alias(f"n_{k}") for k, c in kinds.items()]
+    hashed = rows.withColumn("w", F.when(F.col("w") != "", F.xxhash64("w")))
+    terms = hashed.groupBy(*ids, "w").agg(*counts)
+    known = F.col("w").isNotNull()
+    logs = [F.when(known & (F.col(f"n_{k}") > 0), F.ln(F.col(f"n_{k}").cast("double"))).alias(f"l_{k}") for k in kinds]
+    drawn = draws(F.col("w"), [F.col(f"l_{k}") for k in kinds], samples)
+    values = terms.select(*ids, "w", *logs).select(*ids, *[d.alias(f"{k}_{i}") for i, ds in enumerate(drawn) for k, d in zip(kinds, ds, strict=True)])
+    least = values.groupBy(*ids).agg(*[F.min(f"{k}_{i}").alias(f"{k}_{i}") for i in range(samples) for k in kinds])
+    return least.select(*ids, *[F.concat(*[pick(F.col(f"{k}_{i}")) for i in range(samples)]).alias(k) for k in kinds])
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 32) -> DataFrame:
     """``key`` and ``fingerprint`` for each row."""
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
-    return _fingerprint(rows, ["rid", "k"], samples).select(F.col("k").alias(key), "fingerprint")
+    words = rows.select("rid", "k", F.explode(F.split(F.lower("t"), WORD_GAP)).alias("w"))
+    with split_methods(docs.sparkSession):
+        return stage(_fingerprints(words, ["rid", "k"], {"fingerprint": F.lit(1)}, samples).select(F.col("k").alias(key), "fingerprint"), "fingerprints")
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 32, ranges: int | None = None) -> DataFrame:
@@ -116,10 +137,12 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     placed = placed.join(heads, "range", "left").withColumn("next", F.coalesce("next", "head", F.lit(""))).drop("head")
     third = F.floor(F.length("t") / 3).cast("int")
     both = placed.withColumn("edited", F.concat(F.substring("t", F.lit(1), F.length("t") - third), F.substring("next", F.lit(1), third)))
-    kinds = both.select("range", "pos", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("z")).select("range", "pos", "z.kind", "z.t")
-    prints = _fingerprint(kinds, ["range", "pos", "kind"], samples).groupBy("range", "pos").agg(F.max(F.when(F.col("kind") == 0, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("kind") == 1, F.col("fingerprint"))).alias("edited_fingerprint"))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
+    words = both.select("range", "pos", F.explode(kinds).alias("z")).select("range", "pos", "z.kind", F.explode(F.split(F.lower("z.t"), WORD_GAP)).alias("w"))
+    prints = _fingerprints(words, ["range", "pos"], {"fingerprint": 1 - F.col("kind"), "edited_fingerprint": F.col("kind")}, samples)
     facts = both.select("range", "pos", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    done = stage(prints.join(facts, ["range", "pos"]), "fingerprints")
+    with split_methods(spark):
+        done = stage(prints.join(facts, ["range", "pos"]), "fingerprints")
 
     # the next document's fingerprint, in the same way; rows are short now
     lead_first = done.filter("pos = 1").select(F.col("range").alias("after"), F.col("fingerprint").alias("head"))
