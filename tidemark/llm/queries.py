@@ -24,6 +24,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.langid import identify, is_held_out
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(is_held_out(), F.lit(False))
+    return identify(docs, learn=~held_out, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprints import neighbours
 
@@ -55,6 +63,7 @@ def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
         "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_string_kernel_language": op5_string_kernel_language,
         "op7_weighted_fingerprints": op7_weighted_fingerprints,
         "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,

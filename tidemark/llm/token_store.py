@@ -38,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import _OTHER, Memo
+from tidemark.llm.bpe import _OTHER, _WORD, Memo, byte_letters
 from tidemark.llm.common import drop, running_start, stage, vocabulary
 
 
 class Encoder:
     """Ids by the tokenizers library.  Where the vocabulary drops white space
     before splitting (it has a word-end suffix and a removing splitter), plain
-    text is encoded one blank-delimited stretch at a time and each stretch asked
-    of the library once; otherwise whole texts are."""
+    text is encoded one blank-delimited stretch at a time, each distinct one by
+    the library's model once; otherwise the library encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,31 +59,21 @@ class Encoder:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_stretch = bool(spec["model"].get("end_of_word_suffix")) and steps[0].get("behavior") == "Removed"
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.known = Memo(lambda s: self._ask([s])[0])
+        self.model, self.letters = self.library.model, byte_letters()
+        self.known = Memo(self._stretch, 500_000)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
-    def _ask(self, stretches: list[str]) -> list[bytes]:
-        """Ids of stretches without white space, in one call to the library."""
-        e = self.library.encode(" ".join(stretches), add_special_tokens=False)
-        ends = np.cumsum([len(s) + 1 for s in stretches])
-        of = np.searchsorted(ends, np.array([o[0] for o in e.offsets], np.int64), "right")
-        ids = np.array(e.ids, "<u4")
-        at = np.searchsorted(of, np.arange(len(stretches) + 1))
-        return [ids[at[i] : at[i + 1]].tobytes() for i in range(len(stretches))]
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        plain = [bool(t) and self.by_stretch and not _OTHER.search(t) and not any(s in t for s in self.specials) for t in texts]
-        split = [t.lower().split() if p else [] for t, p in zip(texts, plain, strict=True)]
-        known = self.known
-        new = list({c for s in split for c in s if c not in known and c not in known.old})
-        for i in range(0, len(new), 5000):
-            for c, ids in zip(new[i : i + 5000], self._ask(new[i : i + 5000]), strict=True):
-                known.put(c, ids)
-        get = known.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, s)), "<u4") if p else np.array(self.library.encode(t or "", add_special_tokens=False).ids, "<u4")
-            for t, p, s in zip(texts, plain, split, strict=True)
-        ]
+    def _stretch(self, stretch: str) -> bytes:
+        """Ids of lower-case plain text without white space, by the library's model."""
+        ids: list[int] = []
+        for w in _WORD.findall(stretch):
+            ids += [t.id for t in self.model.tokenize(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))]
+        return np.array(ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if text and self.by_stretch and not _OTHER.search(text) and not any(s in text for s in self.specials):
+            return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), "<u4")
+        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=4)
@@ -142,7 +132,8 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
             for b in range(0, len(pdf), rows_at_once):
                 part = pdf.iloc[b : b + rows_at_once]
                 rows = []
-                for ids in enc.encode([t if isinstance(t, str) else None for t in part["_text"]]):
+                for t in part["_text"]:
+                    ids = enc.encode(t if isinstance(t, str) else None)
                     if end_id is not None:
                         ids = np.append(ids, np.uint32(end_id))
                     ends = boundaries(ids)
