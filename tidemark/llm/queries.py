@@ -18,6 +18,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
@@ -62,6 +68,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_string_kernel_language": op5_string_kernel_language,
         "op7_weighted_fingerprints": op7_weighted_fingerprints,
