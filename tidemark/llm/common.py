@@ -93,3 +93,13 @@ def running_start(df: DataFrame, order: list[str], value: str, out: str) -> Data
     return o.withColumn("_local", local).join(part_offsets(o, F.col(value)), "_part").withColumn(
         out, (F.col("_local") + F.col("_before")).cast("long")
     ).drop("_local", "_before", "_part", "_pos")
+
+
+def broadcast_if_small(df: DataFrame, most_mb: int = 32) -> DataFrame:
+    """A staged table, marked for broadcast if its files are under ``most_mb``
+    (it is then held in some four times that memory); otherwise as it is, and
+    the join shuffles."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+    size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(df) if size <= most_mb << 20 else df

@@ -38,6 +38,13 @@ def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn=~held_out, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.line_dedup import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs, keep_empty=True).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.fingerprints import neighbours
 
@@ -71,6 +78,7 @@ def queries() -> dict:
         "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_string_kernel_language": op5_string_kernel_language,
+        "op6_line_dedup": op6_line_dedup,
         "op7_weighted_fingerprints": op7_weighted_fingerprints,
         "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
