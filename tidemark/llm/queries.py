@@ -18,6 +18,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op2_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ann_tree import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ngram_join import link_components
 
@@ -75,6 +81,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_store": op1_token_store,
+        "op2_kmeans_tree_search": op2_kmeans_tree_search,
         "op3_ngram_join": op3_ngram_join,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_string_kernel_language": op5_string_kernel_language,
