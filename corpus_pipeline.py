@@ -1,6 +1,76 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: language identification, line
+deduplication, near-duplicate removal, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
+kept; ``run`` writes each stage's rows in the shared folder and reads them back.
+Rows with the same doc_id and text are one document: they are kept or dropped
+together.  An empty table passes through as an empty table.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import drop, stage, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document stays if its language is known with at least this score: chance
+#: among four languages is 0.25.
+LEAST_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages go: null texts, texts without
+    a letter, and those of which the classifier is no surer than by chance.
+    It learns from documents that are not held out."""
+    from tidemark.llm.langid import UNKNOWN, identify, is_held_out
+
+    rows = identify(docs.select(*COLUMNS), learn=~F.coalesce(is_held_out(), F.lit(False)))
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document (or line) has, up to one word of eight or
+    more, are cut out; documents of which no line is left go."""
+    from tidemark.llm.line_dedup import dedup_lines
+
+    rows = dedup_lines(docs.select(*COLUMNS))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 or more between sets of
+    five-word shingles, the document with the least id stays."""
+    from tidemark.llm.ngram_join import link_components
+
+    groups = link_components(docs, n=5, num=80, den=100)
+    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, in as few sequences of 1024 tokens as can be found."""
+    from tidemark.llm.packing import pack
+
+    return pack(docs, capacity=1024)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: The classifier, and the search for fillings, are beyond SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)
+        before = docs
+    return docs

@@ -79,7 +79,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_token_store": op1_token_store,
         "op2_kmeans_tree_search": op2_kmeans_tree_search,
         "op3_ngram_join": op3_ngram_join,
