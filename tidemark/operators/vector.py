@@ -50,7 +50,7 @@ def rolling_scores(rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), w
             return pdf
 
         out = rows.groupBy("symbol").applyInPandas(run, schema)
-    return out.withColumns({f"{c}_score": 2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), finite(c))) - 1 for c in columns if c in binary})
+    return out.withColumns({f"{c}_score": F.when(finite(c).isNotNull(), 2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) - 1) for c in columns if c in binary})
 
 
 def score_config(columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95) -> list[dict]:
