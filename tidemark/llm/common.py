@@ -95,7 +95,7 @@ def running_start(df: DataFrame, order: list[str], value: str, out: str) -> Data
     ).drop("_local", "_before", "_part", "_pos")
 
 
-def broadcast_if_small(df: DataFrame, most_mb: int = 32) -> DataFrame:
+def broadcast_if_small(df: DataFrame, most_mb: int = 4) -> DataFrame:
     """A staged table, marked for broadcast if its files are under ``most_mb``
     (it is then held in some four times that memory); otherwise as it is, and
     the join shuffles."""

@@ -18,7 +18,7 @@
    different components is compared block by block, so that no pair of different
    components remains unseen.
 
-Equal texts, then equal sets, are one row throughout.  Hot parts are split into
+Equal texts are one row throughout.  Hot parts are split into
 blocks of fixed size.  Elements are 64-bit hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Null, empty and blank
@@ -29,7 +29,7 @@ kept and never the least.  Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, stage
+from tidemark.llm.common import broadcast_if_small, drop, stage
 from tidemark.llm.components import components
 
 U = np.uint64
@@ -215,39 +215,52 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(b, "<u8") for b in pdf["hashes"]])
         lens = [len(b) // 8 for b in pdf["hashes"]]
-        who = np.concatenate([np.frombuffer(b, "<i4") for b in pdf["who"]]).astype(np.int64) + np.repeat(pdf["start"].to_numpy(), lens)
+        who = np.concatenate([np.frombuffer(b, "<i4") for b in pdf["who"]])
+        starts = pdf["start"].to_numpy()
+        owner = np.repeat(np.arange(len(starts)), lens)
         many = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["many"]]).astype(bool)
         order = np.argsort(h, kind="stable")
         h, who, many = h[order], who[order], many[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(first, len(h)))
         hit = np.repeat(times > 1, times) & ~many
-        rid, c = np.unique(who[hit], return_counts=True)
-        return pd.DataFrame({"rid": rid, "c": c.astype(np.int64)})
-
-    told = packed.filter("range >= 0").select("range", "start", "hashes", "who", "many").groupBy("range").applyInPandas(meet, "rid long, c long")
-    rows = packed.filter("range = -1").select(F.explode(F.arrays_zip("rids", "ks", "hs", "ns", "cs")).alias("z")).select(F.col("z.rids").alias("rid"), F.col("z.ks").alias("k"), F.col("z.hs").alias("h"), F.col("z.ns").alias("n"), F.col("z.cs").alias("c"))
-    rows = stage(rows, "rows")
-    met = rows.select("rid", "c").unionByName(told).groupBy("rid").agg(F.sum("c").alias("c"))
-    o = F.expr(f"({num} * n + {den - 1}) div {den}")
-    need = F.greatest(F.lit(1), F.expr(f"({den - num} * o) div {den}"))
-    kept = rows.drop("c").filter("n > 0").withColumn("o", o).withColumn("need", need).join(met, "rid").filter("c >= need")
+        owner, place = owner[order][hit], who[hit]
+        out = []
+        for o in np.unique(owner):
+            at, c = np.unique(place[owner == o], return_counts=True)
+            out.append((starts[o], at.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+        return pd.DataFrame(out, columns=["start", "at", "c"])
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A batch's rows that occur in others often enough."""
+        own = pdf[pdf["ns"].notna()].iloc[0]
+        size, met, rid = np.array(own["ns"], np.int64), np.array(own["cs"], np.int64), np.array(own["rids"], np.int64)
+        for at, c in zip(pdf["at"], pdf["c"], strict=True):
+            if at is not None:
+                np.add.at(met, np.frombuffer(at, "<i4"), np.frombuffer(c, "<i4"))
+        least = -(-num * size // den)
+        keep = np.flatnonzero((size > 0) & (met >= np.maximum(1, (den - num) * least // den)))
+        return pd.DataFrame({"rid": rid[keep], "k": [own["ks"][i] for i in keep], "h": [own["hs"][i] for i in keep]})
+
+    told = packed.filter("range >= 0").select("range", "start", "hashes", "who", "many").groupBy("range").applyInPandas(meet, "start long, at binary, c binary")
+    batch = packed.filter("range = -1").select("start", "rids", "ks", "hs", "ns", "cs")
+    rows = stage(batch.select(F.explode(F.arrays_zip("rids", "ks", "hs", "ns")).alias("z")).select(F.col("z.rids").alias("rid"), F.col("z.ks").alias("k"), F.col("z.hs").alias("h"), F.col("z.ns").alias("n")), "rows")
+    both = batch.unionByName(told, allowMissingColumns=True)
+    kept = both.groupBy("start").applyInPandas(settle, f"rid long, k {kt}, h binary")
     # one row for each text
-    texts = stage(kept.groupBy("h").agg(F.min(F.struct(F.coalesce("k", F.lit(None)).alias("k"), F.col("rid"))).alias("a")).select("h", "a.k", "a.rid"), "kept-texts")
+    texts = stage(kept.groupBy("h").agg(F.min(F.struct("k", "rid")).alias("a")).select("h", "a.k", "a.rid"), "kept-texts")
     drop(packed)
 
-    # 2. sets of what is kept, one for each set
+    # 2. sets of what is kept
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = shingle_sets(pdf["t"].tolist(), n)
-            yield pd.DataFrame({"rid": pdf["rid"], "h": pdf["h"], "n": [len(s) for s in sets], "cls": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "bits": [parity_bitmap(s) for s in sets], "hashes": [s.astype("<u8").tobytes() for s in sets]})
+            yield pd.DataFrame({"rid": pdf["rid"], "h": pdf["h"], "n": [len(s) for s in sets], "bits": [parity_bitmap(s) for s in sets], "hashes": [s.astype("<u8").tobytes() for s in sets]})
 
-    found = base.alias("d").join(texts.alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))).select("x.rid", "d.h", "d.t").dropDuplicates(["rid"])
-    sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, cls binary, bits binary, hashes binary"), "sets")
+    found = base.alias("d").join(broadcast_if_small(texts).alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))).select("x.rid", "d.h", "d.t")
+    sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, bits binary, hashes binary"), "sets")
     drop(texts)
-    leads = sets.groupBy("cls").agg(F.min("rid").alias("rep"))
-    named = stage(sets.select("rid", "h", "cls").join(leads, "cls").select("rid", "h", "rep"), "classes")
-    reps = sets.join(named.filter("rid = rep").select("rid"), "rid").select("rid", "n", "bits", "hashes")
+    light = sets.select("rid", "n", "bits").dropDuplicates(["rid"])  # rows of equal key and text are found twice
 
     # 3. parts that sets have in common
     def to_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,11 +274,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     rids.append(np.full(len(k), rid, np.int64))
             yield pd.DataFrame({"part": np.concatenate(keys) if keys else [], "rid": np.concatenate(rids) if rids else []}).astype(np.int64)
 
-    parts = stage(reps.select("rid", "n", "hashes").mapInPandas(to_parts, "part long, rid long"), "parts")
+    parts = stage(sets.select("rid", "n", "hashes").mapInPandas(to_parts, "part long, rid long"), "parts")
     leaders = parts.groupBy("part").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead <> last").drop("last")
     shared = stage(parts.join(leaders, "part"), "shared-parts")
     drop(parts)
-    light = reps.select("rid", "n", "bits")
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -285,16 +297,20 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     side = lambda df, c, *more: df.select(F.col("rid").alias(c), *more)
-    has = reps.select("rid", "hashes")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among distinct pairs that passed the bitmap bound."""
-        return pairs.join(side(has, "a", F.col("hashes").alias("x")), "a").join(side(has, "b", F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long")
+        """Links among pairs that passed the bitmap bound.  Only the sets of
+        those pairs travel."""
+        pairs = stage(pairs.distinct(), "pairs")
+        needed = stage(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "needed")
+        has = sets.select("rid", "hashes").join(broadcast_if_small(needed), "rid", "left_semi").dropDuplicates(["rid"])
+        out = stage(pairs.join(side(has, "a", F.col("hashes").alias("x")), "a").join(side(has, "b", F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long"), "links")
+        drop(pairs, needed)
+        return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     pairs = shared.filter("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()
     pairs = pairs.join(side(light, "a", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(side(light, "b", F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b").mapInPandas(bounded, "a long, b long")
-    links = stage(verified(pairs).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    labels = stage(components(links), "labels")
+    labels = stage(components(verified(pairs)), "labels")
 
     # 4. rows of one part in different components: blocks against blocks
     placed = shared.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("part", "rid", F.coalesce("label", "rid").alias("label"))
@@ -304,30 +320,48 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     tiles = open_.withColumn("tile", F.explode(others)).select("part", "tile.i", "tile.j", "block", "rid", "label", "n", "bits")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        bits = np.frombuffer(b"".join(pdf["bits"]), "<u8").reshape(len(pdf), -1)
-        size, rid, label, block = (pdf[c].to_numpy() for c in ("n", "rid", "label", "block"))
-        cross = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        a, b = [], []
-        for i in range(len(pdf) - 1):
-            upto = np.searchsorted(size, size[i] * den // num, "right")  # no larger partner
-            j = np.arange(i + 1, upto)
+    def passing(rid, label, size, bits, block, cross) -> list[tuple[int, int]]:
+        """Pairs of one tile that may link, in different components."""
+        order = np.argsort(size, kind="stable")
+        rid, label, size, bits, block = rid[order], label[order], size[order], bits[order], block[order]
+        out = []
+        for i in range(len(rid) - 1):
+            j = np.arange(i + 1, np.searchsorted(size, size[i] * den // num, "right"))  # no larger partner
             j = j[(label[j] != label[i]) & ((block[j] != block[i]) | (not cross))]
             if len(j):
                 gap = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                j = j[t.enough(np.minimum((size[i] + size[j] - gap) // 2, size[i]), size[i], size[j])]
-                a += [rid[i]] * len(j)
-                b += rid[j].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype(np.int64)
-
-    more = tiles.groupBy("part", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    rest = stage(verified(more).select(F.col("a").alias("u"), F.col("b").alias("v")), "more-links")
+                for k in j[t.enough(np.minimum((size[i] + size[j] - gap) // 2, size[i]), size[i], size[j])]:
+                    out.append((min(rid[i], rid[k]), max(rid[i], rid[k])))
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles one after another: rows come sorted by tile, and the last tile
+        of a batch may go on in the next."""
+        rest = None
+        for pdf in itertools.chain(batches, [None]):
+            if pdf is not None:
+                rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if rest is None or not len(rest):
+                continue
+            where = rest[["part", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+            ends = [0, *cuts.tolist(), *([len(rest)] if pdf is None else [])]
+            bits = np.frombuffer(b"".join(rest["bits"]), "<u8").reshape(len(rest), -1)
+            rid, label, size, block = (rest[c].to_numpy() for c in ("rid", "label", "n", "block"))
+            out = []
+            for s, e in zip(ends, ends[1:], strict=False):
+                if e - s > 1:
+                    out += passing(rid[s:e], label[s:e], size[s:e], bits[s:e], block[s:e], where[s, 1] != where[s, 2])
+            yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype(np.int64)
+            rest = rest.iloc[ends[-1] :].reset_index(drop=True)
+
+    more = tiles.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j").mapInPandas(compare, "a long, b long")
+    rest = verified(more)
     if rest.limit(1).count():
         labels = stage(components(rest.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
 
     # components of rows
-    named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("h", F.coalesce("label", "rep").alias("label"))
+    named = sets.select("rid", "h").dropDuplicates(["h"]).join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("h", F.coalesce("label", "rid").alias("label"))
     whole = rows.filter("n > 0").select("rid", "k", "h").join(named, "h")
     least = whole.groupBy("label").agg(F.min("k").alias("least"))
     whole = whole.join(least, "label").select("rid", "least")
