@@ -123,7 +123,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
         rows = rows.withColumn("range", F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), state, step, lambda s: s["lo"]))
     else:
         rows = rows.withColumn("range", F.lit(0))
-    rows = rows.select("range", "o", "k", "t")
+    rows = rows.select("range", "o", "t")  # the key is read off its order, so that both uses below share one exchange
 
     # the first text of each range, under the range before it in descending order
     order = F.struct("o", F.xxhash64("t"), "t")
@@ -140,7 +140,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     words = both.select("range", "pos", F.explode(kinds).alias("z")).select("range", "pos", "z.kind", F.explode(F.split(F.lower("z.t"), WORD_GAP)).alias("w"))
     prints = _fingerprints(words, ["range", "pos"], {"fingerprint": 1 - F.col("kind"), "edited_fingerprint": F.col("kind")}, samples)
-    facts = both.select("range", "pos", "k", F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = both.select("range", "pos", F.when(F.col("o") != least, F.col("o")).cast(docs.schema[key].dataType).alias("k"), F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     with split_methods(spark):
         done = stage(prints.join(facts, ["range", "pos"]), "fingerprints")
 
