@@ -1,7 +1,8 @@
 """Nearest neighbours by cosine with a hierarchical k-means tree.
 
-The tree is fitted on the driver on at most ``sample`` vectors (those whose id
-hashes lowest): each node splits its vectors into ``branch`` clusters of unit
+The tree is fitted on the driver on a bounded sample (the vectors whose id
+hashes lowest: an eighth of them, ``sample`` at least and ``most_sample`` at
+most): each node splits its vectors into ``branch`` clusters of unit
 vectors until at most ``leaf`` are left.  Every row of the table is then put in
 the leaf it descends to.  A query visits leaves best bin first: a priority queue
 holds open branches by their centre's distance, the nearest is opened first, and
@@ -116,17 +117,17 @@ def grow(x: np.ndarray, branch: int, leaf: int, seed: int = 7, rounds: int = 8)
     return tree
 
 
-def _top(pdf_q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    s = cosines(pdf_q, x)
-    if len(s) > k:
-        cut = np.partition(s, len(s) - k)[len(s) - k]
-        keep = np.flatnonzero(s >= cut)  # ties at the cut are settled by id later
-    else:
-        keep = np.arange(len(s))
-    return keep, s[keep]
+def top(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of its k largest cosines (more, where the k-th is
+    tied: ids settle that later) and these.  One matrix product finds them, give
+    or take its rounding; their cosines are then computed singly."""
+    rough = _unit(q) @ _unit(x).T
+    for i, r in enumerate(rough):
+        keep = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k] - 1e-9) if len(r) > k else np.arange(len(r))
+        yield keep, cosines(q[i], x[keep])
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 64, sample: int = 16384, probes: int = 200, recall: float = 0.97, block: int = 2048) -> DataFrame:
+def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256, sample: int = 16384, most_sample: int = 262144, probes: int = 200, recall: float = 0.95, block: int = 2048) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score, and ``visits`` and
     ``probe_recall``: leaves visited of each query, and the share of true
     neighbours that the calibration found in them."""
@@ -145,7 +146,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     few = rows.select("v", "id").withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
     entries = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("e", F.monotonically_increasing_id())
     entries = stage(entries, "vectors")
-    picked = entries.select("v").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(sample)
+    picked = entries.select("v").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(max(sample, min(most_sample, entries.count() // 8)))
     x = np.array([r["v"] for r in picked.toLocalIterator()], np.float64)
     shared = spark.sparkContext.broadcast(grow(_unit(x), branch, leaf))
 
@@ -168,12 +169,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, list[tuple[float, int, int]]] = {e: [] for e, _ in probe.value}
-        for pdf in batches:
+        for pdf in batches if probe.value else ():
             if not len(pdf):
                 continue
             m, e, leaves = np.stack(pdf["v"].to_numpy()), pdf["e"].to_numpy(), pdf["leaf"].to_numpy()
-            for qe, q in probe.value:
-                keep, s = _top(q, m, k + 1)
+            for (qe, _), (keep, s) in zip(probe.value, top(np.stack([q for _, q in probe.value]), m, k + 1), strict=True):
                 best[qe] = heapq.nsmallest(k + 1, best[qe] + [(-a, int(e[i]), int(leaves[i])) for i, a in zip(keep, s, strict=True)])
         yield pd.DataFrame([(qe, -a, e, leaf) for qe, b in best.items() for a, e, leaf in b], columns=["q", "s", "e", "leaf"])
 
@@ -208,10 +208,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
             return pd.DataFrame({"q": [], "e": [], "s": []}).astype({"q": "int64", "e": "int64", "s": "float64"})
         m, e = np.stack(right["v"].to_numpy()), right["e"].to_numpy()
         out = []
-        for q, qv in zip(left["q"], left["qv"], strict=True):
-            keep, s = _top(qv, m, k + 1)
-            out.append(pd.DataFrame({"q": q, "e": e[keep], "s": s}))
-        return pd.concat(out)
+        for q, (keep, s) in zip(left["q"], top(np.stack(left["qv"].to_numpy()), m, k + 1), strict=True):
+            out.append((np.full(len(keep), q), e[keep], s))
+        return pd.DataFrame(dict(zip("qes", map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["leaf", "block", "group"]
     pairs = visiting.select(*keys, "q", "qv").groupBy(*keys).cogroup(sides.select(*keys, "e", "v").groupBy(*keys)).applyInPandas(compare, "q long, e long, s double")
