@@ -39,7 +39,7 @@ MASK = (1 << 44) - 1
 
 def words_of(line: Column) -> Column:
     """Lower-cased words; of a line without any, one empty string."""
-    return F.split(F.regexp_replace(F.lower(line), "^" + GAP + "|" + GAP + "$", ""), GAP)
+    return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))), GAP)
 
 
 def _joined(words: Column, start, size) -> Column:
@@ -71,25 +71,23 @@ def within_one(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - F.least(head + tail, short) <= 1
 
 
-def split_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+def split_lines(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
     """k, d (hash of the text), at (from 0), h (hash of the words; null if the
-    line has none), w (the words)."""
+    line has none), halves (null if there are fewer words than ``least_words``).
+    Staged: texts are taken apart once, and no filter repeats the work."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t"))
     lines = rows.select("k", "d", F.posexplode(F.split("t", "\n")).alias("at", "line"))
     lines = lines.select("k", "d", "at", words_of(F.col("line")).alias("w"))
-    return lines.select("k", "d", "at", F.when(F.get("w", F.lit(0)) != "", F.xxhash64(F.array_join("w", " "))).alias("h"), "w")
+    h = F.when(F.get("w", F.lit(0)) != "", F.xxhash64(F.array_join("w", " ")))
+    return stage(lines.select("k", "d", "at", h.alias("h"), F.when(F.size("w") >= least_words, _half_keys(F.col("w"))).alias("halves")), "lines")
 
 
-def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8) -> DataFrame:
-    """For each distinct line of which some occurrence goes: h, p (place of its
+def line_verdicts(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``lines`` as of ``split_lines``.  For each distinct line of which some occurrence goes: h, p (place of its
     first occurrence), gone (whether that goes as well: it is near an earlier
     line)."""
-    if edits not in (0, 1):
-        raise ValueError("the bound is 0 or 1 edits")
-    lines = split_lines(docs, key, text)
-    long_enough = F.size("w") >= (least_words if edits else 1 << 30)
-    found = lines.filter("h IS NOT NULL").select("h", F.struct("k", "d", "at").alias("p"), F.when(long_enough, _half_keys(F.col("w"))).alias("halves"))
-    first = stage(found.groupBy("h").agg(F.min("p").alias("p"), F.count("*").alias("c"), F.first("halves").alias("halves")), "first-lines")
+    places = lines.select("h", F.struct("k", "d", "at").alias("p"), "halves")
+    first = stage(places.groupBy("h").agg(F.min("p").alias("p"), F.count("*").alias("c"), F.first("halves").alias("halves")).filter("h IS NOT NULL"), "first-lines")
 
     halves = first.filter("halves IS NOT NULL").select("h", F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
@@ -98,8 +96,12 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", edit
     near = ordered(near, F.col("p.k").asc_nulls_first(), "p.d", "p.at", name="near-lines")
     near = stage(near.select("h", "p", (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_pos")).alias("ord")), "near-lines")
 
-    # one occurrence of each such line, with its words
-    texts = lines.filter(long_enough).join(broadcast_if_small(near), "h").filter(F.struct("k", "d", "at").eqNullSafe(F.col("p"))).select("ord", "w").groupBy("ord").agg(F.first("w").alias("w"))
+    # their words, from the document of the first occurrence
+    spots = stage(near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")), "near-spots")
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t")).alias("r").join(broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d")))
+    bound = F.array(F.struct(F.split("r.t", "\n").alias("lines"), "s.spots"))  # split once, not for each spot
+    found = found.select(F.explode(F.flatten(F.transform(bound, lambda b: F.transform(b["spots"], lambda z: F.struct(z["ord"].alias("ord"), F.get(b["lines"], z["at"]).alias("line")))))).alias("z"))
+    texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).groupBy("ord").agg(F.first("w").alias("w"))
     texts = stage(texts, "near-texts")
 
     # variants: sums of hashes of (word, place), the places after a gap shifted
@@ -123,30 +125,34 @@ def line_verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", edit
     gone = checked.select("ord").distinct().join(near.select("ord", "h"), "ord").select("h", F.lit(True).alias("gone"))
     verdicts = first.select("h", "p", "c").join(gone, "h", "left").filter("c > 1 OR gone").select("h", "p", F.coalesce("gone", F.lit(False)).alias("gone"))
     verdicts = stage(verdicts, "line-verdicts")
-    drop(first, near, texts, met)
+    drop(first, near, spots, texts, met)
     return verdicts
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8, keep_empty: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and ``n_lines`` and
     ``n_dropped`` (of the whole text) added."""
-    verdicts = line_verdicts(docs, key, text, edits, least_words)
-    places = split_lines(docs, key, text).filter("h IS NOT NULL").select("k", "d", "at", "h")
-    cut = places.join(broadcast_if_small(verdicts), "h").filter(F.col("gone") | ~F.struct("k", "d", "at").eqNullSafe(F.col("p")))
+    if edits not in (0, 1):
+        raise ValueError("the bound is 0 or 1 edits")
+    lines = split_lines(docs, key, text, least_words if edits else 1 << 30)
+    verdicts = line_verdicts(docs, lines, key, text)
+    cut = lines.select("k", "d", "at", "h").join(broadcast_if_small(verdicts), "h").filter(F.col("gone") | ~F.struct("k", "d", "at").eqNullSafe(F.col("p")))
     # an occurrence in each row of equal key and text is one place
     cut = cut.select("k", "d", "at").distinct().groupBy("k", "d").agg(F.sort_array(F.collect_list("at")).alias("cut"))
     cut = stage(cut, "cut-lines")
+    drop(lines, verdicts)
     rows = docs.withColumn("_d", F.hash(text)).alias("r").join(broadcast_if_small(cut).alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.k")) & (F.col("r._d") == F.col("c.d")), "left")
-    # the runs of lines between the places that go
-    lines = F.split(F.col(f"r.{text}"), "\n")
-    ends = F.concat(F.array(F.lit(-1)), F.col("c.cut"), F.array(F.size(lines)))
-    run = lambda j: F.slice(lines, F.get(ends, j - 1) + 2, F.get(ends, j) - F.get(ends, j - 1) - 1)
-    kept = F.flatten(F.transform(F.sequence(F.lit(1), F.size("c.cut") + 1), run))
+    # the runs of lines between the places that go; bound once, since a lambda computes its body anew each time
+    n_lines = F.octet_length(F.col(f"r.{text}")) - F.octet_length(F.replace(F.col(f"r.{text}"), F.lit("\n"), F.lit(""))) + 1
+    ends = F.concat(F.array(F.lit(-1)), F.col("c.cut"), F.array(n_lines))
+    run = lambda s, j: F.slice(s["lines"], F.get(s["ends"], j - 1) + 2, F.get(s["ends"], j) - F.get(s["ends"], j - 1) - 1)
+    bound = F.array(F.struct(F.split(F.col(f"r.{text}"), "\n").alias("lines"), ends.alias("ends")))
+    kept = F.flatten(F.flatten(F.transform(bound, lambda s: F.transform(F.sequence(F.lit(1), F.size(s["ends"]) - 1), lambda j: run(s, j)))))
     left = F.when(F.col("c.cut").isNull(), F.col(f"r.{text}")).otherwise(F.array_join(kept, "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     out = rows.select(
         *[left.alias(c) if c == text else F.col(f"r.{c}") for c in names],
-        F.when(F.col(f"r.{text}").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("c.cut"), F.lit(0)).cast("long").alias("n_dropped"),
     )
     if not keep_empty:
