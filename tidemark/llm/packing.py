@@ -6,7 +6,8 @@ while pieces stay distributed.  Around the largest remaining length the search
 enumerates fillings that no other filling dominates, takes the least wasteful
 first, applies each as often as the counts allow, and gives up a branch when its
 waste exceeds what the incumbent permits; best-fit decreasing gives the first
-incumbent.  The search ends at the lower bound or after ``nodes`` steps.
+incumbent.  The search ends at the lower bound or after ``nodes`` steps;
+above the bound, items are then exchanged among the loosest sequences.
 
 The plan says which ranks of each length go to which sequence; a piece's rank is
 its place among all pieces of its length, from per-task counters and a running
@@ -20,7 +21,10 @@ rest.  Repeated rows are separate documents.  An empty table packs to no rows.
 from __future__ import annotations
 
 import base64
+import bisect
+import collections
 import math
+import random
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -86,37 +90,61 @@ def _dominates(a: Pattern, b: Pattern) -> bool:
     return True
 
 
-def completions(room: int, counts: dict[int, int], keep: int = 6, steps: int = 400) -> list[Pattern]:
-    """Undominated fillings of ``room``, least waste first."""
-    lengths = sorted((x for x, c in counts.items() if c and x <= room), reverse=True)
-    if not lengths:
-        return [()]
-    if room in counts and counts[room]:
-        return [((room, 1),)]  # one item that fills the rest dominates all others
-    found: list[tuple[int, Pattern]] = []
+def exact_fillings(room: int, lengths: list[int], counts: dict[int, int], items: int, keep: int, steps: int) -> list[Pattern]:
+    """Up to ``keep`` fillings of ``room`` by ``items`` pieces that leave nothing,
+    those with the largest pieces first: small ones are kept for later."""
+    out: list[Pattern] = []
     left = steps
 
-    def fill(at: int, rest: int, chosen: list[tuple[int, int]]) -> None:
+    def search(rest: int, at: int, need: int, chosen: tuple[int, ...]) -> None:
         nonlocal left
-        left -= 1
-        while at < len(lengths) and lengths[at] > rest:
-            at += 1
-        if at == len(lengths) or rest == 0:
-            found.append((rest, tuple(chosen)))
+        if need == 1:
+            if rest and rest <= chosen[-1] and counts.get(rest, 0) > chosen.count(rest):
+                out.append(tuple(sorted(collections.Counter((*chosen, rest)).items(), reverse=True)))
             return
-        for i in range(at, len(lengths)):
-            if left <= 0:
-                break
-            x = lengths[i]
-            for c in range(min(counts[x], rest // x), 0, -1):
-                fill(i + 1, rest - c * x, [*chosen, (x, c)])
-                if left <= 0 or c > 1 and found[-1][0] == 0:
-                    break
-            if sum(1 for w, _ in found if w == 0) >= keep:
+        for i in range(bisect.bisect_left(lengths, -rest, at), len(lengths)):
+            x = -lengths[i]
+            if x * need < rest or left <= 0 or len(out) >= keep:
                 return
+            left -= 1
+            if counts[x] > chosen.count(x):
+                search(rest - x, i, need - 1, (*chosen, x))
 
-    fill(0, room, [])
-    found.sort(key=lambda f: (f[0], [(-x, -c) for x, c in f[1]]))
+    search(room, 0, items, ())
+    return out
+
+
+def completions(room: int, counts: dict[int, int], keep: int = 4, steps: int = 4000) -> list[Pattern]:
+    """Undominated fillings of ``room``, least waste first."""
+    if counts.get(room):
+        return [((room, 1),)]  # one item that fills the rest dominates all others
+    lengths = sorted(-x for x, c in counts.items() if c and x <= room)
+    if not lengths:
+        return [()]
+    found: list[tuple[int, Pattern]] = []
+    for items in (2, 3, 4):
+        found = [(0, f) for f in exact_fillings(room, lengths, counts, items, keep, steps)]
+        if found:
+            break
+    else:
+        left = steps // 10
+
+        def fill(at: int, rest: int, chosen: tuple[tuple[int, int], ...]) -> None:
+            nonlocal left
+            left -= 1
+            at = bisect.bisect_left(lengths, -rest, at)
+            if at == len(lengths):
+                found.append((rest, chosen))
+                return
+            for i in range(at, len(lengths)):
+                if left <= 0 and found:
+                    return
+                x = -lengths[i]
+                c = min(counts[x], rest // x)
+                fill(i + 1, rest - c * x, (*chosen, (x, c)))
+
+        fill(0, room, ())
+        found.sort(key=lambda f: (f[0], [(-x, -c) for x, c in f[1]]))
     best: list[Pattern] = []
     for _, f in found:
         if not any(_dominates(a, f) for a in best):
@@ -184,7 +212,56 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[
             used = capacity - sum(x * c for x, c in pattern.items())
             stack.append(({x: c for x, c in after.items() if c}, [*plan, (tuple(sorted(pattern.items(), reverse=True)), times)], waste + used * times))
         del stack[:-400]
-    return best
+    return exchange(best, capacity, least) if bins(best) > least else best
+
+
+def _fullest(items: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """The items of a largest sum within the capacity, and the others: sums that
+    can be reached are bits of a number, one number for each item more."""
+    reach, mask = [1], (1 << (capacity + 1)) - 1
+    for x in items:
+        reach.append((reach[-1] | reach[-1] << x) & mask)
+    left, inside, outside = reach[-1].bit_length() - 1, [], []
+    for x, before in zip(reversed(items), reversed(reach[:-1]), strict=True):
+        if before >> left & 1:
+            outside.append(x)
+        else:
+            inside.append(x)
+            left -= x
+    return inside, outside
+
+
+def exchange(plan: list[tuple[Pattern, int]], capacity: int, least: int, most: int = 600, rounds: int = 400_000, seed: int = 0) -> list[tuple[Pattern, int]]:
+    """Two or three of the loosest sequences (``most`` at most) at a time are
+    emptied and filled anew, the first as full as can be, so that slack gathers
+    until a sequence is left over."""
+    loose: list[list[int]] = []
+    kept: list[tuple[Pattern, int]] = []
+    for pattern, times in sorted(plan, key=lambda p: sum(x * c for x, c in p[0])):
+        n = min(times, most - len(loose)) if sum(x * c for x, c in pattern) < capacity else 0
+        loose += [[x for x, c in pattern for _ in range(c)] for _ in range(n)]
+        if times > n:
+            kept.append((pattern, times - n))
+    fixed, rng = sum(m for _, m in kept), random.Random(seed)
+    for i in range(rounds):
+        if len(loose) < 2 or fixed + len(loose) <= least:
+            break
+        chosen = rng.sample(range(len(loose)), min(2 + i % 2, len(loose)))
+        rest = [x for j in chosen for x in loose[j]]
+        if len(rest) > 60:
+            continue
+        rng.shuffle(rest)
+        new = []
+        for _ in chosen[1:]:
+            inside, rest = _fullest(rest, capacity)
+            new.append(inside)
+        new.append(rest)
+        if sum(rest) <= capacity and sum(sum(b) ** 2 for b in new) >= sum(sum(loose[j]) ** 2 for j in chosen):
+            for j, b in zip(chosen, new, strict=True):
+                loose[j] = b
+            loose = [b for b in loose if b]
+    patterns = collections.Counter(tuple(sorted(collections.Counter(b).items(), reverse=True)) for b in loose)
+    return kept + list(patterns.items())
 
 
 def pack(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str = "text", vocab: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", end_id: int = 2, ids: bool = False) -> DataFrame:
@@ -207,7 +284,7 @@ def pack(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str =
             yield pd.DataFrame(rows, columns=["_key", "piece", "start", "length", "ids_crc32", "_task", "_nth", "ids"])
 
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    pieces = stage(source.mapInPandas(cut, f"_key {kt}, piece int, start long, length long, ids_crc32 long, _task int, _nth long, ids binary"), "pieces")
+    pieces = stage(source.mapInPandas(cut, f"_key {kt}, piece int, start long, length long, ids_crc32 long, _task int, _nth long, ids binary"), "pieces", rows_at_once=1000)
 
     per_task = pieces.groupBy("_task", "length").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
