@@ -27,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     from tidemark.llm.langid import UNKNOWN, identify, is_held_out
 
     rows = identify(docs.select(*COLUMNS), learn=~F.coalesce(is_held_out(), F.lit(False)))
-    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return stage(kept, "languages", rows_at_once=1000)  # workers live on into the next stages, and so does their memory
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None, rows_at_once: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors and fixes row ids and partition numbers."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    lineage, survives lost executors and fixes row ids and partition numbers.
+    ``rows_at_once``: how many rows Python workers get at a time meanwhile
+    (texts are long, and the default of ten thousand takes much memory)."""
+    spark, option = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = path or new_path(spark, name), spark.conf.get(option)
+    if rows_at_once:
+        spark.conf.set(option, str(rows_at_once))
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(option, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -86,13 +93,30 @@ def part_offsets(parts: DataFrame, value) -> DataFrame:
 
 def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in
-    ``order``.  Two small shuffles; no task sees the whole table."""
+    ``order``, and ``_part``, which rises with it.  Two small shuffles; no task
+    sees the whole table."""
     o = ordered(df, *[F.col(c).asc_nulls_first() for c in order], name="prefix")
     w = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value).over(w), F.lit(0))
     return o.withColumn("_local", local).join(part_offsets(o, F.col(value)), "_part").withColumn(
         out, (F.col("_local") + F.col("_before")).cast("long")
-    ).drop("_local", "_before", "_part", "_pos")
+    ).drop("_local", "_before", "_pos")
+
+
+def place_among(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` lie below a value (0 for null), by
+    binary search."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(c) for c in cuts])
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        below = F.get(bounds, half(s)) < value
+        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, step, lambda s: s["lo"])
 
 
 def broadcast_if_small(df: DataFrame, most_mb: int = 4) -> DataFrame:

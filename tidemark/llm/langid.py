@@ -153,19 +153,15 @@ def identify(docs: DataFrame, learn: Column | None = None, key: str = "doc_id",
     names = keep if keep is not None else docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = Model(*shared.value)
-        for pdf in batches:
-            got = m.score([t if isinstance(t, str) else None for t in pdf["_t"]])
-            pdf["lang_pred"] = [g[0] for g in got]
-            pdf["score"] = [g[1] for g in got]
-            yield pdf.drop(columns="_t")
-
-    # own names for the carried columns: theirs may clash with ours
-    carried = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col(text).alias("_t"))
-    schema = ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)), "lang_pred string, score double"])
-    out = carried.mapInPandas(predict, schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c not in ("lang_pred", "score")], "lang_pred", "score")
+        for texts in batches:
+            yield pd.DataFrame(m.score([t if isinstance(t, str) else None for t in texts]), columns=["lang_pred", "score"])
+
+    # only texts go to Python and only scores come back; a filter on the result must not run it twice
+    scored = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], predict.asNondeterministic()(F.col(text)).alias("_p"))
+    return scored.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names) if c not in ("lang_pred", "score")], F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
 
 
 def is_held_out(key: str = "doc_id") -> Column:

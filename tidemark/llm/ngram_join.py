@@ -210,6 +210,7 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     packed = stage(
         base.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(sketch, f"range int, start long, hashes binary, who binary, many binary, rids array<long>, ks array<{kt}>, hs array<binary>, ns array<long>, cs array<long>"),
         "prefixes",
+        rows_at_once=1000,
     )
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -224,11 +225,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(first, len(h)))
         hit = np.repeat(times > 1, times) & ~many
-        owner, place = owner[order][hit], who[hit]
-        out = []
-        for o in np.unique(owner):
-            at, c = np.unique(place[owner == o], return_counts=True)
-            out.append((starts[o], at.astype("<i4").tobytes(), c.astype("<i4").tobytes()))
+        told, c = np.unique(np.stack([owner[order][hit], who[hit]]), axis=1, return_counts=True) if hit.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        of, ends = np.unique(told[0], return_index=True)
+        ends = np.append(ends, told.shape[1])
+        out = [(starts[o], told[1, s:e].astype("<i4").tobytes(), c[s:e].astype("<i4").tobytes()) for o, s, e in zip(of, ends, ends[1:], strict=False)]
         return pd.DataFrame(out, columns=["start", "at", "c"])
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,7 +258,7 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             yield pd.DataFrame({"rid": pdf["rid"], "h": pdf["h"], "n": [len(s) for s in sets], "bits": [parity_bitmap(s) for s in sets], "hashes": [s.astype("<u8").tobytes() for s in sets]})
 
     found = base.alias("d").join(broadcast_if_small(texts).alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))).select("x.rid", "d.h", "d.t")
-    sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, bits binary, hashes binary"), "sets")
+    sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, bits binary, hashes binary"), "sets", rows_at_once=1000)
     drop(texts)
     light = sets.select("rid", "n", "bits").dropDuplicates(["rid"])  # rows of equal key and text are found twice
 
@@ -274,7 +274,7 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
                     rids.append(np.full(len(k), rid, np.int64))
             yield pd.DataFrame({"part": np.concatenate(keys) if keys else [], "rid": np.concatenate(rids) if rids else []}).astype(np.int64)
 
-    parts = stage(sets.select("rid", "n", "hashes").mapInPandas(to_parts, "part long, rid long"), "parts")
+    parts = stage(sets.select("rid", "n", "hashes").mapInPandas(to_parts, "part long, rid long"), "parts", rows_at_once=1000)
     leaders = parts.groupBy("part").agg(F.min("rid").alias("lead"), F.max("rid").alias("last")).filter("lead <> last").drop("last")
     shared = stage(parts.join(leaders, "part"), "shared-parts")
     drop(parts)
