@@ -96,6 +96,38 @@ def point_intervals(state: DataFrame) -> DataFrame:
     return pairs.join(two, ["symbol", "point2_idx"]).join(three, ["symbol", "point3_idx"]).withColumn("bars", F.col("point3_idx") - F.col("point2_idx"))
 
 
+def extremes_frame(state: DataFrame, price_is_log: bool = False) -> DataFrame:
+    """For plots: each confirmed extreme once (its first confirmation), with the
+    time of its bar; prices as they were if the state has logs."""
+    w = Window.partitionBy("symbol").orderBy("timestamp")
+    rows = state.withColumn("idx", F.row_number().over(w) - 1)
+    price = F.exp("confirmed_extremum_value") if price_is_log else F.col("confirmed_extremum_value")
+    found = rows.filter("new_extremum_confirmed AND confirmed_extremum_idx IS NOT NULL").select("symbol", F.col("confirmed_extremum_kind").alias("kind"), F.col("confirmed_extremum_idx").alias("idx"), price.alias("price"), F.col("timestamp").alias("confirmed_at"))
+    once = Window.partitionBy("symbol", "kind", "idx").orderBy("confirmed_at")
+    found = found.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
+    return found.join(rows.select("symbol", "idx", F.col("timestamp").alias("ts")), ["symbol", "idx"])
+
+
+def state_bands(state: DataFrame, column: str = "current_trend") -> DataFrame:
+    """For plots: the spans of each state."""
+    return durations(state.withColumn("ts", F.col("timestamp")), column)
+
+
+def match_levels(levels: DataFrame, bars: DataFrame, lookback: int = 260, tolerance: float = 1e-6) -> DataFrame:
+    """For each level (symbol, ts, side high or low, price) the latest bar within
+    ``lookback`` days before ts whose high or low is that price, else the latest
+    with it as any price: level columns and bar_ts.  Levels meet bars by symbol
+    and rounded price, so only likely pairs form."""
+    step = lambda p: F.round(F.ln(p) / tolerance / 2).cast("long")
+    at = bars.select("symbol", F.col("ts").alias("bar_ts"), F.explode(F.array(*[F.struct(F.lit(s).alias("bar_side"), F.col(c).alias("bar_price")) for c, s in (("high", "high"), ("low", "low"), ("open", "any"), ("close", "any"))])).alias("z")).select("symbol", "bar_ts", "z.*").filter("bar_price > 0")
+    at = at.withColumn("step", F.explode(F.sequence(step(F.col("bar_price")) - 1, step(F.col("bar_price")) + 1)))
+    keyed = levels.withColumn("step", step(F.col("price"))).alias("l").join(at.alias("b"), ["symbol", "step"])
+    near = keyed.filter((F.abs(F.col("price") - F.col("bar_price")) <= tolerance * F.abs(F.col("price"))) & (F.col("bar_ts") <= F.col("ts")) & (F.col("bar_ts") >= F.date_sub(F.col("ts"), lookback)))
+    best = Window.partitionBy("symbol", "ts", "side", "price").orderBy(F.when(F.col("side") == F.col("bar_side"), 0).otherwise(1), F.desc("bar_ts"))
+    found = near.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("symbol", "ts", "side", "price", "bar_ts")
+    return levels.join(found, ["symbol", "ts", "side", "price"], "left")
+
+
 def evaluate(state: DataFrame, horizons: Sequence[int] = (5,), log: bool = False) -> dict[str, DataFrame]:
     """All of the above for a market-state table."""
     rows = state.withColumn("ts", F.col("timestamp")).withColumn("close", F.col("Close")) if "timestamp" in state.columns else state

@@ -53,6 +53,15 @@ def read_prices(spark: SparkSession, path: str | Sequence[str], start: str | Non
     return rows
 
 
+def read_symbol(spark: SparkSession, folder: str, symbol: str = "spx", interval: str = "1d", start: str | None = None, end: str | None = None) -> DataFrame:
+    """One symbol's bars from ``<folder>/<symbol>_<interval>.csv``, both ends of
+    the span included; an error if there are none."""
+    rows = read_prices(spark, f"{folder.rstrip('/')}/{symbol}_{interval}.csv", start, end, symbol)
+    if not rows.limit(1).count():
+        raise ValueError(f"no bars of {symbol} in this span")
+    return rows
+
+
 def read_series(spark: SparkSession, path: str, column: str | None = None, time: str | None = None, symbol: str = "series") -> DataFrame:
     """symbol, ts, value from Parquet: the named column, or the only one there is
     beside the time."""
