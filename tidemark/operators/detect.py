@@ -86,20 +86,17 @@ def event_counts(events: DataFrame, configs: Sequence[tuple]) -> DataFrame:
     return dim.join(events.groupBy("method", "q").agg(F.count("*").alias("n")), ["method", "q"], "left").select("method", "q", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
-def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts"), both_empty: float = 1.0) -> DataFrame:
-    """Similarity of the event sets of each two groups: a_*, b_*, jaccard.  Groups
-    meet only where they share an event; the matrix is completed from the groups
-    themselves, of which there are as many as configurations."""
-    sets = events.select(*by, *on).distinct()
-    sizes = sets.groupBy(*by).agg(F.count("*").alias("n"))
-    a, b = (sets.select(*[F.col(c).alias(f"{s}_{c}") for c in by], *on) for s in "ab")
-    meet = a.join(b, list(on)).groupBy(*[f"{s}_{c}" for s in "ab" for c in by]).agg(F.count("*").alias("both"))
-    left, right = (sizes.select(*[F.col(c).alias(f"{s}_{c}") for c in by], F.col("n").alias(f"n_{s}")) for s in "ab")
-    grid = left.join(right)
-    union = F.col("n_a") + F.col("n_b") - F.coalesce("both", F.lit(0))
-    return grid.join(meet, [f"{s}_{c}" for s in "ab" for c in by], "left").select(
-        *[f"{s}_{c}" for s in "ab" for c in by], F.when(union == 0, both_empty).otherwise(F.coalesce("both", F.lit(0)) / union).alias("jaccard")
-    )
+def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+    """Similarity of the event sets of each two groups: a_*, b_*, jaccard.  One
+    pass over the events: what an event has in common is the list of its groups,
+    of which there are as many as configurations, and so is the final table."""
+    per = events.select(F.struct(*by).alias("g"), *on).groupBy(*on).agg(F.collect_set("g").alias("gs"))
+    pairs = per.select("gs", F.explode("gs").alias("a")).select("a", F.explode("gs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    rows = pairs.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    grid = rows.agg(F.collect_list(F.struct("a", "m")).alias("t")).select("t", F.explode("t").alias("x")).select("x", F.explode("t").alias("y"))
+    size = lambda s: F.try_element_at(F.col(f"{s}.m"), F.col(f"{s}.a"))
+    both = F.coalesce(F.try_element_at(F.col("x.m"), F.col("y.a")), F.lit(0))
+    return grid.select(*[F.col(f"{v}.a.{c}").alias(f"{s}_{c}") for s, v in (("a", "x"), ("b", "y")) for c in by], (both / (size("x") + size("y") - both)).alias("jaccard"))
 
 
 def cusum_fold(series: DataFrame, q: float = 1.0, h: float = 0.03, nu: float = 5e-5) -> DataFrame:

@@ -75,11 +75,10 @@ def price_table(prices: DataFrame, mode: str = "raw", window: int = 20, min_peri
 def robust_standardise(rows: DataFrame, value: str, out: str, by: str = "symbol") -> DataFrame:
     """(x - median) / median absolute deviation; where that is zero, the z-score;
     where that fails too, null."""
-    mid = rows.groupBy(by).agg(F.percentile(value, F.lit(0.5)).alias("_m"), F.avg(value).alias("_a"), F.stddev_pop(value).alias("_s"))
-    rows = rows.join(mid, by)
-    mad = rows.groupBy(by).agg(F.percentile(F.abs(F.col(value) - F.col("_m")), F.lit(0.5)).alias("_d"))
-    x = F.col(value)
-    return rows.join(mad, by).withColumn(out, F.when(F.col("_d") > 0, (x - F.col("_m")) / F.col("_d")).when(F.col("_s") > 0, (x - F.col("_a")) / F.col("_s"))).drop("_m", "_a", "_s", "_d")
+    w, x, half = Window.partitionBy(by), F.col(value), F.lit(0.5)
+    rows = rows.withColumns({"_m": F.percentile(value, half).over(w), "_a": F.avg(value).over(w), "_s": F.stddev_pop(value).over(w)})
+    rows = rows.withColumn("_d", F.percentile(F.abs(x - F.col("_m")), half).over(w))
+    return rows.withColumn(out, F.when(F.col("_d") > 0, (x - F.col("_m")) / F.col("_d")).when(F.col("_s") > 0, (x - F.col("_a")) / F.col("_s"))).drop("_m", "_a", "_s", "_d")
 
 
 def observable(events: DataFrame, prices: DataFrame, mode: str = "auto", window: int = 20, min_periods: int = 10) -> DataFrame:

@@ -328,9 +328,10 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     wide = F.when(F.count("x").over(whole) >= 8, F.stddev_samp("x").over(whole))
     rows = dif.withColumn("v", F.coalesce(rolling, wide))
     rows = rows.withColumn("v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    size = dif.groupBy("symbol").agg(F.percentile(F.abs("x"), F.lit(0.5)).alias("mid"), F.avg(F.abs("x")).alias("avg"))
+    whole = Window.partitionBy("symbol")
+    rows = rows.withColumn("mid", F.percentile(F.abs("x"), F.lit(0.5)).over(whole)).withColumn("avg", F.avg(F.abs("x")).over(whole))
     floor = F.when(F.col("mid") > 0, F.col("mid")).when(F.col("avg") > 0, F.col("avg")).otherwise(F.lit(1e-8))
-    return rows.join(size, "symbol").select("symbol", "ts", "x", F.greatest(F.coalesce("v", floor), floor * 1e-3).alias("vol"))
+    return rows.select("symbol", "ts", "x", F.greatest(F.coalesce("v", floor), floor * 1e-3).alias("vol"))
 
 
 def tune_scales(dif: DataFrame, methods: Sequence[str], target: int, b2b: int = 1, window: int = 128, max_iter: int = 16) -> DataFrame:

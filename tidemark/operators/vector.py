@@ -64,10 +64,11 @@ def score_config(columns: Sequence[str] = tuple(VARIABLES), window: int = 1000,
 def standardise(rows: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """symbol, ts and each column clipped at its symbol's quantiles and z-scored
     with the population deviation; constant columns become null."""
-    q = rows.groupBy("symbol").agg(*[F.percentile(finite(c), F.array(F.lit(lower), F.lit(upper))).alias(f"_q_{c}") for c in columns])
-    clipped = rows.join(q, "symbol").select("symbol", "ts", *[F.when(finite(c).isNotNull(), F.greatest(F.least(finite(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])).alias(c) for c in columns])
-    m = clipped.groupBy("symbol").agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    return clipped.join(m, "symbol").select("symbol", "ts", *[F.when(F.col(f"_s_{c}") != 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in columns])
+    w = Window.partitionBy("symbol")  # one shuffle, and what stands below runs once
+    q = {f"_q_{c}": F.percentile(finite(c), F.array(F.lit(lower), F.lit(upper))).over(w) for c in columns}
+    clipped = rows.select("symbol", "ts", *columns).withColumns(q).select("symbol", "ts", *[F.when(finite(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])).alias(c) for c in columns])
+    m = clipped.withColumns({f"_m_{c}": F.avg(c).over(w) for c in columns} | {f"_s_{c}": F.stddev_pop(c).over(w) for c in columns})
+    return m.select("symbol", "ts", *[F.when(F.col(f"_s_{c}") != 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in columns])
 
 
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
