@@ -10,9 +10,10 @@ a root over each shard's documents and one over the shards.
 
 Layout under the path:
   ``store/``     Parquet, in ascending key order: shard, key, rid, start,
-                 n_tokens, lens, digests, refs, shared, payload, root.  The
-                 payload holds the row's own chunks as little-endian ids of
-                 ``width`` bytes.
+                 n_tokens, lens (of the chunks, little-endian 32-bit), digests
+                 (16 bytes each), refs, shared, payload, root.  The payload
+                 holds the row's own chunks as little-endian ids of ``width``
+                 bytes.
   ``manifest/``  Parquet: shard (-1: the corpus), n_docs, n_tokens, root.
 
 Reading resolves references with a join on the keeping row, hashes every chunk
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import _OTHER, _WORD, Memo, byte_letters
-from tidemark.llm.common import drop, running_start, stage, vocabulary
+from tidemark.llm.common import drop, place_among, running_start, stage, vocabulary
 
 
 class Encoder:
@@ -58,22 +60,31 @@ class Encoder:
         self.library.no_padding()
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.by_stretch = bool(spec["model"].get("end_of_word_suffix")) and steps[0].get("behavior") == "Removed"
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        # special strings, and what Python alone takes for white space
+        self.apart = [*(t["content"] for t in spec["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.model, self.letters = self.library.model, byte_letters()
-        self.known = Memo(self._stretch, 500_000)
+        self.known = Memo(self._stretch, 700_000)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-
-    def _stretch(self, stretch: str) -> bytes:
-        """Ids of lower-case plain text without white space, by the library's model."""
-        ids: list[int] = []
-        for w in _WORD.findall(stretch):
+        self.code = "H" if self.width == 2 else "I"
+        self.pack = struct.Struct(f"<{self.code}").pack
+
+    def _stretch(self, stretch: str) -> bytes | None:
+        """Ids of a stretch of lower-case text without white space, by the
+        library's model; none if it isn't plain."""
+        if _OTHER.search(stretch):
+            return None
+        ids = []
+        for w in (stretch,) if stretch.isalpha() else _WORD.findall(stretch):
             ids += [t.id for t in self.model.tokenize(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))]
-        return np.array(ids, "<u4").tobytes()
+        return self.pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if text and self.by_stretch and not _OTHER.search(text) and not any(s in text for s in self.specials):
-            return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), "<u4")
-        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, "<u4")
+        if text and self.by_stretch and not any(s in text for s in self.apart):
+            try:
+                return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), f"<u{self.width}")
+            except TypeError:  # a stretch that isn't plain
+                pass
+        return np.array(self.library.encode(text or "", add_special_tokens=False).ids, f"<u{self.width}")
 
 
 @lru_cache(maxsize=4)
@@ -83,18 +94,18 @@ def encoder(path: str) -> Encoder:
 
 def boundaries(ids: np.ndarray, window: int = 16, bits: int = 9, least: int = 64, most: int = 4096) -> list[int]:
     """Ends of the chunks of an id stream: where the sum of ``window`` mixed ids
-    hashes to a value whose ``bits`` low bits are zero, no sooner than ``least``
+    hashes to a value whose ``bits`` high bits are zero, no sooner than ``least``
     ids after the last cut and no later than ``most``."""
     n = len(ids)
     ends, last = [], 0
     if n > least:
-        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-        total = np.cumsum(mixed)
+        mixed = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+        total = np.cumsum(mixed, dtype=np.uint32)
         rolling = total.copy()
         rolling[window:] -= total[:-window]
-        rolling *= np.uint64(0xBF58476D1CE4E5B9)
-        for c in (np.flatnonzero((rolling >> np.uint64(64 - bits)) == 0) + 1).tolist():
+        rolling *= np.uint32(0x85EBCA6B)
+        for c in (np.flatnonzero(rolling < np.uint32(1 << (32 - bits))) + 1).tolist():
             while c - last > most:
                 last += most
                 ends.append(last)
@@ -111,6 +122,10 @@ def digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+def apart(digests: bytes) -> list[bytes]:
+    return [digests[i : i + 16] for i in range(0, len(digests), 16)]
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
     """Pairs of digests hashed level by level; an odd one moves up as it is."""
     level = list(leaves) or [digest(b"")]
@@ -127,7 +142,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary(vocab))
-        dtype = "<u2" if enc.width == 2 else "<u4"
+        width, dtype = enc.width, f"<u{enc.width}"
         for pdf in batches:
             for b in range(0, len(pdf), rows_at_once):
                 part = pdf.iloc[b : b + rows_at_once]
@@ -135,30 +150,29 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                 for t in part["_text"]:
                     ids = enc.encode(t if isinstance(t, str) else None)
                     if end_id is not None:
-                        ids = np.append(ids, np.uint32(end_id))
-                    ends = boundaries(ids)
-                    raw = ids.astype(dtype)
-                    cuts = list(zip([0, *ends], ends, strict=False))
-                    rows.append((len(ids), [e - s for s, e in cuts], [digest(raw[s:e].tobytes()) for s, e in cuts], raw.tobytes()))
+                        ids = np.append(ids, np.array(end_id, dtype))
+                    ends, raw = boundaries(ids), ids.tobytes()
+                    rows.append((len(ids), np.diff([0, *ends]).astype("<i4").tobytes(), b"".join([digest(raw[s * width : e * width]) for s, e in zip([0, *ends], ends, strict=False)]), raw))
                 out = pd.DataFrame(rows, columns=["n_tokens", "lens", "digests", "payload"])
                 out.insert(0, "rid", part["rid"].to_numpy())
                 out.insert(0, "key", part["_key"].to_numpy())
                 yield out
 
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("rid"))
-    encoded = stage(source.mapInPandas(encode, f"key {kt}, rid long, n_tokens long, lens array<int>, digests array<binary>, payload binary"), "ids")
+    encoded = stage(source.mapInPandas(encode, f"key {kt}, rid long, n_tokens long, lens binary, digests binary, payload binary"), "ids", rows_at_once=1000)
 
     # occurrences of chunks found more than once, with the first place of each
-    places = encoded.select("key", "rid", F.posexplode("digests").alias("seq", "digest"))
+    each = F.transform(F.sequence(F.lit(0), (F.length("digests") / 16).cast("int") - 1), lambda i: F.substring("digests", i * 16 + 1, F.lit(16)))
+    places = encoded.select("key", "rid", F.posexplode(each).alias("seq", "digest"))
     first = places.groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("rid"), F.col("seq"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
     notes = (
         places.join(first.select("digest", "first"), "digest")
         .groupBy("rid")
         .agg(F.collect_list(F.struct("seq", F.col("first.rid").alias("owner"), F.col("first.seq").alias("at"))).alias("notes"))
     )
-    starts = running_start(encoded.select("key", "rid", "n_tokens"), ["key", "rid"], "n_tokens", "start")
+    starts = stage(running_start(encoded.select("key", "rid", "n_tokens"), ["key", "rid"], "n_tokens", "start"), "starts")
     meta = starts.join(notes, "rid", "left").select(
-        "key", "rid", F.lit(0).alias("kind"), "start", "notes", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("array<int>").alias("lens"), F.lit(None).cast("array<binary>").alias("digests"), F.lit(None).cast("binary").alias("payload")
+        "key", "rid", F.lit(0).alias("kind"), "start", "notes", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("lens"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("payload")
     )
     body = encoded.select("key", "rid", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast(refs).alias("notes"), "n_tokens", "lens", "digests", "payload")
     width = encoder(vocabulary(vocab)).width
@@ -173,19 +187,19 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                     continue
                 away = sorted((x for x in notes if (x["owner"], x["at"]) != (rid, x["seq"])), key=lambda x: x["seq"])
                 shared = sorted(x["seq"] for x in notes if (x["owner"], x["at"]) == (rid, x["seq"]))
-                gone, at, own = {x["seq"] for x in away}, 0, []
-                for i, k in enumerate(lens):
-                    if i not in gone:
-                        own.append(payload[at * width : (at + int(k)) * width])
-                    at += int(k)
-                rows.append((shard, key_, rid, start, int(n), lens, list(digests), away, shared, b"".join(own) if gone else payload, merkle_root(list(digests))))
+                if away:
+                    gone, ends = {x["seq"] for x in away}, np.cumsum(np.frombuffer(lens, "<i4")) * width
+                    payload = b"".join([payload[s:e] for i, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if i not in gone])
+                rows.append((shard, key_, rid, start, int(n), lens, digests, away, shared, payload, merkle_root(apart(digests))))
             if rows:
                 yield pd.DataFrame(rows, columns=["shard", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"])
 
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = body.unionByName(meta).repartitionByRange(n, F.col("key").asc_nulls_first(), "rid").sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
-    both.mapInPandas(merge, f"shard int, key {kt}, rid long, start long, n_tokens long, lens array<int>, digests array<binary>, refs {refs}, shared array<int>, payload binary, root binary").write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
-    drop(encoded)
+    # the parts of the prefix sums, by their first keys: no second sampling of the payloads
+    firsts = [r["k"] for r in starts.filter("key IS NOT NULL").groupBy("_part").agg(F.min("key").alias("k")).orderBy("k").collect()]  # a row per partition
+    cuts = sorted(set(firsts[1:]))
+    both = body.unionByName(meta).repartitionById(len(cuts) + 1, place_among(F.col("key"), cuts).cast("int")).sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
+    both.mapInPandas(merge, f"shard int, key {kt}, rid long, start long, n_tokens long, lens binary, digests binary, refs {refs}, shared array<int>, payload binary, root binary").write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
+    drop(encoded, starts)
 
     store = spark.read.parquet(f"{path}/store")
     hexes = lambda c: F.expr(f"sha2(array_join(transform(array_sort({c}), x -> x.root), ''), 256)")
@@ -209,16 +223,17 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         key_, rid, start, n, lens, digests, refs, payload, root = row
         away = set() if refs is None else {x["seq"] for x in refs}
         at, parts = 0, []
-        for i, (k, d) in enumerate(zip(lens, digests, strict=True)):
+        digests = apart(digests)
+        for i, (k, d) in enumerate(zip(np.frombuffer(lens, "<i4").tolist(), digests, strict=True)):
             if i in away:
                 piece = found[i]
             else:
-                piece = payload[at : at + int(k) * width]
-                at += int(k) * width
+                piece = payload[at : at + k * width]
+                at += k * width
             if digest(piece) != d:
                 raise ValueError(f"chunk {i} of row {rid} differs from its digest")
             parts.append(piece)
-        if merkle_root(list(digests)) != root:
+        if merkle_root(digests) != root:
             raise ValueError(f"row {rid} differs from its Merkle root")
         whole = np.frombuffer(b"".join(parts), dtype).astype("<u4").tobytes()
         return key_, rid, start, n, zlib.crc32(whole), whole if ids else None
@@ -234,11 +249,11 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
             rows = []
             for rid, lens, refs, shared, payload in pdf.itertuples(index=False, name=None):
                 away, wanted, at = set() if refs is None else {x["seq"] for x in refs}, set(map(int, shared)), 0
-                for i, k in enumerate(lens):
+                for i, k in enumerate(np.frombuffer(lens, "<i4").tolist()):
                     if i not in away:
                         if i in wanted:
-                            rows.append((rid, i, payload[at : at + int(k) * width]))
-                        at += int(k) * width
+                            rows.append((rid, i, payload[at : at + k * width]))
+                        at += k * width
             yield pd.DataFrame(rows, columns=["owner", "at", "piece"])
 
     def patched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
