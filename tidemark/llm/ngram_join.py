@@ -160,8 +160,21 @@ class Threshold:
 
 
 def parity_bitmap(h: np.ndarray) -> bytes:
-    bit = (_mix(h ^ U(0x5851F42D4C957F2D)) % U(BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """Whether an odd number of elements falls on each of a power of two of
+    bits, no fewer than there are elements: else two large sets would differ in
+    half of the bits whatever they hold."""
+    bits = max(BITS, 1 << max(0, len(h) - 1).bit_length())
+    bit = (_mix(h ^ U(0x5851F42D4C957F2D)) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def fold(bitmaps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps as rows of ``size`` bytes: halves of longer ones are added."""
+    rows = []
+    for b in bitmaps:
+        a = np.frombuffer(b, "<u8")
+        rows.append(a if len(b) == size else np.bitwise_xor.reduce(a.reshape(len(b) // size, -1), axis=0))
+    return np.stack(rows)
 
 
 def part_hashes(h: np.ndarray, tile: int, parts: int) -> np.ndarray:
@@ -281,12 +294,13 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), "<u8").reshape(len(pdf), -1) for c in ("bits_a", "bits_b"))
-                na, nb = pdf["n_a"].to_numpy(), pdf["n_b"].to_numpy()
+            least = np.minimum(pdf["bits_a"].map(len), pdf["bits_b"].map(len))
+            for size, part in pdf.groupby(least.to_numpy()):
+                a, b = (fold(part[c].tolist(), int(size)) for c in ("bits_a", "bits_b"))
+                na, nb = part["n_a"].to_numpy(), part["n_b"].to_numpy()
                 apart = np.bitwise_count(a ^ b).sum(1).astype(np.int64)
                 ok = t.enough(np.minimum((na + nb - apart) // 2, np.minimum(na, nb)), na, nb)
-                yield pdf.loc[ok, ["a", "b"]]
+                yield part.loc[ok, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -320,9 +334,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     tiles = open_.withColumn("tile", F.explode(others)).select("part", "tile.i", "tile.j", "block", "rid", "label", "n", "bits")
 
-    def passing(rid, label, size, bits, block, cross) -> list[tuple[int, int]]:
+    def passing(rid, label, size, bitmaps, block, cross) -> list[tuple[int, int]]:
         """Pairs of one tile that may link, in different components."""
-        order = np.argsort(size, kind="stable")
+        order, bits = np.argsort(size, kind="stable"), fold(bitmaps, min(map(len, bitmaps)))
         rid, label, size, bits, block = rid[order], label[order], size[order], bits[order], block[order]
         out = []
         for i in range(len(rid) - 1):
@@ -346,7 +360,7 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             where = rest[["part", "i", "j"]].to_numpy()
             cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
             ends = [0, *cuts.tolist(), *([len(rest)] if pdf is None else [])]
-            bits = np.frombuffer(b"".join(rest["bits"]), "<u8").reshape(len(rest), -1)
+            bits = rest["bits"].tolist()
             rid, label, size, block = (rest[c].to_numpy() for c in ("rid", "label", "n", "block"))
             out = []
             for s, e in zip(ends, ends[1:], strict=False):
