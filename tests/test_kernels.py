@@ -113,3 +113,24 @@ def test_lepage_split_and_segmentation():
     found = wbs.segment(x, draws=40, reps=20)
     assert any(abs(f - 59) <= 3 for f in found)
     assert wbs.segment(x, draws=40, reps=20) == found
+
+
+def test_segmentation_looks_at_each_drawn_window():
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=90), rng.integers(0, 9, 90).astype(float)):
+        stat, at = wbs._largest(x, 5, 84, 60, 10, np.random.default_rng(3))
+        again = np.random.default_rng(3)
+        size = again.integers(20, 81, 60)
+        start = 5 + again.integers(0, 80 - size + 1)
+        splits = [(z.max(), s + int(np.argmax(z))) for s, z in ((s, wbs.lepage_splits(x[s : s + m], 10)) for s, m in zip(start, size, strict=True))]
+        assert (stat, at) == pytest.approx(max(splits))
+
+
+def test_segmentation_defaults_and_thresholds_between_lengths():
+    import inspect
+
+    o = {k: v.default for k, v in inspect.signature(wbs.segment).parameters.items()}
+    assert (o["draws"], o["reps"]) == (10000, 200)
+    assert wbs.grid(495) == list(range(20, 495, 10)) and wbs.grid(1700) == [*range(20, 501, 10), 1000]
+    value = {20: 2.0, 30: 4.0, 500: 9.0, 1000: 10.0}.get
+    assert [wbs.between(n, wbs.grid(1700), value) for n in (20, 25, 750, 1700)] == [2.0, 3.0, 9.5, 10.0]

@@ -7,6 +7,7 @@ method, q.  ``ts`` is when the change is known.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -61,8 +62,9 @@ def detect_many(series: DataFrame, configs: Sequence[tuple] | Sequence[dict]) ->
         known[name, float(q)] = dict(rest[0]) if rest else {}
     table = list(known.items())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, **more) -> pd.DataFrame:
         (method, q), options = table[int(pdf["config"].iloc[0])]
+        options = options | more
         pdf = pdf.sort_values("ts", kind="stable")
         symbol = pdf["symbol"].iloc[0]
         ts = pdf["ts"].to_numpy()
@@ -71,8 +73,46 @@ def detect_many(series: DataFrame, configs: Sequence[tuple] | Sequence[dict]) ->
         return out.astype({"ts": "datetime64[ns]", "change_ts": "datetime64[ns]", "score": float})
 
     rows = series.filter("value IS NOT NULL AND NOT isnan(value)").select("symbol", "ts", F.col("value").cast("double").alias("value"))
-    spread = rows.withColumn("config", F.explode(F.array(*[F.lit(i) for i in range(len(table))]))) if len(table) > 1 else rows.withColumn("config", F.lit(0))
-    return spread.groupBy("symbol", "config").applyInPandas(run, EVENTS)
+
+    def spread(configs: list[int]) -> DataFrame:
+        return rows.withColumn("config", F.explode(F.array(*[F.lit(i) for i in configs])) if len(configs) > 1 else F.lit(configs[0]))
+
+    wild = {i: options for i, ((method, _), options) in enumerate(table) if method == "wbs_lepage"}
+    plain = [i for i in range(len(table)) if i not in wild]
+    out = spread(plain).groupBy("symbol", "config").applyInPandas(run, EVENTS) if plain or not wild else None
+    if not wild:
+        return out
+
+    def run_wild(pdf: pd.DataFrame, limits: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, limits=dict(zip(limits["length"].tolist(), limits["value"].tolist(), strict=True)))
+
+    limits = wild_limits(rows, wild)
+    found = spread(list(wild)).groupBy("symbol", "config").cogroup(limits.groupBy("symbol", "config")).applyInPandas(run_wild, EVENTS)
+    return found if out is None else out.unionByName(found)
+
+
+def wild_limits(rows: DataFrame, wild: dict[int, dict]) -> DataFrame:
+    """symbol, config, length, value: thresholds of wild binary segmentation for
+    the lengths that a series can need.  Each length is simulated once per config,
+    its repetitions spread over the executors."""
+    settings = {i: {k: v.default for k, v in inspect.signature(wbs.segment).parameters.items() if k in ("draws", "alpha", "least", "reps", "seed")} for i in wild}
+    settings = {i: s | {k: v for k, v in wild[i].items() if k in s} for i, s in settings.items()}
+    levels = sorted({1 - s["alpha"] for s in settings.values()})
+    lengths = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(n).alias("length"), F.lit(s["reps"]).alias("reps"), F.lit(levels.index(1 - s["alpha"])).alias("level")) for i, s in settings.items() for n in wbs.grid(10000, s["least"])])
+
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            s = [wbs.noise_maximum(n, rep, *(settings[i][k] for k in ("draws", "least", "seed"))) for i, n, rep in pdf[["config", "length", "rep"]].itertuples(index=False)]
+            yield pdf[["config", "length"]].assign(s=s)
+
+    sizes = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+    needed = lambda t: t.select("*", F.explode(lengths).alias("z")).select("*", "z.*").filter(F.col("length") <= F.col("n")).drop("z", "n")
+    sims = needed(sizes.agg(F.max("n").alias("n"))).select("config", "length", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)).alias("rep"))
+    parts = max(64, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    stats = sims.repartition(parts, "config", "length", "rep").mapInPandas(simulate, "config int, length int, s double")
+    values = stats.groupBy("config", "length").agg(F.percentile("s", F.array(*[F.lit(p) for p in levels])).alias("at"))
+    # no broadcast: that would bound the time of the simulation
+    return needed(sizes).join(values.hint("merge"), ["config", "length"]).select(F.col("symbol").alias("symbol"), F.col("config").alias("config"), "length", F.get("at", F.col("level")).alias("value"))
 
 
 def detect(series: DataFrame, method: str, q: float = 1.0, **options) -> DataFrame:

@@ -132,7 +132,7 @@ def _rows_only(name: str, f) -> None:
 
 for _m, _q in (("glr", 0.2), ("brandt_glr", 0.2), ("shewhart", 0.05), ("recursive_param_seg", 1.0), ("e_detector", 0.2), ("ssr_cusum", 0.2), ("adaptive_cusum", 0.2)):
     _rows_only(f"{_m}_events", lambda spark, d, m=_m, q=_q: D.detect(B.log_close(_bars(spark, d)), m, q))
-_rows_only("wbs_lepage_events", lambda spark, d: D.detect(B.log_close(_bars(spark, d)), "wbs_lepage", 0.5, draws=20, reps=10))
+_rows_only("wbs_lepage_events", lambda spark, d: D.detect(B.log_close(_bars(spark, d)), "wbs_lepage", 0.5))
 
 CONFIGS = [("cusum", 100.0), ("sprt", 0.1), ("cusum_ls", 1.0), ("gma", 0.3), ("shewhart", 0.05)]
 
