@@ -244,3 +244,23 @@ def test_native_cusum_equals_the_kernel(spark):
     a = {(r.idx, r.direction, round(r.score, 9)) for r in detect.cusum_fold(df, 2.0).collect()}
     assert a == {(r.idx, r.direction, round(r.score, 9)) for r in detect.detect(df, "cusum", 2.0).collect()} != set()
     assert kernels.make("CUSUM").q == 1.0
+
+
+def test_explosive_windows_are_of_the_references_numbers(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({v: rng.normal(0, 1, 4000) for v in vector.VARIABLES}).assign(symbol="a", ts=[T0 + DAY * i for i in range(4000)], valid_state=True)
+    ends = queries.explosive_ends(spark.createDataFrame(pdf)).collect()
+    of = [r.window_id.split("_a_")[0] for r in ends]
+    want = {f"{v}_{g}": 120 for v in vector.VARIABLES for g in ("low", "mid", "high")} | {f"composite_{name}": 150 for name, _ in research.COMPOSITES}
+    assert {k: of.count(k) for k in set(of)} == want and len({r.window_id for r in ends}) == len(ends)
+    asked = {}
+    monkeypatch.setattr(queries, "_bars", lambda s, d: None)
+    monkeypatch.setattr(queries, "_shape", lambda s, d: None)
+    monkeypatch.setattr(queries.V, "state_vector", lambda x: x)
+    monkeypatch.setattr(queries, "explosive_ends", lambda x: x)
+    monkeypatch.setattr(queries.R, "trailing_windows", lambda *a: a)
+    monkeypatch.setattr(queries.R, "explosiveness", lambda windows, **o: asked.update(o))
+    queries.explosiveness(spark, "")
+    assert "nrep" not in asked  # the operator's own 499

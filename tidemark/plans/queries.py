@@ -383,11 +383,21 @@ _rows_only("rolling_adf", lambda s, d: R.rolling_adf(_vars(s, d), ["a", "b"]))
 _rows_only("adf_by_state", lambda s, d: R.adf_by_state(R.rolling_adf(_vars(s, d), ["a", "b"]), ["a", "b"]))
 
 
+def explosive_ends(vectors: DataFrame, per_group: int = 120, per_state: int = 150) -> DataFrame:
+    """window_id, symbol, ts: sampled rows of each third of each state variable,
+    and of each composite state."""
+    rows = R.with_tertiles(vectors.filter("valid_state"), V.VARIABLES).withColumn("composite", R.composite_state())
+    names = [F.struct(F.lit(v).alias("state_variable"), F.col(f"{v}_group").alias("state_group")) for v in V.VARIABLES]
+    named = rows.select("symbol", "ts", F.explode(F.array(*names, F.struct(F.lit("composite").alias("state_variable"), F.col("composite").alias("state_group")))).alias("z")).select("symbol", "ts", "z.*").filter("state_group IS NOT NULL")
+    stratum = ["state_variable", "state_group"]
+    composite = F.col("state_variable") == "composite"
+    ends = [R.stratified_sample(named.filter(c), stratum, n, key=(*stratum, "symbol", "ts")) for c, n in ((~composite, per_group), (composite & (F.col("state_group") != "other"), per_state))]
+    return ends[0].unionByName(ends[1]).select(F.concat_ws("_", *stratum, "symbol", F.col("ts").cast("string")).alias("window_id"), "symbol", "ts")
+
+
 @query()
 def explosiveness(spark, d):
-    bars = _bars(spark, d)
-    ends = R.stratified_sample(bars, ["symbol"], 6).select(F.concat_ws("_", "symbol", F.col("ts").cast("string")).alias("window_id"), "symbol", "ts")
-    return R.explosiveness(R.trailing_windows(bars, ends), nrep=60)
+    return R.explosiveness(R.trailing_windows(_bars(spark, d), explosive_ends(V.state_vector(_shape(spark, d)))))
 
 
 @query()
