@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans.queries import QUERIES, SQL
 
@@ -32,6 +33,12 @@ def test_query_has_rows(spark, small, name):
     assert QUERIES[name](spark, small).limit(1).count() == 1
 
 
+def test_every_bar_has_a_window_and_asks(spark, small):
+    n = {r.symbol: r.n for r in QUERIES["daily_bars"](spark, small).groupBy("symbol").agg(F.count("*").alias("n")).collect()}
+    assert QUERIES["trailing_windows_all"](spark, small).select("window_id").distinct().count() == sum(max(0, k - 59) for k in n.values()) > 0
+    assert QUERIES["asof_join_all"](spark, small).count() == sum(n.values()) + 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -357,6 +357,16 @@ def trailing_windows(spark, d):
     return R.trailing_windows(bars, ends).select("window_id", "t", "symbol", "ts", r("log_close").alias("log_close"))
 
 
+@query(f"""WITH {BARS}, p AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM bars)
+ SELECT e.symbol || '_' || e.idx AS window_id, row_number() OVER (PARTITION BY e.symbol, e.idx ORDER BY p.idx)::INT AS t, p.symbol, p.ts, round(ln(p.close), 6) AS log_close FROM p e JOIN p ON p.symbol = e.symbol AND p.idx BETWEEN e.idx - 59 AND e.idx WHERE e.idx >= 59""")
+def trailing_windows_all(spark, d):
+    """A window for every bar that has enough before it."""
+    bars = _bars(spark, d)
+    idx = bars.withColumn("idx", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
+    ends = idx.select(F.concat_ws("_", "symbol", F.col("idx").cast("string")).alias("window_id"), "symbol", "ts")
+    return R.trailing_windows(bars, ends).select("window_id", "t", "symbol", "ts", r("log_close").alias("log_close"))
+
+
 @query(f"""WITH {VARS}, s AS (SELECT symbol, ts, b, b - lag(b) OVER w AS ret, lead(b, 5) OVER w - b AS f FROM v WINDOW w AS (PARTITION BY symbol ORDER BY ts))
  SELECT symbol, ts, round(f, 6) AS return_k5, CASE WHEN count(ret) OVER k = 5 THEN round(stddev_pop(ret) OVER k, 6) END AS vol_k5 FROM s WINDOW k AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)""")
 def future_targets(spark, d):
@@ -425,6 +435,15 @@ def asof_join(spark, d):
     return asof_backward(ask, K.price_table(bars), ["bar_index"])
 
 
+@query(f"""WITH {PRICES}, q AS (SELECT symbol, ts + INTERVAL 12 HOUR AS ts FROM bars UNION ALL SELECT '1-URGENT', TIMESTAMP '1990-01-01') SELECT q.symbol, q.ts, prices.bar_index FROM q ASOF LEFT JOIN prices ON q.symbol = prices.symbol AND q.ts >= prices.ts""")
+def asof_join_all(spark, d):
+    """Every bar asks."""
+    bars = _bars(spark, d)
+    ask = bars.select("symbol", (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("ts"))
+    ask = ask.unionByName(spark.range(1).select(F.lit("1-URGENT").alias("symbol"), F.to_timestamp(F.lit("1990-01-01")).alias("ts")))
+    return asof_backward(ask, K.price_table(bars), ["bar_index"])
+
+
 @query(f"""WITH {VARS}, m AS (SELECT symbol, quantile_cont(b, .5) AS m FROM v GROUP BY 1), x AS (SELECT symbol, quantile_cont(abs(b - m), .5) AS mad FROM v JOIN m USING (symbol) GROUP BY 1) SELECT symbol, ts, round((b - m) / mad, 6) AS z FROM v JOIN m USING (symbol) JOIN x USING (symbol)""")
 def robust_scores(spark, d):
     return K.robust_standardise(_vars(spark, d), "b", "z").select("symbol", "ts", r("z").alias("z"))
