@@ -264,3 +264,22 @@ def test_explosive_windows_are_of_the_references_numbers(spark, monkeypatch):
     monkeypatch.setattr(queries.R, "explosiveness", lambda windows, **o: asked.update(o))
     queries.explosiveness(spark, "")
     assert "nrep" not in asked  # the operator's own 499
+
+
+def test_local_regression_collapses_few_values_over_all_rows(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"symbol": "a", "ts": [T0 + DAY * i for i in range(900)], "two": np.arange(900) % 2 * 1.0, "many": rng.normal(0, 1, 900), "y": rng.normal(0, 1, 900)})
+    got = research.lowess(spark.createDataFrame(pdf), ["two", "many"], ["y"], max_points=50).toPandas()
+    two = got[got.variable == "two"].sort_values("x")
+    assert two.x.tolist() == [0.0, 1.0] and two.y.tolist() == pytest.approx(pdf.groupby("two").y.mean().tolist())
+    assert (got.variable == "many").sum() == 50
+
+
+def test_local_regression_query_takes_the_operators_points(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "_vars", lambda s, d: spark.createDataFrame([("a", T0, 1.0)], "symbol string, ts timestamp, b double"))
+    monkeypatch.setattr(queries.R, "lowess", lambda rows, *a, **o: asked.append(o))
+    queries.local_regression(spark, "")
+    assert asked == [{}]

@@ -191,18 +191,21 @@ def collapse_few(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def lowess(rows: DataFrame, variables: Sequence[str], targets: Sequence[str], frac: float = 0.25, robust: int = 1, max_points: int = 8000) -> DataFrame:
     """variable, target, x, y of a local regression for each pair; the points
-    given to one fit are bounded by ``max_points`` (evenly spaced in x), those of
-    a variable with at most eight values collapse to their means."""
+    given to one fit are bounded by ``max_points`` (evenly spaced in x).  A variable
+    with at most eight values collapses to the means of all its rows."""
     out = None
     for v in variables:
         for t in targets:
             pair = rows.filter(finite(v).isNotNull() & finite(t).isNotNull()).select("symbol", "ts", F.col(v).cast("double").alias("x"), F.col(t).cast("double").alias("y"))
-            part = even_subsample(pair, "x", max_points).select(F.lit(v).alias("variable"), F.lit(t).alias("target"), "x", "y")
+            means = pair.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+            few = F.broadcast(means.agg((F.count("*") <= 8).alias("few")))  # one row
+            part = even_subsample(pair, "x", max_points).select("x", "y", F.lit(1).cast("long").alias("n")).join(few, ~F.col("few")).unionByName(means.join(few, F.col("few")))
+            part = part.select(F.lit(v).alias("variable"), F.lit(t).alias("target"), "x", "y", "n")
             out = part if out is None else out.unionByName(part)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        if len(x) < 3 or x.std() <= 1e-12:
+        if pdf["n"].sum() < 3 or x.std() <= 1e-12:
             return pdf.iloc[:0][["variable", "target", "x", "y"]]
         if len(np.unique(x)) <= 8:
             g = pdf.groupby("x")["y"].mean()

@@ -413,7 +413,7 @@ def explosiveness(spark, d):
 @query()
 def local_regression(spark, d):
     rows = R.future_targets(_vars(spark, d).withColumn("close", F.col("b")), [5], [])
-    return R.lowess(rows, ["a", "c"], ["return_k5"], max_points=1000)
+    return R.lowess(rows, ["a", "c"], ["return_k5"])
 
 
 # -- swing events -------------------------------------------------------------------
