@@ -33,7 +33,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document (or line) has, up to one word of eight or
-    more, are cut out; documents of which no line is left go."""
+    more or one character of shorter ones, are cut out; documents of which no line is left go."""
     from tidemark.llm.line_dedup import dedup_lines
 
     rows = dedup_lines(docs.select(*COLUMNS))

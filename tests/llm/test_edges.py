@@ -260,6 +260,28 @@ def distance(a, b):
     return d[-1]
 
 
+def test_op6_typos_in_short_lines(spark):
+    g = random.Random(8)
+    seeds = ["all rights reserved here", "Read more of this story", "é 日本語のテキストです、これは長い行", "a b c", "one two three four five six seven", "abcdefghijklmnop"]
+    lines = [" ".join("abcdefghijklmnop")]  # as words, not the characters of the last seed
+    for _ in range(150):
+        x = g.choice(seeds)
+        for _ in range(g.randrange(3)):
+            p = g.randrange(len(x))
+            x = g.choice([x[:p] + x[p + 1 :], x[:p] + g.choice("xyz") + x[p:], x[:p] + g.choice("xyz") + x[p + 1 :]])
+        lines.append(x)
+    seen, want = [], []
+    for line in lines:
+        w = line.lower().split()
+        x, few = " ".join(w), len(w) < 8
+        if not any(x == y or few and len(v) < 8 and len(x) >= 16 <= len(y) and distance(x, y) <= 1 for v, y in seen):
+            want.append(line)
+        seen.append((w, x))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = [r.text for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()]
+    assert got == want and len(want) < len({" ".join(x.lower().split()) for x in lines})
+
+
 def test_op6_against_pairs_of_lines(spark, docs, none):
     g = random.Random(4)
     lines = [" ".join(g.choice("abcdef") for _ in range(n)) for n in (9, 9, 10, 12, 3, 8)]

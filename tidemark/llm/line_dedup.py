@@ -17,8 +17,10 @@ half emit variants.
 
 A line goes if an earlier line is equal or within the bound; so the earliest of
 a group always stays.  Earlier: smaller key, then smaller text hash, then line
-number.  Lines of fewer than ``least_words`` words must be equal to be repeats,
-since one word is too much of them.  Null text stays null; lines without words
+number.  Of lines of fewer than ``least_words`` words one word is too much, so
+their edits are counted in characters, in the same way: one, if they have at
+least ``least_chars`` of them, and none below.  Lines of fewer words and lines
+of more are compared only with their like.  Null text stays null; lines without words
 never go.  A document of which nothing but such lines is left is dropped, or
 with ``keep_empty`` kept.  Rows of equal key and text count as one document and
 are kept or cut alike.  An empty table gives no rows.  Only DataFrame and SQL
@@ -42,6 +44,19 @@ def words_of(line: Column) -> Column:
     return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))), GAP)
 
 
+#: Tokens that a line of few words is taken apart into, at most (see MASK)
+MOST_CHARS = (1 << 19) - 1
+
+
+def tokens_of(words: Column, least_words: int, least_chars: int) -> Column:
+    """What edits are counted in: words, or characters where there are fewer
+    words; null if the line must be equal.  A blank before each character keeps
+    it apart from words."""
+    line = F.array_join(words, " ")
+    chars = F.transform(F.split(line, ""), lambda c: F.concat(F.lit(" "), c))
+    return F.when(F.size(words) >= least_words, words).when(F.length(line).between(least_chars, MOST_CHARS), chars)
+
+
 def _joined(words: Column, start, size) -> Column:
     return F.array_join(F.slice(words, start, size), " ")
 
@@ -71,18 +86,19 @@ def within_one(a: Column, b: Column) -> Column:
     return F.greatest(F.size(a), F.size(b)) - F.least(head + tail, short) <= 1
 
 
-def split_lines(docs: DataFrame, key: str, text: str, least_words: int) -> DataFrame:
+def split_lines(docs: DataFrame, key: str, text: str, least_words: int, least_chars: int) -> DataFrame:
     """k, d (hash of the text), at (from 0), h (hash of the words; null if the
-    line has none), halves (null if there are fewer words than ``least_words``).
+    line has none), halves (null if the line must be equal).
     Staged: texts are taken apart once, and no filter repeats the work."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t"))
     lines = rows.select("k", "d", F.posexplode(F.split("t", "\n")).alias("at", "line"))
     lines = lines.select("k", "d", "at", words_of(F.col("line")).alias("w"))
     h = F.when(F.get("w", F.lit(0)) != "", F.xxhash64(F.array_join("w", " ")))
-    return stage(lines.select("k", "d", "at", h.alias("h"), F.when(F.size("w") >= least_words, _half_keys(F.col("w"))).alias("halves")), "lines")
+    lines = lines.select("k", "d", "at", h.alias("h"), tokens_of(F.col("w"), least_words, least_chars).alias("x"))
+    return stage(lines.select("k", "d", "at", "h", F.when(F.col("x").isNotNull(), _half_keys(F.col("x"))).alias("halves")), "lines")
 
 
-def line_verdicts(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_words: int, least_chars: int) -> DataFrame:
     """``lines`` as of ``split_lines``.  For each distinct line of which some occurrence goes: h, p (place of its
     first occurrence), gone (whether that goes as well: it is near an earlier
     line)."""
@@ -96,12 +112,12 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text:
     near = ordered(near, F.col("p.k").asc_nulls_first(), "p.d", "p.at", name="near-lines")
     near = stage(near.select("h", "p", (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_pos")).alias("ord")), "near-lines")
 
-    # their words, from the document of the first occurrence
+    # their tokens, from the document of the first occurrence
     spots = stage(near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")), "near-spots")
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t")).alias("r").join(broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d")))
     bound = F.array(F.struct(F.split("r.t", "\n").alias("lines"), "s.spots"))  # split once, not for each spot
     found = found.select(F.explode(F.flatten(F.transform(bound, lambda b: F.transform(b["spots"], lambda z: F.struct(z["ord"].alias("ord"), F.get(b["lines"], z["at"]).alias("line")))))).alias("z"))
-    texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).groupBy("ord").agg(F.first("w").alias("w"))
+    texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).select("ord", tokens_of(F.col("w"), least_words, least_chars).alias("w")).groupBy("ord").agg(F.first("w").alias("w"))
     texts = stage(texts, "near-texts")
 
     # variants: sums of hashes of (word, place), the places after a gap shifted
@@ -129,13 +145,14 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text:
     return verdicts
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8, keep_empty: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8, least_chars: int = 16, keep_empty: bool = False) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and ``n_lines`` and
     ``n_dropped`` (of the whole text) added."""
     if edits not in (0, 1):
         raise ValueError("the bound is 0 or 1 edits")
-    lines = split_lines(docs, key, text, least_words if edits else 1 << 30)
-    verdicts = line_verdicts(docs, lines, key, text)
+    least = (least_words, least_chars) if edits else (1 << 30, 1 << 30)
+    lines = split_lines(docs, key, text, *least)
+    verdicts = line_verdicts(docs, lines, key, text, *least)
     cut = lines.select("k", "d", "at", "h").join(broadcast_if_small(verdicts), "h").filter(F.col("gone") | ~F.struct("k", "d", "at").eqNullSafe(F.col("p")))
     # an occurrence in each row of equal key and text is one place
     cut = cut.select("k", "d", "at").distinct().groupBy("k", "d").agg(F.sort_array(F.collect_list("at")).alias("cut"))
