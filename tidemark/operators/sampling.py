@@ -290,7 +290,9 @@ def aligned_threshold(dif: DataFrame, threshold: Column | float) -> DataFrame:
     rows = rows.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
     w = Window.partitionBy("symbol").orderBy("ts")
     known = F.when(~F.isnan("thr"), F.col("thr"))
-    filled = F.coalesce(F.last(known, True).over(w), F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    # the first known value fills only what comes before it, so it may be taken over all rows: a frame that
+    # shrinks row by row would cost the square of their number
+    filled = F.coalesce(F.last(known, True).over(w), F.first(known, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return rows.withColumn("thr", F.greatest(F.lit(0.0), F.coalesce(F.when(F.abs(filled) < float("inf"), filled), F.lit(float("inf")))))
 
 
@@ -327,7 +329,7 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     rolling = F.when(F.count("x").over(part) >= max(8, window // 4), F.stddev_samp("x").over(part))
     wide = F.when(F.count("x").over(whole) >= 8, F.stddev_samp("x").over(whole))
     rows = dif.withColumn("v", F.coalesce(rolling, wide))
-    rows = rows.withColumn("v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    rows = rows.withColumn("v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     whole = Window.partitionBy("symbol")
     rows = rows.withColumn("mid", F.percentile(F.abs("x"), F.lit(0.5)).over(whole)).withColumn("avg", F.avg(F.abs("x")).over(whole))
     floor = F.when(F.col("mid") > 0, F.col("mid")).when(F.col("avg") > 0, F.col("avg")).otherwise(F.lit(1e-8))
