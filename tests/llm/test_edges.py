@@ -247,9 +247,51 @@ def test_op5_accuracy_and_special_texts(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1000, 1001, 1002))
     assert got[1003].lang_pred == "bb" and got[1004].lang_pred == "aa" and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string")), keep=["doc_id"]).collect()} == {"und"}
+    # letters of the highest planes are letters; unlearned scripts have few known n-grams
+    more = spark.createDataFrame([(None, "\U000323af \U00031350"), (None, "Москва столица"), (2000, "\u02b0")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
+    rows = langid.identify(df.select("doc_id", "text", "lang").unionByName(more), learn=~F.coalesce(held, F.lit(False)), keep=["doc_id", "text"]).collect()
+    odd = [r for r in rows if r.doc_id in (None, 2000)]
+    assert len(odd) == 3 and all(r.lang_pred != "und" and r.known < 0.5 for r in odd)
+    assert all(r.known > 0.5 for r in rows if r.doc_id is not None and r.doc_id < 1000)
     assert langid.identify(df.filter("false")).count() == 0
 
 
+def test_op5_against_a_dense_ridge_solution(spark):
+    """The folded matrix and the summed normal equations against kernels of
+    sets, and the runs of a text against all of it at once."""
+    g = random.Random(5)
+    rows = [(i, " ".join("".join(g.choice("abcde" if i % 2 else "cdefg") for _ in range(g.randrange(1, 7))) for _ in range(20)), "xy"[i % 2]) for i in range(60)]
+    model = langid.fit(spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string").repartition(3), landmarks=20)
+    sample = sorted(langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 400).collect(), key=lambda r: (r.l, r.h))
+    assert len(sample) == 60
+    flags = [set(np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r.b), np.uint8), count=langid.SIZE)).tolist()) for r in sample]
+    marks = [f for lang in "xy" for f in [f for f, r in zip(flags, sample, strict=True) if r.l == lang][:10]]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    w, v = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    half = v / np.sqrt(w)
+    phi = np.array([[kernel(a, b) for b in marks] for a in flags]) @ half
+    target = np.array([[1.0, -1.0] if r.l == "x" else [-1.0, 1.0] for r in sample])
+    beta = np.linalg.solve(phi.T @ phi + 1e-3 * 60 * np.eye(20), phi.T @ target)
+    for _, t, _ in rows[:10]:
+        f = set(np.concatenate(langid.grams(t)).tolist())
+        assert f == set(np.concatenate(langid.grams(t, run=7)).tolist())
+        want = np.array([kernel(f, m) for m in marks]) @ half @ beta
+        flag = np.zeros(langid.SIZE, np.float32)
+        flag[list(f)] = 1
+        assert flag @ model.weights[:, :-2] / np.sqrt(len(f)) == pytest.approx(want, abs=1e-4)
+
+
+def test_op5_query(spark, small):
+    from tidemark.llm.queries import op5_string_kernel_language
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = op5_string_kernel_language(spark, small).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    test = [r for r in got if r.held_out and docs[r.doc_id].lang and r.lang_pred != "und"]
+    assert test and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in test) / len(test) > 0.97
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -377,8 +419,13 @@ def test_op9_random_strings():
     for _ in range(1500):
         t = "".join(g.choice(letters) for _ in range(g.randrange(40)))
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
-    word = "qzx" * 400
-    assert mine._long(word.encode(), True) == mine._merge(word.encode(), True)
+    for word in ("qzx" * 400, "é漢" * 200, "q", "漢"):
+        letters = "".join(mine.letters[b] for b in word.encode())
+        assert mine.word(letters) == lib.encode(word, add_special_tokens=False).ids
+    # byte pairs that no token holds are there, and cut
+    assert mine.cuts("".join(mine.letters[b] for b in "é漢".encode()))
+    ids = np.array([1, 60_000, 2, 49_407], "<u4")
+    assert mine.decode(ids.tobytes()) == lib.decode(ids.tolist(), skip_special_tokens=False)
 
 
 @pytest.mark.parametrize(("budget", "history"), [(2048, 512), (200, 60), (40, 16)])

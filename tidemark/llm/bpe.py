@@ -4,7 +4,7 @@ A merge can only ever join two neighbouring bytes that stand side by side
 inside some vocabulary token.  A byte pair that occurs inside no token is
 therefore a certain cut: the fragments between such cuts are encoded
 independently and their ids concatenated, with the result of encoding the
-whole.  Fragments repeat far more often than words or texts, so each is
+whole.  Blank-delimited stretches and fragments repeat, so each distinct one is
 encoded once per worker and looked up afterwards.
 
 The vocabulary is a ``tokenizers`` JSON file with byte-level BPE and a word-end
@@ -74,101 +74,62 @@ class FragmentBpe:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
-        self.suffix: str = spec["model"].get("end_of_word_suffix") or ""
-        merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        suffix: str = spec["model"].get("end_of_word_suffix") or ""
+        self.ending = self.library.model  # whose last byte ends a word
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+        self.inner = BPE(vocab=vocab, merges=merges) if suffix else self.ending
         self.letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(self.letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        #: inside[a, b]: the bytes a, b stand side by side in some token
-        self.inside = np.zeros((256, 256), bool)
-        for token in self.vocab:
-            core = token[: -len(self.suffix)] if self.suffix and token.endswith(self.suffix) else token
-            b = [byte_of[c] for c in core if c in byte_of]
-            self.inside[b[:-1], b[1:]] = True
-        self.words = Memo(self._chunk)
-        self.fragments = Memo(lambda k: self._merge(*k))
-
-    def _merge(self, fragment: bytes, last: bool) -> list[int]:
-        parts = [self.letters[b] for b in fragment]
-        if last:
-            parts[-1] += self.suffix
-        while len(parts) > 1:
-            ranks = [self.rank.get(p, 1 << 40) for p in zip(parts, parts[1:], strict=False)]
-            if (best := min(ranks)) == 1 << 40:
-                break
-            i, joined = 0, []
-            while i < len(parts):
-                if i < len(ranks) and ranks[i] == best:
-                    joined.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    joined.append(parts[i])
-                    i += 1
-            parts = joined
-        return [self.vocab[p] for p in parts]
-
-    def _long(self, fragment: bytes, last: bool) -> list[int]:
-        """As ``_merge``, through a heap: for fragments of many bytes."""
-        import heapq
-
-        parts = [self.letters[b] for b in fragment]
-        if last:
-            parts[-1] += self.suffix
-        n = len(parts)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or parts[i] != a or j >= n or parts[j] != b:
-                continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (r := self.rank.get((parts[k], parts[after[k]]))) is not None:
-                    heapq.heappush(heap, (r, k, parts[k], parts[after[k]]))
-        return [self.vocab[parts[i]] for i in range(n) if alive[i]]
-
-    def fragment(self, piece: bytes, last: bool) -> list[int]:
-        return self._long(piece, last) if len(piece) > 64 else self.fragments[piece, last]
-
-    def cuts(self, word: bytes) -> list[int]:
-        b = np.frombuffer(word, np.uint8)
-        return (np.flatnonzero(~self.inside[b[:-1], b[1:]]) + 1).tolist()
-
-    def word(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        at = [0, *self.cuts(word), len(word)]
+        #: tokens by id, for decoding many at a time
+        self.tokens = np.full(1 + max([*vocab.values(), *self.special.values()]), None, object)
+        for t, i in (vocab | self.special).items():
+            self.tokens[i] = t
+        #: pairs of byte letters that stand side by side in some token
+        self.inside = {core[i : i + 2] for t in vocab for core in [t.removesuffix(suffix) if suffix else t] for i in range(len(core) - 1)}
+        self.words = Memo(self._chunk, 500_000)
+        self.fragments = Memo(lambda k: self.fragment(*k), 50_000)
+
+    def fragment(self, fragment: str, last: bool) -> list[int]:
+        """Ids of one fragment, as byte letters.  The vocabulary's own merges are
+        applied by the library's model, with the word-end suffix or without."""
+        return [t.id for t in (self.ending if last else self.inner).tokenize(fragment)]
+
+    def cuts(self, word: str) -> list[int]:
+        """Places of a word (as byte letters) that no token reaches across."""
+        return [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inside]
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one pre-token, given as byte letters."""
+        cuts = self.cuts(word)
+        if not cuts:
+            return self.fragment(word, True)
+        at = [0, *cuts, len(word)]
         out: list[int] = []
         for s, e in zip(at, at[1:], strict=False):
-            out += self.fragment(word[s:e], e == len(word))
+            out += self.fragments[word[s:e], e == len(word)] if e - s <= 64 else self.fragment(word[s:e], e == len(word))
         return out
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a stretch of lower-case text without white space."""
         ids: list[int] = []
-        for w in _WORD.findall(chunk):
-            ids += self.word(w.encode())
+        for w in (chunk,) if chunk.isalpha() else _WORD.findall(chunk):
+            ids += self.word(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))
         return np.array(ids, "<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.lower().split()))
 
     def _through_library(self, text: str) -> bytes:
-        byte_of = {c: b for b, c in enumerate(self.letters)}
         ids: list[int] = []
         for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-            ids += self.word(bytes(byte_of[c] for c in piece))
+            ids += self.word(piece)
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -186,8 +147,12 @@ class FragmentBpe:
 
     def decode(self, ids: bytes) -> str:
         """Vocabularies of this kind name no decoder: tokens joined by spaces."""
-        get = self.token_of.get
-        return " ".join([t for i in np.frombuffer(ids, "<u4").tolist() if (t := get(i)) is not None])
+        a = np.frombuffer(ids, "<u4")
+        found = self.tokens[a if not len(a) or a.max() < len(self.tokens) else a[a < len(self.tokens)]].tolist()
+        try:
+            return " ".join(found)
+        except TypeError:  # ids between the known ones
+            return " ".join([t for t in found if t is not None])
 
 
 @lru_cache(maxsize=4)
