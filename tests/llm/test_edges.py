@@ -398,13 +398,34 @@ def test_op7_estimates_generalised_jaccard(spark):
     assert abs(np.mean(err)) < 0.05 and np.std(err) < 0.12
 
 
-def test_op8_against_the_library(spark, docs, none):
+@pytest.mark.parametrize(("most", "salts"), [(8 << 20, None), (50, 3)])
+def test_op8_against_the_library(spark, docs, none, most, salts):
     sp = token_counts._model(vocabulary("piece_bpe_32k.model"))
-    got = token_counts.count_tokens(docs, common=5).collect()
+    got = token_counts.count_tokens(docs, most=most, salts=salts).collect()
     assert order((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == order((i, len((t or "").encode()), len(sp.encode(t or "")), len(sp.encode(t or "")) > 4096) for i, t in TEXTS)
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_op8_repeated_keys_and_hot_pre_tokens(spark):
+    sp = token_counts._model(vocabulary("piece_bpe_32k.model"))
+    # the first two texts share a 32-bit hash
+    texts = ["t 219095", "t 366350 and some more words here", "-" * 300 + " rule", "", None, "x"] + ["-" * 300 + f" rule {i}" for i in range(40)]
+    rows = [(None, t) for t in texts] + [(1 << 60, t) for t in texts]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), salts=5, most=600).collect()
+    assert order((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == order((k, len(t or ""), len(sp.encode(t or ""))) for k, t in rows)
+
+
+def test_op8_cuts_on_random_strings():
+    sp = token_counts._model(vocabulary("piece_bpe_32k.model"))
+    g, letters = random.Random(8), "ab  \u2581\n\n\t.é漢😀Σ\u0301\x00-<|>s"
+    for _ in range(3000):
+        t = "".join(g.choice(letters) for _ in range(g.randrange(40)))
+        f = token_counts.frequencies(t)
+        assert f == token_counts.frequencies(t, run=3)
+        n = token_counts.piece_counts(sp, list(f))
+        assert sum(a * b for a, b in zip(n, f.values(), strict=True)) == len(sp.encode(t)), repr(t)
+
+
 def test_op9_against_the_library(spark, docs, none):
     lib = library("word_bpe_49k.json")
     got = bpe.encode_decode(docs).collect()

@@ -2,21 +2,33 @@
 
 No piece of the vocabulary has a blank after another character, and none has a
 line feed, so text falls apart into pre-tokens (blanks and the characters that
-follow them; line feeds) whose counts add up.  Distinct pre-tokens of the whole
-table are counted by the library once; documents' pre-tokens then meet these
-counts in a join.  The commonest pre-tokens, a fixed number of short strings,
-are broadcast; the rest join by shuffle, so the vocabulary may have any size.
-
-Null or empty text has no tokens.  Repeated rows, also of one key, give one row
-each.  Other columns are ignored.  An empty table gives no rows.
+follow them; line feeds) whose counts add up.
+
+1. *Frequencies.*  Each text is split once.  A batch of documents (``most`` bytes
+   of text, or one document) gives one row for each of its distinct pre-tokens,
+   with the batch's documents that hold it and how often each does.
+2. *Counts.*  Rows meet by pre-token: the library counts the pieces of each
+   distinct one, once, and every document's frequency is multiplied by them.
+   Pre-tokens that several documents of a batch share are the hot ones, and are
+   dealt over ``salts`` groups (each counts them again).
+3. *Sums.*  Products are added up by document before and after they return to
+   their batch, where it is checked that every frequency was answered.
+
+Null or empty text has no tokens.  Null and repeated keys, and repeated rows,
+give one row each: documents are known by batch and place, never by key or by a
+hash of their text.  Other columns are ignored.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +36,11 @@ from tidemark.llm.common import stage, vocabulary
 
 #: Blanks (U+2581 is how the library writes a blank) with what follows; line
 #: feeds; anything else that follows a line feed.
-PRE_TOKEN = "[ ▁]+[^ ▁\\n]*|\\n+|[^ ▁\\n]+"
+PRE_TOKEN = re.compile("[ ▁]+[^ ▁\\n]*|\\n+|[^ ▁\\n]+")
+#: Where a new pre-token begins.
+_BEGIN = re.compile("(?<=[^ ▁]) |(?<=[^ ▁\\n])\\n")
+PAIR = np.dtype([("doc", "<i4"), ("times", "<i4")])
+REPLY = np.dtype([("doc", "<i4"), ("answered", "<i4"), ("pieces", "<i8")])
 
 
 @lru_cache(maxsize=2)
@@ -43,46 +59,141 @@ def check_vocabulary(path: str) -> None:
             raise ValueError(f"piece {piece!r} crosses a pre-token boundary")
 
 
-def pre_tokens(text):
-    """The library puts a blank before any text that is not empty."""
-    return F.when(F.length(text) > 0, F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(PRE_TOKEN), 0)).otherwise(F.array().cast("array<string>"))
+def frequencies(text: str, run: int = 1 << 20) -> Counter:
+    """How often a text has each pre-token, split in runs of characters.  The
+    library puts a blank before any text that is not empty."""
+    found: Counter = Counter()
+    text, at = " " + text if text else "", 0
+    while at < len(text):
+        cut = _BEGIN.search(text, at + run) if len(text) > at + run else None
+        end = cut.start() if cut else len(text)
+        found.update(PRE_TOKEN.findall(text[at:end]))
+        at = end
+    return found
+
+
+def piece_counts(model, pre_tokens: list[str]) -> list[int]:
+    """The library's number of pieces of each pre-token within a text."""
+    # the library adds one blank in front: drop ours, or shield what follows a line feed
+    asked = [p[1:] if p[0] in " ▁" else "\n" + p for p in pre_tokens]
+    n = [len(x) for x in model.encode(asked, num_threads=1)]
+    # a pre-token of nothing but that blank: the library makes no piece of empty text
+    return [1 if a == "" else x if p[0] in " ▁" else x - 2 for p, a, x in zip(pre_tokens, asked, n, strict=True)]
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ``data`` that end at ``ends`` as a column of binaries."""
+    offsets = np.concatenate([[0], ends * data.dtype.itemsize]).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _records(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of a column of binaries, and how many each row has."""
+    rows = [b or b"" for b in column.to_pylist()]
+    return np.frombuffer(b"".join(rows), dtype), np.array([len(b) // dtype.itemsize for b in rows], np.int64)
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, common: int = 100_000, common_chars: int = 24) -> DataFrame:
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, most: int = 8 << 20, salts: int | None = None) -> DataFrame:
     """Per row: ``key``, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
-    ``common`` pre-tokens of at most ``common_chars`` characters are broadcast:
-    under 20 MB, whatever the table's size."""
+    ``salts``: groups of a hot pre-token, a sixteenth of the shuffle partitions
+    if not given."""
     check_vocabulary(vocabulary(model))
-    body = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.hash("t"))
-    tokens = body.select("k", "h", F.explode(pre_tokens(F.col("t"))).alias("p"))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp = _model(vocabulary(model))
-        for pdf in batches:
-            # the library adds one blank in front: drop ours, or shield what follows a line feed
-            asked = [p[1:] if p[0] in " ▁" else "\n" + p for p in pdf["p"]]
-            n = [len(x) for x in sp.encode(asked, num_threads=1)]
-            # a pre-token of nothing but that blank: the library makes no piece of empty text
-            pdf["n"] = [1 if a == "" else x if p[0] in " ▁" else x - 2 for p, a, x in zip(pdf["p"], asked, n, strict=True)]
-            yield pdf
-
-    distinct = tokens.groupBy("p").agg(F.count("*").alias("f"))
-    counts = stage(distinct.mapInPandas(count, "p string, f long, n int"), "piece-counts")
-    head = stage(counts.filter(F.length("p") <= common_chars).orderBy(F.desc("f"), "p").limit(common).select("p", "n"), "common-counts")
-
-    met = tokens.join(F.broadcast(head), "p", "left")
-    frequent = met.filter("n IS NOT NULL").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    rest = counts.join(F.broadcast(head.select("p")), "p", "left_anti").select("p", "n")
-    rare = met.filter("n IS NULL").select("k", "h", "p").join(rest, "p").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    none = F.lit(None).cast("long")
-    rows = body.groupBy("k", "h", F.octet_length("t").cast("long").alias("n_bytes")).agg(F.count("*").alias("copies"))
-    parts = (
-        rows.withColumn("n", F.lit(0).cast("long"))
-        .unionByName(frequent.select("k", "h", none.alias("n_bytes"), none.alias("copies"), "n"))
-        .unionByName(rare.select("k", "h", none.alias("n_bytes"), none.alias("copies"), "n"))
-    )
-    # rows of one key and text count alike: their sum is shared out again
-    whole = parts.groupBy("k", "h").agg(F.sum("n").alias("n"), F.max("n_bytes").alias("n_bytes"), F.sum("copies").alias("copies"))
-    out = whole.select("k", "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    spark = docs.sparkSession
+    kt = docs.schema[key].dataType.simpleString()
+    salts = salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    columns = f"p string, salt int, batch long, pairs binary, ks array<{kt}>, sizes array<long>"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, task = 0, TaskContext.get().partitionId()
+        for got in batches:
+            texts, at = got.column("t").to_pylist(), 0
+            while at < len(texts):
+                number += 1
+                batch = (task << 33) + number
+                ids: dict[str, int] = {}
+                codes, docs_, times, sizes = [], [], [], []
+                while at + len(sizes) < len(texts) and sum(sizes) < most:
+                    t = texts[at + len(sizes)] or ""
+                    sizes.append(len(t.encode()))
+                    f = frequencies(t)
+                    codes.append(np.fromiter((ids.setdefault(p, len(ids)) for p in f), np.int64, len(f)))
+                    times.append(np.fromiter(f.values(), np.int64, len(f)))
+                    docs_.append(np.full(len(f), len(sizes) - 1))
+                code = np.concatenate(codes)
+                order = np.argsort(code, kind="stable")
+                pairs = np.empty(len(code), PAIR)
+                pairs["doc"], pairs["times"] = np.concatenate(docs_)[order], np.concatenate(times)[order]
+                held = np.bincount(code, minlength=len(ids))
+                salt = np.where(held > 3, batch % salts, 0).astype(np.int32)
+                n = len(ids)
+                own = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), got.column("k").slice(at, len(sizes)))
+                sized = pa.array([sizes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held)), pa.nulls(n, own.type), pa.nulls(n, sized.type)], names)
+                # the batch itself travels beside its pre-tokens: keys, sizes and how many frequencies there are
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number % (1 << 20)], pa.int32()), pa.array([batch]), pa.array([len(pairs).to_bytes(8, "little")]), own, sized], names)
+                at += len(sizes)
+
+    names = ["p", "salt", "batch", "pairs", "ks", "sizes"]
+    packed = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(split, columns)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp, last = _model(vocabulary(model)), (None, 0)
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def replies() -> Iterator[pa.RecordBatch]:
+            where, doc, pieces = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64),) * 3
+            kept.clear()
+            order = np.lexsort((doc, where))
+            where, doc, pieces = where[order], doc[order], pieces[order]
+            new = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])])) if len(where) else np.zeros(0, np.int64)
+            out = np.empty(len(new), REPLY)
+            if not len(new):
+                return
+            out["doc"], out["pieces"] = doc[new], np.add.reduceat(pieces, new)
+            out["answered"] = np.diff(np.append(new, len(where)))
+            of = where[new]
+            ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
+            n = len(ends)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(of[ends - 1]), _binaries(out, ends), pa.nulls(n, listed), pa.nulls(n, pa.list_(pa.int64()))], names)
+
+        for got in batches:
+            listed = got.schema.field("ks").type
+            words = got.column("p").to_pylist()
+            own = np.array([w is None for w in words], bool)
+            if own.any():  # the batches' own rows pass through
+                yield got.filter(pa.array(own))
+                got = got.filter(pa.array(~own))
+                words = [w for w in words if w is not None]
+            if not words:
+                continue
+            distinct = list(dict.fromkeys(w for w in words if w != last[0]))
+            n = dict([last]) | dict(zip(distinct, piece_counts(sp, distinct), strict=True))
+            last = (words[-1], n[words[-1]])  # equal ones follow one another, also across frames
+            pairs, lengths = _records(got.column("pairs"), PAIR)
+            pieces = np.repeat(np.fromiter(map(n.__getitem__, words), np.int64, len(words)), lengths) * pairs["times"]
+            kept.append((np.repeat(got.column("batch").to_numpy(), lengths), pairs["doc"].astype(np.int64), pieces))
+            if sum(len(k[0]) for k in kept) > 1 << 21:
+                yield from replies()
+        if kept:
+            yield from replies()
+
+    counted = packed.repartition("p", "salt").sortWithinPartitions("p").mapInArrow(count, columns)
+
+    def total(rows: pa.Table) -> pa.Table:
+        own = pa.compute.is_valid(rows.column("ks"))
+        info, answers = rows.filter(own), rows.filter(pa.compute.invert(own))
+        if info.num_rows != 1:
+            raise ValueError(f"a batch came {info.num_rows} times: the input changed between attempts")
+        sizes = np.array(info.column("sizes")[0].as_py(), np.int64)
+        pieces, answered = np.zeros(len(sizes), np.int64), 0
+        for raw in answers.column("pairs").to_pylist():
+            r = np.frombuffer(raw, REPLY)
+            np.add.at(pieces, r["doc"], r["pieces"])
+            answered += int(r["answered"].sum())
+        if answered != int.from_bytes(info.column("pairs")[0].as_py(), "little"):
+            raise ValueError("not every pre-token was answered: the input changed between attempts")
+        return pa.table({"k": info.column("ks").combine_chunks().flatten(), "n_bytes": sizes, "n_tokens": pieces})
+
+    out = stage(counted.select("batch", "pairs", "ks", "sizes").groupBy("batch").applyInArrow(total, f"k {kt}, n_bytes long, n_tokens long"), "token-counts")
     return out.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
