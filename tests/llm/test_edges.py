@@ -358,6 +358,21 @@ def test_op6_against_pairs_of_lines(spark, docs, none):
     assert next(r.text for r in all_rows if r.doc_id == 15) == "line one of the text here is long\nshort\n"
 
 
+def test_op6_very_long_lines_and_repeated_keys(spark):
+    # lines of more words than a sum of hashes could take, and one of a single long word
+    big = " ".join(str(i % 977) for i in range(600_000))
+    blob = "ab1c" * 300_000
+    rows = [(1, big), (2, big.replace(" 976 ", " x ", 1)), (3, big + " y z"), (4, blob), (5, blob[:-1])]
+    # one key with different texts: each is a document of its own
+    rows += [(9, "first text of the key, of many words"), (9, "second text of the key, of some words"), (None, "a line without a key at all here"), (None, "a line without a key at all hers"), (10, "second text of the key, of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = order((r.doc_id, hashlib.md5(r.text.encode()).hexdigest()) for r in line_dedup.dedup_lines(df).collect())
+    # a null key comes first; of its two near lines the one whose text has the smaller digest stays
+    null = min(rows[7:9], key=lambda r: hashlib.md5(r[1].encode()).digest())
+    want = order((k, hashlib.md5(t.encode()).hexdigest()) for k, t in [rows[0], rows[2], rows[3], rows[5], rows[6], null])
+    assert got == want
+
+
 def test_op7_equal_texts_and_likeness(spark, docs, none):
     got = fingerprints.neighbours(docs, samples=16).collect()
     assert len(got) == len(TEXTS)

@@ -16,8 +16,9 @@ half or the last half of the shorter is found in both.  Only lines that share a
 half emit variants.
 
 A line goes if an earlier line is equal or within the bound; so the earliest of
-a group always stays.  Earlier: smaller key, then smaller text hash, then line
-number.  Of lines of fewer than ``least_words`` words one word is too much, so
+a group always stays.  Earlier: smaller key, then smaller digest of the text,
+then line number.  Documents are known by key and 128-bit digest of their text,
+distinct lines by that of their words.  Of lines of fewer than ``least_words`` words one word is too much, so
 their edits are counted in characters, in the same way: one, if they have at
 least ``least_chars`` of them, and none below.  Lines of fewer words and lines
 of more are compared only with their like.  Null text stays null; lines without words
@@ -35,8 +36,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import broadcast_if_small, drop, ordered, stage
 
 GAP = "[\\x20\\x09-\\x0D]+"
-#: Sums of hashes of this many bits do not overflow for lines of under 2^19 words
-MASK = (1 << 44) - 1
 
 
 def words_of(line: Column) -> Column:
@@ -44,8 +43,9 @@ def words_of(line: Column) -> Column:
     return F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))), GAP)
 
 
-#: Tokens that a line of few words is taken apart into, at most (see MASK)
-MOST_CHARS = (1 << 19) - 1
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
 
 
 def tokens_of(words: Column, least_words: int, least_chars: int) -> Column:
@@ -54,21 +54,23 @@ def tokens_of(words: Column, least_words: int, least_chars: int) -> Column:
     it apart from words."""
     line = F.array_join(words, " ")
     chars = F.transform(F.split(line, ""), lambda c: F.concat(F.lit(" "), c))
-    return F.when(F.size(words) >= least_words, words).when(F.length(line).between(least_chars, MOST_CHARS), chars)
+    return F.when(F.size(words) >= least_words, words).when(F.length(line) >= least_chars, chars)
 
 
-def _joined(words: Column, start, size) -> Column:
-    return F.array_join(F.slice(words, start, size), " ")
+def _half_keys(words: Column, line: Column, least_words: int, least_chars: int) -> Column:
+    """Hashes of the first and of the last half of a line's tokens, for lines of
+    its length and of one token less; null if the line must be equal."""
 
+    def keys(n: Column, kind: int, part) -> Column:
+        out = []
+        for m in (n, n - 1):
+            h = F.floor(m / 2).cast("int")
+            out += [F.xxhash64(F.lit(kind), m, part(F.lit(1), h)), F.xxhash64(F.lit(kind + 1), m, part(n - m + h + 1, m - h))]
+        return F.array(*out)
 
-def _half_keys(w: Column) -> Column:
-    """Hashes of the first and of the last half, for lines of this length and of
-    one word less."""
-    n, out = F.size(w), []
-    for m in (n, n - 1):
-        h = F.floor(m / 2).cast("int")
-        out += [F.hash(F.lit(1), m, _joined(w, F.lit(1), h)), F.hash(F.lit(2), m, _joined(w, n - m + h + 1, m - h))]
-    return F.array(*out)
+    by_word = keys(F.size(words), 1, lambda at, size: F.array_join(F.slice(words, at, size), " "))
+    by_char = keys(F.length(line), 3, lambda at, size: F.substring(line, at, size))
+    return F.when(F.size(words) >= least_words, by_word).when(F.length(line) >= least_chars, by_char)
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -87,15 +89,14 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def split_lines(docs: DataFrame, key: str, text: str, least_words: int, least_chars: int) -> DataFrame:
-    """k, d (hash of the text), at (from 0), h (hash of the words; null if the
-    line has none), halves (null if the line must be equal).
+    """k, d (digest of the text), at (from 0), h (digest of the words; null if
+    the line has none), halves (null if the line must be equal).
     Staged: texts are taken apart once, and no filter repeats the work."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", digest(F.col("t")))
     lines = rows.select("k", "d", F.posexplode(F.split("t", "\n")).alias("at", "line"))
-    lines = lines.select("k", "d", "at", words_of(F.col("line")).alias("w"))
-    h = F.when(F.get("w", F.lit(0)) != "", F.xxhash64(F.array_join("w", " ")))
-    lines = lines.select("k", "d", "at", h.alias("h"), tokens_of(F.col("w"), least_words, least_chars).alias("x"))
-    return stage(lines.select("k", "d", "at", "h", F.when(F.col("x").isNotNull(), _half_keys(F.col("x"))).alias("halves")), "lines")
+    lines = lines.select("k", "d", "at", words_of(F.col("line")).alias("w")).withColumn("x", F.array_join("w", " "))
+    halves = _half_keys(F.col("w"), F.col("x"), least_words, least_chars)
+    return stage(lines.select("k", "d", "at", F.when(F.col("x") != "", digest(F.col("x"))).alias("h"), halves.alias("halves")), "lines")
 
 
 def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_words: int, least_chars: int) -> DataFrame:
@@ -114,19 +115,21 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
 
     # their tokens, from the document of the first occurrence
     spots = stage(near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")), "near-spots")
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", F.hash("t")).alias("r").join(broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d")))
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", digest(F.col("t"))).alias("r").join(broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d")))
     bound = F.array(F.struct(F.split("r.t", "\n").alias("lines"), "s.spots"))  # split once, not for each spot
     found = found.select(F.explode(F.flatten(F.transform(bound, lambda b: F.transform(b["spots"], lambda z: F.struct(z["ord"].alias("ord"), F.get(b["lines"], z["at"]).alias("line")))))).alias("z"))
     texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).select("ord", tokens_of(F.col("w"), least_words, least_chars).alias("w")).groupBy("ord").agg(F.first("w").alias("w"))
     texts = stage(texts, "near-texts")
 
-    # variants: sums of hashes of (word, place), the places after a gap shifted
-    term = lambda word, at: F.xxhash64(word, at).bitwiseAND(F.lit(MASK))
+    # variants: hashes of (word, place) folded by exclusive or, the places after a gap shifted
+    term = lambda word, at: F.xxhash64(word, at)
     placed = texts.select("ord", F.posexplode("w").alias("i", "x")).select("ord", "i", term(F.col("x"), F.col("i")).alias("a"), term(F.col("x"), F.col("i") - 1).alias("b"))
     upto = Window.partitionBy("ord").orderBy("i")
     whole = Window.partitionBy("ord")
-    less = placed.select("ord", F.col("i"), (F.sum("a").over(upto) - F.col("a") + F.sum("b").over(whole) - F.sum("b").over(upto)).alias("v"))
-    own = texts.select("ord", F.lit(-1).alias("i"), F.aggregate(F.transform("w", lambda x, i: term(x, i)), F.lit(0).cast("long"), lambda s, x: s + x).alias("v"))
+    before = F.bit_xor("a").over(upto).bitwiseXOR(F.col("a"))
+    after = F.bit_xor("b").over(whole).bitwiseXOR(F.bit_xor("b").over(upto))
+    less = placed.select("ord", F.col("i"), before.bitwiseXOR(after).alias("v"))
+    own = texts.select("ord", F.lit(-1).alias("i"), F.aggregate(F.transform("w", lambda x, i: term(x, i)), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias("v"))
     variants = stage(less.unionByName(own.select("ord", "i", "v")), "variants")
     met = variants.groupBy("v").agg(F.min("ord").alias("lead"), F.max("ord").alias("last"), F.min(F.when(F.col("i") == -1, F.col("ord"))).alias("self")).filter("lead <> last").drop("last")
     met = stage(variants.join(met, "v"), "met-variants")
@@ -158,7 +161,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     cut = cut.select("k", "d", "at").distinct().groupBy("k", "d").agg(F.sort_array(F.collect_list("at")).alias("cut"))
     cut = stage(cut, "cut-lines")
     drop(lines, verdicts)
-    rows = docs.withColumn("_d", F.hash(text)).alias("r").join(broadcast_if_small(cut).alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.k")) & (F.col("r._d") == F.col("c.d")), "left")
+    rows = docs.withColumn("_d", digest(F.col(text))).alias("r").join(broadcast_if_small(cut).alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.k")) & (F.col("r._d") == F.col("c.d")), "left")
     # the runs of lines between the places that go; bound once, since a lambda computes its body anew each time
     n_lines = F.octet_length(F.col(f"r.{text}")) - F.octet_length(F.replace(F.col(f"r.{text}"), F.lit("\n"), F.lit(""))) + 1
     ends = F.concat(F.array(F.lit(-1)), F.col("c.cut"), F.array(n_lines))
