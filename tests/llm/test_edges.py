@@ -180,12 +180,22 @@ def test_op3_prefixes_and_parts_lose_no_pair():
                 met = len(np.intersect1d(x[: t.prefix(len(x))], y[: t.prefix(len(y))]))
                 assert met >= max(t.spare(t.least(len(x))), t.spare(t.least(len(y))))
                 parts = [{int(h) for tile, k in t.tiles(len(s)) for h in ngram_join.part_hashes(s, tile, k)} for s in (x, y)]
-                assert parts[0] & parts[1]
+                assert parts[0] & parts[1]  # no link is lost
                 maps = [ngram_join.parity_bitmap(s) for s in (x, y)]
                 bits = ngram_join.fold(maps, min(map(len, maps)))
                 assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("n", [150, 190, 400])
+def test_op3_unrelated_sets_do_not_meet(n):
+    g, t = np.random.default_rng(n), ngram_join.Threshold(80, 100)
+    held = collections.Counter()
+    for _ in range(2000):
+        s = np.unique(g.integers(0, 2**62, n).astype(np.uint64))
+        held.update({int(h) for tile, k in t.tiles(len(s)) for h in ngram_join.part_hashes(s, tile, k)})
+    assert sum(c * (c - 1) // 2 for c in held.values()) < 0.001 * 2000 * 1999 / 2
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)] + [(7, 7)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
-    Where it is unset (tests in one JVM) the context's own checkpoint folder,
-    or else a new temporary one."""
+    Where it is unset the context's own checkpoint folder, or, in one JVM (as in
+    tests), a new temporary one; elsewhere that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
+    if not own and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not own:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         own = spark.sparkContext.getCheckpointDir()
@@ -127,3 +129,16 @@ def broadcast_if_small(df: DataFrame, most_mb: int = 4) -> DataFrame:
     p = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
     size = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
     return F.broadcast(df) if size <= most_mb << 20 else df
+
+
+def join_skewed(left: DataFrame, right: DataFrame, on: str, rows_of: str, most: int) -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per key, left join), where
+    ``rows_of`` tells how many rows of ``left`` a key has.  Keys of more than
+    ``most`` rows are broadcast, and there are at most rows / ``most`` of them, so
+    that no task takes a hot key's rows; the others shuffle.  Rows of null keys stay
+    where they are."""
+    hot, cold = right.filter(F.col(rows_of) > most).drop(rows_of), right.filter(F.col(rows_of) <= most).drop(rows_of)
+    met = left.join(F.broadcast(hot), on)
+    rest = left.filter(F.col(on).isNotNull()).join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, "left")
+    none = left.filter(F.col(on).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema if f.name != on])
+    return met.unionByName(rest).unionByName(none)

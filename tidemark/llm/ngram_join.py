@@ -7,8 +7,10 @@
    a batch already merged; a row is kept if enough of its prefix occurs in other
    rows.  Nothing that has a link is lost.
 2. *Tiles.*  Rows of like sizes share a tile.  Linked sets of a tile differ in at
-   most D elements, so of D + 1 hashed parts of the sets at least one is equal:
-   rows meet where they have an equal part.
+   most D elements, so of more than D hashed parts of the sets at least one is
+   equal: rows meet where they have an equal part.  There are 1.4 D parts, so
+   that nearly all sets have elements in more than D of them, and empty parts,
+   which unrelated sets have in common, need not be compared.
 3. *Bounds, then intersection.*  Each set has a hashed bitmap of parities; the
    bits in which two differ are at most the elements in which the sets differ,
    which bounds the overlap from above.  Pairs that pass are intersected as
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import broadcast_if_small, drop, stage
+from tidemark.llm.common import broadcast_if_small, drop, join_skewed, stage
 from tidemark.llm.components import components
 
 U = np.uint64
@@ -129,10 +131,10 @@ class Threshold:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        # bands of sizes, three partner ratios wide
+        # bands of sizes, one partner ratio wide
         edges = [1]
         while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, edges[-1] * den**3 // num**3))
+            edges.append(max(edges[-1] + 1, edges[-1] * den // num))
         self.edges = np.array(edges, np.int64)
 
     def least(self, n: int) -> int:
@@ -146,10 +148,11 @@ class Threshold:
         return min(n, n - self.least(n) + self.spare(n))
 
     def tiles(self, n: int) -> list[tuple[int, int]]:
-        """(tile, parts) of a set of n: a pair meets in the tile of the smaller."""
+        """(tile, D) of a set of n: a pair meets in the tile of the smaller, where
+        linked sets differ in at most D elements."""
         b = int(np.searchsorted(self.edges, n, "right")) - 1
         out = [b] if b == 0 or self.least(n) >= self.edges[b] else [b - 1, b]
-        return [(t, self._apart(int(self.edges[t + 1]) - 1) + 1) for t in out]
+        return [(t, self._apart(int(self.edges[t + 1]) - 1)) for t in out]
 
     def _apart(self, size: int) -> int:
         """Most elements in which a set of ``size`` and a larger partner differ."""
@@ -177,14 +180,20 @@ def fold(bitmaps: list[bytes], size: int) -> np.ndarray:
     return np.stack(rows)
 
 
-def part_hashes(h: np.ndarray, tile: int, parts: int) -> np.ndarray:
-    """A hash of what of the set falls into each part (nothing, as well)."""
+def part_hashes(h: np.ndarray, tile: int, apart: int) -> np.ndarray:
+    """A hash of what of the set falls into each part.  Sets that differ in at
+    most ``apart`` elements differ in as many parts at most; so if a set has
+    elements in more parts than that, one of these is found in its partner, and
+    only they are given.  Else the empty parts are needed as well."""
+    parts = apart + 2 * apart // 5 + 1
     m = _mix(h + U(0x2545F4914F6CDD1D))
     part = (m % U(parts)).astype(np.int64)
     sums = np.zeros(parts, U)
     np.add.at(sums, part, _mix(m))
     seed = _mix(np.arange(parts, dtype=U) + U(tile) * U(1 << 32) + U(1))
-    return _mix(sums + seed + np.bincount(part, minlength=parts).astype(U) * U(_BASE))
+    held = np.bincount(part, minlength=parts)
+    out = _mix(sums + seed + held.astype(U) * U(_BASE))
+    return out[held > 0] if np.count_nonzero(held) > apart else out
 
 
 def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -193,7 +202,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     t = Threshold(num, den)
     kt = docs.schema[key].dataType.simpleString()
-    ranges = 2 * max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # ranges of hashes: a task takes one as a whole, so there is one for each 64 MB of text at least
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0)).alias("bytes")).first()
+    ranges = max(2 * max(4, partitions), facts["bytes"] >> 26)
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.unhex(F.md5("t")))
 
     # 1. prefixes by hash range (range >= 0), and the rows themselves (range -1)
@@ -261,7 +273,7 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     both = batch.unionByName(told, allowMissingColumns=True)
     kept = both.groupBy("start").applyInPandas(settle, f"rid long, k {kt}, h binary")
     # one row for each text
-    texts = stage(kept.groupBy("h").agg(F.min(F.struct("k", "rid")).alias("a")).select("h", "a.k", "a.rid"), "kept-texts")
+    texts = stage(kept.groupBy("h").agg(F.min(F.struct("k", "rid")).alias("a"), F.min("k").alias("least"), F.count("*").alias("copies")).select("h", "a.k", "a.rid", "least", "copies"), "kept-texts")
     drop(packed)
 
     # 2. sets of what is kept
@@ -272,7 +284,6 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     found = base.alias("d").join(broadcast_if_small(texts).alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))).select("x.rid", "d.h", "d.t")
     sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, bits binary, hashes binary"), "sets", rows_at_once=1000)
-    drop(texts)
     light = sets.select("rid", "n", "bits").dropDuplicates(["rid"])  # rows of equal key and text are found twice
 
     # 3. parts that sets have in common
@@ -281,8 +292,8 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             rids, keys = [], []
             for rid, size, raw in zip(pdf["rid"], pdf["n"], pdf["hashes"], strict=True):
                 s = np.frombuffer(raw, "<u8").astype(U)
-                for tile, parts in t.tiles(int(size)):
-                    k = part_hashes(s, tile, parts)
+                for tile, apart in t.tiles(int(size)):
+                    k = part_hashes(s, tile, apart)
                     keys.append(k.view(np.int64))
                     rids.append(np.full(len(k), rid, np.int64))
             yield pd.DataFrame({"part": np.concatenate(keys) if keys else [], "rid": np.concatenate(rids) if rids else []}).astype(np.int64)
@@ -374,9 +385,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     if rest.limit(1).count():
         labels = stage(components(rest.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
 
-    # components of rows
-    named = sets.select("rid", "h").dropDuplicates(["h"]).join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("h", F.coalesce("label", "rid").alias("label"))
-    whole = rows.filter("n > 0").select("rid", "k", "h").join(named, "h")
-    least = whole.groupBy("label").agg(F.min("k").alias("least"))
-    whole = whole.join(least, "label").select("rid", "least")
-    return rows.join(whole, "rid", "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "k").alias("component_id"))
+    # components of texts, then of rows: a hot text's rows, or a hot component's texts, meet in no single task
+    named = texts.select("h", "rid", "least", "copies").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("h", "least", "copies", F.coalesce("label", "rid").alias("label"))
+    most = max(1000, facts["n"] // (8 * partitions))
+    groups = named.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("texts"))
+    named = stage(join_skewed(named, stage(groups, "components"), "label", "texts", most).select("h", "component", "copies"), "named-texts")
+    whole = join_skewed(rows.select("k", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")), named, "h", "copies", most)
+    return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
