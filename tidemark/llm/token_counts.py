@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     spark = docs.sparkSession
     kt = docs.schema[key].dataType.simpleString()
     salts = salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
-    columns = f"p string, salt int, batch long, pairs binary, ks array<{kt}>, sizes array<long>"
+    columns = "p string, salt int, batch long, pairs binary"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
@@ -127,14 +127,18 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 held = np.bincount(code, minlength=len(ids))
                 salt = np.where(held > 3, batch % salts, 0).astype(np.int32)
                 n = len(ids)
-                own = pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), got.column("k").slice(at, len(sizes)))
-                sized = pa.array([sizes], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held)), pa.nulls(n, own.type), pa.nulls(n, sized.type)], names)
-                # the batch itself travels beside its pre-tokens: keys, sizes and how many frequencies there are
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number % (1 << 20)], pa.int32()), pa.array([batch]), pa.array([len(pairs).to_bytes(8, "little")]), own, sized], names)
+                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held))], names)
+                # the batch itself travels beside its pre-tokens: how many frequencies there are, keys and sizes, in one value
+                # (Spark weighs each row of an Arrow batch, and lists make that take the square of their number)
+                own = pa.RecordBatch.from_arrays([got.column("k").slice(at, len(sizes)), pa.array(sizes, pa.int64())], ["k", "n_bytes"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as stream:
+                    stream.write_batch(own)
+                packed_ = len(pairs).to_bytes(8, "little") + sink.getvalue().to_pybytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number % (1 << 20)], pa.int32()), pa.array([batch]), pa.array([packed_])], names)
                 at += len(sizes)
 
-    names = ["p", "salt", "batch", "pairs", "ks", "sizes"]
+    names = ["p", "salt", "batch", "pairs"]
     packed = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(split, columns)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +159,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
             of = where[new]
             ends = np.append(np.flatnonzero(of[1:] != of[:-1]) + 1, len(of))
             n = len(ends)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(of[ends - 1]), _binaries(out, ends), pa.nulls(n, listed), pa.nulls(n, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([pa.array([""] * n), pa.nulls(n, pa.int32()), pa.array(of[ends - 1]), _binaries(out, ends)], names)
 
         for got in batches:
-            listed = got.schema.field("ks").type
             words = got.column("p").to_pylist()
             own = np.array([w is None for w in words], bool)
             if own.any():  # the batches' own rows pass through
@@ -181,19 +184,19 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     counted = packed.repartition("p", "salt").sortWithinPartitions("p").mapInArrow(count, columns)
 
     def total(rows: pa.Table) -> pa.Table:
-        own = pa.compute.is_valid(rows.column("ks"))
-        info, answers = rows.filter(own), rows.filter(pa.compute.invert(own))
-        if info.num_rows != 1:
-            raise ValueError(f"a batch came {info.num_rows} times: the input changed between attempts")
-        sizes = np.array(info.column("sizes")[0].as_py(), np.int64)
-        pieces, answered = np.zeros(len(sizes), np.int64), 0
+        own = pa.compute.is_null(rows.column("p"))
+        info, answers = rows.filter(own).column("pairs").to_pylist(), rows.filter(pa.compute.invert(own))
+        if len(info) != 1:
+            raise ValueError(f"a batch came {len(info)} times: the input changed between attempts")
+        facts = pa.ipc.open_stream(info[0][8:]).read_all()
+        pieces, answered = np.zeros(facts.num_rows, np.int64), 0
         for raw in answers.column("pairs").to_pylist():
             r = np.frombuffer(raw, REPLY)
-            np.add.at(pieces, r["doc"], r["pieces"])
+            pieces[r["doc"]] += r["pieces"]  # a document is once in each reply
             answered += int(r["answered"].sum())
-        if answered != int.from_bytes(info.column("pairs")[0].as_py(), "little"):
+        if answered != int.from_bytes(info[0][:8], "little"):
             raise ValueError("not every pre-token was answered: the input changed between attempts")
-        return pa.table({"k": info.column("ks").combine_chunks().flatten(), "n_bytes": sizes, "n_tokens": pieces})
+        return facts.append_column("n_tokens", pa.array(pieces))
 
-    out = stage(counted.select("batch", "pairs", "ks", "sizes").groupBy("batch").applyInArrow(total, f"k {kt}, n_bytes long, n_tokens long"), "token-counts")
+    out = stage(counted.select("p", "batch", "pairs").groupBy("batch").applyInArrow(total, f"k {kt}, n_bytes long, n_tokens long"), "token-counts")
     return out.select(F.col("k").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
