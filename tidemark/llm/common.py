@@ -131,14 +131,16 @@ def broadcast_if_small(df: DataFrame, most_mb: int = 4) -> DataFrame:
     return F.broadcast(df) if size <= most_mb << 20 else df
 
 
-def join_skewed(left: DataFrame, right: DataFrame, on: str, rows_of: str, most: int) -> DataFrame:
-    """``left`` with the columns of ``right`` (one row per key, left join), where
-    ``rows_of`` tells how many rows of ``left`` a key has.  Keys of more than
+def join_skewed(left: DataFrame, right: DataFrame, on: str, rows_of: str, most: int, how: str = "left") -> DataFrame:
+    """``left`` with the columns of ``right`` (one row per key; a left or an
+    inner join), where ``rows_of`` tells how many rows of ``left`` a key has.  Keys of more than
     ``most`` rows are broadcast, and there are at most rows / ``most`` of them, so
     that no task takes a hot key's rows; the others shuffle.  Rows of null keys stay
     where they are."""
     hot, cold = right.filter(F.col(rows_of) > most).drop(rows_of), right.filter(F.col(rows_of) <= most).drop(rows_of)
     met = left.join(F.broadcast(hot), on)
-    rest = left.filter(F.col(on).isNotNull()).join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, "left")
+    rest = left.filter(F.col(on).isNotNull()).join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    if how == "inner":
+        return met.unionByName(rest)
     none = left.filter(F.col(on).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in hot.schema if f.name != on])
     return met.unionByName(rest).unionByName(none)

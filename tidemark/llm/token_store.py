@@ -9,16 +9,20 @@ the row that keeps them) and the Merkle root over its digests; the manifest has
 a root over each shard's documents and one over the shards.
 
 Layout under the path:
-  ``store/``     Parquet, in ascending key order: shard, key, rid, start,
-                 n_tokens, lens (of the chunks, little-endian 32-bit), digests
-                 (16 bytes each), refs, shared, payload, root.  The payload
-                 holds the row's own chunks as little-endian ids of ``width``
-                 bytes.
+  ``store/``     Parquet, in ascending key order: shard, nth (place in the
+                 shard), key, rid, start, n_tokens, lens (of the chunks,
+                 little-endian 32-bit), digests (16 bytes each), refs and shared
+                 (with ``uses``: how often the chunk occurs), payload, root.  The
+                 payload holds the row's own chunks as little-endian ids of
+                 ``width`` bytes.
   ``manifest/``  Parquet: shard (-1: the corpus), n_docs, n_tokens, root.
 
-Reading resolves references with a join on the keeping row, hashes every chunk
+Reading first builds the trees over the stored roots again and compares them and
+the counts with the manifest: a lost, added, moved or replaced row is an error.
+It then resolves references with a join on the keeping row, hashes every chunk
 again and compares digests and roots; a mismatch or a missing chunk is an error.
-Only chunks that are shared travel through a shuffle on reading.
+Only chunks that are shared travel through a shuffle on reading, a hot one once
+for every thousand of its uses.
 
 Null or empty text: a document of the end id alone.  Repeated keys and rows stay
 separate rows (ordered by key, then by row number); null keys come first.
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import _OTHER, _WORD, Memo, byte_letters
-from tidemark.llm.common import drop, place_among, running_start, stage, vocabulary
+from tidemark.llm.common import drop, join_skewed, place_among, running_start, stage, vocabulary
 
 
 class Encoder:
@@ -134,11 +138,34 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def tree_roots(leaves: DataFrame, by: str, fan: int = 256) -> DataFrame:
+    """``leaves``: ``by``, nth (from 0, without gaps) and root (hex).  Per ``by``
+    the root of a tree in which each node hashes up to ``fan`` below it: a step
+    for each level, and no value holds more than ``fan`` roots."""
+    levels, most = 1, leaves.agg(F.max("nth")).first()[0] or 0
+    while most >= fan:
+        levels, most = levels + 1, most // fan
+    for _ in range(levels):
+        node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda x: F.concat(x["nth"].cast("string"), F.lit(":"), x["root"])), "|"), 256)
+        leaves = leaves.groupBy(by, F.floor(F.col("nth") / fan).alias("up")).agg(node.alias("root")).select(by, F.col("up").alias("nth"), "root")
+    return leaves.select(by, "root")
+
+
+def manifest(store: DataFrame) -> DataFrame:
+    """shard (-1: the corpus), n_docs, n_tokens, root, from the stored rows."""
+    facts = store.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    shards = stage(facts.join(tree_roots(store.select("shard", "nth", F.hex("root").alias("root")), "shard"), "shard"), "shards")
+    numbered = shards.select(F.lit(-1).alias("shard"), F.col("shard").cast("long").alias("nth"), "root")
+    corpus = shards.agg(F.lit(-1).alias("shard"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    return shards.unionByName(corpus.join(F.broadcast(tree_roots(numbered, "shard")), "shard", "left").select("shard", "n_docs", "n_tokens", "root"))
+
+
 def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocab: str = "word_bpe_49k.json", end_id: int | None = 2, rows_at_once: int = 256) -> None:
     """Encode ``docs`` and write the store (see above) at ``path``."""
     spark = docs.sparkSession
     kt = docs.schema[key].dataType.simpleString()
-    refs = "array<struct<seq:int,owner:long,at:int>>"
+    refs = "array<struct<seq:int,owner:long,at:int,uses:long>>"
+    shared = "array<struct<seq:int,uses:long>>"
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary(vocab))
@@ -164,12 +191,11 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     # occurrences of chunks found more than once, with the first place of each
     each = F.transform(F.sequence(F.lit(0), (F.length("digests") / 16).cast("int") - 1), lambda i: F.substring("digests", i * 16 + 1, F.lit(16)))
     places = encoded.select("key", "rid", F.posexplode(each).alias("seq", "digest"))
-    first = places.groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("rid"), F.col("seq"))).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    notes = (
-        places.join(first.select("digest", "first"), "digest")
-        .groupBy("rid")
-        .agg(F.collect_list(F.struct("seq", F.col("first.rid").alias("owner"), F.col("first.seq").alias("at"))).alias("notes"))
-    )
+    first = stage(places.groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("rid"), F.col("seq"))).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-places")
+    repeats = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    most = max(1000, repeats // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = join_skewed(places, first.select("digest", "first", F.col("n").alias("uses"), "n"), "digest", "n", most, "inner")
+    notes = found.groupBy("rid").agg(F.collect_list(F.struct("seq", F.col("first.rid").alias("owner"), F.col("first.seq").alias("at"), "uses")).alias("notes"))
     starts = stage(running_start(encoded.select("key", "rid", "n_tokens"), ["key", "rid"], "n_tokens", "start"), "starts")
     meta = starts.join(notes, "rid", "left").select(
         "key", "rid", F.lit(0).alias("kind"), "start", "notes", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("lens"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("payload")
@@ -178,7 +204,7 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     width = encoder(vocabulary(vocab)).width
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, start, notes = TaskContext.get().partitionId(), 0, []
+        shard, start, notes, nth = TaskContext.get().partitionId(), 0, [], 0
         for pdf in batches:
             rows = []
             for key_, rid, kind, s, ns, n, lens, digests, payload in pdf.itertuples(index=False, name=None):
@@ -186,35 +212,35 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                     start, notes = int(s), [] if ns is None else [dict(x) if not hasattr(x, "asDict") else x.asDict() for x in ns]
                     continue
                 away = sorted((x for x in notes if (x["owner"], x["at"]) != (rid, x["seq"])), key=lambda x: x["seq"])
-                shared = sorted(x["seq"] for x in notes if (x["owner"], x["at"]) == (rid, x["seq"]))
+                own = sorted(({"seq": x["seq"], "uses": x["uses"]} for x in notes if (x["owner"], x["at"]) == (rid, x["seq"])), key=lambda x: x["seq"])
                 if away:
                     gone, ends = {x["seq"] for x in away}, np.cumsum(np.frombuffer(lens, "<i4")) * width
                     payload = b"".join([payload[s:e] for i, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if i not in gone])
-                rows.append((shard, key_, rid, start, int(n), lens, digests, away, shared, payload, merkle_root(apart(digests))))
+                rows.append((shard, nth, key_, rid, start, int(n), lens, digests, away, own, payload, merkle_root(apart(digests))))
+                nth += 1
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"])
+                yield pd.DataFrame(rows, columns=["shard", "nth", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"])
 
     # the parts of the prefix sums, by their first keys: no second sampling of the payloads
     firsts = [r["k"] for r in starts.filter("key IS NOT NULL").groupBy("_part").agg(F.min("key").alias("k")).orderBy("k").collect()]  # a row per partition
     cuts = sorted(set(firsts[1:]))
     both = body.unionByName(meta).repartitionById(len(cuts) + 1, place_among(F.col("key"), cuts).cast("int")).sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
-    both.mapInPandas(merge, f"shard int, key {kt}, rid long, start long, n_tokens long, lens binary, digests binary, refs {refs}, shared array<int>, payload binary, root binary").write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
-    drop(encoded, starts)
-
-    store = spark.read.parquet(f"{path}/store")
-    hexes = lambda c: F.expr(f"sha2(array_join(transform(array_sort({c}), x -> x.root), ''), 256)")
-    shards = store.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hexes("collect_list(struct(start, rid, hex(root) AS root))").alias("root"))
-    shards = stage(shards.withColumn("width", F.lit(width)), "shards")
-    corpus = shards.agg(F.lit(-1).alias("shard"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), hexes("collect_list(struct(shard, root))").alias("root"), F.lit(width).alias("width"))
-    shards.unionByName(corpus).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    drop(shards)
+    both.mapInPandas(merge, f"shard int, nth long, key {kt}, rid long, start long, n_tokens long, lens binary, digests binary, refs {refs}, shared {shared}, payload binary, root binary").write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
+    drop(encoded, starts, first)
+    manifest(spark.read.parquet(f"{path}/store")).withColumn("width", F.lit(width)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """Rebuild and verify every document: ``key``, ``start``, ``n_tokens``,
     ``ids_crc32`` and, with ``ids``, the little-endian unsigned 32-bit ids."""
     store = spark.read.parquet(f"{path}/store")
-    width = spark.read.parquet(f"{path}/manifest").filter("shard = -1").select("width").first()[0]
+    kept = spark.read.parquet(f"{path}/manifest")
+    width = kept.filter("shard = -1").select("width").first()[0]
+    facts = ["shard", "n_docs", "n_tokens", "root"]
+    # both have a row per shard
+    odd = manifest(store).select(*facts, F.lit(1).alias("side")).unionByName(kept.select(*facts, F.lit(-1).alias("side"))).groupBy(*facts).agg(F.sum("side").alias("side")).filter("side <> 0")
+    if wrong := sorted({r["shard"] for r in odd.select("shard").limit(20).collect()}):
+        raise ValueError(f"shards {wrong} differ from the manifest")
     kt = store.schema["key"].dataType.simpleString()
     out = f"key {kt}, rid long, start long, n_tokens long, ids_crc32 long, ids binary"
     dtype = "<u2" if width == 2 else "<u4"
@@ -248,13 +274,13 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
         for pdf in batches:
             rows = []
             for rid, lens, refs, shared, payload in pdf.itertuples(index=False, name=None):
-                away, wanted, at = set() if refs is None else {x["seq"] for x in refs}, set(map(int, shared)), 0
+                away, wanted, at = set() if refs is None else {x["seq"] for x in refs}, {x["seq"]: x["uses"] for x in shared}, 0
                 for i, k in enumerate(np.frombuffer(lens, "<i4").tolist()):
                     if i not in away:
                         if i in wanted:
-                            rows.append((rid, i, payload[at : at + k * width]))
+                            rows.append((rid, i, wanted[i], payload[at : at + k * width]))
                         at += k * width
-            yield pd.DataFrame(rows, columns=["owner", "at", "piece"])
+            yield pd.DataFrame(rows, columns=["owner", "at", "uses", "piece"])
 
     def patched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, bytes] = {}
@@ -272,8 +298,12 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     cols = ["key", "rid", "start", "n_tokens", "lens", "digests", "refs", "payload", "root"]
     alone = store.filter("size(refs) = 0").select(*cols).mapInPandas(whole_rows, out)
     owing = store.filter("size(refs) > 0")
-    pieces = store.filter("size(shared) > 0").select("rid", "lens", "refs", "shared", "payload").mapInPandas(lend, "owner long, at int, piece binary")
-    fetched = owing.select("rid", F.explode("refs").alias("r")).select("rid", "r.seq", "r.owner", "r.at").join(pieces, ["owner", "at"])
+    pieces = store.filter("size(shared) > 0").select("rid", "lens", "refs", "shared", "payload").mapInPandas(lend, "owner long, at int, uses long, piece binary")
+    # a chunk of many uses is there once for each thousand of them
+    parts = F.ceil(F.col("uses") / 1000).cast("int")
+    pieces = pieces.select("owner", "at", "piece", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    asking = owing.select("rid", F.explode("refs").alias("r")).select("rid", "r.*").withColumn("salt", F.pmod(F.xxhash64("rid", "seq"), parts).cast("int")).drop("uses")
+    fetched = asking.join(pieces, ["owner", "at", "salt"])
     empty = {c: F.lit(None).cast(store.schema[c].dataType).alias(c) for c in cols if c != "rid"}
     asked = fetched.select(*[F.col("rid") if c == "rid" else empty[c] for c in cols], F.lit(0).alias("kind"), "seq", "piece")
     body = owing.select(*cols, F.lit(1).alias("kind"), F.lit(0).alias("seq"), F.lit(None).cast("binary").alias("piece"))
