@@ -1,17 +1,21 @@
 """Nearest neighbours by cosine with a hierarchical k-means tree.
 
 The tree is fitted on the driver on a bounded sample (the vectors whose id
-hashes lowest: an eighth of them, ``sample`` at least and ``most_sample`` at
-most): each node splits its vectors into ``branch`` clusters of unit
-vectors until at most ``leaf`` are left.  Every row of the table is then put in
-the leaf it descends to.  A query visits leaves best bin first: a priority queue
-holds open branches by their centre's distance, the nearest is opened first, and
-leaves come out in that order.
+hashes lowest: an eighth of them, ``sample`` at least, and at most as many as
+``sample_mb`` of doubles hold): each node splits its vectors into ``branch``
+clusters of unit vectors until a leaf stands for some ``leaf`` rows of the table.
+Where the sample is too small for that, leaves grow with the table.  Every row of
+the table is then put in the leaf it descends to.  A query visits leaves best bin
+first: a priority queue holds open branches by their centre's distance, the
+nearest is opened first, and leaves come out in that order.
 
 How many leaves a query visits is calibrated: for ``probes`` queries the true
 neighbours are found by comparison with all rows, and visits are widened until
-``recall`` of them lie in visited leaves; the same number then serves all
-queries.  The measured recall is returned beside the results' plan.
+``recall`` of those of one half of the probes lie in visited leaves; the same
+number then serves all queries.  The recall of the other half, which took no
+part in this, is returned beside the results (that of all, if there are under
+twenty).  Vectors that fill their space evenly need most leaves for a high
+recall, whatever the tree; then the search compares most rows.
 
 Equal vectors are one entry with the smallest ids that any query can need
 (k + 1 of them), so copies neither fill a leaf nor multiply comparisons, and
@@ -20,9 +24,10 @@ Cosines are computed in double precision on the original vectors; nearest first,
 ties to the smaller id.
 
 Vectors that are null, empty, zero, of another length than most, or hold null
-or non-finite components take no part, as queries or candidates.  With fewer
-candidates than k, all are returned.  Repeated ids are separate candidates of
-one id.  An empty table gives no rows.
+or non-finite components take no part, as queries or candidates; neither do rows
+of null id.  With fewer candidates than k, all are returned.  Repeated ids are
+separate candidates of one id.  Other columns are ignored.  An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import drop, join_skewed, stage
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -127,10 +132,15 @@ def top(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.n
         yield keep, cosines(q[i], x[keep])
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256, sample: int = 16384, most_sample: int = 262144, probes: int = 200, recall: float = 0.95, block: int = 2048) -> DataFrame:
+def _rows(column: pd.Series) -> np.ndarray:
+    """Vectors kept as bytes of doubles, as a matrix."""
+    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+
+
+def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256, sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, block: int = 2048) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score, and ``visits`` and
-    ``probe_recall``: leaves visited of each query, and the share of true
-    neighbours that the calibration found in them."""
+    ``probe_recall``: leaves visited of each query, and the share of the true
+    neighbours of the probes kept apart that lie in as many leaves."""
     spark = table.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.col(vector).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists(v, lambda x: x != 0)
@@ -146,25 +156,31 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     few = rows.select("v", "id").withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
     entries = few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("e", F.monotonically_increasing_id())
     entries = stage(entries, "vectors")
-    picked = entries.select("v").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(max(sample, min(most_sample, entries.count() // 8)))
+    n_entries = entries.count()
+    wanted = max(1, min(max(sample, n_entries // 8), (sample_mb << 20) // (8 * size["n"])))
+    picked = entries.select("v").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(wanted)
     x = np.array([r["v"] for r in picked.toLocalIterator()], np.float64)
-    shared = spark.sparkContext.broadcast(grow(_unit(x), branch, leaf))
+    tree = grow(_unit(x), branch, max(4, leaf * len(x) // n_entries))
+    del x
+    shared = spark.sparkContext.broadcast(tree)
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                pdf["leaf"] = shared.value.descend(_unit(np.stack(pdf["v"].to_numpy())))
-                yield pdf
+                m = np.stack(pdf["v"].to_numpy()).astype("<f8")
+                yield pd.DataFrame({"v": [r.tobytes() for r in m], "ids": pdf["ids"], "e": pdf["e"], "leaf": shared.value.descend(_unit(m))})
 
-    located = stage(entries.mapInPandas(locate, "v array<double>, ids array<long>, e long, leaf long"), "leaves")
+    located = stage(entries.mapInPandas(locate, "v binary, ids array<long>, e long, leaf long"), "leaves")
 
-    # distinct queries, and which ids ask them
+    # distinct queries, and which ids ask them: many ids may ask with one vector
     asked = rows.filter("asks").select("v", F.col("id").alias("query_id"))
-    asking = stage(asked.join(located.select("v", "e", "leaf"), "v").select("query_id", "e", "leaf"), "asking")
-    queries = stage(asking.select("e").distinct().join(located.select("e", "v"), "e"), "queries")
+    times = stage(asked.groupBy("v").agg(F.count("*").alias("times")).join(entries.select("v", "e"), "v"), "asked-vectors")
+    most = max(1000, (times.agg(F.sum("times")).first()[0] or 0) // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asking = stage(join_skewed(asked, times.select("v", "e", "times"), "v", "times", most, "inner").select("query_id", F.col("e").alias("q")), "asking")
+    queries = stage(times.select("e", "times").join(located.select("e", "v"), "e"), "queries")
 
     # calibration: true neighbours of some queries among all rows
-    some = [(r["e"], np.array(r["v"])) for r in queries.orderBy(F.xxhash64("e"), "e").limit(probes).collect()]
+    some = [(r["e"], np.frombuffer(bytes(r["v"]), "<f8")) for r in queries.orderBy(F.xxhash64("e"), "e").limit(probes).select("e", "v").collect()]
     probe = spark.sparkContext.broadcast(some)
 
     def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,28 +188,33 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         for pdf in batches if probe.value else ():
             if not len(pdf):
                 continue
-            m, e, leaves = np.stack(pdf["v"].to_numpy()), pdf["e"].to_numpy(), pdf["leaf"].to_numpy()
+            m, e, leaves = _rows(pdf["v"]), pdf["e"].to_numpy(), pdf["leaf"].to_numpy()
             for (qe, _), (keep, s) in zip(probe.value, top(np.stack([q for _, q in probe.value]), m, k + 1), strict=True):
                 best[qe] = heapq.nsmallest(k + 1, best[qe] + [(-a, int(e[i]), int(leaves[i])) for i, a in zip(keep, s, strict=True)])
         yield pd.DataFrame([(qe, -a, e, leaf) for qe, b in best.items() for a, e, leaf in b], columns=["q", "s", "e", "leaf"])
 
     near = located.select("v", "e", "leaf").mapInPandas(truth, "q long, s double, e long, leaf long")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "e"))).filter((F.col("r") <= k + 1) & (F.col("q") != F.col("e"))).collect()
-    tree = shared.value
     n_leaves = sum(1 for n in tree.n if not n)
     order = {e: {leaf: i for i, leaf in enumerate(tree.leaves(_unit(q[None])[0], n_leaves))} for e, q in some}
-    ranks = sorted(order[r["q"]][r["leaf"]] + 1 for r in near)
-    visits = ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] if ranks else 1
-    found = sum(r <= visits for r in ranks) / len(ranks) if ranks else 1.0
+    place = {e: [] for e, _ in some}
+    for r in near:
+        place[r["q"]].append(order[r["q"]][r["leaf"]] + 1)
+    apart = len(some) >= 20
+    fitted = sorted(x for i, (e, _) in enumerate(some) if not apart or i % 2 for x in place[e])
+    kept = [x for i, (e, _) in enumerate(some) if not apart or not i % 2 for x in place[e]]
+    visits = fitted[min(len(fitted) - 1, int(np.ceil(recall * len(fitted))) - 1)] if fitted else 1
+    found = sum(x <= visits for x in kept) / len(kept) if kept else 1.0
+    probe.destroy()
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                u = _unit(np.stack(pdf["v"].to_numpy()))
-                pairs = [(e, leaf) for e, q in zip(pdf["e"], u, strict=True) for leaf in shared.value.leaves(q, visits)]
-                yield pd.DataFrame(pairs, columns=["q", "leaf"])
+            for s in range(0, len(pdf), 64):
+                part = pdf.iloc[s : s + 64]
+                visited = [shared.value.leaves(q, visits) for q in _unit(_rows(part["v"]))]
+                yield pd.DataFrame({"q": np.repeat(part["e"].to_numpy(), [len(x) for x in visited]), "leaf": np.concatenate(visited)})
 
-    routed = queries.mapInPandas(route, "q long, leaf long")
+    routed = queries.select("e", "v").mapInPandas(route, "q long, leaf long")
     # leaves in blocks of bounded size: every block of a leaf meets the leaf's queries
     blocks = located.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = located.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
@@ -205,19 +226,23 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "e": [], "s": []}).astype({"q": "int64", "e": "int64", "s": "float64"})
-        m, e = np.stack(right["v"].to_numpy()), right["e"].to_numpy()
-        out = []
-        for q, (keep, s) in zip(left["q"], top(np.stack(left["qv"].to_numpy()), m, k + 1), strict=True):
-            out.append((np.full(len(keep), q), e[keep], s))
-        return pd.DataFrame(dict(zip("qes", map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            return pd.DataFrame({"q": [], "e": [], "f": [], "s": []}).astype({"q": "int64", "e": "int64", "f": "int64", "s": "float64"})
+        e, f, out = right["e"].to_numpy(), right["f"].to_numpy(), []
+        for q, (keep, s) in zip(left["q"], top(_rows(left["qv"]), _rows(right["v"]), k + 1), strict=True):
+            out.append((np.full(len(keep), q), e[keep], f[keep], s))
+        return pd.DataFrame(dict(zip("qefs", map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     keys = ["leaf", "block", "group"]
-    pairs = visiting.select(*keys, "q", "qv").groupBy(*keys).cogroup(sides.select(*keys, "e", "v").groupBy(*keys)).applyInPandas(compare, "q long, e long, s double")
-    # each entry's ids, then the best for each asking id
-    full = pairs.join(located.select("e", "ids"), "e").select("q", F.explode("ids").alias("vec_id"), F.col("s").alias("score"))
+    sides = sides.select(*keys, "e", F.element_at("ids", 1).alias("f"), "v")
+    pairs = visiting.select(*keys, "q", "qv").groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(compare, "q long, e long, f long, s double")
+    # of equal scores the entries with the smallest ids: k + 1 entries hold the k + 1 best ids
+    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "f", "e"))).filter(F.col("r") <= k + 1)
+    full = near.join(located.select("e", "ids"), "e").select("q", F.explode("ids").alias("vec_id"), F.col("s").alias("score"))
     best = full.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") <= k + 1)
     # a group of equal queries asks once, and takes its own id out of k + 1
-    mine = asking.select("query_id", F.col("e").alias("q")).join(best, "q").filter("vec_id <> query_id")
+    best = stage(best.join(queries.select(F.col("e").alias("q"), "times"), "q").select("q", "vec_id", "score", "times"), "best")
+    mine = join_skewed(asking, best, "q", "times", most, "inner").filter("vec_id <> query_id")
     ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score", F.lit(int(visits)).alias("visits"), F.lit(float(found)).alias("probe_recall"))
+    out = stage(ranked.select("query_id", "rank", "vec_id", "score", F.lit(int(visits)).alias("visits"), F.lit(float(found)).alias("probe_recall")), "nearest")
+    drop(entries, located, times, asking, queries, best)
+    return out
