@@ -83,6 +83,42 @@ def test_op1_damage_is_noticed(spark, docs):
         token_store.read_store(spark, broken).collect()
 
 
+def test_op1_lost_and_replaced_rows_are_noticed(spark, docs):
+    path = new_path(spark, "t")
+    token_store.write_store(docs, path)
+    store = spark.read.parquet(f"{path}/store")
+    last = store.filter("key = 16").select("shard", "nth").first()
+    other = store.filter("key = 7").select("lens", "digests", "payload", "root", "n_tokens").first()
+    changes = {
+        "lost": store.filter(~((F.col("shard") == last.shard) & (F.col("nth") == last.nth))),
+        "a shard lost": store.filter(F.col("shard") != last.shard),
+        # a whole document in another's place: its own digests and root agree
+        "replaced": store.select(*[F.when(F.col("key") == 8, F.lit(other[c])).otherwise(F.col(c)).alias(c) if c in other.__fields__ else F.col(c) for c in store.columns]),
+    }
+    for rows in changes.values():
+        broken = new_path(spark, "t")
+        rows.write.parquet(f"{broken}/store")
+        spark.read.parquet(f"{path}/manifest").write.parquet(f"{broken}/manifest")
+        with pytest.raises(ValueError, match="differ from the manifest"):
+            token_store.read_store(spark, broken)
+
+
+def test_op1_tree_of_several_levels(spark):
+    rows = [(s, i, f"{i * 7:x}") for s, n in ((1, 1), (2, 4), (3, 5), (4, 70)) for i in range(n)]
+    df = spark.createDataFrame(rows, "shard int, nth long, root string").repartition(3)
+
+    def root(level):
+        if len(level) == 0:
+            return None
+        for _ in range(4):  # 70 leaves need four levels of four, and all trees have as many
+            level = [hashlib.sha256("|".join(f"{i}:{x}" for i, x in list(enumerate(level))[s : s + 4]).encode()).hexdigest() for s in range(0, len(level), 4)]
+        return level[0]
+
+    got = {r.shard: r.root for r in token_store.tree_roots(df, "shard", fan=4).collect()}
+    assert got == {s: root([x for t, _, x in rows if t == s]) for s in (1, 2, 3, 4)}
+    assert token_store.tree_roots(df.filter("false"), "shard").count() == 0
+
+
 def test_op1_encoder_on_random_strings():
     lib, enc = library("word_bpe_49k.json"), token_store.encoder(vocabulary("word_bpe_49k.json"))
     g, letters = random.Random(1), "abc XYZ'sdt019!?_-éßÑ\n\t<|>…\u0301Σİ漢😀 \x00\x85\xa0\x0b\x0c\x1c\x1f\u2003\u3000\u212a\u212bŸẞſ"
@@ -224,6 +260,15 @@ def test_op4_against_the_library(spark, docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_op4_ids_on_random_strings_and_at_the_bound():
+    lib, ids = library("byte_bpe_50k.json"), packing.ids_of(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    g, letters = random.Random(4), "ab cdXYZ'sdtrevmll019!?_-éßÑ\n\n\t<|>…\u0301Σİ漢😀 \x00\x85\xa0\r "
+    texts = ["".join(g.choice(letters) for _ in range(g.randrange(60))) for _ in range(3000)] + [" " * 5000, "a<|endoftext|> b", "\n" * 3000]
+    texts += [("the quick brown fox " * 10_000)[: packing.LONG + d] for d in (-1, 0, 1)]
+    for t in texts:
+        assert ids.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
 def test_op4_bin_completion():
     assert packing.spans(1024, 1024) == [(0, 1024)] and packing.spans(1030, 1024) == [(0, 6), (6, 1024)] and packing.spans(1, 1024) == [(0, 1)]
     assert packing._dominates(((6, 1),), ((3, 2),)) and not packing._dominates(((3, 2),), ((6, 1),))
@@ -401,6 +446,21 @@ def test_op7_equal_texts_and_likeness(spark, docs, none):
     assert len(one) == 1 and one[0].near_next == 1
 
 
+@pytest.mark.parametrize("ranges", [1, 8, 40])
+def test_op7_hot_keys_and_ends_of_the_key_range(spark, ranges):
+    """A key of most rows is spread; order, and so the next text, stays whole."""
+    rows = [(5, f"text number {i} of the hot key") for i in range(60)] + [(i, f"other {i}") for i in (-(1 << 63), 1, 2, 4, 6, 9, (1 << 63) - 1)] + [(None, "no key"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    hashed = {r.t: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    seq = sorted(((k is not None, k or 0, hashed[t or ""], t or "", k) for k, t in rows), reverse=True)
+    want = []
+    for (*_, t, k), (*_, nxt, _) in zip(seq, seq[1:] + seq[:1], strict=True):
+        n = len(t) // 3
+        want.append((k, hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest()))
+    got = fingerprints.neighbours(df, samples=4, ranges=ranges).collect()
+    assert order((r.doc_id, r.edited_sha256) for r in got) == order(want)
+
+
 def fp(rows, text):
     return next(r.fingerprint for r in rows for i, t in TEXTS if r.doc_id == i and (t or "") == text and r.n_chars == len(text))
 

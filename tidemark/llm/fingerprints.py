@@ -15,20 +15,24 @@ followed by the first.  Texts are shuffled once, to key ranges; the next text
 then is the next row of a range, or the first of the range that follows.
 
 Null text is empty; a text without words has a fingerprint of its own, like only
-to others without words.  Repeated keys are ordered by text; null keys come
-last; repeated rows stay rows.  A table of one row is its own next document; an
+to others without words.  Repeated keys are ordered by hash of the text, then by
+text, and a key of many rows is spread over ranges by that hash (rows equal in key
+and text share one); null keys come last; repeated rows stay rows.  A table of one row is its own next document; an
 empty table gives no rows.  Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
+from decimal import Decimal
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import drop, place_among, stage
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Fingerprints' hex digits per draw
@@ -106,24 +110,26 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     ``edited_fingerprint``, ``near_edited``, ``near_next``.  The key is an
     integer column."""
     spark = docs.sparkSession
-    least = -(1 << 63)
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("o", F.coalesce(F.col("k").cast("long"), F.lit(least)))
+    # null keys come below all others
+    least = Decimal(-(1 << 63) - 1)
+    o = F.coalesce(F.col(key).cast("decimal(20,0)"), F.lit(least).cast("decimal(20,0)"))
+    rows = docs.select(o.alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     # key ranges of about equal size; their bounds are a fixed number of keys
     n = ranges or min(8192, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts = docs.select(F.percentile_approx(F.col(key).cast("long"), [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    if cuts:
-        # binary search for how many bounds lie below the key
-        bounds = F.array(*[F.lit(int(c)) for c in cuts])
-        state = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-        half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        step = lambda s, _: F.when(
-            s["lo"] >= s["hi"], s
-        ).otherwise(F.when(F.get(bounds, half(s)) < F.col("o"), F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi"))))
-        rows = rows.withColumn("range", F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), state, step, lambda s: s["lo"]))
+    cuts = docs.select(F.percentile_approx(o, [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] if n > 1 else None
+    times = sorted(Counter(cuts or []).items())
+    # a key that is several of the bounds has as many ranges of its own, by hash of the text; before them come the keys below it
+    start = list(accumulate((1 + (m if m > 1 else 0) for _, m in times), initial=0))
+    at = place_among(F.col("o"), [F.lit(c).cast("decimal(20,0)") for c, _ in times])
+    place = rows.select("o", "t", at.alias("at"))
+    of = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("at"))
+    if times:
+        hot = (of([m for _, m in times]) > 1) & (of([c for c, _ in times]).cast("decimal(20,0)") == F.col("o"))
+        share = F.least(F.floor((F.xxhash64("t") / F.lit(2.0**64) + 0.5) * of([m for _, m in times])), of([m for _, m in times]) - 1).cast("int")
+        rows = place.select((F.get(F.array(*[F.lit(x) for x in start]), F.col("at")) + F.when(F.coalesce(hot, F.lit(False)), 1 + share).otherwise(0)).alias("range"), "o", "t")
     else:
-        rows = rows.withColumn("range", F.lit(0))
-    rows = rows.select("range", "o", "t")  # the key is read off its order, so that both uses below share one exchange
+        rows = place.select(F.lit(0).alias("range"), "o", "t")
+    # the key is read off its order, so that both uses below share one exchange
 
     # the first text of each range, under the range before it in descending order
     order = F.struct("o", F.xxhash64("t"), "t")
@@ -140,7 +146,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
     words = both.select("range", "pos", F.explode(kinds).alias("z")).select("range", "pos", "z.kind", F.explode(F.split(F.lower("z.t"), WORD_GAP)).alias("w"))
     prints = _fingerprints(words, ["range", "pos"], {"fingerprint": 1 - F.col("kind"), "edited_fingerprint": F.col("kind")}, samples)
-    facts = both.select("range", "pos", F.when(F.col("o") != least, F.col("o")).cast(docs.schema[key].dataType).alias("k"), F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = both.select("range", "pos", F.when(F.col("o") != F.lit(least).cast("decimal(20,0)"), F.col("o")).cast(docs.schema[key].dataType).alias("k"), F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     with split_methods(spark):
         done = stage(prints.join(facts, ["range", "pos"]), "fingerprints")
 
@@ -149,7 +155,10 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     heads = ring.join(lead_first, "after").select("range", "head")
     by_pos = Window.partitionBy("range").orderBy("pos")
     out = done.withColumn("next", F.lead("fingerprint").over(by_pos)).join(heads, "range", "left").withColumn("next", F.coalesce("next", "head"))
-    return out.select(
+    out = out.select(
         F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next"), samples).alias("near_next"),
     )
+    out = stage(out, "likenesses")
+    drop(firsts, done)
+    return out
