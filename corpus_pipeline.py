@@ -3,8 +3,11 @@ deduplication, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept; ``run`` writes each stage's rows in the shared folder and reads them back.
-Rows with the same doc_id and text are one document: they are kept or dropped
-together.  An empty table passes through as an empty table.
+Documents are rows: null doc_ids, and ids that repeat, decide nothing.  Null
+texts and texts without letters go in the first stage, documents of repeated
+lines alone in the second; of rows that repeat or nearly repeat one stays.  An
+empty table passes through as an empty table; columns beside those of documents
+are dropped.
 """
 
 from __future__ import annotations
@@ -12,22 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, stage, table
+from tidemark.llm.common import broadcast_if_small, drop, join_skewed, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document stays if its language is known with at least this score: chance
-#: among four languages is 0.25.
-LEAST_SCORE = 0.3
+#: A document is in a learned language if at least this share of its n-grams is
+#: found in some learned text, whatever the number of languages.  Of documents
+#: in their languages even single words reach 0.87; other scripts and random
+#: letters stay under 0.4.
+LEAST_KNOWN = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the learned languages go: null texts, texts without
-    a letter, and those of which the classifier is no surer than by chance.
-    It learns from documents that are not held out."""
+    a letter, and those of which most n-grams are in no learned text.  The
+    classifier learns from documents that are not held out."""
     from tidemark.llm.langid import UNKNOWN, identify, is_held_out
 
     rows = identify(docs.select(*COLUMNS), learn=~F.coalesce(is_held_out(), F.lit(False)))
-    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN)).select(*COLUMNS)
     return stage(kept, "languages", rows_at_once=1000)  # workers live on into the next stages, and so does their memory
 
 
@@ -41,13 +46,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more between sets of
-    five-word shingles, the document with the least id stays."""
+    """Of each group of rows linked by a similarity of 0.8 or more between sets
+    of five-word shingles, the one with the least id stays (null ids come last)."""
     from tidemark.llm.ngram_join import link_components
 
-    groups = link_components(docs, n=5, num=80, den=100)
-    others = groups.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    # rows are numbered in a table of their own, so that every use of it sees the same numbers
+    rows = stage(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = link_components(rows.select("_row", "text"), n=5, num=80, den=100, key="_row").select("_row", F.col("component_id").alias("_group"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    ranked = stage(groups.join(rows.select("_row", "doc_id"), "_row").select("_group", place.alias("_place")), "groups")
+    first = ranked.groupBy("_group").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    others = stage(join_skewed(ranked, stage(first, "group-firsts"), "_group", "_n", most=100_000).filter("_place <> _first").select("_place._row"), "others")
+    return rows.join(broadcast_if_small(others), "_row", "left_anti").select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
