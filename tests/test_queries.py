@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import checked  # noqa: F401
 from tidemark.plans.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()

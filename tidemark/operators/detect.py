@@ -126,17 +126,23 @@ def event_counts(events: DataFrame, configs: Sequence[tuple]) -> DataFrame:
     return dim.join(events.groupBy("method", "q").agg(F.count("*").alias("n")), ["method", "q"], "left").select("method", "q", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
-def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts")) -> DataFrame:
+def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts"), configs: Sequence[tuple] | None = None) -> DataFrame:
     """Similarity of the event sets of each two groups: a_*, b_*, jaccard.  One
     pass over the events: what an event has in common is the list of its groups,
-    of which there are as many as configurations, and so is the final table."""
+    of which there are as many as configurations, and so is the final table.
+    With ``configs`` (method, q) those without events are there as well: 0
+    against others, 1 against another empty one."""
     per = events.select(F.struct(*by).alias("g"), *on).groupBy(*on).agg(F.collect_set("g").alias("gs"))
     pairs = per.select("gs", F.explode("gs").alias("a")).select("a", F.explode("gs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     rows = pairs.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    if configs is not None:
+        known = events.sparkSession.createDataFrame(sorted({("wbs_lepage" if m.lower() == "wbs" else m.lower(), float(q)) for m, q, *_ in configs}), "method string, q double")
+        rows = known.select(F.struct(*by).alias("a")).join(rows, "a", "left")
     grid = rows.agg(F.collect_list(F.struct("a", "m")).alias("t")).select("t", F.explode("t").alias("x")).select("x", F.explode("t").alias("y"))
-    size = lambda s: F.try_element_at(F.col(f"{s}.m"), F.col(f"{s}.a"))
+    size = lambda s: F.coalesce(F.try_element_at(F.col(f"{s}.m"), F.col(f"{s}.a")), F.lit(0))
     both = F.coalesce(F.try_element_at(F.col("x.m"), F.col("y.a")), F.lit(0))
-    return grid.select(*[F.col(f"{v}.a.{c}").alias(f"{s}_{c}") for s, v in (("a", "x"), ("b", "y")) for c in by], (both / (size("x") + size("y") - both)).alias("jaccard"))
+    share = F.when(size("x") + size("y") == 0, 1.0).otherwise(both / F.nullif(size("x") + size("y") - both, F.lit(0)))
+    return grid.select(*[F.col(f"{v}.a.{c}").alias(f"{s}_{c}") for s, v in (("a", "x"), ("b", "y")) for c in by], share.alias("jaccard"))
 
 
 def cusum_fold(series: DataFrame, q: float = 1.0, h: float = 0.03, nu: float = 5e-5) -> DataFrame:
