@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, structure
+from tidemark.operators import evaluate, structure, vector
 from tidemark.plans import jobs
 
 T0 = dt.datetime(2018, 1, 1)
@@ -48,3 +48,59 @@ def test_plot_frames_and_level_matching(spark):
     levels = e.select("symbol", F.col("confirmed_at").alias("ts"), F.col("kind").alias("side"), "price")
     got = evaluate.match_levels(levels, bars).join(e.select(F.col("confirmed_at").alias("ts"), F.col("ts").alias("want"), F.col("kind").alias("side")), ["ts", "side"]).collect()
     assert got and all(r.bar_ts == r.want for r in got)
+
+
+def test_points_matched_to_bars(spark):
+    bars = frame(200, ("a",)).assign(n=range(200))
+    flat = bars.copy()
+    flat.loc[flat["n"].isin([50, 60]), ["open", "high", "low", "close"]] = [100.0, 123.0, 99.0, 101.0]  # one price at two bars
+    df = spark.createDataFrame(flat.drop(columns="n"))
+    t = lambda i: T0 + dt.timedelta(days=i)
+    low = float(flat["low"].iloc[70])
+    rows = [("a", t(150), 123.0, 123.0, low, 99.0), ("a", t(55), 123.0, 123.0, low, 101.0), ("a", t(199), 123.0, None, -5.0, 0.5), ("a", t(58), 123.0 * (1 + 9e-7), 123.0 * (1 + 2e-6), 100.0, 99.0)]
+    asks = spark.createDataFrame(rows, "symbol string, ts timestamp, high1 double, high2 double, low1 double, low2 double")
+    got = {(r.ts, r.label): r.idx for r in evaluate.match_points(asks, df, lookback=130).collect()}
+    # a bar serves one level only: 99 is the low of both bars, which the highs have taken
+    assert [got[t(150), c] for c in ("high1", "high2", "low1", "low2")] == [50, 60, 70, None]
+    # bars after the time do not count; 101 is no low, but a close of a bar that is taken
+    assert [got[t(55), c] for c in ("high1", "high2", "low1", "low2")] == [50, None, None, None]
+    assert all(got[t(199), c] is None for c in ("high1", "high2", "low1", "low2"))  # out of the look-back
+    assert [got[t(58), c] for c in ("high1", "high2", "low1", "low2")] == [50, None, None, None]
+    assert len(got) == 16
+
+
+def test_points_up_to_a_time_and_examples(spark):
+    bars = spark.createDataFrame(frame(300))
+    points = structure.shape_points(bars, q=5.0)
+    rows = {(r.symbol, r.ts): r for r in points.collect()}
+    asks = spark.createDataFrame([("a", T0), ("a", T0 + dt.timedelta(days=250, hours=5)), ("b", T0 + dt.timedelta(days=299))], "symbol string, ts timestamp")
+    got = {(r.symbol, r.ts, r.label): (r.idx, r.level, r.kind) for r in evaluate.structure_points(points, asks).collect()}
+    assert not any(k[1] == T0 for k in got)
+    for symbol, ask, at in (("a", T0 + dt.timedelta(days=250, hours=5), 250), ("b", T0 + dt.timedelta(days=299), 299)):
+        r = rows[symbol, T0 + dt.timedelta(days=at)]
+        assert r.h1 is not None and got[symbol, ask, "high1"] == (r.h1_idx, r.h1, "high") and got[symbol, ask, "low2"] == (r.l2_idx, r.l2, "low")
+    shape = structure.shape_state(bars, q=5.0)
+    vectors = vector.state_vector(shape)
+    some = evaluate.examples(vectors, shape, 7).collect()
+    assert len(some) == 7 and all(None not in (r.high1, r.low2) for r in some)
+    assert {(r.symbol, r.ts) for r in some} == {(r.symbol, r.ts) for r in evaluate.examples(vectors.drop("high1", "low1").repartition(7), shape, 7).collect()}
+
+
+def test_commands_of_the_tests_and_diagnostics(spark, tmp_path):
+    prices, out = frame(), str(tmp_path)
+    spark.createDataFrame(prices.rename(columns={"ts": "date"})).write.parquet(f"{out}/prices.parquet")
+    jobs.main(["state", "--input", f"{out}/prices.parquet", "--out", f"{out}/s", "--score-min-periods", "50", "--score-lower", "0.1", "--clip-upper", "0.9"])
+    jobs.main(["state", "--state-path", f"{out}/s/shape_state", "--out", f"{out}/again", "--score-min-periods", "50", "--score-lower", "0.1", "--clip-upper", "0.9"])
+    read = lambda p: spark.read.parquet(f"{out}/{p}")
+    assert read("s/state_vector").exceptAll(read("again/state_vector")).count() == 0 < read("again/state_vector").count()
+    jobs.main(["adf", "--vectors", f"{out}/s/state_vector", "--out", f"{out}/adf", "--state-columns", "range_pct,move_age", "--window", "50", "--min-obs", "40"])
+    assert {r.state_variable for r in read("adf/adf_by_state").collect()} == {"range_pct", "move_age"}
+    jobs.main(["explosive", "--vectors", f"{out}/s/state_vector", "--out", f"{out}/e", "--samples-per-group", "2", "--samples-per-state", "2", "--nrep", "3", "--state-columns", "range_pct"])
+    assert {r.state_group for r in read("e/explosive_by_state").collect()} == {"low", "mid", "high"}
+    jobs.main(["lowess", "--vectors", f"{out}/s/state_vector", "--out", f"{out}/l", "--return-horizons", "5", "--vol-horizons", "3", "--max-points", "40", "--state-columns", "range_pct,upper_break"])
+    assert {(r.variable, r.target) for r in read("l/lowess_index").collect()} == {(v, t) for v in ("range_pct_score", "upper_break_score") for t in ("return_k5", "vol_k3")}
+    jobs.main(["swings", "--input", f"{out}/prices.parquet", "--out", f"{out}/d", "--m", "3", "--n", "10", "--rank", "2"])
+    assert {r.item for r in read("d/spectrum").select("item").distinct().collect()} == {"eigenvalue", "singular_value", "mode"}
+    jobs.main(["diagnostics", "--run", f"{out}/d", "--out", f"{out}/g", "--m", "3", "--n", "10", "--rank", "2"])
+    assert read("g/singular_value_diagnostics").exceptAll(read("d/singular_values")).count() == 0
+    assert read("g/reconstruction_error").count() == 2 and read("g/eigenvalue_diagnostics").count() == 4

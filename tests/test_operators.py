@@ -283,3 +283,47 @@ def test_local_regression_query_takes_the_operators_points(spark, monkeypatch):
     monkeypatch.setattr(queries.R, "lowess", lambda rows, *a, **o: asked.append(o))
     queries.local_regression(spark, "")
     assert asked == [{}]
+
+
+def test_scales_tried_and_chosen(spark):
+    """The search against its rule, with counts that rise and fall."""
+    from tidemark.operators.sampling import search_scale
+
+    tried = search_scale(lambda s: int(1000 * s), 300, 16)
+    assert [t[0] for t in tried[:3]] == [1.0, 2.0, 4.0] or tried[0][0] == 1.0
+    down = search_scale(lambda s: int(100 / s), 300, 16)
+    # 100, 200, 400 events: half, then double again from there, then means
+    assert [t[0] for t in down[:5]] == [1.0, 0.5, 0.25, 0.5, (0.25 * 0.5) ** 0.5] and [t[2] for t in down[:5]] == [False, False, True, True, True]
+    best = min((abs(n - 300), s) for s, n, ok in down if ok)
+    assert best[0] == 0
+    up = search_scale(lambda s: int(5000 / s), 300, 2)
+    assert [t[0] for t in up] == [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 32.0**0.5, (32.0**0.5 * 32.0) ** 0.5]
+
+
+def test_counts_at_a_scale_and_silent_configurations(spark):
+    rows = [("a", i, float((-1) ** i * (1 + i % 5))) for i in range(200)] + [("b", i, 1.0) for i in range(200)]
+    dif = spark.createDataFrame([(s, T0 + dt.timedelta(days=i), x) for s, i, x in rows], "symbol string, ts timestamp, x double")
+    got = {r.symbol: r.n_events for r in sampling.count_events(dif, "cum", 2.0).collect()}
+    one = sampling.sample_events(sampling.base_threshold(dif), "cum", F.col("vol") * 2.0).groupBy("symbol").count().collect()
+    assert {s: n for s, n in got.items() if n} == {r.symbol: r["count"] for r in one} and set(got) == {"a", "b"}
+    scales = spark.createDataFrame([("a", "cum", 2.0), ("a", "swt", 1.0), ("b", "cum", 2.0)], "symbol string, method string, scale double")
+    both = {(r.symbol, r.method): r["count"] for r in sampling.sample_scaled(sampling.base_threshold(dif), scales).groupBy("symbol", "method").count().collect()}
+    assert both.get(("a", "cum"), 0) == got["a"]
+    events = spark.createDataFrame([("a", T0, "m", 1.0)], "symbol string, ts timestamp, method string, q double")
+    j = {(r.a_method, r.b_method): r.jaccard for r in detect.jaccard(events, configs=[("m", 1), ("n", 1), ("o", 2)]).collect()}
+    assert j == {(a, b): 1.0 if a == b or {a, b} == {"n", "o"} else 0.0 for a in "mno" for b in "mno"}
+
+
+def test_exchange_of_a_code(spark):
+    from tidemark.sources.readers import exchange_prefix
+
+    codes = ["000001", "300750", "600000", "430047", "830799", "500001", "900901", "123456", "200012", "700001"]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(codes)], "i int, c string").orderBy("i").select(exchange_prefix("c")).collect()]
+    assert got == ["sz000001", "sz300750", "sh600000", "bj430047", "bj830799", "500001", "900901", "123456", "200012", "700001"]
+
+
+def test_extremes_without_a_bar_are_dated_by_their_confirmation(spark):
+    rows = [("a", T0 + dt.timedelta(days=i), i == 3 or i == 4, "high" if i == 3 else "low", 1 if i == 3 else 99, float(i)) for i in range(6)]
+    state = spark.createDataFrame(rows, "symbol string, timestamp timestamp, new_extremum_confirmed boolean, confirmed_extremum_kind string, confirmed_extremum_idx long, confirmed_extremum_value double")
+    got = {r.extreme_type: r.extreme_date for r in dmd.extreme_events(state).collect()}
+    assert got == {"high": T0 + dt.timedelta(days=1), "low": T0 + dt.timedelta(days=4)}

@@ -24,13 +24,14 @@ ALIASES = {
 def extreme_events(state: DataFrame) -> DataFrame:
     """Confirmed extremes of a market-state table, each once (its first
     confirmation), numbered by symbol: event_id, symbol, extreme_type,
-    extreme_idx, extreme_date, extreme_price, confirmed_idx, confirmed_date."""
+    extreme_idx, extreme_date, extreme_price, confirmed_idx, confirmed_date.  An
+    extreme whose bar is not in the table is dated by its confirmation."""
     w = Window.partitionBy("symbol").orderBy("timestamp")
     rows = state.withColumn("confirmed_idx", F.row_number().over(w) - 1)
     dates = rows.select("symbol", F.col("confirmed_idx").alias("extreme_idx"), F.col("timestamp").alias("extreme_date"))
     e = rows.filter("new_extremum_confirmed AND confirmed_extremum_kind IS NOT NULL AND confirmed_extremum_value IS NOT NULL").select(
         "symbol", F.col("confirmed_extremum_kind").alias("extreme_type"), F.col("confirmed_extremum_idx").alias("extreme_idx"), F.col("confirmed_extremum_value").alias("extreme_price"), "confirmed_idx", F.col("timestamp").alias("confirmed_date")
-    ).join(dates, ["symbol", "extreme_idx"])
+    ).join(dates, ["symbol", "extreme_idx"], "left").withColumn("extreme_date", F.coalesce("extreme_date", "confirmed_date"))
     once = Window.partitionBy("symbol", "extreme_type", "extreme_idx", "extreme_price").orderBy("confirmed_idx")
     e = e.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
     number = F.row_number().over(Window.partitionBy("symbol").orderBy("extreme_idx", "confirmed_idx"))

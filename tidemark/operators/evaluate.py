@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +129,69 @@ def match_levels(levels: DataFrame, bars: DataFrame, lookback: int = 260, tolera
     return levels.join(found, ["symbol", "ts", "side", "price"], "left")
 
 
+LEVELS = (("high1", "high"), ("high2", "high"), ("low1", "low"), ("low2", "low"))
+
+
+def structure_points(points: DataFrame, asks: DataFrame) -> DataFrame:
+    """The last four alternating extremes known at each asked time: columns of
+    ``asks`` (symbol, ts), label, kind, idx, level.  ``points`` is a table of
+    ``structure.shape_points``; its latest row up to the time counts.  Times with
+    fewer than two highs and two lows before them give no rows."""
+    from tidemark.plans.asof import asof_backward
+
+    named = ["h1", "h2", "l1", "l2"]
+    at = asof_backward(asks, points.select("symbol", "ts", *named, *[f"{c}_idx" for c in named]), [*named, *[f"{c}_idx" for c in named]])
+    four = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(f"{c}_idx").alias("idx"), F.col(c).alias("level")) for (label, kind), c in zip(LEVELS, named, strict=True)])
+    return at.filter("h1_idx IS NOT NULL").select(*asks.columns, F.explode(four).alias("z")).select(*asks.columns, "z.*")
+
+
+def match_points(asks: DataFrame, bars: DataFrame, lookback: int = 260, tolerance: float = 1e-6, price_is_log: bool = False) -> DataFrame:
+    """The bars of the levels of each ask (symbol, ts, high1, high2, low1, low2):
+    symbol, ts, label, kind, level, idx.  Of the bars from ``lookback`` before
+    that of ts, the nearest in price whose high (or low) is the level, else the
+    nearest of which any price is; a bar serves one level only, in the order of
+    the labels.  Levels meet bars by symbol and rounded price, so only likely
+    pairs form, and each ask is settled on its own."""
+    step = lambda p: F.round(F.when(F.abs(p) >= 1, F.signum(p) * (F.ln(F.abs(p)) / tolerance / 2 + 1e7)).otherwise(p / tolerance / 2)).cast("long")
+    w = Window.partitionBy("symbol").orderBy("ts")
+    placed = bars.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]).withColumn("idx", F.row_number().over(w) - 1)
+    prices = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("price")) for c in ("open", "high", "low", "close")]))
+    at = placed.select("symbol", "idx", prices.alias("z")).select("symbol", "idx", "z.*").filter("price IS NOT NULL")
+    # one step to either side, and the other scale at its edge
+    near = F.array_distinct(F.array(step(F.col("price")), step(F.col("price") * (1 + tolerance)), step(F.col("price") * (1 - tolerance)), step(F.col("price") + tolerance), step(F.col("price") - tolerance)))
+    at = at.withColumn("step", F.explode(near))
+    four = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(label).cast("double").alias("level")) for i, (label, kind) in enumerate(LEVELS)])
+    long = asks.select("symbol", "ts", F.explode(four).alias("z")).select("symbol", "ts", "z.*").join(placed.select("symbol", "ts", F.col("idx").alias("end")), ["symbol", "ts"])
+    long = long.withColumn("sought", F.exp("level") if price_is_log else F.col("level"))
+    met = long.withColumn("step", step(F.col("sought"))).join(at, ["symbol", "step"]).filter((F.col("idx") <= F.col("end")) & (F.col("idx") >= F.col("end") - lookback))
+    off = F.abs(F.col("price") - F.col("sought")) / F.greatest(F.abs("sought"), F.lit(1.0))
+    met = met.withColumn("off", off).filter(F.col("off") <= tolerance).select("symbol", "ts", "place", "idx", "off", (F.col("side") == F.col("kind")).alias("own")).distinct()
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        used: dict[int, int] = {}
+        for place, own in ((p, o) for p in range(len(LEVELS)) for o in (True, False)):
+            if place not in used:
+                open_ = pdf[(pdf["place"] == place) & (pdf["own"] if own else True) & ~pdf["idx"].isin(list(used.values()))].sort_values(["off", "idx"])
+                if len(open_):
+                    used[place] = int(open_["idx"].iloc[0])
+        return pd.DataFrame([(pdf["symbol"].iloc[0], pdf["ts"].iloc[0], p, i) for p, i in used.items()], columns=["symbol", "ts", "place", "idx"])
+
+    found = met.groupBy("symbol", "ts").applyInPandas(settle, "symbol string, ts timestamp, place int, idx long")
+    return long.join(found, ["symbol", "ts", "place"], "left").select("symbol", "ts", "label", "kind", "level", "idx")
+
+
+def examples(vectors: DataFrame, shape: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """n rows of valid state with all four levels known, the same whatever the
+    partitioning; levels that ``vectors`` lacks come from ``shape``."""
+    more = [c for c in ("starts_high", "high1", "high2", "low1", "low2") if c not in vectors.columns]
+    rows = vectors.join(shape.select("symbol", "ts", *more), ["symbol", "ts"], "left") if more else vectors
+    if "valid_state" in rows.columns:
+        rows = rows.filter("valid_state")
+    rows = rows.dropna(subset=["high1", "high2", "low1", "low2"])
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "symbol", F.col("ts").cast("string")))
+    return rows.orderBy(order, "symbol", "ts").limit(n)
+
+
 def evaluate(state: DataFrame, horizons: Sequence[int] = (5,), log: bool = False) -> dict[str, DataFrame]:
     """All of the above for a market-state table."""
     rows = state.withColumn("ts", F.col("timestamp")).withColumn("close", F.col("Close")) if "timestamp" in state.columns else state

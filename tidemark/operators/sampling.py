@@ -309,6 +309,21 @@ def sample_events(dif: DataFrame, method: str, threshold: Column | float, b2b: i
     return aligned_threshold(dif, threshold).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, method string")
 
 
+def sample_scaled(base: DataFrame, scales: DataFrame, b2b: int = 1) -> DataFrame:
+    """Events of each (symbol, method) of ``scales`` against the base threshold
+    (symbol, ts, x, vol) times its scale, in one pass: symbol, ts, method."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        x = pdf["x"].to_numpy(float)
+        known = np.isfinite(x)
+        at = sample_positions(pdf["method"].iloc[0], x[known], np.maximum(pdf["vol"].to_numpy(float) * pdf["scale"].iloc[0], 0.0)[known], b2b)
+        return pdf[["symbol", "ts", "method"]][known].iloc[at]
+
+    rows = base.join(scales.select("symbol", "method", "scale"), "symbol")
+    return rows.groupBy("symbol", "method").applyInPandas(run, "symbol string, ts timestamp, method string")
+
+
 def sliding_window_events(dif: DataFrame, threshold: Column | float, b2b: int = 1, window: int = 20) -> DataFrame:
     """``swt`` in Spark expressions: no state is reset, so an event is every
     b2b-th exceedance of an unbroken run."""
@@ -336,34 +351,73 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     return rows.select("symbol", "ts", "x", F.greatest(F.coalesce("v", floor), floor * 1e-3).alias("vol"))
 
 
-def tune_scales(dif: DataFrame, methods: Sequence[str], target: int, b2b: int = 1, window: int = 128, max_iter: int = 16) -> DataFrame:
-    """The multiple of the base threshold at which each method comes nearest to
-    ``target`` events: symbol, method, scale, n_events, error.  Each (symbol,
-    method) searches on its own, where its data are."""
+def count_events(dif: DataFrame, method: str, scale: float = 1.0, b2b: int = 1, window: int = 128, **options) -> DataFrame:
+    """symbol, method, scale, n_events: events against the base threshold times
+    ``scale``; symbols without events have a row as well."""
+    base = base_threshold(dif, window)
+    found = sample_events(base, method, F.col("vol") * scale, b2b, **options).groupBy("symbol").agg(F.count("*").alias("n"))
+    return base.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.lit(method).alias("method"), F.lit(float(scale)).alias("scale"), F.coalesce("n", F.lit(0)).alias("n_events"))
+
+
+def search_scale(count, target: int, max_iter: int) -> list[tuple[float, int, bool]]:
+    """The scales tried, in order: (scale, events, whether it may be chosen).
+    From 1 down by halves until there are enough events, then up by doubles until
+    there are no more than enough, then geometric means between the two."""
+    tried: list[tuple[float, int, bool]] = []
+
+    def at(scale: float, open_: bool = False) -> int:
+        tried.append((scale, count(scale), open_))
+        return tried[-1][1]
+
+    def end() -> None:
+        tried[-1] = (*tried[-1][:2], True)
+
+    low = 1.0
+    while (n_low := at(low)) < target and low > 1e-12:
+        low /= 2
+    end()
+    high = low if n_low < target else low * 2
+    while (n_high := at(high)) > target and high < 1e12:
+        high *= 2
+    end()
+    if n_low >= target >= n_high:
+        for _ in range(max_iter):
+            middle = math.sqrt(low * high)
+            n = at(middle, True)
+            if n == target:
+                break
+            low, high = (middle, high) if n > target else (low, middle)
+    return tried
+
+
+def tuning_history(dif: DataFrame, methods: Sequence[str], target: int, b2b: int = 1, window: int = 128, max_iter: int = 16) -> DataFrame:
+    """symbol, method, round, scale, n_events, eligible of every scale that the
+    search tries.  Each (symbol, method) searches on its own, where its data are."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")
         x, vol, method = pdf["x"].to_numpy(float), pdf["vol"].to_numpy(float), pdf["method"].iloc[0]
-        tried: dict[float, int] = {}
+        known: dict[float, int] = {}
 
         def count(scale: float) -> int:
-            if scale not in tried:
-                tried[scale] = len(sample_positions(method, x, vol * scale, b2b))
-            return tried[scale]
-
-        low = high = 1.0
-        while count(low) < target and low > 1e-12:
-            low /= 2
-        while count(high) > target and high < 1e12:
-            high *= 2
-        for _ in range(max_iter):
-            middle = math.sqrt(low * high)
-            n = count(middle)
-            if n == target:
-                break
-            low, high = (middle, high) if n > target else (low, middle)
-        scale = min(tried, key=lambda s: (abs(tried[s] - target), s))
-        return pd.DataFrame([(pdf["symbol"].iloc[0], method, scale, tried[scale], tried[scale] - target)], columns=["symbol", "method", "scale", "n_events", "error"])
+            if scale not in known:
+                known[scale] = len(sample_positions(method, x, vol * scale, b2b))
+            return known[scale]
+
+        rows = [(pdf["symbol"].iloc[0], method, i, *t) for i, t in enumerate(search_scale(count, target, max_iter))]
+        return pd.DataFrame(rows, columns=["symbol", "method", "round", "scale", "n_events", "eligible"])
 
     rows = base_threshold(dif, window).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    return rows.groupBy("symbol", "method").applyInPandas(search, "symbol string, method string, scale double, n_events long, error long")
+    return rows.groupBy("symbol", "method").applyInPandas(search, "symbol string, method string, round int, scale double, n_events long, eligible boolean")
+
+
+def tune_scales(dif: DataFrame, methods: Sequence[str], target: int, b2b: int = 1, window: int = 128, max_iter: int = 16) -> DataFrame:
+    """The multiple of the base threshold at which each method comes nearest to
+    ``target`` events: symbol, method, scale, n_events, error."""
+    return best_scales(tuning_history(dif, methods, target, b2b, window, max_iter), target)
+
+
+def best_scales(history: DataFrame, target: int) -> DataFrame:
+    near = F.struct(F.abs(F.col("n_events") - target).alias("error"), "scale", "n_events")
+    best = history.filter("eligible").groupBy("symbol", "method").agg(F.min(near).alias("b"))
+    return best.select("symbol", "method", "b.scale", "b.n_events", (F.col("b.n_events") - target).alias("error"))

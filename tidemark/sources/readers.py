@@ -93,9 +93,10 @@ def normalise_intraday(raw: DataFrame, symbol: str, order: str | None = None) ->
 
 
 def exchange_prefix(code: str | Column) -> Column:
-    """sh or sz before a six-digit code."""
+    """The exchange before a six-digit code by its first digit: sz for 0 and 3, sh
+    for 6, bj for 4 and 8; other codes stay as they are."""
     c = symbol_code(code)
-    return F.concat(F.when(c.rlike("^[569]"), F.lit("sh")).when(c.rlike("^[48]"), F.lit("bj")).otherwise(F.lit("sz")), c)
+    return F.concat(F.when(c.rlike("^[03]"), F.lit("sz")).when(c.rlike("^6"), F.lit("sh")).when(c.rlike("^[48]"), F.lit("bj")).otherwise(F.lit("")), c)
 
 
 def read_settings(spark: SparkSession, path: str | None, **flags) -> dict:
