@@ -93,7 +93,7 @@ def _records(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(rows), dtype), np.array([len(b) // dtype.itemsize for b in rows], np.int64)
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, most: int = 8 << 20, salts: int | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, most: int = 32 << 20, salts: int | None = None) -> DataFrame:
     """Per row: ``key``, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     ``salts``: groups of a hot pre-token, a sixteenth of the shuffle partitions
