@@ -67,7 +67,7 @@ class Encoder:
         # special strings, and what Python alone takes for white space
         self.apart = [*(t["content"] for t in spec["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.model, self.letters = self.library.model, byte_letters()
-        self.known = Memo(self._stretch, 700_000)
+        self.known = Memo(self._stretch, 350_000)  # and as many of the generation before: a worker's memory, of whom an executor may have several
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.pack = struct.Struct(f"<{self.code}").pack
@@ -75,11 +75,12 @@ class Encoder:
     def _stretch(self, stretch: str) -> bytes | None:
         """Ids of a stretch of lower-case text without white space, by the
         library's model; none if it isn't plain."""
-        if _OTHER.search(stretch):
+        plain = stretch.isascii()
+        if not plain and _OTHER.search(stretch) or plain and not stretch.isprintable():
             return None
-        ids = []
+        ids, tokenize = [], self.model.tokenize
         for w in (stretch,) if stretch.isalpha() else _WORD.findall(stretch):
-            ids += [t.id for t in self.model.tokenize(w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())))]
+            ids += [t.id for t in tokenize(w if plain else "".join(map(self.letters.__getitem__, w.encode())))]
         return self.pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
