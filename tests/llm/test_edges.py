@@ -567,3 +567,28 @@ def test_op10_repeats_history_within_its_allowance(spark):
     for w in got:
         assert w.turns[0].ord == 0 and len(w.formatted) < 4 * 260
     assert any(not t.fresh for t in got[3].turns[1:]) and sum(t.fresh for w in got for t in w.turns) == 40
+
+
+@pytest.mark.parametrize(("budget", "history", "given"), [(300, 80, False), (120, 40, False), (200, 40, True)])
+def test_op10_windows_keep_their_budget(spark, budget, history, given):
+    g, rows = random.Random(budget), []
+    for c in range(30):
+        for n in range(g.randrange(1, 60)):
+            role = "system" if n == 0 and c % 3 == 0 else ["user", "assistant"][n % 2]
+            rows.append((c, n, role, " ".join(g.choice(WORDS) for _ in range(g.randrange(0, 12 if g.random() < 0.9 else 120))), g.randrange(1, 40)))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, cost long").repartition(3)
+    # told from the text, or real counts of a vocabulary
+    if given:
+        counts = token_counts.count_tokens(df.select(F.struct("conv_id", "turn").cast("string").alias("doc_id"), "text")).select("doc_id", (F.col("n_tokens") + 4).alias("cost"))
+        df = df.drop("cost").withColumn("doc_id", F.struct("conv_id", "turn").cast("string")).join(counts, "doc_id")
+    cost = F.col("cost") if given else chat.turn_tokens(F.col("text"))
+    own = {(r.conv_id, r.turn): r.n for r in df.select("conv_id", "turn", cost.alias("n")).collect()}
+    seen = collections.Counter()
+    for w in chat.format_windows(df, budget, history, "cost" if given else None).collect():
+        n = [own[w.conv_id, t.ord] for t in w.turns]
+        fresh = [t.ord for t in w.turns if t.fresh and not (t.ord == 0 and w.conv_id % 3 == 0)]
+        system = own[w.conv_id, 0] if w.conv_id % 3 == 0 else 0
+        step = max(16, (budget - history - system) // 2)
+        assert sum(n) <= budget or len(fresh) == 1 and own[w.conv_id, fresh[0]] > step or budget - history - system < 32
+        seen.update((w.conv_id, o) for o in fresh)
+    assert max(seen.values()) == 1 and len(seen) == sum(not (r[1] == 0 and r[0] % 3 == 0) for r in rows)

@@ -13,9 +13,16 @@ only, so a target that is repeated as history is masked there.
 Running sums over a conversation are carried across range partitions, and
 windows are assembled from bounded groups: no task needs a whole conversation.
 
+A turn's tokens are given as a column (``token_counts`` has those of a
+vocabulary, the marks' own to be added) or told from its pre-tokens.
+
+A window's turns are within the budget, but for two cases in which nothing may be
+left out: a turn that alone is over what the budget leaves has a window of its
+own, and a system turn that leaves less than 32 tokens is retained all the same.
+
 Null text is empty, null role the empty role; a null turn number comes first;
 ties of turn number are ordered by role, then text; repeated rows are separate
-turns.  A turn over the budget is kept whole.  An empty table gives no windows.
+turns.  An empty table gives no windows.
 Only DataFrame functions are used.
 """
 
@@ -49,18 +56,25 @@ def unescape_role(role: Column) -> Column:
     return F.replace(out, F.lit("%25"), F.lit("%"))
 
 
-def rough_tokens(text: Column) -> Column:
-    """A turn's cost where no token column is given: a token for four bytes, and
-    four for its marks."""
-    return (F.ceil(F.octet_length(text) / 4) + 4).cast("long")
+#: How byte-level vocabularies split text before their merges (as Java writes it).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def turn_tokens(text: Column, piece: int = 3) -> Column:
+    """A turn's cost where no token column is given: four for its marks, and for
+    each pre-token (which no token crosses) one for every ``piece`` bytes begun."""
+    each = F.regexp_extract_all(text, F.lit(PRE_TOKEN), F.lit(0))
+    return (F.aggregate(each, F.lit(0).cast("long"), lambda s, p: s + F.ceil(F.octet_length(p) / piece)) + 4).cast("long")
 
 
-def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tokens: Column | None = None) -> DataFrame:
-    """``turns``: conv_id, turn, role, text.  Per window: conv_id, window (from
+def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tokens: str | None = None) -> DataFrame:
+    """``turns``: conv_id, turn, role, text, and ``tokens``, if a column is named.
+    Per window: conv_id, window (from
     0), formatted, ``turns`` (array of ord, fresh: whether its first showing)
     and ``loss`` (array of ord, at, chars: code points of ``formatted``)."""
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("n", tokens if tokens is not None else rough_tokens(F.col("text"))).withColumn("rid", F.monotonically_increasing_id())
+    said = F.coalesce("text", F.lit(""))
+    cost = F.col(tokens).cast("long") if tokens else turn_tokens(said)
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text"), cost.alias("n")).withColumn("rid", F.monotonically_increasing_id())
     t = stage(t, "turns")
 
     # order and prefix sums by conversation, over small rows
