@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ordered, stage
+from tidemark.llm.common import drop, ordered, stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -80,7 +80,8 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     # order and prefix sums by conversation, over small rows
     by = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "digest", "rid"]
     small = t.select("conv_id", "turn", "role", "n", "rid", F.sha2("text", 256).alias("digest"))
-    o = ordered(small, *by, name="turn-order").withColumn("conv", F.struct("conv_id"))  # a struct compares null with null
+    order = ordered(small, *by, name="turn-order")
+    o = order.withColumn("conv", F.struct("conv_id"))  # a struct compares null with null
     local = Window.partitionBy("_part", "conv_id").orderBy("_pos")
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     o = o.withColumn("_sum", F.sum("n").over(upto)).withColumn("_ord", F.row_number().over(local))
@@ -126,13 +127,16 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     # bounded groups: a window's turns cost at least four tokens each
     item = F.struct("place", "ord", "fresh", "line", F.struct("ord", F.col("at").cast("long").alias("at"), F.length("said").cast("long").alias("chars")).alias("span"), (F.col("fresh") & (F.col("role") == "assistant")).alias("target"))
     made = shown.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(item)).alias("a"))
-    return made.select(
+    made = made.select(
         "conv_id",
         F.col("slot").alias("window"),
         F.array_join(F.transform("a", lambda x: x["line"]), "").alias("formatted"),
         F.transform("a", lambda x: F.struct(x["ord"].alias("ord"), x["fresh"].alias("fresh"))).alias("turns"),
         F.transform(F.filter("a", lambda x: x["target"]), lambda x: x["span"]).alias("loss"),
     )
+    out = stage(made, "chat-windows")
+    drop(t, order, o, q, slots)
+    return out
 
 
 def read_turns(windows: DataFrame) -> DataFrame:

@@ -95,14 +95,15 @@ def part_offsets(parts: DataFrame, value) -> DataFrame:
 
 def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows before this one in
-    ``order``, and ``_part``, which rises with it.  Two small shuffles; no task
-    sees the whole table."""
+    ``order``, and ``_part``, which rises with it; staged.  Two small shuffles; no
+    task sees the whole table."""
     o = ordered(df, *[F.col(c).asc_nulls_first() for c in order], name="prefix")
     w = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
     local = F.coalesce(F.sum(value).over(w), F.lit(0))
-    return o.withColumn("_local", local).join(part_offsets(o, F.col(value)), "_part").withColumn(
-        out, (F.col("_local") + F.col("_before")).cast("long")
-    ).drop("_local", "_before", "_pos")
+    placed = o.withColumn("_local", local).join(part_offsets(o, F.col(value)), "_part")
+    placed = stage(placed.withColumn(out, (F.col("_local") + F.col("_before")).cast("long")).drop("_local", "_before", "_pos"), "starts")
+    drop(o)
+    return placed
 
 
 def place_among(value: Column, cuts: list) -> Column:

@@ -110,8 +110,8 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
     common = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
     near = halves.join(common, "half").select("h").distinct().join(first.select("h", "p"), "h")
     # numbers in order of place stand for lines from here on
-    near = ordered(near, F.col("p.k").asc_nulls_first(), "p.d", "p.at", name="near-lines")
-    near = stage(near.select("h", "p", (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_pos")).alias("ord")), "near-lines")
+    placed_lines = ordered(near, F.col("p.k").asc_nulls_first(), "p.d", "p.at", name="near-lines")
+    near = stage(placed_lines.select("h", "p", (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_pos")).alias("ord")), "near-lines")
 
     # their tokens, from the document of the first occurrence
     spots = stage(near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")), "near-spots")
@@ -144,7 +144,7 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
     gone = checked.select("ord").distinct().join(near.select("ord", "h"), "ord").select("h", F.lit(True).alias("gone"))
     verdicts = first.select("h", "p", "c").join(gone, "h", "left").filter("c > 1 OR gone").select("h", "p", F.coalesce("gone", F.lit(False)).alias("gone"))
     verdicts = stage(verdicts, "line-verdicts")
-    drop(first, near, spots, texts, met)
+    drop(first, placed_lines, near, spots, texts, met)
     return verdicts
 
 

@@ -391,4 +391,6 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     groups = named.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("texts"))
     named = stage(join_skewed(named, stage(groups, "components"), "label", "texts", most).select("h", "component", "copies"), "named-texts")
     whole = join_skewed(rows.select("k", "n", F.when(F.col("n") > 0, F.col("h")).alias("h")), named, "h", "copies", most)
-    return whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id"))
+    out = stage(whole.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "k").alias("component_id")), "components")
+    drop(rows, texts, sets, shared, labels, named)
+    return out

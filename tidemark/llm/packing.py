@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage, vocabulary
+from tidemark.llm.common import drop, stage, vocabulary
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
@@ -321,6 +321,9 @@ def pack(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str =
     ranked = pieces.join(bases, ["_task", "length"]).withColumn("_rank", F.col("_base") + F.col("_nth"))
     placed = ranked.join(ways, "length").filter("_rank >= _from AND _rank < _to")
     within = F.col("_rank") - F.col("_from")
-    return placed.select(
+    placed = placed.select(
         F.col("_key").alias(key), "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.floor(within / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + within % F.col("_each") * F.col("length")).cast("long").alias("offset"), *(["ids"] if ids else [])
     )
+    out = stage(placed, "packed")
+    drop(pieces)
+    return out
