@@ -96,5 +96,17 @@ def queries() -> dict:
     }
 
 
+#: Words of ASCII lower case, their sets of three in a row, links by the share of
+#: equal ones, and the least id that links reach.
+OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ s AS (SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+ e AS (SELECT doc_id, unnest(g) AS g FROM s), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 90 * (len(a.g) + len(b.g) - c)),
+ r AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+ SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY 1, 2"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The n-gram join; the others are beyond SQL (tests hold them against brute
+    force, the libraries, round trips or held-out rows)."""
+    return {"op3_ngram_join": OP3}
