@@ -16,9 +16,9 @@
    which bounds the overlap from above.  Pairs that pass are intersected as
    sorted arrays.
 4. *Links.*  Rows that share a part are first compared with one of them, which
-   joins groups of near copies in as many comparisons as rows; what then is in
-   different components is compared block by block, so that no pair of different
-   components remains unseen.
+   joins groups of near copies in as many comparisons as rows.  What then is
+   outside the part's commonest component is compared with all of the part, block
+   by block, so that no pair of different components remains unseen.
 
 Equal texts are one row throughout.  Hot parts are split into
 blocks of fixed size.  Elements are 64-bit hashes.
@@ -337,26 +337,35 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pairs = pairs.join(side(light, "a", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(side(light, "b", F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b").mapInPandas(bounded, "a long, b long")
     labels = stage(components(verified(pairs)), "labels")
 
-    # 4. rows of one part in different components: blocks against blocks
+    # 4. rows of one part in different components.  Those of its commonest component need no comparison among
+    # themselves: the others (the minor ones) meet them and each other, block by block
     placed = shared.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("part", "rid", F.coalesce("label", "rid").alias("label"))
-    apart = placed.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("part", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = placed.join(apart, "part").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")).join(light, "rid")
-    # block i meets block j >= i: a row goes to as many tiles as its part has blocks
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    tiles = open_.withColumn("tile", F.explode(others)).select("part", "tile.i", "tile.j", "block", "rid", "label", "n", "bits")
-
-    def passing(rid, label, size, bitmaps, block, cross) -> list[tuple[int, int]]:
+    tally = placed.groupBy("part", "label").agg(F.count("*").alias("c"))
+    apart = tally.groupBy("part").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    apart = apart.select("part", F.col("top.label").alias("major"), blocks(F.col("top.c")).alias("majors"), blocks(F.col("size") - F.col("top.c")).alias("minors"))
+    open_ = placed.join(apart, "part").withColumn("minor", F.col("label") != F.col("major")).join(light, "rid")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("rid"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    # tile (i, j) with j < 0: minor block i and major block -1 - j; else minor blocks i and j >= i
+    against = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))
+    among = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    faced = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
+    tiles = open_.withColumn("tile", F.explode(F.when(F.col("minor"), F.concat(against, among)).otherwise(faced))).select("part", "tile.i", "tile.j", "block", "minor", "rid", "label", "n", "bits")
+
+    def passing(rid, label, size, bitmaps, block, minor, i, j) -> list[tuple[int, int]]:
         """Pairs of one tile that may link, in different components."""
-        order, bits = np.argsort(size, kind="stable"), fold(bitmaps, min(map(len, bitmaps)))
-        rid, label, size, bits, block = rid[order], label[order], size[order], bits[order], block[order]
-        out = []
-        for i in range(len(rid) - 1):
-            j = np.arange(i + 1, np.searchsorted(size, size[i] * den // num, "right"))  # no larger partner
-            j = j[(label[j] != label[i]) & ((block[j] != block[i]) | (not cross))]
-            if len(j):
-                gap = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                for k in j[t.enough(np.minimum((size[i] + size[j] - gap) // 2, size[i]), size[i], size[j])]:
-                    out.append((min(rid[i], rid[k]), max(rid[i], rid[k])))
+        bits, out = fold(bitmaps, min(map(len, bitmaps))), []
+        cross = i != j
+        for a in np.flatnonzero(minor):
+            # minor rows meet the major ones, or the other block, or those after them in their own
+            b = ~minor if j < 0 else (block != block[a]) if cross else (np.arange(len(rid)) > a)
+            if cross and j >= 0 and block[a] != i:
+                continue
+            b = np.flatnonzero(b & (label != label[a]) & (num * np.maximum(size, size[a]) <= den * np.minimum(size, size[a])))  # no larger partner
+            if len(b):
+                small, gap = np.minimum(size[b], size[a]), np.bitwise_count(bits[b] ^ bits[a]).sum(1).astype(np.int64)
+                for k in b[t.enough(np.minimum((size[a] + size[b] - gap) // 2, small), size[a], size[b])]:
+                    out.append((min(rid[a], rid[k]), max(rid[a], rid[k])))
         return out
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -372,11 +381,12 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             cuts = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
             ends = [0, *cuts.tolist(), *([len(rest)] if pdf is None else [])]
             bits = rest["bits"].tolist()
-            rid, label, size, block = (rest[c].to_numpy() for c in ("rid", "label", "n", "block"))
+            columns = [rest[c].to_numpy() for c in ("rid", "label", "n", "block", "minor")]
             out = []
             for s, e in zip(ends, ends[1:], strict=False):
                 if e - s > 1:
-                    out += passing(rid[s:e], label[s:e], size[s:e], bits[s:e], block[s:e], where[s, 1] != where[s, 2])
+                    rid, label, size, block, minor = (c[s:e] for c in columns)
+                    out += passing(rid, label, size, bits[s:e], block, minor, int(where[s, 1]), int(where[s, 2]))
             yield pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype(np.int64)
             rest = rest.iloc[ends[-1] :].reset_index(drop=True)
 
