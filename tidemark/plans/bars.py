@@ -43,7 +43,8 @@ def completeness(bars: DataFrame) -> DataFrame:
     first, last, n_rows, n_days, n_duplicates, n_missing, min and max rows a day."""
     daily = bars.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("ts").alias("d"))
     own = daily.groupBy("symbol").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("n").alias("n_rows"), F.count("*").alias("n_days"), F.sum(F.col("n") - F.col("d")).alias("n_duplicates"), F.min("n").alias("min_per_day"), F.max("n").alias("max_per_day"))
-    calendar = daily.select("day").distinct()
-    due = own.select("symbol", "first_day", "last_day").join(calendar, F.col("day").between(F.col("first_day"), F.col("last_day"))).select("symbol", "day")
-    missing = due.join(daily.select("symbol", "day"), ["symbol", "day"], "left_anti").groupBy("symbol").agg(F.count("*").alias("n_missing"))
-    return own.join(missing, "symbol", "left").withColumn("n_missing", F.coalesce("n_missing", F.lit(0)))
+    # one row per day of all symbols, numbered: what lies between two days is a difference of numbers
+    numbered = daily.select("day").distinct().withColumn("_i", F.row_number().over(Window.orderBy("day")))
+    first, last = numbered.select(F.col("day").alias("first_day"), F.col("_i").alias("_first")), numbered.select(F.col("day").alias("last_day"), F.col("_i").alias("_last"))
+    out = own.join(first, "first_day").join(last, "last_day").withColumn("n_missing", (F.col("_last") - F.col("_first") + 1 - F.col("n_days")).cast("long"))
+    return out.select(*own.columns, "n_missing")

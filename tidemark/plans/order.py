@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def place_among(value: Column, cuts: list) -> Column:
+    """How many of the ascending ``cuts`` lie below a value (0 for null), by
+    binary search."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.array(*[F.lit(c) for c in cuts])
+    half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        below = F.get(bounds, half(s)) < value
+        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+
+    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, step, lambda s: s["lo"])
+
+
 def with_position(rows: DataFrame, order: Sequence[str], position: str, total: str | None = None) -> DataFrame:
     """Add the row's place (from 0) in ``order``, and the number of rows.  Rows
     are range-partitioned by the leading column; only one row per partition goes
@@ -15,10 +31,7 @@ def with_position(rows: DataFrame, order: Sequence[str], position: str, total: s
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select(F.percentile_approx(F.col(order[0]).cast("double"), [i / n for i in range(1, n)] or [0.5], 1000).alias("q")).first()["q"]
     cuts = sorted(set(bounds or []))
-    part = F.lit(0)
-    for i, c in enumerate(cuts):
-        part = F.when(F.col(order[0]) > c, i + 1).otherwise(part)
-    placed = rows.withColumn("_part", part)
+    placed = rows.withColumn("_part", place_among(F.col(order[0]).cast("double"), cuts))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_c"))
     before = sizes.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_t"))
