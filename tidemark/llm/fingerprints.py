@@ -32,7 +32,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, place_among, stage
+from tidemark.llm.common import drop, stage
+from tidemark.plans.order import place_among
 
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: Fingerprints' hex digits per draw

@@ -45,7 +45,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import _OTHER, _WORD, Memo, byte_letters
-from tidemark.llm.common import drop, join_skewed, place_among, running_start, stage, vocabulary
+from tidemark.llm.common import drop, join_skewed, running_start, stage, vocabulary
+from tidemark.plans.order import place_among
 
 
 class Encoder:
