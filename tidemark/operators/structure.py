@@ -286,6 +286,7 @@ def phase_name(side: int, leg: int) -> str:
     return f"{way}_phase_unknown" if not leg else f"{way}_movement" if leg == side else f"{way}_correction"
 
 
+#: Fields of a state row and their types.
 STATE = (
     "timestamp timestamp, Open double, High double, Low double, Close double, detector_method string, detector_q double, cpd_direction_source string, cpd_direction_score double, cpd_confirm_event boolean, "
     "cpd_confirmed_position long, cpd_confirmed_timestamp timestamp, cpd_confirmed_direction int, cpd_confirmed_direction_source string, cpd_confirmed_score double, direction int, excep int, status int, status_switch boolean, "
@@ -352,6 +353,7 @@ def core_vector(state: DataFrame) -> DataFrame:
 # -- structural shape -------------------------------------------------------
 
 POINTS = "symbol string, ts timestamp, idx long, open double, high double, low double, close double, num_confirmed_extrema long, confirmed boolean, first_high boolean, h1 double, h1_idx long, h2 double, h2_idx long, l1 double, l1_idx long, l2 double, l2_idx long, e0_idx long, e3_idx long, median_gap double"
+#: Columns of the shape table beside prices.
 DIAGNOSTICS = ["direction", "excep", "status", "current_trend", "current_trend_code", "current_phase", "trend_candidate", "new_extremum_confirmed", "confirmed_extremum_kind", "confirmed_extremum_idx", "confirmed_extremum_value", "cpd_confirm_event", "time_since_last_cpd", "time_since_last_cpd_confirm"]
 FEATURES = ["starts_high", "high1", "high2", "low1", "low2", "high_change", "low_change", "expansion", "range_pos", "upper_break", "lower_break", "structure_dir", "range_pct", "last_width_pct", "move_age", "high_speed", "low_speed", "extrema_freq"]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Names of the vector's columns in its files.
 VARIABLES = ["range_pct", "expansion", "structure_dir", "range_pos", "upper_break", "lower_break", "move_age", "extrema_freq", "speed_imbalance", "speed_level"]
 BINARY = {"upper_break", "lower_break"}
 KEPT = ["symbol", "ts", "close", "has_structural_window", "num_confirmed_extrema", "starts_high", "high1", "high2", "low1", "low2"]
@@ -28,28 +30,48 @@ def state_vector(shape: DataFrame) -> DataFrame:
     return rows.select(*[c for c in KEPT if c in rows.columns], *VARIABLES, valid.alias("valid_state"))
 
 
+def prior_bounds(values: np.ndarray, window: int, least: int, levels: tuple[float, float]) -> np.ndarray:
+    """Of each value the quantiles at ``levels`` of the finite ones among the
+    ``window`` before it; NaN where there are fewer than ``least``.  The window
+    is kept sorted: one insertion and one deletion a step."""
+    kept: list[float] = []
+    out = np.full((len(values), 2), np.nan)
+    known = np.isfinite(values)
+    for i in range(1, len(values)):
+        if known[i - 1]:
+            insort(kept, values[i - 1])
+        gone = i - 1 - window
+        if gone >= 0 and known[gone]:
+            del kept[bisect_left(kept, values[gone])]
+        if len(kept) >= max(least, 1):
+            for j, level in enumerate(levels):
+                at = level * (len(kept) - 1)
+                k = min(int(at), len(kept) - 1)
+                out[i, j] = kept[k] + (kept[min(k + 1, len(kept) - 1)] - kept[k]) * (at - k)
+    return out
+
+
 def rolling_scores(rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95, binary: Sequence[str] = tuple(BINARY)) -> DataFrame:
     """``<column>_score`` in -1..1: where a value lies between quantiles of the
-    ``window`` rows before it.  The quantiles of a sliding frame are kept
-    incrementally in one pass per symbol; a window function would sort every
-    frame anew."""
+    ``window`` rows before it, of which ``min_periods`` must be known.  One pass
+    per symbol over a sorted window; a window function would sort every frame
+    anew.  Where the quantiles meet, or a value is not finite, there is none."""
     moving = [c for c in columns if c not in binary]
     out = rows
     if moving:
-        fields = [f"{c}_score" for c in moving]
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`{f}` double" for f in fields)])
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`_bounds_{c}` array<double>" for c in moving)])
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
-            for c in moving:
-                v = pd.to_numeric(pdf[c], errors="coerce").astype("float64").replace([np.inf, -np.inf], np.nan)
-                past = v.shift(1).rolling(window, min_periods=min_periods)
-                lo, hi = past.quantile(lower), past.quantile(upper)
-                width = (hi - lo).where(lambda w: w.abs() > 1e-12)
-                pdf[f"{c}_score"] = (2 * (v - lo) / width - 1).clip(-1, 1).astype("Float64")
-            return pdf
+            pdf = pdf.sort_values("ts", kind="stable")
+            found = {f"_bounds_{c}": list(prior_bounds(pdf[c].to_numpy(float, na_value=np.nan), window, min_periods, (lower, upper))) for c in moving}
+            return pdf.assign(**found)
 
         out = rows.groupBy("symbol").applyInPandas(run, schema)
+        for c in moving:
+            lo, hi = F.col(f"_bounds_{c}")[0], F.col(f"_bounds_{c}")[1]
+            score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (F.col(c) - lo) / (hi - lo) - 1))
+            out = out.withColumn(f"{c}_score", F.when(finite(c).isNotNull() & finite(lo).isNotNull() & (F.abs(hi - lo) > 1e-12), score))
+        out = out.drop(*[f"_bounds_{c}" for c in moving])
     return out.withColumns({f"{c}_score": F.when(finite(c).isNotNull(), 2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) - 1) for c in columns if c in binary})
 
 
