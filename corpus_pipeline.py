@@ -56,7 +56,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     ranked = stage(groups.join(rows.select("_row", "doc_id"), "_row").select("_group", place.alias("_place")), "groups")
     first = ranked.groupBy("_group").agg(F.min("_place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    others = stage(join_skewed(ranked, stage(first, "group-firsts"), "_group", "_n", most=100_000).filter("_place <> _first").select("_place._row"), "others")
+    others = stage(
+        join_skewed(ranked, stage(first, "group-firsts"), "_group", "_n", most=100_000).filter("_place <> _first").select("_place._row"), "others"
+    )
     return rows.join(broadcast_if_small(others), "_row", "left_anti").select(*COLUMNS)
 
 

@@ -29,7 +29,10 @@ TAU_STAR = {"n": -1.04, "c": -1.61, "ct": -2.89, "ctt": -3.21}
 TAU_MIN = {"n": -19.04, "c": -18.83, "ct": -16.18, "ctt": -17.17}
 TAU_MAX = {"n": math.inf, "c": 2.74, "ct": 0.7, "ctt": 0.54}
 TAU_SMALL = {"n": (0.6344, 1.2378, 0.032496), "c": (2.1659, 1.4412, 0.038269), "ct": (3.2512, 1.6047, 0.049588), "ctt": (4.0003, 1.658, 0.048288)}
-TAU_LARGE = {"n": (0.4797, 0.93557, -0.06999, 0.033066), "c": (1.7339, 0.93202, -0.12745, -0.010368), "ct": (2.5261, 0.61654, -0.37956, -0.060285), "ctt": (3.0778, 0.49529, -0.41477, -0.059359)}
+TAU_LARGE = {
+    "n": (0.4797, 0.93557, -0.06999, 0.033066), "c": (1.7339, 0.93202, -0.12745, -0.010368), "ct": (2.5261, 0.61654, -0.37956, -0.060285),
+    "ctt": (3.0778, 0.49529, -0.41477, -0.059359)
+}
 
 
 def mackinnon_p(stat: float, regression: str = "c") -> float:
@@ -125,7 +128,9 @@ def local_regression(x: np.ndarray, y: np.ndarray, frac: float = 0.25, robust: i
             gap = x[s] - x[i]
             reach = max(abs(gap[0]), abs(gap[-1]))
             if reach > 0:
-                w = np.where(np.abs(gap) >= 0.999 * reach, 0.0, np.where(np.abs(gap) <= 0.001 * reach, 1.0, (1 - np.minimum(np.abs(gap) / reach, 1) ** 3) ** 3)) * trust[s]
+                w = np.where(
+                    np.abs(gap) >= 0.999 * reach, 0.0, np.where(np.abs(gap) <= 0.001 * reach, 1.0, (1 - np.minimum(np.abs(gap) / reach, 1) ** 3) ** 3)
+                ) * trust[s]
             else:
                 w = trust[s].copy()
             total = w.sum()

@@ -95,14 +95,24 @@ def wild_limits(rows: DataFrame, wild: dict[int, dict]) -> DataFrame:
     """symbol, config, length, value: thresholds of wild binary segmentation for
     the lengths that a series can need.  Each length is simulated once per config,
     its repetitions spread over the executors."""
-    settings = {i: {k: v.default for k, v in inspect.signature(wbs.segment).parameters.items() if k in ("draws", "alpha", "least", "reps", "seed")} for i in wild}
+    settings = {i: {
+        k: v.default for k, v in inspect.signature(wbs.segment).parameters.items() if k in ("draws", "alpha", "least", "reps", "seed")
+    } for i in wild}
     settings = {i: s | {k: v for k, v in wild[i].items() if k in s} for i, s in settings.items()}
     levels = sorted({1 - s["alpha"] for s in settings.values()})
-    lengths = F.array(*[F.struct(F.lit(i).alias("config"), F.lit(n).alias("length"), F.lit(s["reps"]).alias("reps"), F.lit(levels.index(1 - s["alpha"])).alias("level")) for i, s in settings.items() for n in wbs.grid(10000, s["least"])])
+    lengths = F.array(*[
+        F.struct(
+            F.lit(i).alias("config"), F.lit(n).alias("length"), F.lit(s["reps"]).alias("reps"), F.lit(levels.index(1 - s["alpha"])).alias("level")
+        ) for i,
+        s in settings.items() for n in wbs.grid(10000, s["least"])
+    ])
 
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [wbs.noise_maximum(n, rep, *(settings[i][k] for k in ("draws", "least", "seed"))) for i, n, rep in pdf[["config", "length", "rep"]].itertuples(index=False)]
+            s = [
+                wbs.noise_maximum(n, rep, *(settings[i][k] for k in ("draws", "least", "seed"))) for i, n,
+                rep in pdf[["config", "length", "rep"]].itertuples(index=False)
+            ]
             yield pdf[["config", "length"]].assign(s=s)
 
     sizes = rows.groupBy("symbol").agg(F.count("*").alias("n"))
@@ -112,7 +122,9 @@ def wild_limits(rows: DataFrame, wild: dict[int, dict]) -> DataFrame:
     stats = sims.repartition(parts, "config", "length", "rep").mapInPandas(simulate, "config int, length int, s double")
     values = stats.groupBy("config", "length").agg(F.percentile("s", F.array(*[F.lit(p) for p in levels])).alias("at"))
     # no broadcast: that would bound the time of the simulation
-    return needed(sizes).join(values.hint("merge"), ["config", "length"]).select(F.col("symbol").alias("symbol"), F.col("config").alias("config"), "length", F.get("at", F.col("level")).alias("value"))
+    return needed(sizes).join(values.hint("merge"), ["config", "length"]).select(
+        F.col("symbol").alias("symbol"), F.col("config").alias("config"), "length", F.get("at", F.col("level")).alias("value")
+    )
 
 
 def detect(series: DataFrame, method: str, q: float = 1.0, **options) -> DataFrame:
@@ -123,10 +135,14 @@ def event_counts(events: DataFrame, configs: Sequence[tuple]) -> DataFrame:
     """Events per (method, q), with a row for configurations without any."""
     spark = events.sparkSession
     dim = spark.createDataFrame([(m.lower(), float(q)) for m, q, *_ in configs], "method string, q double").distinct()
-    return dim.join(events.groupBy("method", "q").agg(F.count("*").alias("n")), ["method", "q"], "left").select("method", "q", F.coalesce("n", F.lit(0)).alias("n_events"))
+    return dim.join(
+        events.groupBy("method", "q").agg(F.count("*").alias("n")), ["method", "q"], "left"
+    ).select("method", "q", F.coalesce("n", F.lit(0)).alias("n_events"))
 
 
-def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts"), configs: Sequence[tuple] | None = None) -> DataFrame:
+def jaccard(
+    events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence[str] = ("symbol", "ts"), configs: Sequence[tuple] | None = None
+) -> DataFrame:
     """Similarity of the event sets of each two groups: a_*, b_*, jaccard.  One
     pass over the events: what an event has in common is the list of its groups,
     of which there are as many as configurations, and so is the final table.
@@ -136,7 +152,9 @@ def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence
     pairs = per.select("gs", F.explode("gs").alias("a")).select("a", F.explode("gs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     rows = pairs.groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
     if configs is not None:
-        known = events.sparkSession.createDataFrame(sorted({("wbs_lepage" if m.lower() == "wbs" else m.lower(), float(q)) for m, q, *_ in configs}), "method string, q double")
+        known = events.sparkSession.createDataFrame(
+            sorted({("wbs_lepage" if m.lower() == "wbs" else m.lower(), float(q)) for m, q, *_ in configs}), "method string, q double"
+        )
         rows = known.select(F.struct(*by).alias("a")).join(rows, "a", "left")
     grid = rows.agg(F.collect_list(F.struct("a", "m")).alias("t")).select("t", F.explode("t").alias("x")).select("x", F.explode("t").alias("y"))
     size = lambda s: F.coalesce(F.try_element_at(F.col(f"{s}.m"), F.col(f"{s}.a")), F.lit(0))
@@ -148,8 +166,12 @@ def jaccard(events: DataFrame, by: Sequence[str] = ("method", "q"), on: Sequence
 def cusum_fold(series: DataFrame, q: float = 1.0, h: float = 0.03, nu: float = 5e-5) -> DataFrame:
     """The cusum detector without Python: a fold over each series' array, for
     series that fit in one row.  Same events as ``detect(..., 'cusum')``."""
-    step = F.transform("a", lambda x, i: F.struct(x["ts"].alias("ts"), i.cast("long").alias("idx"), (x["value"] - F.get("a", i - 1)["value"]).alias("d")))
-    diffs = series.filter("value IS NOT NULL").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("a")).select("symbol", F.filter(step, lambda x: x["d"].isNotNull()).alias("a"))
+    step = F.transform(
+        "a", lambda x, i: F.struct(x["ts"].alias("ts"), i.cast("long").alias("idx"), (x["value"] - F.get("a", i - 1)["value"]).alias("d"))
+    )
+    diffs = series.filter("value IS NOT NULL").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("a")).select(
+        "symbol", F.filter(step, lambda x: x["d"].isNotNull()).alias("a")
+    )
     state = "named_struct('up', 0D, 'down', 0D, 'hit', cast(array() as array<struct<ts: timestamp, idx: bigint, direction: int, score: double>>))"
     merge = f"""aggregate(a, {state}, (s, x) -> CASE
         WHEN greatest(s.up + x.d - {nu!r}D, s.down - x.d - {nu!r}D) > {q * h!r}D THEN named_struct('up', 0D, 'down', 0D, 'hit',

@@ -16,7 +16,9 @@ from tidemark.plans.asof import asof_backward
 
 #: Names under which other tables carry the same columns.
 ALIASES = {
-    "symbol": ["symbol", "stock_id", "ticker", "code"], "event_date": ["event_date", "extreme_date", "extrema_date", "date"], "confirm_date": ["confirm_date", "confirmed_at"],
+    "symbol": ["symbol", "stock_id", "ticker", "code"], "event_date": [
+        "event_date", "extreme_date", "extrema_date", "date"
+    ], "confirm_date": ["confirm_date", "confirmed_at"],
     "kind": ["extreme_type", "extrema_type", "kind", "type"], "price": ["extreme_price", "extrema_price", "price", "value"],
 }
 
@@ -79,7 +81,9 @@ def robust_standardise(rows: DataFrame, value: str, out: str, by: str = "symbol"
     w, x, half = Window.partitionBy(by), F.col(value), F.lit(0.5)
     rows = rows.withColumns({"_m": F.percentile(value, half).over(w), "_a": F.avg(value).over(w), "_s": F.stddev_pop(value).over(w)})
     rows = rows.withColumn("_d", F.percentile(F.abs(x - F.col("_m")), half).over(w))
-    return rows.withColumn(out, F.when(F.col("_d") > 0, (x - F.col("_m")) / F.col("_d")).when(F.col("_s") > 0, (x - F.col("_a")) / F.col("_s"))).drop("_m", "_a", "_s", "_d")
+    return rows.withColumn(
+        out, F.when(F.col("_d") > 0, (x - F.col("_m")) / F.col("_d")).when(F.col("_s") > 0, (x - F.col("_a")) / F.col("_s"))
+    ).drop("_m", "_a", "_s", "_d")
 
 
 def observable(events: DataFrame, prices: DataFrame, mode: str = "auto", window: int = 20, min_periods: int = 10) -> DataFrame:
@@ -96,10 +100,17 @@ def observable(events: DataFrame, prices: DataFrame, mode: str = "auto", window:
     same = Window.partitionBy("symbol", "kind").orderBy("event_date", "confirm_date", "price")
     e = e.withColumns({f"_{c}": F.lag(c).over(same) for c in ("bar_index", "level", "hist_vol")})
     bars_between = F.col("bar_index") - F.col("_bar_index")
-    e = e.filter((bars_between > 0) & (F.col("_hist_vol") > 0)).withColumn("x_raw", F.asinh((F.col("level") - F.col("_level")) / (F.col("_hist_vol") * F.sqrt(bars_between.cast("double")))))
+    e = e.filter((bars_between > 0) & (F.col("_hist_vol") > 0)).withColumn(
+        "x_raw", F.asinh((F.col("level") - F.col("_level")) / (F.col("_hist_vol") * F.sqrt(bars_between.cast("double"))))
+    )
     number = F.row_number().over(Window.partitionBy("symbol").orderBy("event_date", "confirm_date", "kind"))
-    e = robust_standardise(e.withColumn("event_id", F.format_string("%s_%06d", "symbol", number)), "x_raw", "observable").filter("observable IS NOT NULL")
-    return e.select("event_id", "symbol", F.col("event_date").alias("date"), "bar_index", F.col("kind").alias("extreme_type"), F.col("price").alias("extreme_price"), "observable")
+    e = robust_standardise(
+        e.withColumn("event_id", F.format_string("%s_%06d", "symbol", number)), "x_raw", "observable"
+    ).filter("observable IS NOT NULL")
+    return e.select(
+        "event_id", "symbol", F.col("event_date").alias("date"), "bar_index", F.col("kind").alias("extreme_type"),
+        F.col("price").alias("extreme_price"), "observable"
+    )
 
 
 # -- the decomposition -------------------------------------------------------
@@ -141,7 +152,10 @@ def decompose(x, m: int, n: int, rank: int) -> dict:
     order = np.lexsort((np.round(np.angle(values), 10), -np.round(np.abs(values), 10)))
     modes = basis @ vectors[:, order]
     lead = modes[np.abs(modes).argmax(0), np.arange(modes.shape[1])]
-    return {"eigenvalues": values[order], "modes": modes * (np.abs(lead) / lead), "singular_values": s, "rank": rank, "step": step, "basis": basis, "last": ahead[:, -1], "X": big, "Y": ahead}
+    return {
+        "eigenvalues": values[order], "modes": modes * (np.abs(lead) / lead), "singular_values": s, "rank": rank, "step": step, "basis": basis,
+        "last": ahead[:, -1], "X": big, "Y": ahead
+    }
 
 
 def forecast(x, m: int, n: int, rank: int) -> float:
@@ -164,7 +178,10 @@ def spectrum(obs: DataFrame, m: int, n: int, rank: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["date", "bar_index", "event_id"])
         d, symbol, rows = decompose(pdf["observable"].to_numpy(float), m, n, rank), pdf["symbol"].iloc[0], []
-        for item, a in (("eigenvalue", d["eigenvalues"][:, None]), ("singular_value", d["singular_values"][:, None]), ("mode", d["modes"]), ("X", d["X"]), ("Y", d["Y"]), ("A_hat", d["step"])):
+        for item, a in (
+            ("eigenvalue", d["eigenvalues"][:, None]), ("singular_value", d["singular_values"][:, None]), ("mode", d["modes"]), ("X", d["X"]),
+            ("Y", d["Y"]), ("A_hat", d["step"])
+        ):
             rows += [(symbol, item, i, j, float(np.real(v)), float(np.imag(v))) for (i, j), v in np.ndenumerate(a)]
         return pd.DataFrame(rows, columns=["symbol", "item", "i", "j", "re", "im"])
 
@@ -172,7 +189,9 @@ def spectrum(obs: DataFrame, m: int, n: int, rank: int) -> DataFrame:
 
 
 def eigen_table(spec: DataFrame) -> DataFrame:
-    return spec.filter("item = 'eigenvalue'").select("symbol", F.col("i").alias("mode"), "re", "im", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("abs"), F.atan2("im", "re").alias("angle"))
+    return spec.filter("item = 'eigenvalue'").select(
+        "symbol", F.col("i").alias("mode"), "re", "im", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("abs"), F.atan2("im", "re").alias("angle")
+    )
 
 
 def singular_table(spec: DataFrame) -> DataFrame:
@@ -180,7 +199,9 @@ def singular_table(spec: DataFrame) -> DataFrame:
     s = spec.filter("item = 'singular_value'").select("symbol", "i", F.col("re").alias("sigma"))
     whole, upto = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("i")
     energy = F.col("sigma") ** 2 / F.sum(F.col("sigma") ** 2).over(whole)
-    return s.withColumn("ratio", F.col("sigma") / F.max("sigma").over(whole)).withColumn("energy", energy).withColumn("cumulative", F.sum("energy").over(upto))
+    return s.withColumn(
+        "ratio", F.col("sigma") / F.max("sigma").over(whole)
+    ).withColumn("energy", energy).withColumn("cumulative", F.sum("energy").over(upto))
 
 
 def rolling_forecasts(obs: DataFrame, m: int, n: int, rank: int) -> DataFrame:

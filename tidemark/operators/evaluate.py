@@ -29,11 +29,16 @@ def changed(column: str) -> Column:
 def durations(rows: DataFrame, column: str) -> DataFrame:
     """symbol, run, state, start, end, bars of each unbroken run."""
     runs = rows.withColumn("_new", changed(column).cast("int")).withColumn("run", F.sum("_new").over(_time()))
-    return runs.groupBy("symbol", "run").agg(F.min_by(column, "ts").alias(column), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"))
+    return runs.groupBy("symbol", "run").agg(
+        F.min_by(column, "ts").alias(column), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars")
+    )
 
 
 def summary(rows: DataFrame, by: Sequence[str], value: str, std: bool = True) -> DataFrame:
-    out = [F.count(value).alias("count"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"), F.max(value).alias("max")]
+    out = [
+        F.count(value).alias("count"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("min"),
+        F.max(value).alias("max")
+    ]
     return rows.groupBy(*by).agg(*out, *([F.stddev_samp(value).alias("std")] if std else []))
 
 
@@ -49,7 +54,9 @@ def switch_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def transitions(rows: DataFrame, column: str) -> DataFrame:
     """from, to, share: rows of the matrix sum to one; pairs never seen are 0."""
-    steps = rows.select("symbol", F.lag(column).over(_time()).alias("from"), F.col(column).alias("to")).filter("`from` IS NOT NULL AND `to` IS NOT NULL")
+    steps = rows.select(
+        "symbol", F.lag(column).over(_time()).alias("from"), F.col(column).alias("to")
+    ).filter("`from` IS NOT NULL AND `to` IS NOT NULL")
     seen = steps.groupBy("from", "to").agg(F.count("*").alias("n"))
     total = seen.groupBy("from").agg(F.sum("n").alias("total"))
     grid = total.join(seen.select("to").distinct())  # as many cells as states squared
@@ -72,18 +79,28 @@ def position_returns(rows: DataFrame, value: str, column: str = "position", bins
     return dim.join(got, "bucket", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
 
-def quality_summary(state: DataFrame, column: str = "current_trend", metrics: Sequence[str] = ("trend_dynamic", "trend_lifetime_movements", "trend_lifetime_bars_since_point3")) -> DataFrame:
+def quality_summary(
+    state: DataFrame, column: str = "current_trend",
+    metrics: Sequence[str] = ("trend_dynamic", "trend_lifetime_movements", "trend_lifetime_bars_since_point3")
+) -> DataFrame:
     active = state.filter(F.col(column).isin("uptrend", "downtrend"))
-    long = active.select(column, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("z")).select(column, "z.*")
+    long = active.select(
+        column, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("z")
+    ).select(column, "z.*")
     return summary(long, [column, "metric"], "value", std=False)
 
 
-def terminal_quality(state: DataFrame, column: str = "current_trend", metrics: Sequence[str] = ("trend_dynamic", "trend_lifetime_movements", "trend_lifetime_bars_since_point3")) -> DataFrame:
+def terminal_quality(
+    state: DataFrame, column: str = "current_trend",
+    metrics: Sequence[str] = ("trend_dynamic", "trend_lifetime_movements", "trend_lifetime_bars_since_point3")
+) -> DataFrame:
     """Per run of a confirmed trend its last known metrics."""
     runs = state.withColumn("_new", changed(column).cast("int")).withColumn("run", F.sum("_new").over(_time()))
     active = runs.filter(F.col(column).isin("uptrend", "downtrend"))
     last = [F.max_by(m, F.when(F.col(m).isNotNull(), F.col("ts"))).alias(f"terminal_{m.removeprefix('trend_')}") for m in metrics]
-    return active.groupBy("symbol", "run").agg(F.first(column).alias(column), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"), *last)
+    return active.groupBy("symbol", "run").agg(
+        F.first(column).alias(column), F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("bars"), *last
+    )
 
 
 def point_intervals(state: DataFrame) -> DataFrame:
@@ -91,7 +108,9 @@ def point_intervals(state: DataFrame) -> DataFrame:
     bars between; ``state`` has idx, point2_idx, point3_idx, current_trend."""
     pairs = state.filter("point2_idx IS NOT NULL AND point3_idx IS NOT NULL")
     latest = Window.partitionBy("symbol", "point2_idx", "point3_idx").orderBy(F.desc("ts"))
-    pairs = pairs.withColumn("_r", F.row_number().over(latest)).filter("_r = 1 AND point3_idx >= point2_idx").select("symbol", "current_trend", "point2_idx", "point3_idx")
+    pairs = pairs.withColumn("_r", F.row_number().over(latest)).filter("_r = 1 AND point3_idx >= point2_idx").select(
+        "symbol", "current_trend", "point2_idx", "point3_idx"
+    )
     at = state.select("symbol", "idx", "ts")
     two, three = (at.select("symbol", F.col("idx").alias(f"point{n}_idx"), F.col("ts").alias(f"point{n}_ts")) for n in (2, 3))
     return pairs.join(two, ["symbol", "point2_idx"]).join(three, ["symbol", "point3_idx"]).withColumn("bars", F.col("point3_idx") - F.col("point2_idx"))
@@ -103,7 +122,10 @@ def extremes_frame(state: DataFrame, price_is_log: bool = False) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("timestamp")
     rows = state.withColumn("idx", F.row_number().over(w) - 1)
     price = F.exp("confirmed_extremum_value") if price_is_log else F.col("confirmed_extremum_value")
-    found = rows.filter("new_extremum_confirmed AND confirmed_extremum_idx IS NOT NULL").select("symbol", F.col("confirmed_extremum_kind").alias("kind"), F.col("confirmed_extremum_idx").alias("idx"), price.alias("price"), F.col("timestamp").alias("confirmed_at"))
+    found = rows.filter("new_extremum_confirmed AND confirmed_extremum_idx IS NOT NULL").select(
+        "symbol", F.col("confirmed_extremum_kind").alias("kind"), F.col("confirmed_extremum_idx").alias("idx"), price.alias("price"),
+        F.col("timestamp").alias("confirmed_at")
+    )
     once = Window.partitionBy("symbol", "kind", "idx").orderBy("confirmed_at")
     found = found.withColumn("_r", F.row_number().over(once)).filter("_r = 1").drop("_r")
     return found.join(rows.select("symbol", "idx", F.col("timestamp").alias("ts")), ["symbol", "idx"])
@@ -120,7 +142,13 @@ def match_levels(levels: DataFrame, bars: DataFrame, lookback: int = 260, tolera
     with it as any price: level columns and bar_ts.  Levels meet bars by symbol
     and rounded price, so only likely pairs form."""
     step = lambda p: F.round(F.ln(p) / tolerance / 2).cast("long")
-    at = bars.select("symbol", F.col("ts").alias("bar_ts"), F.explode(F.array(*[F.struct(F.lit(s).alias("bar_side"), F.col(c).alias("bar_price")) for c, s in (("high", "high"), ("low", "low"), ("open", "any"), ("close", "any"))])).alias("z")).select("symbol", "bar_ts", "z.*").filter("bar_price > 0")
+    at = bars.select(
+        "symbol", F.col("ts").alias("bar_ts"),
+        F.explode(F.array(*[
+            F.struct(F.lit(s).alias("bar_side"), F.col(c).alias("bar_price")) for c,
+            s in (("high", "high"), ("low", "low"), ("open", "any"), ("close", "any"))
+        ])).alias("z")
+    ).select("symbol", "bar_ts", "z.*").filter("bar_price > 0")
     at = at.withColumn("step", F.explode(F.sequence(step(F.col("bar_price")) - 1, step(F.col("bar_price")) + 1)))
     keyed = levels.withColumn("step", step(F.col("price"))).alias("l").join(at.alias("b"), ["symbol", "step"])
     near = keyed.filter((F.abs(F.col("price") - F.col("bar_price")) <= tolerance * F.abs(F.col("price"))) & (F.col("bar_ts") <= F.col("ts")) & (F.col("bar_ts") >= F.date_sub(F.col("ts"), lookback)))
@@ -141,7 +169,10 @@ def structure_points(points: DataFrame, asks: DataFrame) -> DataFrame:
 
     named = ["h1", "h2", "l1", "l2"]
     at = asof_backward(asks, points.select("symbol", "ts", *named, *[f"{c}_idx" for c in named]), [*named, *[f"{c}_idx" for c in named]])
-    four = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(f"{c}_idx").alias("idx"), F.col(c).alias("level")) for (label, kind), c in zip(LEVELS, named, strict=True)])
+    four = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(f"{c}_idx").alias("idx"), F.col(c).alias("level")) for (label, kind),
+        c in zip(LEVELS, named, strict=True)
+    ])
     return at.filter("h1_idx IS NOT NULL").select(*asks.columns, F.explode(four).alias("z")).select(*asks.columns, "z.*")
 
 
@@ -154,18 +185,30 @@ def match_points(asks: DataFrame, bars: DataFrame, lookback: int = 260, toleranc
     pairs form, and each ask is settled on its own."""
     step = lambda p: F.round(F.when(F.abs(p) >= 1, F.signum(p) * (F.ln(F.abs(p)) / tolerance / 2 + 1e7)).otherwise(p / tolerance / 2)).cast("long")
     w = Window.partitionBy("symbol").orderBy("ts")
-    placed = bars.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]).withColumn("idx", F.row_number().over(w) - 1)
+    placed = bars.select(
+        "symbol", "ts", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    ).withColumn("idx", F.row_number().over(w) - 1)
     prices = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("price")) for c in ("open", "high", "low", "close")]))
     at = placed.select("symbol", "idx", prices.alias("z")).select("symbol", "idx", "z.*").filter("price IS NOT NULL")
     # one step to either side, and the other scale at its edge
-    near = F.array_distinct(F.array(step(F.col("price")), step(F.col("price") * (1 + tolerance)), step(F.col("price") * (1 - tolerance)), step(F.col("price") + tolerance), step(F.col("price") - tolerance)))
+    near = F.array_distinct(F.array(
+        step(F.col("price")), step(F.col("price") * (1 + tolerance)), step(F.col("price") * (1 - tolerance)), step(F.col("price") + tolerance),
+        step(F.col("price") - tolerance)
+    ))
     at = at.withColumn("step", F.explode(near))
-    four = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(label).cast("double").alias("level")) for i, (label, kind) in enumerate(LEVELS)])
-    long = asks.select("symbol", "ts", F.explode(four).alias("z")).select("symbol", "ts", "z.*").join(placed.select("symbol", "ts", F.col("idx").alias("end")), ["symbol", "ts"])
+    four = F.array(*[
+        F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.col(label).cast("double").alias("level")) for i,
+        (label, kind) in enumerate(LEVELS)
+    ])
+    long = asks.select("symbol", "ts", F.explode(four).alias("z")).select("symbol", "ts", "z.*").join(
+        placed.select("symbol", "ts", F.col("idx").alias("end")), ["symbol", "ts"]
+    )
     long = long.withColumn("sought", F.exp("level") if price_is_log else F.col("level"))
     met = long.withColumn("step", step(F.col("sought"))).join(at, ["symbol", "step"]).filter((F.col("idx") <= F.col("end")) & (F.col("idx") >= F.col("end") - lookback))
     off = F.abs(F.col("price") - F.col("sought")) / F.greatest(F.abs("sought"), F.lit(1.0))
-    met = met.withColumn("off", off).filter(F.col("off") <= tolerance).select("symbol", "ts", "place", "idx", "off", (F.col("side") == F.col("kind")).alias("own")).distinct()
+    met = met.withColumn("off", off).filter(F.col("off") <= tolerance).select(
+        "symbol", "ts", "place", "idx", "off", (F.col("side") == F.col("kind")).alias("own")
+    ).distinct()
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         used: dict[int, int] = {}
@@ -201,10 +244,15 @@ def evaluate(state: DataFrame, horizons: Sequence[int] = (5,), log: bool = False
     spans = point_intervals(rows)
     out = {
         "trend_durations": durations(rows, "current_trend"), "trend_duration_summary": duration_summary(rows, "current_trend"), "phase_durations": durations(rows, "current_phase"), "phase_duration_summary": duration_summary(rows, "current_phase"),
-        "switch_counts": switch_counts(rows, ["current_trend", "current_phase", "status"]).join(rows.groupBy("symbol").agg(F.sum(F.col("new_extremum_confirmed").cast("long")).alias("confirmed_extrema_count")), "symbol"),
+        "switch_counts": switch_counts(rows, ["current_trend", "current_phase", "status"]).join(
+            rows.groupBy("symbol").agg(F.sum(F.col("new_extremum_confirmed").cast("long")).alias("confirmed_extrema_count")), "symbol"
+        ),
         "transitions": transitions(rows, "current_trend"), "phase_transitions": transitions(rows, "current_phase"), "quality_summary": quality_summary(rows), "terminal_quality": terminal_quality(rows), "point_intervals": spans, "point_interval_summary": summary(spans, ["current_trend"], "bars"),
     }
     for h in horizons:
         v = f"future_return_{h}"
-        out |= {f"position_returns_{h}": position_returns(rows, v), f"trend_returns_{h}": summary(rows, ["current_trend"], v), f"phase_returns_{h}": summary(rows, ["current_phase"], v)}
+        out |= {
+            f"position_returns_{h}": position_returns(rows, v), f"trend_returns_{h}": summary(rows, ["current_trend"], v),
+            f"phase_returns_{h}": summary(rows, ["current_phase"], v)
+        }
     return out

@@ -415,7 +415,9 @@ class AdaptiveCusum(Kernel):
         mu = np.where(~alive, mu0, np.select([self.M > 0, self.M < 0], [np.maximum(self.rho_mu, pull), np.minimum(-self.rho_mu, pull)], mu))
         q = np.where(alive, q + (x - mu) ** 2, 0)
         rise, fall = (BETA_UP + q / 2) / (ALPHA_UP - 1 + n / 2), (BETA_DOWN + q / 2) / (ALPHA_DOWN - 1 + n / 2)
-        theta = np.where(~alive, theta0, np.select([self.V > 0, self.V < 0], [np.maximum(self.rho_theta_up, rise), np.minimum(self.rho_theta_down, fall)], theta))
+        theta = np.where(
+            ~alive, theta0, np.select([self.V > 0, self.V < 0], [np.maximum(self.rho_theta_up, rise), np.minimum(self.rho_theta_down, fall)], theta)
+        )
         self.state = np.stack([c, n, s, q, mu, theta])
         best = int(np.argmax(c))
         return float(c[best]), best

@@ -15,7 +15,10 @@ from tidemark.functions import numeric
 from tidemark.operators.vector import finite
 
 
-def rolling_adf(rows: DataFrame, columns: Sequence[str] = (), window: int = 60, min_obs: int = 50, maxlag: int = 1, regression: str = "c", alpha: float = 0.05, close_is_log: bool = False) -> DataFrame:
+def rolling_adf(
+    rows: DataFrame, columns: Sequence[str] = (), window: int = 60, min_obs: int = 50, maxlag: int = 1, regression: str = "c", alpha: float = 0.05,
+    close_is_log: bool = False
+) -> DataFrame:
     """A unit root test of each ``window`` of log closes: symbol, ts, adf_stat,
     adf_pvalue, adf_reject, usedlag, nobs and the state columns of its last row.
     Windows with too few finite or no varying values are left out."""
@@ -61,7 +64,10 @@ def with_tertiles(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def adf_by_state(adf: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Reject rate and p-values per state variable and its thirds."""
-    long = adf.filter(finite("adf_pvalue").isNotNull()).select("symbol", "adf_pvalue", "adf_reject", F.explode(F.array(*[F.struct(F.lit(c).alias("state_variable"), finite(c).alias("v")) for c in columns])).alias("z")).select("symbol", "adf_pvalue", "adf_reject", "z.*").filter("v IS NOT NULL")
+    long = adf.filter(finite("adf_pvalue").isNotNull()).select(
+        "symbol", "adf_pvalue", "adf_reject",
+        F.explode(F.array(*[F.struct(F.lit(c).alias("state_variable"), finite(c).alias("v")) for c in columns])).alias("z")
+    ).select("symbol", "adf_pvalue", "adf_reject", "z.*").filter("v IS NOT NULL")
     bounds = long.groupBy("state_variable").agg(F.percentile("v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q_v"))
     rows = long.join(bounds, "state_variable").withColumn("state_group", tertile("v"))
     q = lambda p: F.percentile("adf_pvalue", F.lit(p))
@@ -72,8 +78,12 @@ def adf_by_state(adf: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 #: Composite states as (name, {variable: third}); later ones win.
 COMPOSITES = [
-    ("wide_expanding", {"range_pct": "high", "expansion": "high"}), ("narrow_expanding", {"range_pct": "low", "expansion": "high"}), ("upper_breakout", {"upper_break": "high", "range_pos": "high"}), ("lower_breakdown", {"lower_break": "high", "range_pos": "low"}),
-    ("fast_chop", {"extrema_freq": "high", "speed_level": "high"}), ("slow_extension", {"move_age": "high", "speed_level": "low"}), ("up_structure_high_pos", {"structure_dir": "high", "range_pos": "high"}), ("down_structure_low_pos", {"structure_dir": "low", "range_pos": "low"}),
+    ("wide_expanding", {"range_pct": "high", "expansion": "high"}), ("narrow_expanding", {"range_pct": "low", "expansion": "high"}), (
+        "upper_breakout", {"upper_break": "high", "range_pos": "high"}
+    ), ("lower_breakdown", {"lower_break": "high", "range_pos": "low"}),
+    ("fast_chop", {"extrema_freq": "high", "speed_level": "high"}), ("slow_extension", {"move_age": "high", "speed_level": "low"}), (
+        "up_structure_high_pos", {"structure_dir": "high", "range_pos": "high"}
+    ), ("down_structure_low_pos", {"structure_dir": "low", "range_pos": "low"}),
 ]
 
 
@@ -128,12 +138,17 @@ def explosiveness(windows: DataFrame, minw: int = 50, lag: int = 1, nrep: int =
         x = pdf.sort_values("t")["log_close"].to_numpy(float)
         bad = len(x) <= minw + lag + 5 or x.std(ddof=1) <= 1e-12
         stat = None if bad else numeric.explosive_statistic(x, minw, lag)
-        return pd.DataFrame({"window_id": [pdf["window_id"].iloc[0]], "n": [len(x)], "stat": [stat], "error": ["too_short_or_constant" if bad else ""]}).astype({"stat": "Float64"})
+        return pd.DataFrame({
+            "window_id": [pdf["window_id"].iloc[0]], "n": [len(x)], "stat": [stat], "error": ["too_short_or_constant" if bad else ""]
+        }).astype({"stat": "Float64"})
 
     tested = windows.groupBy("window_id").applyInPandas(test, "window_id string, n int, stat double, error string")
     out = tested.join(F.broadcast(critical), "n", "left")  # a row per window length
     cv = F.when(F.col("error") == "", F.col("cv"))
-    return out.select("window_id", F.col("n").alias("n_obs"), F.lit(minw).alias("minw"), F.lit(lag).alias("lag"), F.lit(nrep).alias("nrep"), F.col("stat").alias("gsadf_stat"), cv.alias("gsadf_cv95"), F.coalesce(F.col("stat") > cv, F.lit(False)).alias("gsadf_reject"), "error")
+    return out.select(
+        "window_id", F.col("n").alias("n_obs"), F.lit(minw).alias("minw"), F.lit(lag).alias("lag"), F.lit(nrep).alias("nrep"),
+        F.col("stat").alias("gsadf_stat"), cv.alias("gsadf_cv95"), F.coalesce(F.col("stat") > cv, F.lit(False)).alias("gsadf_reject"), "error"
+    )
 
 
 def explosive_summary(results: DataFrame, meta: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -189,14 +204,18 @@ def collapse_few(rows: DataFrame, x: str, y: str) -> DataFrame:
     return rows.filter(finite(x).isNotNull() & finite(y).isNotNull()).groupBy(x).agg(F.avg(y).alias(y))
 
 
-def lowess(rows: DataFrame, variables: Sequence[str], targets: Sequence[str], frac: float = 0.25, robust: int = 1, max_points: int = 8000) -> DataFrame:
+def lowess(
+    rows: DataFrame, variables: Sequence[str], targets: Sequence[str], frac: float = 0.25, robust: int = 1, max_points: int = 8000
+) -> DataFrame:
     """variable, target, x, y of a local regression for each pair; the points
     given to one fit are bounded by ``max_points`` (evenly spaced in x).  A variable
     with at most eight values collapses to the means of all its rows."""
     out = None
     for v in variables:
         for t in targets:
-            pair = rows.filter(finite(v).isNotNull() & finite(t).isNotNull()).select("symbol", "ts", F.col(v).cast("double").alias("x"), F.col(t).cast("double").alias("y"))
+            pair = rows.filter(finite(v).isNotNull() & finite(t).isNotNull()).select(
+                "symbol", "ts", F.col(v).cast("double").alias("x"), F.col(t).cast("double").alias("y")
+            )
             means = pair.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
             few = F.broadcast(means.agg((F.count("*") <= 8).alias("few")))  # one row
             part = even_subsample(pair, "x", max_points).select("x", "y", F.lit(1).cast("long").alias("n")).join(few, ~F.col("few")).unionByName(means.join(few, F.col("few")))
@@ -218,7 +237,11 @@ def lowess(rows: DataFrame, variables: Sequence[str], targets: Sequence[str], fr
 
 
 def lowess_index(rows: DataFrame, fits: DataFrame, variables: Sequence[str], targets: Sequence[str]) -> DataFrame:
-    items = [F.struct(F.lit(v).alias("variable"), F.lit(t).alias("target"), finite(v).alias("x"), finite(t).alias("y")) for v in variables for t in targets]
+    items = [F.struct(
+        F.lit(v).alias("variable"), F.lit(t).alias("target"), finite(v).alias("x"), finite(t).alias("y")
+    ) for v in variables for t in targets]
     n = rows.select(F.explode(F.array(*items)).alias("z")).select("z.*").filter("x IS NOT NULL AND y IS NOT NULL").groupBy("variable", "target").agg(F.count("*").alias("n"))
-    shape = fits.groupBy("variable", "target").agg(F.count("*").alias("fit_n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    shape = fits.groupBy("variable", "target").agg(
+        F.count("*").alias("fit_n"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max")
+    )
     return n.join(shape, ["variable", "target"], "left")

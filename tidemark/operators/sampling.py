@@ -203,7 +203,9 @@ class AdaptiveCusum(Sampler):
     rho_theta_down: float = 1 / 1.05
 
     def __post_init__(self):
-        self.inner = kernels.AdaptiveCusum(vol_window=self.std_window, rho_mu=self.rho_mu, s=self.s, eta=self.eta, rho_theta_up=self.rho_theta_up, rho_theta_down=self.rho_theta_down)
+        self.inner = kernels.AdaptiveCusum(
+            vol_window=self.std_window, rho_mu=self.rho_mu, s=self.s, eta=self.eta, rho_theta_up=self.rho_theta_up, rho_theta_down=self.rho_theta_down
+        )
 
     def stat(self, x):
         k = self.inner
@@ -286,7 +288,10 @@ def sample_positions(method: str, x: np.ndarray, threshold: np.ndarray, b2b: int
 def aligned_threshold(dif: DataFrame, threshold: Column | float) -> DataFrame:
     """symbol, ts, x and thr: finite increments, with gaps of the threshold filled
     forward, then backward; what is left without one never fires."""
-    rows = dif.select("symbol", "ts", F.col("x").cast("double").alias("x"), (threshold if isinstance(threshold, Column) else F.lit(float(threshold))).cast("double").alias("thr"))
+    rows = dif.select(
+        "symbol", "ts", F.col("x").cast("double").alias("x"),
+        (threshold if isinstance(threshold, Column) else F.lit(float(threshold))).cast("double").alias("thr")
+    )
     rows = rows.filter(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
     w = Window.partitionBy("symbol").orderBy("ts")
     known = F.when(~F.isnan("thr"), F.col("thr"))
@@ -344,7 +349,9 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     rolling = F.when(F.count("x").over(part) >= max(8, window // 4), F.stddev_samp("x").over(part))
     wide = F.when(F.count("x").over(whole) >= 8, F.stddev_samp("x").over(whole))
     rows = dif.withColumn("v", F.coalesce(rolling, wide))
-    rows = rows.withColumn("v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    rows = rows.withColumn(
+        "v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    )
     whole = Window.partitionBy("symbol")
     rows = rows.withColumn("mid", F.percentile(F.abs("x"), F.lit(0.5)).over(whole)).withColumn("avg", F.avg(F.abs("x")).over(whole))
     floor = F.when(F.col("mid") > 0, F.col("mid")).when(F.col("avg") > 0, F.col("avg")).otherwise(F.lit(1e-8))
@@ -356,7 +363,9 @@ def count_events(dif: DataFrame, method: str, scale: float = 1.0, b2b: int = 1,
     ``scale``; symbols without events have a row as well."""
     base = base_threshold(dif, window)
     found = sample_events(base, method, F.col("vol") * scale, b2b, **options).groupBy("symbol").agg(F.count("*").alias("n"))
-    return base.select("symbol").distinct().join(found, "symbol", "left").select("symbol", F.lit(method).alias("method"), F.lit(float(scale)).alias("scale"), F.coalesce("n", F.lit(0)).alias("n_events"))
+    return base.select("symbol").distinct().join(found, "symbol", "left").select(
+        "symbol", F.lit(method).alias("method"), F.lit(float(scale)).alias("scale"), F.coalesce("n", F.lit(0)).alias("n_events")
+    )
 
 
 def search_scale(count, target: int, max_iter: int) -> list[tuple[float, int, bool]]:
@@ -408,7 +417,9 @@ def tuning_history(dif: DataFrame, methods: Sequence[str], target: int, b2b: int
         return pd.DataFrame(rows, columns=["symbol", "method", "round", "scale", "n_events", "eligible"])
 
     rows = base_threshold(dif, window).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    return rows.groupBy("symbol", "method").applyInPandas(search, "symbol string, method string, round int, scale double, n_events long, eligible boolean")
+    return rows.groupBy("symbol", "method").applyInPandas(
+        search, "symbol string, method string, round int, scale double, n_events long, eligible boolean"
+    )
 
 
 def tune_scales(dif: DataFrame, methods: Sequence[str], target: int, b2b: int = 1, window: int = 128, max_iter: int = 16) -> DataFrame:

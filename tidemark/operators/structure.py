@@ -322,7 +322,9 @@ def clean_bars(bars: DataFrame, log_price: bool = False) -> DataFrame:
     return rows
 
 
-def market_state(bars: DataFrame, method: str = "cusum", q: float = 1.0, options: dict | None = None, lag: int = 0, reset_on_change: bool = False) -> DataFrame:
+def market_state(
+    bars: DataFrame, method: str = "cusum", q: float = 1.0, options: dict | None = None, lag: int = 0, reset_on_change: bool = False
+) -> DataFrame:
     """A state row per bar: ``symbol`` and the 57 fields.  One pass a series."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -354,11 +356,20 @@ def core_vector(state: DataFrame) -> DataFrame:
 
 POINTS = "symbol string, ts timestamp, idx long, open double, high double, low double, close double, num_confirmed_extrema long, confirmed boolean, first_high boolean, h1 double, h1_idx long, h2 double, h2_idx long, l1 double, l1_idx long, l2 double, l2_idx long, e0_idx long, e3_idx long, median_gap double"
 #: Columns of the shape table beside prices.
-DIAGNOSTICS = ["direction", "excep", "status", "current_trend", "current_trend_code", "current_phase", "trend_candidate", "new_extremum_confirmed", "confirmed_extremum_kind", "confirmed_extremum_idx", "confirmed_extremum_value", "cpd_confirm_event", "time_since_last_cpd", "time_since_last_cpd_confirm"]
-FEATURES = ["starts_high", "high1", "high2", "low1", "low2", "high_change", "low_change", "expansion", "range_pos", "upper_break", "lower_break", "structure_dir", "range_pct", "last_width_pct", "move_age", "high_speed", "low_speed", "extrema_freq"]
-
-
-def shape_points(bars: DataFrame, method: str = "cusum", q: float = 1.0, options: dict | None = None, lag: int = 0, reset_on_change: bool = False) -> DataFrame:
+DIAGNOSTICS = [
+    "direction", "excep", "status", "current_trend", "current_trend_code", "current_phase", "trend_candidate", "new_extremum_confirmed",
+    "confirmed_extremum_kind", "confirmed_extremum_idx", "confirmed_extremum_value", "cpd_confirm_event", "time_since_last_cpd",
+    "time_since_last_cpd_confirm"
+]
+FEATURES = [
+    "starts_high", "high1", "high2", "low1", "low2", "high_change", "low_change", "expansion", "range_pos", "upper_break", "lower_break",
+    "structure_dir", "range_pct", "last_width_pct", "move_age", "high_speed", "low_speed", "extrema_freq"
+]
+
+
+def shape_points(
+    bars: DataFrame, method: str = "cusum", q: float = 1.0, options: dict | None = None, lag: int = 0, reset_on_change: bool = False
+) -> DataFrame:
     """Per bar the last four alternating extremes known by then, with the state
     machine's diagnostics."""
     extra = ", ".join(f"{c} {TYPES[c]}" for c in DIAGNOSTICS)
@@ -374,7 +385,9 @@ def shape_points(bars: DataFrame, method: str = "cusum", q: float = 1.0, options
             states.append(state)
             new = state["new_extremum_confirmed"] and state["confirmed_extremum_idx"] is not None
             if new:
-                e = Extreme(1 if state["confirmed_extremum_kind"] == "high" else -1, state["confirmed_extremum_idx"], state["confirmed_extremum_value"])
+                e = Extreme(
+                    1 if state["confirmed_extremum_kind"] == "high" else -1, state["confirmed_extremum_idx"], state["confirmed_extremum_value"]
+                )
                 last = known[-1] if known else None
                 if last is None or last.side != e.side:
                     known.append(e)

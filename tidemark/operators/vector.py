@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names of the vector's columns in its files.
-VARIABLES = ["range_pct", "expansion", "structure_dir", "range_pos", "upper_break", "lower_break", "move_age", "extrema_freq", "speed_imbalance", "speed_level"]
+VARIABLES = [
+    "range_pct", "expansion", "structure_dir", "range_pos", "upper_break", "lower_break", "move_age", "extrema_freq", "speed_imbalance", "speed_level"
+]
 BINARY = {"upper_break", "lower_break"}
 KEPT = ["symbol", "ts", "close", "has_structural_window", "num_confirmed_extrema", "starts_high", "high1", "high2", "low1", "low2"]
 
@@ -51,7 +53,10 @@ def prior_bounds(values: np.ndarray, window: int, least: int, levels: tuple[floa
     return out
 
 
-def rolling_scores(rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95, binary: Sequence[str] = tuple(BINARY)) -> DataFrame:
+def rolling_scores(
+    rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95,
+    binary: Sequence[str] = tuple(BINARY)
+) -> DataFrame:
     """``<column>_score`` in -1..1: where a value lies between quantiles of the
     ``window`` rows before it, of which ``min_periods`` must be known.  One pass
     per symbol over a sorted window; a window function would sort every frame
@@ -72,13 +77,19 @@ def rolling_scores(rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), w
             score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (F.col(c) - lo) / (hi - lo) - 1))
             out = out.withColumn(f"{c}_score", F.when(finite(c).isNotNull() & finite(lo).isNotNull() & (F.abs(hi - lo) > 1e-12), score))
         out = out.drop(*[f"_bounds_{c}" for c in moving])
-    return out.withColumns({f"{c}_score": F.when(finite(c).isNotNull(), 2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) - 1) for c in columns if c in binary})
+    return out.withColumns({f"{c}_score": F.when(
+        finite(c).isNotNull(), 2 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))) - 1
+    ) for c in columns if c in binary})
 
 
-def score_config(columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95) -> list[dict]:
+def score_config(
+    columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95
+) -> list[dict]:
     return [
         {"variable": c, "score_column": f"{c}_score", "method": "binary_fixed" if c in BINARY else "rolling_prior_quantile"}
-        | dict.fromkeys(("window", "min_periods", "lower_quantile", "upper_quantile")) | ({} if c in BINARY else {"window": window, "min_periods": min_periods, "lower_quantile": lower, "upper_quantile": upper})
+        | dict.fromkeys(("window", "min_periods", "lower_quantile", "upper_quantile")) | ({} if c in BINARY else {
+            "window": window, "min_periods": min_periods, "lower_quantile": lower, "upper_quantile": upper
+        })
         for c in columns
     ]
 
@@ -88,7 +99,10 @@ def standardise(rows: DataFrame, columns: Sequence[str], lower: float = 0.01, up
     with the population deviation; constant columns become null."""
     w = Window.partitionBy("symbol")  # one shuffle, and what stands below runs once
     q = {f"_q_{c}": F.percentile(finite(c), F.array(F.lit(lower), F.lit(upper))).over(w) for c in columns}
-    clipped = rows.select("symbol", "ts", *columns).withColumns(q).select("symbol", "ts", *[F.when(finite(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])).alias(c) for c in columns])
+    clipped = rows.select("symbol", "ts", *columns).withColumns(q).select(
+        "symbol", "ts",
+        *[F.when(finite(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])).alias(c) for c in columns]
+    )
     m = clipped.withColumns({f"_m_{c}": F.avg(c).over(w) for c in columns} | {f"_s_{c}": F.stddev_pop(c).over(w) for c in columns})
     return m.select("symbol", "ts", *[F.when(F.col(f"_s_{c}") != 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in columns])
 
@@ -97,7 +111,10 @@ def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """a, b, corr of each pair of columns, in one aggregation."""
     pairs = list(combinations_with_replacement(columns, 2))
     one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    items = [F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs) for x, y in dict.fromkeys([(a, b), (b, a)])]
+    items = [
+        F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs) for x,
+        y in dict.fromkeys([(a, b), (b, a)])
+    ]
     return one.select(F.explode(F.array(*items)).alias("z")).select("z.*")
 
 
@@ -108,5 +125,8 @@ def describe(rows: DataFrame, columns: Sequence[str], quantiles: Sequence[float]
     for c in columns:
         v = finite(c)
         q = F.percentile(v, F.array(*[F.lit(x) for x in quantiles]))
-        aggs.append(F.struct(F.lit(c).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), *[q[i].alias(n) for i, n in enumerate(names)], F.max(v).alias("max")).alias(f"_{c}"))
+        aggs.append(F.struct(
+            F.lit(c).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            *[q[i].alias(n) for i, n in enumerate(names)], F.max(v).alias("max")
+        ).alias(f"_{c}"))
     return rows.agg(*aggs).select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("z")).select("z.*")

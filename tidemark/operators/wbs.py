@@ -110,7 +110,10 @@ def threshold(length: int, draws: int, alpha: float, least: int, reps: int, seed
     return float(np.quantile([noise_maximum(length, rep, draws, least, seed) for rep in range(reps)], 1 - alpha))
 
 
-def segment(x: np.ndarray, q: float = 1.0, draws: int = 10000, alpha: float = 0.05, least: int = 10, prune: bool = True, reps: int = 200, seed: int = 123, limits: dict[int, float] | None = None) -> list[int]:
+def segment(
+    x: np.ndarray, q: float = 1.0, draws: int = 10000, alpha: float = 0.05, least: int = 10, prune: bool = True, reps: int = 200, seed: int = 123,
+    limits: dict[int, float] | None = None
+) -> list[int]:
     """Places (index of the last value before a change), ascending.  ``limits``
     has the threshold of each length of the grid; without it they are simulated
     here as they are needed.  Lengths between are interpolated, longer ones have

@@ -15,7 +15,10 @@ def asof_backward(left: DataFrame, right: DataFrame, take: Sequence[str], by: Se
     names = [c for c in left.columns if c not in take]
     held = F.struct(*take)
     a = left.select(*names, F.lit(1).alias("_side"), F.lit(None).cast(right.select(held.alias("h")).schema["h"].dataType).alias("_held"))
-    b = right.select(*[F.col(c) if c in (*by, on) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_side"), held.alias("_held"))
+    b = right.select(
+        *[F.col(c) if c in (*by, on) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.lit(0).alias("_side"),
+        held.alias("_held")
+    )
     w = Window.partitionBy(*by).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn("_held", F.last("_held", True).over(w)).filter("_side = 1")
     return both.select(*names, *[F.col(f"_held.{c}").alias(c) for c in take])

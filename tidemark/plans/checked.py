@@ -83,10 +83,15 @@ def brandt_glr_samples(spark, d):
 
 _GMA = _running("0.9 * a + (1 - 0.9) * z", "0.0::DOUBLE", "abs(na) > 0.3 * 2.0 * sigma", "abs(na)", "CASE WHEN na > 0 THEN 1 ELSE -1 END", 20)
 _SPRT = _running("a + z", "0.0::DOUBLE", "abs(na) > 0.1 * 30.0 * sigma", "abs(na)", "CASE WHEN na > 0 THEN 1 ELSE -1 END", 20)
-_LS = _running("greatest(0, a + z - 0.003)", "least(0, b + z + 0.003)", "greatest(na, -nb) > 5.0 * sigma", "greatest(na, -nb)", "CASE WHEN na >= -nb THEN 1 ELSE -1 END", 30)
+_LS = _running(
+    "greatest(0, a + z - 0.003)", "least(0, b + z + 0.003)", "greatest(na, -nb) > 5.0 * sigma", "greatest(na, -nb)",
+    "CASE WHEN na >= -nb THEN 1 ELSE -1 END", 30
+)
 #: Events of the five configurations, and their table (the last one never fires).
 SETS = "c(method, q) AS (VALUES ('cusum', 100.0::DOUBLE), ('sprt', 0.1), ('cusum_ls', 1.0), ('gma', 0.3), ('shewhart', 0.05), ('cusum', 1e9)), e AS (" + " UNION ALL ".join(
-    f"SELECT '{m}' AS method, {q}::DOUBLE AS q, symbol, ts FROM ({sql})" for m, q, sql in (("cusum", 100.0, CUSUM), ("sprt", 0.1, _SPRT), ("cusum_ls", 1.0, _LS), ("gma", 0.3, _GMA), ("shewhart", 0.05, SHEWHART))
+    f"SELECT '{m}' AS method, {q}::DOUBLE AS q, symbol, ts FROM ({sql})" for m, q, sql in (
+        ("cusum", 100.0, CUSUM), ("sprt", 0.1, _SPRT), ("cusum_ls", 1.0, _LS), ("gma", 0.3, _GMA), ("shewhart", 0.05, SHEWHART)
+    )
 ) + ")"
 SILENT = [*CONFIGS, ("cusum", 1e9)]
 
@@ -144,8 +149,14 @@ def told_point_intervals(spark, d):
 @query(f"""WITH {TOLD} SELECT symbol, ts AS timestamp, current_trend, CASE WHEN idx % 2 = 0 THEN 'even' ELSE 'odd' END AS current_phase, idx % 6 AS position, round((close - open) / nullif(close, 0), 6) AS dist_point2_pct, CASE WHEN idx % 4 > 0 THEN round((high - close) / nullif(close, 0), 6) END AS dist_point3_pct, idx % 5 AS time_since_last_cpd FROM told""")
 def told_core_vector(spark, d):
     i = F.col("idx")
-    rows = _told(spark, d).withColumns({"timestamp": F.col("ts"), "Close": F.col("close"), "current_phase": F.when(i % 2 == 0, "even").otherwise("odd"), "position": i % 6, "time_since_last_cpd": i % 5})
-    rows = rows.withColumns({"distance_to_point2": F.col("close") - F.col("open"), "distance_to_point3": F.when(i % 4 > 0, F.col("high") - F.col("close")).otherwise(F.lit(float("nan")))})
+    rows = _told(spark, d).withColumns({
+        "timestamp": F.col("ts"), "Close": F.col("close"), "current_phase": F.when(i % 2 == 0, "even").otherwise("odd"), "position": i % 6,
+        "time_since_last_cpd": i % 5
+    })
+    rows = rows.withColumns({
+        "distance_to_point2": F.col("close") - F.col("open"),
+        "distance_to_point3": F.when(i % 4 > 0, F.col("high") - F.col("close")).otherwise(F.lit(float("nan")))
+    })
     return T.core_vector(rows).withColumns({c: r(c) for c in ("dist_point2_pct", "dist_point3_pct")})
 
 
@@ -156,14 +167,20 @@ POINTS = BARS + """, i0 AS (SELECT *, row_number() OVER w - 1 AS idx, lag(high,
  f AS (SELECT symbol, ts, idx, close, h1 IS NOT NULL AS has_structural_window, CASE WHEN h1 > 0 THEN (idx % 2 = 0)::INT::DOUBLE END AS starts_high, h1 AS high1, h2 AS high2, l1 AS low1, l2 AS low2, h2 - h1 AS high_change, l2 - l1 AS low_change, h2 - h1 - (l2 - l1) AS expansion,
    CASE WHEN abs(greatest(h1, h2) - least(l1, l2)) >= 1e-12 AND h1 > 0 THEN (close - least(l1, l2)) / (greatest(h1, h2) - least(l1, l2)) END AS range_pos, CASE WHEN h1 > 0 THEN (close > h1 + (h2 - h1) / 5 * 8)::INT::DOUBLE END AS upper_break, CASE WHEN h1 > 0 THEN (close < l1 + (l2 - l1) / 4 * 6)::INT::DOUBLE END AS lower_break,
    h2 - h1 + l2 - l1 AS structure_dir, CASE WHEN h1 > 0 THEN greatest(h1, h2) - least(l1, l2) END AS range_pct, h2 - l2 AS last_width_pct, CASE WHEN gap > 0 AND h1 > 0 THEN 2 / gap END AS move_age, abs(h2 - h1) / 5 AS high_speed, abs(l2 - l1) / 4 AS low_speed, CASE WHEN h1 > 0 THEN 4.0 / 6 END AS extrema_freq FROM p)"""
-FEATURES = ["starts_high", "high1", "high2", "low1", "low2", "high_change", "low_change", "expansion", "range_pos", "upper_break", "lower_break", "structure_dir", "range_pct", "last_width_pct", "move_age", "high_speed", "low_speed", "extrema_freq"]
+FEATURES = [
+    "starts_high", "high1", "high2", "low1", "low2", "high_change", "low_change", "expansion", "range_pos", "upper_break", "lower_break",
+    "structure_dir", "range_pct", "last_width_pct", "move_age", "high_speed", "low_speed", "extrema_freq"
+]
 
 
 def _shaped(spark, d) -> DataFrame:
     rows, w, i = _indexed(_bars(spark, d)), Window.partitionBy("symbol").orderBy("ts"), F.col("idx")
     known = F.lag("high", 8).over(w).isNotNull()
     when = lambda c: F.when(known, c)
-    at = {"h1": F.lag("high", 8).over(w), "h2": when(F.lag("high", 3).over(w)), "l1": when(F.lag("low", 6).over(w)), "l2": when(F.lag("low", 2).over(w)), "first_high": when(i % 2 == 0)}
+    at = {
+        "h1": F.lag("high", 8).over(w), "h2": when(F.lag("high", 3).over(w)), "l1": when(F.lag("low", 6).over(w)),
+        "l2": when(F.lag("low", 2).over(w)), "first_high": when(i % 2 == 0)
+    }
     at |= {f"{c}_idx": when(i - n) for c, n in (("h1", 8), ("h2", 3), ("l1", 6), ("l2", 2), ("e0", 8), ("e3", 2))}
     return T.with_features(rows.withColumns(at).withColumn("median_gap", when(F.when(i % 9 > 0, 2.0).otherwise(0.0))))
 
@@ -201,7 +218,10 @@ EXPLOSIVE = WINDOWS + """, e AS (SELECT symbol || '_' || idx AS window_id, symbo
 def _explosive(spark, d) -> DataFrame:
     i = F.col("idx")
     rows = _indexed(_vars(spark, d)).withColumn("window_id", F.concat_ws("_", "symbol", i.cast("string")))
-    meta = rows.select("window_id", "symbol", F.concat(F.lit("v"), (i % 2).cast("string")).alias("state_variable"), F.when(i % 3 == 0, "low").when(i % 3 == 1, "mid").otherwise("high").alias("state_group"))
+    meta = rows.select(
+        "window_id", "symbol", F.concat(F.lit("v"), (i % 2).cast("string")).alias("state_variable"),
+        F.when(i % 3 == 0, "low").when(i % 3 == 1, "mid").otherwise("high").alias("state_group")
+    )
     got = rows.select("window_id", (F.col("b") - 11).alias("gsadf_stat"), F.lit(1.0).alias("gsadf_cv95"), (F.col("b") - 11 > 1).alias("gsadf_reject"))
     return R.explosive_summary(got, meta, ["state_variable", "state_group"])
 
@@ -241,7 +261,10 @@ def _extremes(spark, d) -> DataFrame:
     rows = rows.withColumn("_g", F.floor(i / 20)).withColumn("kind", F.when(F.floor(i / 5) % 2 == 0, "high").otherwise("low"))
     held = lambda c: F.max(F.when(i % 20 == 2, F.col(c))).over(w)
     rows = rows.withColumn("value", F.when(F.col("kind") == "high", held("high")).otherwise(held("low")))
-    return K.extreme_events(rows.select("symbol", F.col("ts").alias("timestamp"), (i % 5 == 4).alias("new_extremum_confirmed"), F.col("kind").alias("confirmed_extremum_kind"), (F.col("_g") * 20 + 2).alias("confirmed_extremum_idx"), F.col("value").alias("confirmed_extremum_value")))
+    return K.extreme_events(rows.select(
+        "symbol", F.col("ts").alias("timestamp"), (i % 5 == 4).alias("new_extremum_confirmed"), F.col("kind").alias("confirmed_extremum_kind"),
+        (F.col("_g") * 20 + 2).alias("confirmed_extremum_idx"), F.col("value").alias("confirmed_extremum_value")
+    ))
 
 
 @query(f"""WITH {EXTREMES} SELECT *, symbol || '_' || lpad((row_number() OVER (PARTITION BY symbol ORDER BY extreme_idx, confirmed_idx))::VARCHAR, 6, '0') AS event_id FROM x""")
@@ -261,7 +284,12 @@ def told_normal_events(spark, d):
 
 @query(f"WITH {BARS}, u AS (SELECT symbol, close, 'raw' AS kind FROM bars UNION ALL SELECT symbol, ln(close), 'log' FROM bars) SELECT symbol, kind, min(close) > 0 AND quantile_cont(close, 0.95) < 20 AS is_log FROM u GROUP BY 1, 2")
 def told_price_mode(spark, d):
-    rows = _bars(spark, d).select("symbol", F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("close").alias("close")), F.struct(F.lit("log").alias("kind"), F.ln("close").alias("close")))).alias("z")).select("symbol", "z.*")
+    rows = _bars(spark, d).select(
+        "symbol",
+        F.explode(F.array(
+            F.struct(F.lit("raw").alias("kind"), F.col("close").alias("close")), F.struct(F.lit("log").alias("kind"), F.ln("close").alias("close"))
+        )).alias("z")
+    ).select("symbol", "z.*")
     return rows.groupBy("symbol", "kind").agg(K.price_is_log(rows).alias("is_log"))
 
 
@@ -278,7 +306,10 @@ SPEC = BARS + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY
 
 def _spec(spark, d, item: str) -> DataFrame:
     rows = _indexed(_bars(spark, d)).filter("idx < 30")
-    return rows.select("symbol", F.lit(item).alias("item"), F.col("idx").cast("int").alias("i"), F.lit(0).alias("j"), (F.ln("close") - 12).alias("re"), (F.ln("high") - 11.5).alias("im"))
+    return rows.select(
+        "symbol", F.lit(item).alias("item"), F.col("idx").cast("int").alias("i"), F.lit(0).alias("j"), (F.ln("close") - 12).alias("re"),
+        (F.ln("high") - 11.5).alias("im")
+    )
 
 
 @query(f"WITH {SPEC} SELECT symbol, i::INT AS mode, round(re, 6) AS re, round(im, 6) AS im, round(sqrt(re * re + im * im), 6) AS abs, round(atan2(im, re), 6) AS angle FROM sp")
@@ -295,6 +326,8 @@ def told_singular_table(spark, d):
  SELECT symbol, count(*) AS prediction_count, round(avg(e), 6) AS error_mean, round(stddev_pop(e), 6) AS error_std, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(quantile_cont(abs(e), 0.5), 6) AS median_abs_error, round(avg(rel), 6) AS relative_mean, round(quantile_cont(rel, 0.5), 6) AS relative_median, count(rel) AS relative_count,
  round(arg_max(t, start), 6) AS last_true, round(arg_max(p, start), 6) AS last_pred, round(arg_max(e, start), 6) AS last_error FROM e GROUP BY 1""")
 def told_forecast_errors(spark, d):
-    rows = _indexed(_vars(spark, d)).select("symbol", F.col("idx").alias("start"), F.col("b").alias("true"), F.lag("b").over(Window.partitionBy("symbol").orderBy("ts")).alias("pred")).filter("pred IS NOT NULL")
+    rows = _indexed(_vars(spark, d)).select(
+        "symbol", F.col("idx").alias("start"), F.col("b").alias("true"), F.lag("b").over(Window.partitionBy("symbol").orderBy("ts")).alias("pred")
+    ).filter("pred IS NOT NULL")
     out = K.forecast_errors(rows)
     return out.withColumns({c: r(c) for c in out.columns if c != "symbol" and not c.endswith("count")})

@@ -28,7 +28,10 @@ def _note(spark: SparkSession, path: str, what: dict) -> None:
     spark.createDataFrame([(json.dumps(what, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def sampling_job(spark: SparkSession, series: DataFrame, out: str, target: int = 2000, b2b: int = 1, vol_window: int = 128, max_iter: int = 16, methods: list[str] | None = None) -> DataFrame:
+def sampling_job(
+    spark: SparkSession, series: DataFrame, out: str, target: int = 2000, b2b: int = 1, vol_window: int = 128, max_iter: int = 16,
+    methods: list[str] | None = None
+) -> DataFrame:
     """Tune each method to about ``target`` events, sample, compare: writes
     base, history, tuned, events, jaccard and metadata; returns the tuned scales."""
     methods, dif = methods or SAMPLED, increments(series)
@@ -68,7 +71,10 @@ def state_job(
     valid = scored.filter("valid_state")
     vector.describe(valid, vector.VARIABLES).write.mode("overwrite").parquet(f"{out}/summary")
     vector.correlations(vector.standardise(valid, vector.VARIABLES, *clip), vector.VARIABLES).write.mode("overwrite").parquet(f"{out}/correlations")
-    _note(spark, f"{out}/score_config", {"scores": vector.score_config(window=window, min_periods=min_periods, lower=score[0], upper=score[1]), **machine})
+    _note(
+        spark, f"{out}/score_config",
+        {"scores": vector.score_config(window=window, min_periods=min_periods, lower=score[0], upper=score[1]), **machine}
+    )
     return scored
 
 
@@ -76,7 +82,10 @@ def _first_symbols(prices: DataFrame, most: int | None) -> DataFrame:
     return prices.join(F.broadcast(prices.select("symbol").distinct().orderBy("symbol").limit(most)), "symbol") if most else prices
 
 
-def swings_job(spark: SparkSession, prices: DataFrame, out: str, m: int, n: int, rank: int, start: str | None = None, end: str | None = None, log_price: bool = False, save_matrices: bool = False, **machine) -> DataFrame:
+def swings_job(
+    spark: SparkSession, prices: DataFrame, out: str, m: int, n: int, rank: int, start: str | None = None, end: str | None = None,
+    log_price: bool = False, save_matrices: bool = False, **machine
+) -> DataFrame:
     """Prices to swing events, their observable, its spectrum and forecasts.
     Dates are cut before the machine runs.  The delay matrices and the reduced
     operator are kept with ``save_matrices`` only."""
@@ -121,13 +130,21 @@ def explosive_job(
     else:
         rows = rows.withColumn("composite", F.lit("other"))
     names = [F.struct(F.lit(v).alias("state_variable"), F.col(f"{v}_group").alias("state_group")) for v in columns]
-    named = rows.select("symbol", "ts", F.explode(F.array(*names, F.struct(F.lit("composite").alias("state_variable"), F.col("composite").alias("state_group")))).alias("z")).select("symbol", "ts", "z.*").filter("state_group IS NOT NULL")
+    named = rows.select(
+        "symbol", "ts",
+        F.explode(F.array(*names, F.struct(F.lit("composite").alias("state_variable"), F.col("composite").alias("state_group")))).alias("z")
+    ).select("symbol", "ts", "z.*").filter("state_group IS NOT NULL")
     stratum, composite = ["state_variable", "state_group"], F.col("state_variable") == "composite"
-    meta = [research.stratified_sample(named.filter(c), stratum, n, seed, (*stratum, "symbol", "ts")) for c, n in ((~composite, per_group), (composite & (F.col("state_group") != "other"), per_state))]
+    meta = [
+        research.stratified_sample(named.filter(c), stratum, n, seed, (*stratum, "symbol", "ts")) for c,
+        n in ((~composite, per_group), (composite & (F.col("state_group") != "other"), per_state))
+    ]
     meta = meta[0].unionByName(meta[1]).withColumn("window_id", F.md5(F.concat_ws("|", *stratum, "symbol", F.col("ts").cast("string"))))
     meta.write.mode("overwrite").parquet(f"{out}/windows_meta")
     meta = spark.read.parquet(f"{out}/windows_meta")
-    research.trailing_windows(vectors, meta.select("window_id", "symbol", "ts"), window, min_obs, close_is_log).write.mode("overwrite").parquet(f"{out}/windows")
+    research.trailing_windows(
+        vectors, meta.select("window_id", "symbol", "ts"), window, min_obs, close_is_log
+    ).write.mode("overwrite").parquet(f"{out}/windows")
     research.explosiveness(spark.read.parquet(f"{out}/windows"), nrep=nrep, seed=seed).write.mode("overwrite").parquet(f"{out}/explosiveness")
     research.explosive_summary(spark.read.parquet(f"{out}/explosiveness"), meta, stratum).write.mode("overwrite").parquet(f"{out}/explosive_by_state")
     summary = spark.read.parquet(f"{out}/explosive_by_state")
@@ -145,18 +162,26 @@ def lowess_job(
     variables = [f"{c}_score" if scores and f"{c}_score" in vectors.columns else c for c in columns]
     log = vectors if close_is_log else vectors.filter("close > 0").withColumn("close", F.ln("close"))
     targets = [f"return_k{h}" for h in returns] + [f"vol_k{h}" for h in vols]
-    research.winsorise(research.future_targets(log, returns, vols), targets, *clip).select("symbol", "ts", *dict.fromkeys([*variables, *targets])).write.mode("overwrite").parquet(f"{out}/targets")
+    research.winsorise(
+        research.future_targets(log, returns, vols), targets, *clip
+    ).select("symbol", "ts", *dict.fromkeys([*variables, *targets])).write.mode("overwrite").parquet(f"{out}/targets")
     data = spark.read.parquet(f"{out}/targets")
     research.lowess(data, variables, targets, frac, robust, max_points).write.mode("overwrite").parquet(f"{out}/lowess")
     research.lowess_index(data, spark.read.parquet(f"{out}/lowess"), variables, targets).write.mode("overwrite").parquet(f"{out}/lowess_index")
     return spark.read.parquet(f"{out}/lowess_index")
 
 
-def validation_job(spark: SparkSession, vectors: DataFrame, out: str, close_is_log: bool = False, per_group: int = 120, per_state: int = 150, seed: int = 42, nrep: int = 499, horizons: tuple[int, ...] = (5, 10, 20), max_points: int = 8000) -> None:
+def validation_job(
+    spark: SparkSession, vectors: DataFrame, out: str, close_is_log: bool = False, per_group: int = 120, per_state: int = 150, seed: int = 42,
+    nrep: int = 499, horizons: tuple[int, ...] = (5, 10, 20), max_points: int = 8000
+) -> None:
     """All three tests of state vectors."""
     adf_job(spark, vectors, out, close_is_log=close_is_log)
     explosive_job(spark, vectors, out, per_group=per_group, per_state=per_state, seed=seed, nrep=nrep, close_is_log=close_is_log)
-    lowess_job(spark, vectors, out, columns=[v for v in vector.VARIABLES if v not in vector.BINARY], scores=False, returns=horizons, vols=horizons, max_points=max_points, close_is_log=close_is_log)
+    lowess_job(
+        spark, vectors, out, columns=[v for v in vector.VARIABLES if v not in vector.BINARY], scores=False, returns=horizons, vols=horizons,
+        max_points=max_points, close_is_log=close_is_log
+    )
 
 
 def diagnostics_job(spark: SparkSession, run: str, out: str, m: int | None = None, n: int | None = None, rank: int | None = None) -> DataFrame:
@@ -170,12 +195,16 @@ def diagnostics_job(spark: SparkSession, run: str, out: str, m: int | None = Non
         if not exists(need):
             raise FileNotFoundError(f"{run}/{need}")
     eigen, singular = spark.read.parquet(f"{run}/{name}"), spark.read.parquet(f"{run}/singular_values")
-    spec = eigen.select("symbol", F.lit("eigenvalue").alias("item"), F.col("mode").alias("i"), "re", "im").unionByName(singular.select("symbol", F.lit("singular_value").alias("item"), "i", F.col("sigma").alias("re"), F.lit(0.0).alias("im")))
+    spec = eigen.select(
+        "symbol", F.lit("eigenvalue").alias("item"), F.col("mode").alias("i"), "re", "im"
+    ).unionByName(singular.select("symbol", F.lit("singular_value").alias("item"), "i", F.col("sigma").alias("re"), F.lit(0.0).alias("im")))
     dmd.eigen_table(spec).write.mode("overwrite").parquet(f"{out}/eigenvalue_diagnostics")
     dmd.singular_table(spec).write.mode("overwrite").parquet(f"{out}/singular_value_diagnostics")
     if None not in (m, n, rank):
         errors = dmd.forecast_errors(dmd.rolling_forecasts(spark.read.parquet(f"{run}/observable"), m, n, rank))
-        errors.withColumns({"m": F.lit(m), "n": F.lit(n), "rank": F.lit(rank), "train_observable_count": F.lit(m + n + 1)}).write.mode("overwrite").parquet(f"{out}/reconstruction_error")
+        errors.withColumns({
+            "m": F.lit(m), "n": F.lit(n), "rank": F.lit(rank), "train_observable_count": F.lit(m + n + 1)
+        }).write.mode("overwrite").parquet(f"{out}/reconstruction_error")
     return spark.read.parquet(f"{out}/singular_value_diagnostics")
 
 
@@ -252,7 +281,9 @@ def main(args: list[str] | None = None) -> None:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     job = o.pop("job")
     if job == "sampling":
-        sampling_job(spark, readers.read_series(spark, o["data"], o["column"]), o["out"], o["target"], o["b2b"], o["vol_window"], o["max_iter"], o["methods"])
+        sampling_job(
+            spark, readers.read_series(spark, o["data"], o["column"]), o["out"], o["target"], o["b2b"], o["vol_window"], o["max_iter"], o["methods"]
+        )
     elif job == "diagnostics":
         diagnostics_job(spark, **o)
     elif job in ("adf", "explosive", "lowess"):
@@ -268,7 +299,10 @@ def main(args: list[str] | None = None) -> None:
         span = {"start": o["start"], "end": o["end"], "log_price": o["log_price"]}
         if job == "state":
             clip, score = (o["clip_lower"], o["clip_upper"]), (o["score_lower"], o["score_upper"])
-            state_job(spark, prices, o["out"], n_lags=o["n_lags"], max_symbols=o["max_symbols"], window=o["score_window"], min_periods=o["score_min_periods"], clip=clip, score=score, state_path=o["state_path"], **span, **machine)
+            state_job(
+                spark, prices, o["out"], n_lags=o["n_lags"], max_symbols=o["max_symbols"], window=o["score_window"],
+                min_periods=o["score_min_periods"], clip=clip, score=score, state_path=o["state_path"], **span, **machine
+            )
         else:
             swings_job(spark, prices, o["out"], o["m"], o["n"], o["rank"], save_matrices=o["save_matrices"], **span, **machine)
 

@@ -18,7 +18,9 @@ def place_among(value: Column, cuts: list) -> Column:
 
     def step(s: Column, _: Column) -> Column:
         below = F.get(bounds, half(s)) < value
-        return F.when(s["lo"] >= s["hi"], s).when(below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
+        return F.when(s["lo"] >= s["hi"], s).when(
+            below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))
+        ).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
 
     whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, step, lambda s: s["lo"])
@@ -34,6 +36,9 @@ def with_position(rows: DataFrame, order: Sequence[str], position: str, total: s
     placed = rows.withColumn("_part", place_among(F.col(order[0]).cast("double"), cuts))
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = sizes.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_t"))
+    before = sizes.select(
+        "_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
+        F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_t")
+    )
     out = placed.withColumn("_l", local).join(before, "_part").withColumn(position, F.col("_b") + F.col("_l") - 1)
     return (out.withColumn(total, F.col("_t")) if total else out).drop("_part", "_l", "_b", "_t")

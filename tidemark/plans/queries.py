@@ -58,7 +58,9 @@ def _bars(spark: SparkSession, d: str) -> DataFrame:
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Bars with a state that SQL can tell too."""
     was = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    return _bars(spark, d).withColumn("was", was).withColumn("state", F.when(F.col("close") > F.col("was") * 1.2, "uptrend").when(F.col("close") < F.col("was") * 0.8, "downtrend").otherwise("no_trend"))
+    return _bars(spark, d).withColumn("was", was).withColumn(
+        "state", F.when(F.col("close") > F.col("was") * 1.2, "uptrend").when(F.col("close") < F.col("was") * 0.8, "downtrend").otherwise("no_trend")
+    )
 
 
 @query(f"WITH {BARS} SELECT symbol, ts, open, high, low, close, n FROM bars")
@@ -111,7 +113,10 @@ def cusum_events_native(spark, d):
     return D.cusum_fold(B.log_close(_bars(spark, d)), 100.0).select("symbol", "ts", "idx", "direction", r("score").alias("score"))
 
 
-@query(_running("greatest(0, a + z - 0.003)", "least(0, b + z + 0.003)", "greatest(na, -nb) > 5.0 * sigma", "greatest(na, -nb)", "CASE WHEN na >= -nb THEN 1 ELSE -1 END", 30))
+@query(_running(
+    "greatest(0, a + z - 0.003)", "least(0, b + z + 0.003)", "greatest(na, -nb) > 5.0 * sigma", "greatest(na, -nb)",
+    "CASE WHEN na >= -nb THEN 1 ELSE -1 END", 30
+))
 def cusum_ls_events(spark, d):
     return _events(spark, d, "cusum_ls", 1.0)
 
@@ -130,7 +135,10 @@ def _rows_only(name: str, f) -> None:
     QUERIES[name] = f
 
 
-for _m, _q in (("glr", 0.2), ("brandt_glr", 0.2), ("shewhart", 0.05), ("recursive_param_seg", 1.0), ("e_detector", 0.2), ("ssr_cusum", 0.2), ("adaptive_cusum", 0.2)):
+for _m, _q in (
+    ("glr", 0.2), ("brandt_glr", 0.2), ("shewhart", 0.05), ("recursive_param_seg", 1.0), ("e_detector", 0.2), ("ssr_cusum", 0.2),
+    ("adaptive_cusum", 0.2)
+):
     _rows_only(f"{_m}_events", lambda spark, d, m=_m, q=_q: D.detect(B.log_close(_bars(spark, d)), m, q))
 _rows_only("wbs_lepage_events", lambda spark, d: D.detect(B.log_close(_bars(spark, d)), "wbs_lepage", 0.5))
 
@@ -226,7 +234,10 @@ def base_threshold(spark, d):
  t AS (SELECT x.m AS a_method, y.m AS b_method, count(*) AS c FROM s x JOIN s y USING (symbol, ts) GROUP BY 1, 2) SELECT a_method, b_method, round(coalesce(c, 0) / (nx + ny - coalesce(c, 0)), 6) AS jaccard FROM g LEFT JOIN t USING (a_method, b_method)""")
 def jaccard_matrix(spark, d):
     x = _dif(spark, d)
-    sets = x.select("symbol", "ts", F.explode(F.array_compact(F.array(F.when(F.abs("x") > 20, "a"), F.when(F.col("x") > 10, "b"), F.when(F.col("x") < -10, "c")))).alias("method"))
+    sets = x.select(
+        "symbol", "ts",
+        F.explode(F.array_compact(F.array(F.when(F.abs("x") > 20, "a"), F.when(F.col("x") > 10, "b"), F.when(F.col("x") < -10, "c")))).alias("method")
+    )
     return D.jaccard(sets, by=["method"]).select("a_method", "b_method", r("jaccard").alias("jaccard"))
 
 
@@ -250,8 +261,14 @@ _rows_only("market_state", _state)
 _rows_only("core_state_vector", lambda s, d: T.core_vector(_state(s, d)))
 _rows_only("shape_state", lambda s, d: _shape(s, d, n_lags=2, decay=0.5))
 _rows_only("state_vector_scores", lambda s, d: V.rolling_scores(V.state_vector(_shape(s, d))))
-_rows_only("state_vector_correlations", lambda s, d: V.correlations(V.standardise(V.state_vector(_shape(s, d)).filter("valid_state"), V.VARIABLES), V.VARIABLES))
-for _k in ("trend_durations", "phase_duration_summary", "switch_counts", "transitions", "phase_transitions", "quality_summary", "terminal_quality", "point_intervals", "point_interval_summary", "position_returns_5", "trend_returns_5", "phase_returns_5"):
+_rows_only(
+    "state_vector_correlations", lambda s,
+    d: V.correlations(V.standardise(V.state_vector(_shape(s, d)).filter("valid_state"), V.VARIABLES), V.VARIABLES)
+)
+for _k in (
+    "trend_durations", "phase_duration_summary", "switch_counts", "transitions", "phase_transitions", "quality_summary", "terminal_quality",
+    "point_intervals", "point_interval_summary", "position_returns_5", "trend_returns_5", "phase_returns_5"
+):
     _rows_only(f"state_{_k}", lambda s, d, k=_k: E.evaluate(_state(s, d))[k])
 
 
@@ -289,7 +306,9 @@ def transition_matrix(spark, d):
  b AS (SELECT CASE WHEN position <= 0 THEN 0 WHEN position <= .2 THEN 1 WHEN position <= .4 THEN 2 WHEN position <= .6 THEN 3 WHEN position <= .8 THEN 4 WHEN position <= 1 THEN 5 ELSE 6 END AS bucket, v FROM p WHERE position IS NOT NULL)
  SELECT k::INT AS bucket, count(v) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.5), 6) AS median, round(min(v), 6) AS min, round(max(v), 6) AS max FROM range(7) t(k) LEFT JOIN b ON b.bucket = t.k GROUP BY 1""")
 def position_returns(spark, d):
-    rows = E.future_return(_labelled(spark, d), 5, name="v").withColumn("position", F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")))
+    rows = E.future_return(_labelled(spark, d), 5, name="v").withColumn(
+        "position", F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))
+    )
     return E.position_returns(rows, "v").select("bucket", "count", *[r(c).alias(c) for c in ("mean", "std", "median", "min", "max")])
 
 
@@ -306,7 +325,10 @@ VARS = BARS + ", v AS (SELECT symbol, ts, close, ln(high) - ln(low) AS a, ln(clo
 
 
 def _vars(spark, d) -> DataFrame:
-    return _bars(spark, d).select("symbol", "ts", "close", (F.ln("high") - F.ln("low")).alias("a"), F.ln("close").alias("b"), F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0).alias("c"))
+    return _bars(spark, d).select(
+        "symbol", "ts", "close", (F.ln("high") - F.ln("low")).alias("a"), F.ln("close").alias("b"),
+        F.when(F.col("close") > F.col("open"), 1.0).otherwise(0.0).alias("c")
+    )
 
 
 @query(f"""WITH {VARS}, q AS (SELECT *, count(b) OVER w AS n, quantile_cont(b, 0.05) OVER w AS lo, quantile_cont(b, 0.95) OVER w AS hi FROM v WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
@@ -329,7 +351,9 @@ def correlations(spark, d):
 @query(f"""WITH {VARS} SELECT 'b' AS variable, count(b) AS count, round(avg(b), 6) AS mean, round(stddev_samp(b), 6) AS std, round(min(b), 6) AS min, round(quantile_cont(b, .01), 6) AS p01, round(quantile_cont(b, .05), 6) AS p05, round(quantile_cont(b, .5), 6) AS p50,
  round(quantile_cont(b, .95), 6) AS p95, round(quantile_cont(b, .99), 6) AS p99, round(max(b), 6) AS max FROM v""")
 def description(spark, d):
-    return V.describe(_vars(spark, d), ["b"]).select("variable", "count", *[r(c).alias(c) for c in ("mean", "std", "min", "p01", "p05", "p50", "p95", "p99", "max")])
+    return V.describe(_vars(spark, d), ["b"]).select(
+        "variable", "count", *[r(c).alias(c) for c in ("mean", "std", "min", "p01", "p05", "p50", "p95", "p99", "max")]
+    )
 
 
 # -- research ---------------------------------------------------------------------
@@ -398,10 +422,16 @@ def explosive_ends(vectors: DataFrame, per_group: int = 120, per_state: int = 15
     and of each composite state."""
     rows = R.with_tertiles(vectors.filter("valid_state"), V.VARIABLES).withColumn("composite", R.composite_state())
     names = [F.struct(F.lit(v).alias("state_variable"), F.col(f"{v}_group").alias("state_group")) for v in V.VARIABLES]
-    named = rows.select("symbol", "ts", F.explode(F.array(*names, F.struct(F.lit("composite").alias("state_variable"), F.col("composite").alias("state_group")))).alias("z")).select("symbol", "ts", "z.*").filter("state_group IS NOT NULL")
+    named = rows.select(
+        "symbol", "ts",
+        F.explode(F.array(*names, F.struct(F.lit("composite").alias("state_variable"), F.col("composite").alias("state_group")))).alias("z")
+    ).select("symbol", "ts", "z.*").filter("state_group IS NOT NULL")
     stratum = ["state_variable", "state_group"]
     composite = F.col("state_variable") == "composite"
-    ends = [R.stratified_sample(named.filter(c), stratum, n, key=(*stratum, "symbol", "ts")) for c, n in ((~composite, per_group), (composite & (F.col("state_group") != "other"), per_state))]
+    ends = [
+        R.stratified_sample(named.filter(c), stratum, n, key=(*stratum, "symbol", "ts")) for c,
+        n in ((~composite, per_group), (composite & (F.col("state_group") != "other"), per_state))
+    ]
     return ends[0].unionByName(ends[1]).select(F.concat_ws("_", *stratum, "symbol", F.col("ts").cast("string")).alias("window_id"), "symbol", "ts")
 
 

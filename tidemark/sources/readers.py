@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Column names of a daily price download, in order.
-DAILY = {"日期": "date", "股票代码": "symbol", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low", "成交量": "volume", "成交额": "amount", "振幅": "amplitude", "涨跌幅": "pct_change", "涨跌额": "change", "换手率": "turnover"}
+DAILY = {
+    "日期": "date", "股票代码": "symbol", "开盘": "open", "收盘": "close", "最高": "high", "最低": "low", "成交量": "volume", "成交额": "amount", "振幅": "amplitude",
+    "涨跌幅": "pct_change", "涨跌额": "change", "换手率": "turnover"
+}
 DAILY_ORDER = ["date", "symbol", "name", "open", "high", "low", "close", "volume", "amount", "amplitude", "pct_change", "change", "turnover"]
 NUMBERS = ["open", "high", "low", "close", "volume", "amount", "amplitude", "pct_change", "change", "turnover"]
 
@@ -30,7 +33,9 @@ def symbol_code(c: str | Column) -> Column:
     return F.when(c.rlike("^[0-9]{1,5}$"), F.lpad(c, 6, "0")).otherwise(c)
 
 
-def read_prices(spark: SparkSession, path: str | Sequence[str], start: str | None = None, end: str | None = None, symbol: str | None = None) -> DataFrame:
+def read_prices(
+    spark: SparkSession, path: str | Sequence[str], start: str | None = None, end: str | None = None, symbol: str | None = None
+) -> DataFrame:
     """Price bars from CSV (a file, a folder or a pattern) or Parquet, with any
     letter case of column names: symbol, ts, open, high, low, close and what
     numbers there are.  Without a symbol column, ``symbol`` or the file name."""
@@ -45,7 +50,9 @@ def read_prices(spark: SparkSession, path: str | Sequence[str], start: str | Non
     if when is None or not {"open", "high", "low", "close"} <= set(rows.columns):
         raise ValueError("a date column and open, high, low, close are needed")
     name = F.lit(symbol) if symbol else symbol_code("symbol") if "symbol" in rows.columns else F.regexp_extract("_file", r"([^/]+)\.[^./]*$", 1)
-    rows = rows.select(name.alias("symbol"), F.to_timestamp(when).alias("ts"), *[number(c).alias(c) for c in NUMBERS if c in rows.columns]).filter("ts IS NOT NULL")
+    rows = rows.select(
+        name.alias("symbol"), F.to_timestamp(when).alias("ts"), *[number(c).alias(c) for c in NUMBERS if c in rows.columns]
+    ).filter("ts IS NOT NULL")
     if start:
         rows = rows.filter(F.col("ts") >= F.to_timestamp(F.lit(start)))
     if end:
@@ -53,7 +60,9 @@ def read_prices(spark: SparkSession, path: str | Sequence[str], start: str | Non
     return rows
 
 
-def read_symbol(spark: SparkSession, folder: str, symbol: str = "spx", interval: str = "1d", start: str | None = None, end: str | None = None) -> DataFrame:
+def read_symbol(
+    spark: SparkSession, folder: str, symbol: str = "spx", interval: str = "1d", start: str | None = None, end: str | None = None
+) -> DataFrame:
     """One symbol's bars from ``<folder>/<symbol>_<interval>.csv``, both ends of
     the span included; an error if there are none."""
     rows = read_prices(spark, f"{folder.rstrip('/')}/{symbol}_{interval}.csv", start, end, symbol)
@@ -73,7 +82,10 @@ def read_series(spark: SparkSession, path: str, column: str | None = None, time:
     value = column or (rest[0] if len(rest) == 1 else "p" if "p" in rest else None)
     if value is None or value not in raw.columns:
         raise ValueError(f"name one of {rest}")
-    return raw.select((F.col("symbol") if "symbol" in raw.columns else F.lit(symbol)).alias("symbol"), F.to_timestamp(when).alias("ts"), F.col(value).cast("double").alias("value"))
+    return raw.select(
+        (F.col("symbol") if "symbol" in raw.columns else F.lit(symbol)).alias("symbol"), F.to_timestamp(when).alias("ts"),
+        F.col(value).cast("double").alias("value")
+    )
 
 
 def normalise_daily(raw: DataFrame, symbol: str, name: str | None = None) -> DataFrame:
@@ -87,7 +99,9 @@ def normalise_intraday(raw: DataFrame, symbol: str, order: str | None = None) ->
     """Intraday bars: numbers coerced, incomplete prices dropped, of one time the
     last row (by ``order``) kept."""
     rows = plain_names(raw)
-    rows = rows.withColumns({c: number(c) for c in NUMBERS if c in rows.columns} | {"ts": F.to_timestamp("date"), "symbol": F.lit(symbol)}).dropna(subset=["ts", "open", "high", "low", "close"])
+    rows = rows.withColumns({c: number(c) for c in NUMBERS if c in rows.columns} | {
+        "ts": F.to_timestamp("date"), "symbol": F.lit(symbol)
+    }).dropna(subset=["ts", "open", "high", "low", "close"])
     w = Window.partitionBy("ts").orderBy(F.desc(order or "ts"))
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", *([order] if order else []))
 
@@ -96,7 +110,9 @@ def exchange_prefix(code: str | Column) -> Column:
     """The exchange before a six-digit code by its first digit: sz for 0 and 3, sh
     for 6, bj for 4 and 8; other codes stay as they are."""
     c = symbol_code(code)
-    return F.concat(F.when(c.rlike("^[03]"), F.lit("sz")).when(c.rlike("^6"), F.lit("sh")).when(c.rlike("^[48]"), F.lit("bj")).otherwise(F.lit("")), c)
+    return F.concat(
+        F.when(c.rlike("^[03]"), F.lit("sz")).when(c.rlike("^6"), F.lit("sh")).when(c.rlike("^[48]"), F.lit("bj")).otherwise(F.lit("")), c
+    )
 
 
 def read_settings(spark: SparkSession, path: str | None, **flags) -> dict:

@@ -38,9 +38,13 @@ def stream_detect(stream: DataFrame, method: str, q: float = 1.0, **options) ->
             if x is not None and (e := kernel.step(float(x))):
                 rows.append((key[0], ts, i, e[0], kernel.source, e[1]))
         state.update((pickle.dumps((kernel, i, last_ts, last)),))
-        yield pd.DataFrame(rows, columns=["symbol", "ts", "idx", "direction", "direction_source", "score"]).astype({"ts": "datetime64[ns]", "score": float})
+        yield pd.DataFrame(
+            rows, columns=["symbol", "ts", "idx", "direction", "direction_source", "score"]
+        ).astype({"ts": "datetime64[ns]", "score": float})
 
-    return stream.select("symbol", "ts", "value").groupBy("symbol").applyInPandasWithState(step, LIVE_EVENTS, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("symbol", "ts", "value").groupBy("symbol").applyInPandasWithState(
+        step, LIVE_EVENTS, "state binary", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def stream_market_state(stream: DataFrame, **machine) -> DataFrame:
@@ -56,4 +60,6 @@ def stream_market_state(stream: DataFrame, **machine) -> DataFrame:
         state.update((pickle.dumps(m),))
         yield nullable(state_frame(rows, key[0]))
 
-    return stream.select("symbol", "ts", "open", "high", "low", "close").groupBy("symbol").applyInPandasWithState(step, "symbol string, " + STATE, "state binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.select("symbol", "ts", "open", "high", "low", "close").groupBy("symbol").applyInPandasWithState(
+        step, "symbol string, " + STATE, "state binary", "append", GroupStateTimeout.NoTimeout
+    )
