@@ -137,14 +137,22 @@ def _rows(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
-def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256, sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, block: int = 2048) -> DataFrame:
+def nearest(
+    table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256,
+    sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, block: int = 2048
+) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score, and ``visits`` and
     ``probe_recall``: leaves visited of each query, and the share of the true
     neighbours of the probes kept apart that lie in as many leaves."""
     spark = table.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    sound = F.col(vector).isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))) & F.exists(v, lambda x: x != 0)
-    rows = table.select(F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), v.alias("v"), F.coalesce(sound, F.lit(False)).alias("ok")).filter("ok AND id IS NOT NULL").drop("ok")
+    sound = F.col(vector).isNotNull() & F.forall(
+        v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+    ) & F.exists(v, lambda x: x != 0)
+    rows = table.select(
+        F.col(key).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), v.alias("v"),
+        F.coalesce(sound, F.lit(False)).alias("ok")
+    ).filter("ok AND id IS NOT NULL").drop("ok")
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double, visits int, probe_recall double"
     if size is None:
@@ -176,7 +184,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     asked = rows.filter("asks").select("v", F.col("id").alias("query_id"))
     times = stage(asked.groupBy("v").agg(F.count("*").alias("times")).join(entries.select("v", "e"), "v"), "asked-vectors")
     most = max(1000, (times.agg(F.sum("times")).first()[0] or 0) // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    asking = stage(join_skewed(asked, times.select("v", "e", "times"), "v", "times", most, "inner").select("query_id", F.col("e").alias("q")), "asking")
+    asking = stage(
+        join_skewed(asked, times.select("v", "e", "times"), "v", "times", most, "inner").select("query_id", F.col("e").alias("q")), "asking"
+    )
     queries = stage(times.select("e", "times").join(located.select("e", "v"), "e"), "queries")
 
     # calibration: true neighbours of some queries among all rows
@@ -194,7 +204,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         yield pd.DataFrame([(qe, -a, e, leaf) for qe, b in best.items() for a, e, leaf in b], columns=["q", "s", "e", "leaf"])
 
     near = located.select("v", "e", "leaf").mapInPandas(truth, "q long, s double, e long, leaf long")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "e"))).filter((F.col("r") <= k + 1) & (F.col("q") != F.col("e"))).collect()
+    near = near.withColumn(
+        "r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "e"))
+    ).filter((F.col("r") <= k + 1) & (F.col("q") != F.col("e"))).collect()
     n_leaves = sum(1 for n in tree.n if not n)
     order = {e: {leaf: i for i, leaf in enumerate(tree.leaves(_unit(q[None])[0], n_leaves))} for e, q in some}
     place = {e: [] for e, _ in some}
@@ -218,7 +230,9 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # leaves in blocks of bounded size: every block of a leaf meets the leaf's queries
     blocks = located.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = located.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
-    visiting = routed.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(queries.select(F.col("e").alias("q"), F.col("v").alias("qv")), "q")
+    visiting = routed.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(
+        queries.select(F.col("e").alias("q"), F.col("v").alias("qv")), "q"
+    )
     # queries of a block in groups of bounded size as well
     crowd = visiting.groupBy("leaf", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("groups"))
     visiting = visiting.join(crowd, ["leaf", "block"]).withColumn("group", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int"))
@@ -242,7 +256,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     # a group of equal queries asks once, and takes its own id out of k + 1
     best = stage(best.join(queries.select(F.col("e").alias("q"), "times"), "q").select("q", "vec_id", "score", "times"), "best")
     mine = join_skewed(asking, best, "q", "times", most, "inner").filter("vec_id <> query_id")
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
-    out = stage(ranked.select("query_id", "rank", "vec_id", "score", F.lit(int(visits)).alias("visits"), F.lit(float(found)).alias("probe_recall")), "nearest")
+    ranked = mine.withColumn(
+        "rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    ).filter(F.col("rank") <= k)
+    out = stage(
+        ranked.select("query_id", "rank", "vec_id", "score", F.lit(int(visits)).alias("visits"), F.lit(float(found)).alias("probe_recall")), "nearest"
+    )
     drop(entries, located, times, asking, queries, best)
     return out

@@ -160,7 +160,9 @@ def fragment_bpe(path: str) -> FragmentBpe:
     return FragmentBpe(path)
 
 
-def encode_decode(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab: str = "word_bpe_49k.json", ids: bool = True, decoded: bool = True) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", vocab: str = "word_bpe_49k.json", ids: bool = True, decoded: bool = True
+) -> DataFrame:
     """Per row: ``key``, ``n_tokens``, ``ids`` (binary, little-endian unsigned
     32-bit), ``decoded`` and the SHA-256 of both.  ``ids=False`` and
     ``decoded=False`` leave the large columns out.
@@ -176,7 +178,10 @@ def encode_decode(docs: DataFrame, text: str = "text", key: str = "doc_id", voca
             for t in pdf["_text"]:
                 b = bpe.encode(t)
                 d = bpe.decode(b)
-                rows.append((len(b) // 4, b if ids else None, hashlib.sha256(b).hexdigest(), d if decoded else None, hashlib.sha256(d.encode("utf-8", "replace")).hexdigest()))
+                rows.append((
+                    len(b) // 4, b if ids else None, hashlib.sha256(b).hexdigest(), d if decoded else None,
+                    hashlib.sha256(d.encode("utf-8", "replace")).hexdigest()
+                ))
             out = pd.DataFrame(rows, columns=["n_tokens", "ids", "ids_sha256", "decoded", "decoded_sha256"])
             out.insert(0, "_key", pdf["_key"].to_numpy())
             yield out

@@ -74,7 +74,9 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     and ``loss`` (array of ord, at, chars: code points of ``formatted``)."""
     said = F.coalesce("text", F.lit(""))
     cost = F.col(tokens).cast("long") if tokens else turn_tokens(said)
-    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text"), cost.alias("n")).withColumn("rid", F.monotonically_increasing_id())
+    t = turns.select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text"), cost.alias("n")
+    ).withColumn("rid", F.monotonically_increasing_id())
     t = stage(t, "turns")
 
     # order and prefix sums by conversation, over small rows
@@ -87,9 +89,17 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     o = o.withColumn("_sum", F.sum("n").over(upto)).withColumn("_ord", F.row_number().over(local))
     carry = o.groupBy("conv_id", "_part").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
     earlier = Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = carry.select("conv_id", "_part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0"))
+    carry = carry.select(
+        "conv_id", "_part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c0")
+    )
     o = o.alias("o").join(carry.alias("c"), F.col("o.conv_id").eqNullSafe(F.col("c.conv_id")) & (F.col("o._part") == F.col("c._part")))
-    o = stage(o.select("o.conv_id", "o.role", "o.n", "o.rid", "o._part", "o._pos", (F.col("_ord") + F.col("c0") - 1).alias("ord"), (F.col("_sum") + F.col("s0")).alias("sum")), "turn-sums")
+    o = stage(
+        o.select(
+            "o.conv_id", "o.role", "o.n", "o.rid", "o._part", "o._pos", (F.col("_ord") + F.col("c0") - 1).alias("ord"),
+            (F.col("_sum") + F.col("s0")).alias("sum")
+        ),
+        "turn-sums"
+    )
 
     # the first system turn of each conversation is set apart
     system = o.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("ord", "rid", "n")).alias("s")).select("conv_id", "s.*")
@@ -99,24 +109,41 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     is_system = F.coalesce(F.col("rid") == F.col("system_rid"), F.lit(False))
     # sums without the system turn
     q = q.withColumn("end", F.col("sum") - F.when((F.col("system_ord") >= 0) & (F.col("ord") >= F.col("system_ord")), F.col("system_n")).otherwise(0))
-    q = q.withColumn("is_system", is_system).withColumn("step", F.greatest(F.lit(16), F.floor((F.lit(budget - history) - F.col("system_n")) / 2)).cast("long"))
-    q = q.withColumn("begin", F.when(F.col("is_system"), F.col("end")).otherwise(F.col("end") - F.col("n"))).withColumn("large", ~F.col("is_system") & (F.col("n") > F.col("step")))
+    q = q.withColumn("is_system", is_system).withColumn(
+        "step", F.greatest(F.lit(16), F.floor((F.lit(budget - history) - F.col("system_n")) / 2)).cast("long")
+    )
+    q = q.withColumn(
+        "begin", F.when(F.col("is_system"), F.col("end")).otherwise(F.col("end") - F.col("n"))
+    ).withColumn("large", ~F.col("is_system") & (F.col("n") > F.col("step")))
     # (step in which it ends, large): turns of a step follow one another, large ones alone
-    q = q.withColumn("slot", F.when(F.col("is_system"), F.lit(0)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("step")) + F.when(F.col("large"), 0).otherwise(1)).cast("long"))
+    q = q.withColumn(
+        "slot",
+        F.when(F.col("is_system"), F.lit(0)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("step")) + F.when(F.col("large"), 0).otherwise(1)).cast("long")
+    )
     q = stage(q, "turn-slots")
     turns_only = q.filter("NOT is_system")
     slots = turns_only.groupBy("conv_id", "slot").agg(F.min("begin").alias("p0"))
-    bare = q.alias("q").join(slots.select("conv_id").distinct().alias("b"), F.col("q.conv_id").eqNullSafe(F.col("b.conv_id")), "left_anti").select("conv_id", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("p0"))
+    bare = q.alias("q").join(
+        slots.select("conv_id").distinct().alias("b"), F.col("q.conv_id").eqNullSafe(F.col("b.conv_id")), "left_anti"
+    ).select("conv_id", F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("p0"))
     slots = stage(slots.unionByName(bare.distinct()), "slots")  # a conversation of a system turn alone has one window
 
     fresh = turns_only.select("conv_id", "slot", "rid", "ord", F.lit(1).alias("place"), F.lit(True).alias("fresh"))
     # history: turns before a window's first that begin within the allowance
-    bands = turns_only.filter(F.col("n") <= history).select("conv_id", "rid", "ord", "begin", "end", F.explode(F.array_distinct(F.array(F.floor(F.col("end") / history), F.floor((F.col("begin") + history) / history)))).alias("band"))
+    bands = turns_only.filter(F.col("n") <= history).select(
+        "conv_id", "rid", "ord", "begin", "end",
+        F.explode(F.array_distinct(F.array(F.floor(F.col("end") / history), F.floor((F.col("begin") + history) / history)))).alias("band")
+    )
     opened = slots.withColumn("band", F.floor(F.col("p0") / history))
-    old = bands.alias("h").join(opened.alias("w"), F.col("h.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("h.band") == F.col("w.band")) & (F.col("h.end") <= F.col("w.p0")) & (F.col("h.begin") >= F.col("w.p0") - history))
+    old = bands.alias("h").join(
+        opened.alias("w"),
+        F.col("h.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("h.band") == F.col("w.band")) & (F.col("h.end") <= F.col("w.p0")) & (F.col("h.begin") >= F.col("w.p0") - history)
+    )
     old = old.select("h.conv_id", "w.slot", "h.rid", "h.ord", F.lit(1).alias("place"), F.lit(False).alias("fresh"))
     first = slots.groupBy("conv_id").agg(F.min("slot").alias("slot0"))
-    heads = q.filter("is_system").alias("s").join(slots.alias("w"), F.col("s.conv_id").eqNullSafe(F.col("w.conv_id"))).join(first.alias("f"), F.col("s.conv_id").eqNullSafe(F.col("f.conv_id")))
+    heads = q.filter("is_system").alias("s").join(
+        slots.alias("w"), F.col("s.conv_id").eqNullSafe(F.col("w.conv_id"))
+    ).join(first.alias("f"), F.col("s.conv_id").eqNullSafe(F.col("f.conv_id")))
     heads = heads.select("s.conv_id", "w.slot", "s.rid", "s.ord", F.lit(0).alias("place"), (F.col("w.slot") == F.col("f.slot0")).alias("fresh"))
 
     shown = fresh.unionByName(old).unionByName(heads).join(t.select("rid", "role", "text"), "rid")
@@ -125,7 +152,11 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 512, tok
     inside = Window.partitionBy("conv_id", "slot").orderBy("place", "ord").rowsBetween(Window.unboundedPreceding, -1)
     shown = shown.withColumn("at", F.coalesce(F.sum(F.length("line")).over(inside), F.lit(0)) + F.col("lead"))
     # bounded groups: a window's turns cost at least four tokens each
-    item = F.struct("place", "ord", "fresh", "line", F.struct("ord", F.col("at").cast("long").alias("at"), F.length("said").cast("long").alias("chars")).alias("span"), (F.col("fresh") & (F.col("role") == "assistant")).alias("target"))
+    item = F.struct(
+        "place", "ord", "fresh", "line",
+        F.struct("ord", F.col("at").cast("long").alias("at"), F.length("said").cast("long").alias("chars")).alias("span"),
+        (F.col("fresh") & (F.col("role") == "assistant")).alias("target")
+    )
     made = shown.groupBy("conv_id", "slot").agg(F.array_sort(F.collect_list(item)).alias("a"))
     made = made.select(
         "conv_id",
@@ -143,7 +174,10 @@ def read_turns(windows: DataFrame) -> DataFrame:
     """The turns again, from the formatted text: conv_id, ord, role, text, and
     ``loss``: the text under the mask (null where there is none)."""
     pieces = F.split("formatted", r"<\|im_end\|>\n")
-    rows = windows.select("conv_id", "window", "formatted", "loss", F.posexplode(F.arrays_zip(F.col("turns").alias("t"), F.slice(pieces, 1, F.size("turns")).alias("piece"))).alias("i", "z"))
+    rows = windows.select(
+        "conv_id", "window", "formatted", "loss",
+        F.posexplode(F.arrays_zip(F.col("turns").alias("t"), F.slice(pieces, 1, F.size("turns")).alias("piece"))).alias("i", "z")
+    )
     body = F.substring(F.col("z.piece"), len(START) + 1, 2**31 - 1 - len(START))
     rows = rows.filter("z.t.fresh").withColumn("body", body).withColumn("cut", F.instr("body", "\n"))
     span = F.element_at(F.filter("loss", lambda s: s["ord"] == F.col("z.t.ord")), 1)
@@ -161,9 +195,15 @@ def digest(windows: DataFrame) -> DataFrame:
     """One row per conversation, read back from the windows.  Its digests need
     the conversation's text in one value."""
     turns = read_turns(windows)
-    per = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.array_sort(F.collect_list(F.struct("ord", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"), "loss"))).alias("a"))
+    per = turns.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"),
+        F.array_sort(F.collect_list(F.struct("ord", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"), "loss"))).alias("a")
+    )
     whole = F.array_join(F.transform("a", lambda x: x["s"]), "")
     loss = F.array_join(F.transform(F.filter("a", lambda x: x["loss"].isNotNull()), lambda x: x["loss"]), "")
-    per = per.select("conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"))
+    per = per.select(
+        "conv_id", "n_turns", F.sha2(whole, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256")
+    )
     sizes = windows.groupBy("conv_id").agg(F.sum(F.length("formatted")).cast("long").alias("formatted_chars"))
     return per.alias("p").join(sizes.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id"))).select("p.*", "s.formatted_chars")

@@ -39,4 +39,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     # stars now: every node hangs from its component's least
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    return now.select(
+        F.col("u").alias("node"), F.col("v").alias("label")
+    ).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -103,7 +103,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sampl
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("rid", F.monotonically_increasing_id())
     words = rows.select("rid", "k", F.explode(F.split(F.lower("t"), WORD_GAP)).alias("w"))
     with split_methods(docs.sparkSession):
-        return stage(_fingerprints(words, ["rid", "k"], {"fingerprint": F.lit(1)}, samples).select(F.col("k").alias(key), "fingerprint"), "fingerprints")
+        return stage(
+            _fingerprints(words, ["rid", "k"], {"fingerprint": F.lit(1)}, samples).select(F.col("k").alias(key), "fingerprint"), "fingerprints"
+        )
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = 32, ranges: int | None = None) -> DataFrame:
@@ -127,7 +129,10 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     if times:
         hot = (of([m for _, m in times]) > 1) & (of([c for c, _ in times]).cast("decimal(20,0)") == F.col("o"))
         share = F.least(F.floor((F.xxhash64("t") / F.lit(2.0**64) + 0.5) * of([m for _, m in times])), of([m for _, m in times]) - 1).cast("int")
-        rows = place.select((F.get(F.array(*[F.lit(x) for x in start]), F.col("at")) + F.when(F.coalesce(hot, F.lit(False)), 1 + share).otherwise(0)).alias("range"), "o", "t")
+        rows = place.select(
+            (F.get(F.array(*[F.lit(x) for x in start]), F.col("at")) + F.when(F.coalesce(hot, F.lit(False)), 1 + share).otherwise(0)).alias("range"),
+            "o", "t"
+        )
     else:
         rows = place.select(F.lit(0).alias("range"), "o", "t")
     # the key is read off its order, so that both uses below share one exchange
@@ -145,9 +150,14 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     third = F.floor(F.length("t") / 3).cast("int")
     both = placed.withColumn("edited", F.concat(F.substring("t", F.lit(1), F.length("t") - third), F.substring("next", F.lit(1), third)))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("t").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))
-    words = both.select("range", "pos", F.explode(kinds).alias("z")).select("range", "pos", "z.kind", F.explode(F.split(F.lower("z.t"), WORD_GAP)).alias("w"))
+    words = both.select("range", "pos", F.explode(kinds).alias("z")).select(
+        "range", "pos", "z.kind", F.explode(F.split(F.lower("z.t"), WORD_GAP)).alias("w")
+    )
     prints = _fingerprints(words, ["range", "pos"], {"fingerprint": 1 - F.col("kind"), "edited_fingerprint": F.col("kind")}, samples)
-    facts = both.select("range", "pos", F.when(F.col("o") != F.lit(least).cast("decimal(20,0)"), F.col("o")).cast(docs.schema[key].dataType).alias("k"), F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = both.select(
+        "range", "pos", F.when(F.col("o") != F.lit(least).cast("decimal(20,0)"), F.col("o")).cast(docs.schema[key].dataType).alias("k"),
+        F.length("t").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")
+    )
     with split_methods(spark):
         done = stage(prints.join(facts, ["range", "pos"]), "fingerprints")
 
@@ -158,7 +168,9 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text", samples
     out = done.withColumn("next", F.lead("fingerprint").over(by_pos)).join(heads, "range", "left").withColumn("next", F.coalesce("next", "head"))
     out = out.select(
         F.col("k").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next"), samples).alias("near_next"),
+        likeness(
+            F.col("fingerprint"), F.col("edited_fingerprint"), samples
+        ).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next"), samples).alias("near_next"),
     )
     out = stage(out, "likenesses")
     drop(firsts, done)

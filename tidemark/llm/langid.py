@@ -159,7 +159,10 @@ def sample(docs: DataFrame, key: str, text: str, label: str, per_language: int)
             yield pd.DataFrame(rows, columns=["l", "h", "b"])
 
     # a hash of key and text: neither a hot key nor a group of copies weighs more than one row
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("l"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).alias("h"), F.col(text).alias("t"))
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(label).cast("string").alias("l"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text)).alias("h"),
+        F.col(text).alias("t")
+    )
     sizes = rows.groupBy("l").agg(F.approx_count_distinct("h", 0.02).alias("n"))
     # twice the share that is wanted: what the estimate and texts without letters may take off
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n"))
@@ -168,13 +171,17 @@ def sample(docs: DataFrame, key: str, text: str, label: str, per_language: int)
     found = low.groupBy("l", "h").agg(F.min("t").alias("t"))
     made = stage(found.mapInPandas(bitmaps, "l string, h long, b binary"), "language-sample", rows_at_once=256)
     # the hash of the last row that counts, per language: some 2 * per_language numbers of each
-    last = made.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("hs")).select("l", F.expr(f"hs[least(size(hs), {int(per_language)}) - 1]").alias("last"))
+    last = made.groupBy("l").agg(F.sort_array(F.collect_list("h")).alias("hs")).select(
+        "l", F.expr(f"hs[least(size(hs), {int(per_language)}) - 1]").alias("last")
+    )
     out = stage(made.join(F.broadcast(last), "l").filter(F.col("h") <= F.col("last")).drop("last"), "language-sample")
     drop(made)
     return out
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 256, ridge: float = 1e-3) -> Model:
+def fit(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 256, ridge: float = 1e-3
+) -> Model:
     """The classifier of the labelled rows of ``docs``."""
     spark = docs.sparkSession
     rows = sample(docs, key, text, label, per_language)
@@ -208,7 +215,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
             yield pd.DataFrame({"gram": [gram.tobytes()], "cross": [cross.tobytes()]})
 
     # few tasks: the sample is bounded, and each returns one matrix of landmarks by landmarks
-    parts = stage(rows.select("l", "b").repartitionById(4, F.pmod("h", F.lit(4)).cast("int")).mapInPandas(sums, "gram binary, cross binary"), "language-sums", rows_at_once=64)
+    parts = stage(
+        rows.select("l", "b").repartitionById(4, F.pmod("h", F.lit(4)).cast("int")).mapInPandas(sums, "gram binary, cross binary"), "language-sums",
+        rows_at_once=64
+    )
     got, size = parts.collect(), marks.half.shape[1]
     gram = sum(np.frombuffer(bytes(r["gram"])) for r in got).reshape(size, size)
     cross = sum(np.frombuffer(bytes(r["cross"])) for r in got).reshape(size, -1)
@@ -217,7 +227,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
     return solve(marks, languages, gram, cross, n, ridge)
 
 
-def identify(docs: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 400, landmarks: int = 256, keep: list[str] | None = None) -> DataFrame:
+def identify(
+    docs: DataFrame, learn: Column | None = None, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = 400,
+    landmarks: int = 256, keep: list[str] | None = None
+) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1) and ``known`` (0 to 1: the share of
     the text's n-grams that some landmark has; texts of languages and scripts
     that were not learned, and random letters, have few) to ``keep`` columns (all

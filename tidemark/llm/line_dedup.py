@@ -104,7 +104,10 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
     first occurrence), gone (whether that goes as well: it is near an earlier
     line)."""
     places = lines.select("h", F.struct("k", "d", "at").alias("p"), "halves")
-    first = stage(places.groupBy("h").agg(F.min("p").alias("p"), F.count("*").alias("c"), F.first("halves").alias("halves")).filter("h IS NOT NULL"), "first-lines")
+    first = stage(
+        places.groupBy("h").agg(F.min("p").alias("p"), F.count("*").alias("c"), F.first("halves").alias("halves")).filter("h IS NOT NULL"),
+        "first-lines"
+    )
 
     halves = first.filter("halves IS NOT NULL").select("h", F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("half")
@@ -114,24 +117,40 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
     near = stage(placed_lines.select("h", "p", (F.shiftleft(F.col("_part").cast("long"), 40) + F.col("_pos")).alias("ord")), "near-lines")
 
     # their tokens, from the document of the first occurrence
-    spots = stage(near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")), "near-spots")
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", digest(F.col("t"))).alias("r").join(broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d")))
+    spots = stage(
+        near.groupBy(F.col("p.k").alias("k"), F.col("p.d").alias("d")).agg(F.collect_list(F.struct(F.col("p.at").alias("at"), "ord")).alias("spots")),
+        "near-spots"
+    )
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t IS NOT NULL").withColumn("d", digest(F.col("t"))).alias("r").join(
+        broadcast_if_small(spots).alias("s"), F.col("r.k").eqNullSafe(F.col("s.k")) & (F.col("r.d") == F.col("s.d"))
+    )
     bound = F.array(F.struct(F.split("r.t", "\n").alias("lines"), "s.spots"))  # split once, not for each spot
-    found = found.select(F.explode(F.flatten(F.transform(bound, lambda b: F.transform(b["spots"], lambda z: F.struct(z["ord"].alias("ord"), F.get(b["lines"], z["at"]).alias("line")))))).alias("z"))
-    texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).select("ord", tokens_of(F.col("w"), least_words, least_chars).alias("w")).groupBy("ord").agg(F.first("w").alias("w"))
+    found = found.select(F.explode(F.flatten(F.transform(
+        bound, lambda b: F.transform(b["spots"], lambda z: F.struct(z["ord"].alias("ord"), F.get(b["lines"], z["at"]).alias("line")))
+    ))).alias("z"))
+    texts = found.select("z.ord", words_of(F.col("z.line")).alias("w")).select(
+        "ord", tokens_of(F.col("w"), least_words, least_chars).alias("w")
+    ).groupBy("ord").agg(F.first("w").alias("w"))
     texts = stage(texts, "near-texts")
 
     # variants: hashes of (word, place) folded by exclusive or, the places after a gap shifted
     term = lambda word, at: F.xxhash64(word, at)
-    placed = texts.select("ord", F.posexplode("w").alias("i", "x")).select("ord", "i", term(F.col("x"), F.col("i")).alias("a"), term(F.col("x"), F.col("i") - 1).alias("b"))
+    placed = texts.select("ord", F.posexplode("w").alias("i", "x")).select(
+        "ord", "i", term(F.col("x"), F.col("i")).alias("a"), term(F.col("x"), F.col("i") - 1).alias("b")
+    )
     upto = Window.partitionBy("ord").orderBy("i")
     whole = Window.partitionBy("ord")
     before = F.bit_xor("a").over(upto).bitwiseXOR(F.col("a"))
     after = F.bit_xor("b").over(whole).bitwiseXOR(F.bit_xor("b").over(upto))
     less = placed.select("ord", F.col("i"), before.bitwiseXOR(after).alias("v"))
-    own = texts.select("ord", F.lit(-1).alias("i"), F.aggregate(F.transform("w", lambda x, i: term(x, i)), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias("v"))
+    own = texts.select(
+        "ord", F.lit(-1).alias("i"),
+        F.aggregate(F.transform("w", lambda x, i: term(x, i)), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias("v")
+    )
     variants = stage(less.unionByName(own.select("ord", "i", "v")), "variants")
-    met = variants.groupBy("v").agg(F.min("ord").alias("lead"), F.max("ord").alias("last"), F.min(F.when(F.col("i") == -1, F.col("ord"))).alias("self")).filter("lead <> last").drop("last")
+    met = variants.groupBy("v").agg(
+        F.min("ord").alias("lead"), F.max("ord").alias("last"), F.min(F.when(F.col("i") == -1, F.col("ord"))).alias("self")
+    ).filter("lead <> last").drop("last")
     met = stage(variants.join(met, "v"), "met-variants")
     drop(variants)
     same_gap = met.groupBy("v", "i").agg(F.min("ord").alias("g"))
@@ -140,15 +159,21 @@ def line_verdicts(docs: DataFrame, lines: DataFrame, key: str, text: str, least_
         .unionByName(met.filter("self IS NOT NULL").select("ord", F.col("self").alias("g")))
         .unionByName(met.filter("i = -1").select("ord", F.col("lead").alias("g")))
     ).filter("g < ord").distinct()
-    checked = pairs.join(texts, "ord").join(texts.select(F.col("ord").alias("g"), F.col("w").alias("x")), "g").filter(within_one(F.col("w"), F.col("x")))
+    checked = pairs.join(texts, "ord").join(
+        texts.select(F.col("ord").alias("g"), F.col("w").alias("x")), "g"
+    ).filter(within_one(F.col("w"), F.col("x")))
     gone = checked.select("ord").distinct().join(near.select("ord", "h"), "ord").select("h", F.lit(True).alias("gone"))
-    verdicts = first.select("h", "p", "c").join(gone, "h", "left").filter("c > 1 OR gone").select("h", "p", F.coalesce("gone", F.lit(False)).alias("gone"))
+    verdicts = first.select("h", "p", "c").join(gone, "h", "left").filter("c > 1 OR gone").select(
+        "h", "p", F.coalesce("gone", F.lit(False)).alias("gone")
+    )
     verdicts = stage(verdicts, "line-verdicts")
     drop(first, placed_lines, near, spots, texts, met)
     return verdicts
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8, least_chars: int = 16, keep_empty: bool = False) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = 1, least_words: int = 8, least_chars: int = 16, keep_empty: bool = False
+) -> DataFrame:
     """``docs`` with repeated lines cut from ``text``, and ``n_lines`` and
     ``n_dropped`` (of the whole text) added."""
     if edits not in (0, 1):
@@ -161,7 +186,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits:
     cut = cut.select("k", "d", "at").distinct().groupBy("k", "d").agg(F.sort_array(F.collect_list("at")).alias("cut"))
     cut = stage(cut, "cut-lines")
     drop(lines, verdicts)
-    rows = docs.withColumn("_d", digest(F.col(text))).alias("r").join(broadcast_if_small(cut).alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.k")) & (F.col("r._d") == F.col("c.d")), "left")
+    rows = docs.withColumn("_d", digest(F.col(text))).alias("r").join(
+        broadcast_if_small(cut).alias("c"), F.col(f"r.{key}").eqNullSafe(F.col("c.k")) & (F.col("r._d") == F.col("c.d")), "left"
+    )
     # the runs of lines between the places that go; bound once, since a lambda computes its body anew each time
     n_lines = F.octet_length(F.col(f"r.{text}")) - F.octet_length(F.replace(F.col(f"r.{text}"), F.lit("\n"), F.lit(""))) + 1
     ends = F.concat(F.array(F.lit(-1)), F.col("c.cut"), F.array(n_lines))

@@ -101,7 +101,9 @@ def shingle_sets(texts: list[str | None], n: int, most: int = 1 << 20) -> list[n
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         if len(raw) > 4 * most:  # one long text: hash it by runs that end at a gap
             gaps = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
-            cuts = [0, *gaps[np.unique(np.searchsorted(gaps, np.arange(most, len(raw), most)).clip(0, max(len(gaps) - 1, 0)))].tolist(), len(raw)] if len(gaps) else [0, len(raw)]
+            cuts = [
+                0, *gaps[np.unique(np.searchsorted(gaps, np.arange(most, len(raw), most)).clip(0, max(len(gaps) - 1, 0)))].tolist(), len(raw)
+            ] if len(gaps) else [0, len(raw)]
             hashes = np.concatenate([_words(raw[s:e])[1] for s, e in zip(cuts, cuts[1:], strict=False)])
             owner = np.zeros(len(hashes), np.int64)
         else:
@@ -204,7 +206,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     kt = docs.schema[key].dataType.simpleString()
     # ranges of hashes: a task takes one as a whole, so there is one for each 64 MB of text at least
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    facts = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0)).alias("bytes")).first()
+    facts = docs.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string")).cast("long")), F.lit(0)).alias("bytes")
+    ).first()
     ranges = max(2 * max(4, partitions), facts["bytes"] >> 26)
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.unhex(F.md5("t")))
 
@@ -228,12 +232,21 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
             at = np.searchsorted(bucket, np.arange(ranges + 1))
             start = int(pdf["rid"].iloc[0]) if len(pdf) else 0
             shift = (pdf["rid"].to_numpy() - start).astype("<i8")
-            rows = [(b, start, u[s:e].astype("<u8").tobytes(), shift[one[s:e]].astype("<i4").tobytes(), (one[s:e] < 0).astype(np.uint8).tobytes(), None, None, None, None, None) for b, (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s]
+            rows = [
+                (
+                    b, start, u[s:e].astype("<u8").tobytes(), shift[one[s:e]].astype("<i4").tobytes(), (one[s:e] < 0).astype(np.uint8).tobytes(),
+                    None, None, None, None, None
+                ) for b,
+                (s, e) in enumerate(zip(at, at[1:], strict=False)) if e > s
+            ]
             rows.append((-1, start, None, None, None, pdf["rid"].tolist(), pdf["k"].tolist(), pdf["h"].tolist(), sizes.tolist(), met.tolist()))
             yield pd.DataFrame(rows, columns=["range", "start", "hashes", "who", "many", "rids", "ks", "hs", "ns", "cs"])
 
     packed = stage(
-        base.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(sketch, f"range int, start long, hashes binary, who binary, many binary, rids array<long>, ks array<{kt}>, hs array<binary>, ns array<long>, cs array<long>"),
+        base.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(
+            sketch,
+            f"range int, start long, hashes binary, who binary, many binary, rids array<long>, ks array<{kt}>, hs array<binary>, ns array<long>, cs array<long>"
+        ),
         "prefixes",
         rows_at_once=1000,
     )
@@ -250,7 +263,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         times = np.diff(np.append(first, len(h)))
         hit = np.repeat(times > 1, times) & ~many
-        told, c = np.unique(np.stack([owner[order][hit], who[hit]]), axis=1, return_counts=True) if hit.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
+        told, c = np.unique(
+            np.stack([owner[order][hit], who[hit]]), axis=1, return_counts=True
+        ) if hit.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
         of, ends = np.unique(told[0], return_index=True)
         ends = np.append(ends, told.shape[1])
         out = [(starts[o], told[1, s:e].astype("<i4").tobytes(), c[s:e].astype("<i4").tobytes()) for o, s, e in zip(of, ends, ends[1:], strict=False)]
@@ -269,20 +284,35 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     told = packed.filter("range >= 0").select("range", "start", "hashes", "who", "many").groupBy("range").applyInPandas(meet, "start long, at binary, c binary")
     batch = packed.filter("range = -1").select("start", "rids", "ks", "hs", "ns", "cs")
-    rows = stage(batch.select(F.explode(F.arrays_zip("rids", "ks", "hs", "ns")).alias("z")).select(F.col("z.rids").alias("rid"), F.col("z.ks").alias("k"), F.col("z.hs").alias("h"), F.col("z.ns").alias("n")), "rows")
+    rows = stage(
+        batch.select(F.explode(F.arrays_zip("rids", "ks", "hs", "ns")).alias("z")).select(
+            F.col("z.rids").alias("rid"), F.col("z.ks").alias("k"), F.col("z.hs").alias("h"), F.col("z.ns").alias("n")
+        ),
+        "rows"
+    )
     both = batch.unionByName(told, allowMissingColumns=True)
     kept = both.groupBy("start").applyInPandas(settle, f"rid long, k {kt}, h binary")
     # one row for each text
-    texts = stage(kept.groupBy("h").agg(F.min(F.struct("k", "rid")).alias("a"), F.min("k").alias("least"), F.count("*").alias("copies")).select("h", "a.k", "a.rid", "least", "copies"), "kept-texts")
+    texts = stage(
+        kept.groupBy("h").agg(
+            F.min(F.struct("k", "rid")).alias("a"), F.min("k").alias("least"), F.count("*").alias("copies")
+        ).select("h", "a.k", "a.rid", "least", "copies"),
+        "kept-texts"
+    )
     drop(packed)
 
     # 2. sets of what is kept
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = shingle_sets(pdf["t"].tolist(), n)
-            yield pd.DataFrame({"rid": pdf["rid"], "h": pdf["h"], "n": [len(s) for s in sets], "bits": [parity_bitmap(s) for s in sets], "hashes": [s.astype("<u8").tobytes() for s in sets]})
-
-    found = base.alias("d").join(broadcast_if_small(texts).alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))).select("x.rid", "d.h", "d.t")
+            yield pd.DataFrame({
+                "rid": pdf["rid"], "h": pdf["h"], "n": [len(s) for s in sets], "bits": [parity_bitmap(s) for s in sets],
+                "hashes": [s.astype("<u8").tobytes() for s in sets]
+            })
+
+    found = base.alias("d").join(
+        broadcast_if_small(texts).alias("x"), (F.col("d.h") == F.col("x.h")) & F.col("d.k").eqNullSafe(F.col("x.k"))
+    ).select("x.rid", "d.h", "d.t")
     sets = stage(found.mapInPandas(to_sets, "rid long, h binary, n long, bits binary, hashes binary"), "sets", rows_at_once=1000)
     light = sets.select("rid", "n", "bits").dropDuplicates(["rid"])  # rows of equal key and text are found twice
 
@@ -329,28 +359,41 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         pairs = stage(pairs.distinct(), "pairs")
         needed = stage(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), "needed")
         has = sets.select("rid", "hashes").join(broadcast_if_small(needed), "rid", "left_semi").dropDuplicates(["rid"])
-        out = stage(pairs.join(side(has, "a", F.col("hashes").alias("x")), "a").join(side(has, "b", F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long"), "links")
+        out = stage(
+            pairs.join(side(has, "a", F.col("hashes").alias("x")), "a").join(side(has, "b", F.col("hashes").alias("y")), "b").select("a", "b", "x", "y").mapInPandas(exact, "a long, b long"),
+            "links"
+        )
         drop(pairs, needed)
         return out.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     pairs = shared.filter("rid <> lead").select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()
-    pairs = pairs.join(side(light, "a", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a").join(side(light, "b", F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b").mapInPandas(bounded, "a long, b long")
+    pairs = pairs.join(
+        side(light, "a", F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a"
+    ).join(side(light, "b", F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b").mapInPandas(bounded, "a long, b long")
     labels = stage(components(verified(pairs)), "labels")
 
     # 4. rows of one part in different components.  Those of its commonest component need no comparison among
     # themselves: the others (the minor ones) meet them and each other, block by block
     placed = shared.join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("part", "rid", F.coalesce("label", "rid").alias("label"))
     tally = placed.groupBy("part", "label").agg(F.count("*").alias("c"))
-    apart = tally.groupBy("part").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    apart = tally.groupBy("part").agg(
+        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("size"), F.count("*").alias("labels")
+    ).filter("labels > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    apart = apart.select("part", F.col("top.label").alias("major"), blocks(F.col("top.c")).alias("majors"), blocks(F.col("size") - F.col("top.c")).alias("minors"))
+    apart = apart.select(
+        "part", F.col("top.label").alias("major"), blocks(F.col("top.c")).alias("majors"), blocks(F.col("size") - F.col("top.c")).alias("minors")
+    )
     open_ = placed.join(apart, "part").withColumn("minor", F.col("label") != F.col("major")).join(light, "rid")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("rid"), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int"))
     # tile (i, j) with j < 0: minor block i and major block -1 - j; else minor blocks i and j >= i
     against = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.col("block").alias("i"), (-1 - j).alias("j")))
-    among = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    among = F.transform(
+        F.sequence(F.lit(0), F.col("minors") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"))
+    )
     faced = F.transform(F.sequence(F.lit(0), F.col("minors") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("block")).alias("j")))
-    tiles = open_.withColumn("tile", F.explode(F.when(F.col("minor"), F.concat(against, among)).otherwise(faced))).select("part", "tile.i", "tile.j", "block", "minor", "rid", "label", "n", "bits")
+    tiles = open_.withColumn(
+        "tile", F.explode(F.when(F.col("minor"), F.concat(against, among)).otherwise(faced))
+    ).select("part", "tile.i", "tile.j", "block", "minor", "rid", "label", "n", "bits")
 
     def passing(rid, label, size, bitmaps, block, minor, i, j) -> list[tuple[int, int]]:
         """Pairs of one tile that may link, in different components."""
@@ -396,7 +439,9 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         labels = stage(components(rest.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))), "labels")
 
     # components of texts, then of rows: a hot text's rows, or a hot component's texts, meet in no single task
-    named = texts.select("h", "rid", "least", "copies").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select("h", "least", "copies", F.coalesce("label", "rid").alias("label"))
+    named = texts.select("h", "rid", "least", "copies").join(labels.withColumnRenamed("node", "rid"), "rid", "left").select(
+        "h", "least", "copies", F.coalesce("label", "rid").alias("label")
+    )
     most = max(1000, facts["n"] // (8 * partitions))
     groups = named.groupBy("label").agg(F.min("least").alias("component"), F.count("*").alias("texts"))
     named = stage(join_skewed(named, stage(groups, "components"), "label", "texts", most).select("h", "component", "copies"), "named-texts")

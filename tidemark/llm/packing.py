@@ -224,7 +224,9 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[
             times = min(left[x] // c for x, c in pattern.items())
             after = {x: c - pattern.get(x, 0) * times for x, c in left.items()}
             used = capacity - sum(x * c for x, c in pattern.items())
-            stack.append(({x: c for x, c in after.items() if c}, [*plan, (tuple(sorted(pattern.items(), reverse=True)), times)], waste + used * times))
+            stack.append((
+                {x: c for x, c in after.items() if c}, [*plan, (tuple(sorted(pattern.items(), reverse=True)), times)], waste + used * times
+            ))
         del stack[:-400]
     return exchange(best, capacity, least) if bins(best) > least else best
 
@@ -245,7 +247,9 @@ def _fullest(items: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return inside, outside
 
 
-def exchange(plan: list[tuple[Pattern, int]], capacity: int, least: int, most: int = 600, rounds: int = 400_000, seed: int = 0) -> list[tuple[Pattern, int]]:
+def exchange(
+    plan: list[tuple[Pattern, int]], capacity: int, least: int, most: int = 600, rounds: int = 400_000, seed: int = 0
+) -> list[tuple[Pattern, int]]:
     """Two or three of the loosest sequences (``most`` at most) at a time are
     emptied and filled anew, the first as full as can be, so that slack gathers
     until a sequence is left over."""
@@ -278,7 +282,10 @@ def exchange(plan: list[tuple[Pattern, int]], capacity: int, least: int, most: i
     return kept + list(patterns.items())
 
 
-def pack(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str = "text", vocab: str = "byte_bpe_50k.json", ranks: str = "byte_bpe_50k.tiktoken", end_id: int = 2, ids: bool = False) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str = "text", vocab: str = "byte_bpe_50k.json",
+    ranks: str = "byte_bpe_50k.tiktoken", end_id: int = 2, ids: bool = False
+) -> DataFrame:
     """One row per piece: ``key``, ``piece``, ``start``, ``length``,
     ``ids_crc32``, ``sequence_id``, ``offset`` and, with ``ids``, the piece's
     little-endian unsigned 32-bit ids."""
@@ -298,7 +305,10 @@ def pack(docs: DataFrame, capacity: int = 1024, key: str = "doc_id", text: str =
             yield pd.DataFrame(rows, columns=["_key", "piece", "start", "length", "ids_crc32", "_task", "_nth", "ids"])
 
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    pieces = stage(source.mapInPandas(cut, f"_key {kt}, piece int, start long, length long, ids_crc32 long, _task int, _nth long, ids binary"), "pieces", rows_at_once=1000)
+    pieces = stage(
+        source.mapInPandas(cut, f"_key {kt}, piece int, start long, length long, ids_crc32 long, _task int, _nth long, ids binary"), "pieces",
+        rows_at_once=1000
+    )
 
     per_task = pieces.groupBy("_task", "length").agg(F.count("*").alias("_n"))
     counts = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows

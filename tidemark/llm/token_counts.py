@@ -93,7 +93,10 @@ def _records(column: pa.Array, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]
     return np.frombuffer(b"".join(rows), dtype), np.array([len(b) // dtype.itemsize for b in rows], np.int64)
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, most: int = 32 << 20, salts: int | None = None) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = "piece_bpe_32k.model", limit: int = 4096, most: int = 32 << 20,
+    salts: int | None = None
+) -> DataFrame:
     """Per row: ``key``, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     ``salts``: groups of a hot pre-token, a sixteenth of the shuffle partitions
@@ -127,7 +130,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 held = np.bincount(code, minlength=len(ids))
                 salt = np.where(held > 3, batch % salts, 0).astype(np.int32)
                 n = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held))], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held))], names
+                )
                 # the batch itself travels beside its pre-tokens: how many frequencies there are, keys and sizes, in one value
                 # (Spark weighs each row of an Arrow batch, and lists make that take the square of their number)
                 own = pa.RecordBatch.from_arrays([got.column("k").slice(at, len(sizes)), pa.array(sizes, pa.int64())], ["k", "n_bytes"])
@@ -135,7 +140,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
                 with pa.ipc.new_stream(sink, own.schema) as stream:
                     stream.write_batch(own)
                 packed_ = len(pairs).to_bytes(8, "little") + sink.getvalue().to_pybytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([number % (1 << 20)], pa.int32()), pa.array([batch]), pa.array([packed_])], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.string()), pa.array([number % (1 << 20)], pa.int32()), pa.array([batch]), pa.array([packed_])], names
+                )
                 at += len(sizes)
 
     names = ["p", "salt", "batch", "pairs"]

@@ -148,7 +148,15 @@ def tree_roots(leaves: DataFrame, by: str, fan: int = 256) -> DataFrame:
     while most >= fan:
         levels, most = levels + 1, most // fan
     for _ in range(levels):
-        node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda x: F.concat(x["nth"].cast("string"), F.lit(":"), x["root"])), "|"), 256)
+        node = F.sha2(
+            F.array_join(
+                F.transform(
+                    F.array_sort(F.collect_list(F.struct("nth", "root"))), lambda x: F.concat(x["nth"].cast("string"), F.lit(":"), x["root"])
+                ),
+                "|"
+            ),
+            256
+        )
         leaves = leaves.groupBy(by, F.floor(F.col("nth") / fan).alias("up")).agg(node.alias("root")).select(by, F.col("up").alias("nth"), "root")
     return leaves.select(by, "root")
 
@@ -158,11 +166,16 @@ def manifest(store: DataFrame) -> DataFrame:
     facts = store.groupBy("shard").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     shards = stage(facts.join(tree_roots(store.select("shard", "nth", F.hex("root").alias("root")), "shard"), "shard"), "shards")
     numbered = shards.select(F.lit(-1).alias("shard"), F.col("shard").cast("long").alias("nth"), "root")
-    corpus = shards.agg(F.lit(-1).alias("shard"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+    corpus = shards.agg(
+        F.lit(-1).alias("shard"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens")
+    )
     return shards.unionByName(corpus.join(F.broadcast(tree_roots(numbered, "shard")), "shard", "left").select("shard", "n_docs", "n_tokens", "root"))
 
 
-def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocab: str = "word_bpe_49k.json", end_id: int | None = 2, rows_at_once: int = 256) -> None:
+def write_store(
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", vocab: str = "word_bpe_49k.json", end_id: int | None = 2,
+    rows_at_once: int = 256
+) -> None:
     """Encode ``docs`` and write the store (see above) at ``path``."""
     spark = docs.sparkSession
     kt = docs.schema[key].dataType.simpleString()
@@ -181,28 +194,43 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                     if end_id is not None:
                         ids = np.append(ids, np.array(end_id, dtype))
                     ends, raw = boundaries(ids), ids.tobytes()
-                    rows.append((len(ids), np.diff([0, *ends]).astype("<i4").tobytes(), b"".join([digest(raw[s * width : e * width]) for s, e in zip([0, *ends], ends, strict=False)]), raw))
+                    rows.append((
+                        len(ids), np.diff([0, *ends]).astype("<i4").tobytes(),
+                        b"".join([digest(raw[s * width : e * width]) for s, e in zip([0, *ends], ends, strict=False)]), raw
+                    ))
                 out = pd.DataFrame(rows, columns=["n_tokens", "lens", "digests", "payload"])
                 out.insert(0, "rid", part["rid"].to_numpy())
                 out.insert(0, "key", part["_key"].to_numpy())
                 yield out
 
     source = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("rid"))
-    encoded = stage(source.mapInPandas(encode, f"key {kt}, rid long, n_tokens long, lens binary, digests binary, payload binary"), "ids", rows_at_once=1000)
+    encoded = stage(
+        source.mapInPandas(encode, f"key {kt}, rid long, n_tokens long, lens binary, digests binary, payload binary"), "ids", rows_at_once=1000
+    )
 
     # occurrences of chunks found more than once, with the first place of each
     each = F.transform(F.sequence(F.lit(0), (F.length("digests") / 16).cast("int") - 1), lambda i: F.substring("digests", i * 16 + 1, F.lit(16)))
     places = encoded.select("key", "rid", F.posexplode(each).alias("seq", "digest"))
-    first = stage(places.groupBy("digest").agg(F.min(F.struct(F.col("key"), F.col("rid"), F.col("seq"))).alias("first"), F.count("*").alias("n")).filter("n > 1"), "first-places")
+    first = stage(
+        places.groupBy("digest").agg(
+            F.min(F.struct(F.col("key"), F.col("rid"), F.col("seq"))).alias("first"), F.count("*").alias("n")
+        ).filter("n > 1"),
+        "first-places"
+    )
     repeats = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     most = max(1000, repeats // max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     found = join_skewed(places, first.select("digest", "first", F.col("n").alias("uses"), "n"), "digest", "n", most, "inner")
-    notes = found.groupBy("rid").agg(F.collect_list(F.struct("seq", F.col("first.rid").alias("owner"), F.col("first.seq").alias("at"), "uses")).alias("notes"))
+    notes = found.groupBy("rid").agg(F.collect_list(F.struct(
+        "seq", F.col("first.rid").alias("owner"), F.col("first.seq").alias("at"), "uses"
+    )).alias("notes"))
     starts = running_start(encoded.select("key", "rid", "n_tokens"), ["key", "rid"], "n_tokens", "start")
     meta = starts.join(notes, "rid", "left").select(
         "key", "rid", F.lit(0).alias("kind"), "start", "notes", F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("binary").alias("lens"), F.lit(None).cast("binary").alias("digests"), F.lit(None).cast("binary").alias("payload")
     )
-    body = encoded.select("key", "rid", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast(refs).alias("notes"), "n_tokens", "lens", "digests", "payload")
+    body = encoded.select(
+        "key", "rid", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast(refs).alias("notes"), "n_tokens", "lens",
+        "digests", "payload"
+    )
     width = encoder(vocabulary(vocab)).width
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,20 +242,29 @@ def write_store(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
                     start, notes = int(s), [] if ns is None else [dict(x) if not hasattr(x, "asDict") else x.asDict() for x in ns]
                     continue
                 away = sorted((x for x in notes if (x["owner"], x["at"]) != (rid, x["seq"])), key=lambda x: x["seq"])
-                own = sorted(({"seq": x["seq"], "uses": x["uses"]} for x in notes if (x["owner"], x["at"]) == (rid, x["seq"])), key=lambda x: x["seq"])
+                own = sorted(
+                    ({"seq": x["seq"], "uses": x["uses"]} for x in notes if (x["owner"], x["at"]) == (rid, x["seq"])), key=lambda x: x["seq"]
+                )
                 if away:
                     gone, ends = {x["seq"] for x in away}, np.cumsum(np.frombuffer(lens, "<i4")) * width
                     payload = b"".join([payload[s:e] for i, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if i not in gone])
                 rows.append((shard, nth, key_, rid, start, int(n), lens, digests, away, own, payload, merkle_root(apart(digests))))
                 nth += 1
             if rows:
-                yield pd.DataFrame(rows, columns=["shard", "nth", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"])
+                yield pd.DataFrame(
+                    rows, columns=["shard", "nth", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"]
+                )
 
     # the parts of the prefix sums, by their first keys: no second sampling of the payloads
     firsts = [r["k"] for r in starts.filter("key IS NOT NULL").groupBy("_part").agg(F.min("key").alias("k")).orderBy("k").collect()]  # a row per partition
     cuts = sorted(set(firsts[1:]))
-    both = body.unionByName(meta).repartitionById(len(cuts) + 1, place_among(F.col("key"), cuts).cast("int")).sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
-    both.mapInPandas(merge, f"shard int, nth long, key {kt}, rid long, start long, n_tokens long, lens binary, digests binary, refs {refs}, shared {shared}, payload binary, root binary").write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
+    both = body.unionByName(meta).repartitionById(
+        len(cuts) + 1, place_among(F.col("key"), cuts).cast("int")
+    ).sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
+    both.mapInPandas(
+        merge,
+        f"shard int, nth long, key {kt}, rid long, start long, n_tokens long, lens binary, digests binary, refs {refs}, shared {shared}, payload binary, root binary"
+    ).write.mode("overwrite").option("compression", "zstd").option("width", width).parquet(f"{path}/store")
     drop(encoded, starts, first)
     manifest(spark.read.parquet(f"{path}/store")).withColumn("width", F.lit(width)).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -300,11 +337,15 @@ def read_store(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     cols = ["key", "rid", "start", "n_tokens", "lens", "digests", "refs", "payload", "root"]
     alone = store.filter("size(refs) = 0").select(*cols).mapInPandas(whole_rows, out)
     owing = store.filter("size(refs) > 0")
-    pieces = store.filter("size(shared) > 0").select("rid", "lens", "refs", "shared", "payload").mapInPandas(lend, "owner long, at int, uses long, piece binary")
+    pieces = store.filter("size(shared) > 0").select("rid", "lens", "refs", "shared", "payload").mapInPandas(
+        lend, "owner long, at int, uses long, piece binary"
+    )
     # a chunk of many uses is there once for each thousand of them
     parts = F.ceil(F.col("uses") / 1000).cast("int")
     pieces = pieces.select("owner", "at", "piece", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-    asking = owing.select("rid", F.explode("refs").alias("r")).select("rid", "r.*").withColumn("salt", F.pmod(F.xxhash64("rid", "seq"), parts).cast("int")).drop("uses")
+    asking = owing.select("rid", F.explode("refs").alias("r")).select("rid", "r.*").withColumn(
+        "salt", F.pmod(F.xxhash64("rid", "seq"), parts).cast("int")
+    ).drop("uses")
     fetched = asking.join(pieces, ["owner", "at", "salt"])
     empty = {c: F.lit(None).cast(store.schema[c].dataType).alias(c) for c in cols if c != "rid"}
     asked = fetched.select(*[F.col("rid") if c == "rid" else empty[c] for c in cols], F.lit(0).alias("kind"), "seq", "piece")
