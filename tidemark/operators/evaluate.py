@@ -226,7 +226,7 @@ def match_points(asks: DataFrame, bars: DataFrame, lookback: int = 260, toleranc
 def examples(vectors: DataFrame, shape: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """n rows of valid state with all four levels known, the same whatever the
     partitioning; levels that ``vectors`` lacks come from ``shape``."""
-    more = [c for c in ("starts_high", "high1", "high2", "low1", "low2") if c not in vectors.columns]
+    more = [c for c in ("starts_high", "high1", "high2", "low1", "low2") if c in shape.columns and c not in vectors.columns]
     rows = vectors.join(shape.select("symbol", "ts", *more), ["symbol", "ts"], "left") if more else vectors
     if "valid_state" in rows.columns:
         rows = rows.filter("valid_state")

@@ -435,21 +435,28 @@ def with_features(points: DataFrame) -> DataFrame:
     })
 
 
+def with_lags(rows: DataFrame, n_lags: int, decay: float | None = None) -> DataFrame:
+    """Add ``lag<k>_<feature>``: the features of the k-th confirmed window before
+    the latest one (rows with ``confirmed`` and ``has_structural_window``), times
+    decay ** k."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    snap = F.when(F.col("confirmed") & F.col("has_structural_window"), F.struct(*FEATURES))
+    marks = rows.withColumn("_snap", snap).withColumn("_n", F.count("_snap").over(w))
+    # the k-th snapshot before the latest: lag among snapshot rows, carried forward to bars
+    among = Window.partitionBy("symbol", F.col("_snap").isNotNull()).orderBy("ts")
+    for k in range(1, n_lags + 1):
+        held = F.when(F.col("_snap").isNotNull(), F.lag("_snap", k).over(among))
+        marks = marks.withColumn(f"_held{k}", held)
+        marks = marks.withColumn(f"_lag{k}", F.last(f"_held{k}", True).over(w))
+        weight = 1.0 if decay is None else float(decay) ** k
+        marks = marks.withColumns({f"lag{k}_{f}": F.when(F.col("_n") > k, F.col(f"_lag{k}.{f}") * weight) for f in FEATURES})
+    return marks.drop("_snap", "_n", *[f"_{x}{k}" for k in range(1, n_lags + 1) for x in ("held", "lag")])
+
+
 def shape_state(bars: DataFrame, n_lags: int = 0, decay: float | None = None, **machine) -> DataFrame:
     """A shape row per bar: prices, 18 features, diagnostics and, for each lag,
     the features of that many confirmed windows ago, weighted by decay ** lag."""
     rows = with_features(shape_points(bars, **machine))
     if n_lags:
-        w = Window.partitionBy("symbol").orderBy("ts")
-        snap = F.when(F.col("confirmed") & F.col("has_structural_window"), F.struct(*FEATURES))
-        marks = rows.withColumn("_snap", snap).withColumn("_n", F.count("_snap").over(w))
-        # the k-th snapshot before the latest: lag among snapshot rows, carried forward to bars
-        among = Window.partitionBy("symbol", F.col("_snap").isNotNull()).orderBy("ts")
-        for k in range(1, n_lags + 1):
-            held = F.when(F.col("_snap").isNotNull(), F.lag("_snap", k).over(among))
-            marks = marks.withColumn(f"_held{k}", held)
-            marks = marks.withColumn(f"_lag{k}", F.last(f"_held{k}", True).over(w))
-            weight = 1.0 if decay is None else float(decay) ** k
-            marks = marks.withColumns({f"lag{k}_{f}": F.when(F.col("_n") > k, F.col(f"_lag{k}.{f}") * weight) for f in FEATURES})
-        rows = marks.drop("_snap", "_n", *[f"_{x}{k}" for k in range(1, n_lags + 1) for x in ("held", "lag")])
+        rows = with_lags(rows, n_lags, decay)
     return rows.drop("first_high", "h1", "h2", "l1", "l2", "h1_idx", "h2_idx", "l1_idx", "l2_idx", "e0_idx", "e3_idx", "median_gap", "confirmed")

@@ -15,7 +15,7 @@ from tidemark.operators import sampling as S
 from tidemark.operators import structure as T
 from tidemark.operators import vector as V
 from tidemark.plans import bars as B
-from tidemark.plans.queries import BARS, CONFIGS, CUSUM, LABELLED, PRICES, SERIES, TICKS, VARS, _bars, _dif, _events, _labelled, _running, _vars, query, r
+from tidemark.plans.queries import BARS, CONFIGS, CUSUM, LABELLED, PRICES, SERIES, TICKS, VARS, _bars, _dif, _events, _labelled, _running, _shape, _vars, query, r
 
 # -- detectors -------------------------------------------------------------------
 
@@ -196,6 +196,46 @@ def told_state_vector(spark, d):
     return V.state_vector(_shaped(spark, d)).withColumns({c: r(c) for c in V.VARIABLES})
 
 
+_LAGS = ", ".join(f"round(CASE WHEN f2.n > {k} THEN s{k}.{c} * {0.5**k} END, 6) AS lag{k}_{c}" for k in (1, 2) for c in ("range_pct", "high_change", "starts_high"))
+
+
+@query(f"""WITH {POINTS}, f1 AS (SELECT *, idx % 5 = 2 AND has_structural_window AS snap FROM f), f2 AS (SELECT *, sum(snap::INT) OVER (PARTITION BY symbol ORDER BY ts) AS n FROM f1), sn AS (SELECT * FROM f2 WHERE snap)
+ SELECT f2.symbol, f2.ts, {_LAGS} FROM f2 LEFT JOIN sn s1 ON s1.symbol = f2.symbol AND s1.n = f2.n - 1 LEFT JOIN sn s2 ON s2.symbol = f2.symbol AND s2.n = f2.n - 2""")
+def told_shape_lags(spark, d):
+    out = T.with_lags(_shaped(spark, d).withColumn("confirmed", F.col("idx") % 5 == 2), 2, 0.5)
+    return out.select("symbol", "ts", *[r(f"lag{k}_{c}").alias(f"lag{k}_{c}") for k in (1, 2) for c in ("range_pct", "high_change", "starts_high")])
+
+
+@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM bars), u AS (SELECT symbol, ts, open, high, low, CASE WHEN idx % 11 > 0 THEN close END AS close, 0 AS o FROM n
+   UNION ALL SELECT symbol, ts, open, high * 2, low, CASE WHEN idx % 7 > 0 THEN close ELSE -close END, 1 FROM n WHERE idx % 3 = 0)
+ SELECT symbol, ts, round(ln(open), 6) AS open, round(ln(high), 6) AS high, round(ln(low), 6) AS low, round(ln(close), 6) AS close FROM (SELECT * FROM u WHERE close IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY o DESC) = 1) WHERE close > 0""")
+def told_clean_bars(spark, d):
+    """Of a time's rows the last complete one counts, in logarithms."""
+    rows, i = _indexed(_bars(spark, d)), F.col("idx")
+    price = ["open", "high", "low", "close"]
+    first = rows.withColumn("close", F.when(i % 11 > 0, F.col("close"))).withColumn("input_order", F.lit(0))
+    again = rows.filter(i % 3 == 0).withColumns({"high": F.col("high") * 2, "close": F.when(i % 7 > 0, F.col("close")).otherwise(-F.col("close")), "input_order": F.lit(1)})
+    return T.clean_bars(first.unionByName(again).drop("idx"), log_price=True).select("symbol", "ts", *[r(c).alias(c) for c in price])
+
+
+@query(f"""WITH {LABELLED}, v AS (SELECT symbol, ts, close, CASE WHEN close > 100000 THEN high END AS high1, high AS high2, low AS low1, low AS low2, state <> 'no_trend' AS valid_state FROM l)
+ SELECT symbol, ts, close FROM v WHERE valid_state AND high1 IS NOT NULL ORDER BY md5('7|' || symbol || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), symbol, ts LIMIT 25""")
+def told_examples(spark, d):
+    """Twenty-five examples for plots."""
+    rows = _labelled(spark, d)
+    levels = rows.select("symbol", "ts", F.when(F.col("close") > 100000, F.col("high")).alias("high1"), F.col("high").alias("high2"), F.col("low").alias("low1"), F.col("low").alias("low2"))
+    return E.examples(rows.select("symbol", "ts", "close", (F.col("state") != "no_trend").alias("valid_state")), levels, 25).select("symbol", "ts", "close")
+
+
+@query(f"""WITH {TICKS}, a AS (SELECT *, CASE WHEN count(x) OVER w >= 32 THEN stddev_samp(x) OVER w END AS s1, CASE WHEN count(x) OVER u >= 8 THEN stddev_samp(x) OVER u END AS s2 FROM d
+   WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 127 PRECEDING AND CURRENT ROW), u AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ b AS (SELECT *, coalesce(s1, s2) AS v FROM a), m AS (SELECT symbol, quantile_cont(abs(x), 0.5) AS mid FROM d GROUP BY 1),
+ c AS (SELECT symbol, i, x, coalesce(v, first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v, avg(x) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS mean FROM b)
+ SELECT symbol, 'swt' AS method, 1.5::DOUBLE AS scale, count(*) FILTER (i > 20 AND abs(x - mean) > 1.5 * greatest(v, mid * 0.001)) AS n_events FROM c JOIN m USING (symbol) GROUP BY 1""")
+def told_count_at_scale(spark, d):
+    return S.count_events(_dif(spark, d), "swt", 1.5)
+
+
 # -- research --------------------------------------------------------------------------
 
 WINDOWS = VARS + """, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM v)"""
@@ -331,3 +371,20 @@ def told_forecast_errors(spark, d):
     ).filter("pred IS NOT NULL")
     out = K.forecast_errors(rows)
     return out.withColumns({c: r(c) for c in out.columns if c != "symbol" and not c.endswith("count")})
+
+
+@query(f"""WITH {WINDOWS}, t AS (SELECT symbol, b AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 - count(*) OVER (PARTITION BY symbol) + 26 AS p FROM n), k AS (SELECT symbol, x, p FROM t WHERE p >= 0),
+ c AS (SELECT item, i, j, i + j + add AS p FROM (VALUES ('X', 0), ('Y', 1)) v(item, add), range(5) a(i), range(21) b(j)) SELECT k.symbol, c.item, c.i::INT AS i, c.j::INT AS j, round(k.x, 6) AS re FROM c JOIN k USING (p)""")
+def told_delay_matrices(spark, d):
+    """Delay matrices of each symbol's last 26 points."""
+    rows = _indexed(_vars(spark, d)).select("symbol", F.col("ts").alias("date"), F.col("idx").alias("bar_index"), F.col("idx").cast("string").alias("event_id"), F.col("b").alias("observable"))
+    return K.spectrum(rows, 5, 20, 3).filter("item IN ('X', 'Y')").select("symbol", "item", "i", "j", r("re").alias("re"))
+
+
+@query()
+def structure_points_matched(spark, d):
+    """Bars of the structure points of each month's last state."""
+    shape = _shape(spark, d)
+    last = shape.groupBy("symbol", F.trunc("ts", "month")).agg(F.max("ts").alias("ts")).select("symbol", "ts")
+    asks = shape.join(last, ["symbol", "ts"]).select("symbol", "ts", "high1", "high2", "low1", "low2").dropna()
+    return E.match_points(asks, _bars(spark, d), price_is_log=True)
