@@ -81,6 +81,14 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_windows(talk.unionByName(own)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import verify
+
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return verify(docs, F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -96,6 +104,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
         "op10_chat_windows": op10_chat_windows,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -109,7 +118,34 @@ OP3 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coale
  SELECT s.doc_id, len(g)::BIGINT AS n_shingles, min(r.y) AS component_id FROM s JOIN r ON r.x = s.doc_id GROUP BY 1, 2"""
 
 
+#: CRC-32 of a decimal number, a bit at a time.
+_CRC = """xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Runs of three, level by level, per source and over the sources; each leaf's
+#: siblings on every level; the fold of what the row is now.
+OP13 = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN ({_CRC}) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS now_text FROM documents),
+ b AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf('now_text')} AS now FROM d),
+ p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM b),
+ t AS (SELECT 0 AS l, tree, place, n, leaf AS digest, []::VARCHAR[] AS kids FROM p UNION ALL
+  SELECT l + 1, tree, place // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)), list(digest ORDER BY place) FROM t WHERE n > 1 GROUP BY l, tree, place // 3),
+ u AS (SELECT 0 AS l, tree AS place, count(*) OVER () AS n, digest, []::VARCHAR[] AS kids FROM t WHERE n = 1 UNION ALL
+  SELECT l + 1, place // 3, (min(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY place)), list(digest ORDER BY place) FROM u WHERE n > 1 GROUP BY l, place // 3),
+ s AS (SELECT p.tree, p.place, t.l, kids, (p.place // (3 ** (t.l - 1))::BIGINT) % 3 AS k FROM p JOIN t ON t.tree = p.tree AND t.l >= 1 AND t.place = p.place // (3 ** t.l)::BIGINT
+  UNION ALL SELECT p.tree, p.place, 1000 + u.l, kids, (p.tree // (3 ** (u.l - 1))::BIGINT) % 3 FROM p JOIN u ON u.l >= 1 AND u.place = p.tree // (3 ** u.l)::BIGINT),
+ f AS (SELECT tree, place, list(array_to_string(kids[:k], '') || '|' || array_to_string(kids[k + 2:], '') ORDER BY l) AS steps FROM s GROUP BY ALL),
+ o AS (SELECT doc_id, leaf, h.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(replace(array_to_string(coalesce(steps, []), ''), '|', '')) AS proof_sha256,
+  list_reduce(coalesce(steps, []), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2)), now) AS folded_root
+  FROM p JOIN (SELECT tree, digest FROM t WHERE n = 1) h USING (tree) LEFT JOIN f ON f.tree = p.tree AND f.place = p.place)
+ SELECT *, folded_root = root AS verified FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """The n-gram join; the others are beyond SQL (tests hold them against brute
-    force, the libraries, round trips or held-out rows)."""
-    return {"op3_ngram_join": OP3}
+    """Those that SQL can express; the others are held by tests against brute
+    force, the libraries, round trips or held-out rows."""
+    return {"op3_ngram_join": OP3, "op13_merkle_manifest": OP13}
