@@ -81,6 +81,13 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_windows(talk.unionByName(own)))
 
 
+def op12_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import round_trip
+
+    rows = round_trip(table(spark, sf_dir, "pages"), new_path(spark, "arc"), new_path(spark, "warc"))
+    return rows.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.merkle import verify
 
@@ -104,6 +111,7 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_forced_boundary_bpe": op9_forced_boundary_bpe,
         "op10_chat_windows": op10_chat_windows,
+        "op12_arc_to_warc": op12_arc_to_warc,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
@@ -145,7 +153,15 @@ OP13 = f"""WITH RECURSIVE d AS (SELECT *, CASE WHEN ({_CRC}) % 2 = 0 THEN replac
  SELECT *, folded_root = root AS verified FROM o"""
 
 
+#: Base 32 of a digest: its bits, five at a time.
+OP12 = """WITH h AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+ b AS (SELECT *, array_to_string(list_transform(string_split(sha1(html), ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits, max(page_id) OVER (PARTITION BY html) AS kept FROM h)
+ SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+  + list_sum(list_transform(range(5), lambda k: substr(bits, 5 * i + k + 1, 1)::BIGINT * (16 >> k)))::BIGINT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM b"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Those that SQL can express; the others are held by tests against brute
     force, the libraries, round trips or held-out rows."""
-    return {"op3_ngram_join": OP3, "op13_merkle_manifest": OP13}
+    return {"op3_ngram_join": OP3, "op12_arc_to_warc": OP12, "op13_merkle_manifest": OP13}
