@@ -18,7 +18,7 @@ V1 = (
 V2_HEAD = b"2 0 Someone\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
 V2 = (
     b"filedesc://IA-002.arc 0.0.0.0 19970923142103 text/plain 200 - - 0 IA-002.arc %d\n" % len(V2_HEAD) + V2_HEAD
-    + b"http://b.example/ 127.0.0.1 19970101000000 text/html 404 abc - 240 IA-002.arc 29\nHTTP/1.0 404 Gone\r\nA: b\r\n\r\nnope\n"
+    + b"http://b.example/ 127.0.0.1 19970101000000 text/html 404 abc - 240 IA-002.arc 31\nHTTP/1.0 404 Gone\r\nA: b\r\n\r\nnope\n"
 )
 
 
