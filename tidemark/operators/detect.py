@@ -62,9 +62,9 @@ def detect_many(series: DataFrame, configs: Sequence[tuple] | Sequence[dict]) ->
         known[name, float(q)] = dict(rest[0]) if rest else {}
     table = list(known.items())
 
-    def run(pdf: pd.DataFrame, **more) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, more: dict | None = None) -> pd.DataFrame:
         (method, q), options = table[int(pdf["config"].iloc[0])]
-        options = options | more
+        options = options | (more or {})
         pdf = pdf.sort_values("ts", kind="stable")
         symbol = pdf["symbol"].iloc[0]
         ts = pdf["ts"].to_numpy()
@@ -79,12 +79,15 @@ def detect_many(series: DataFrame, configs: Sequence[tuple] | Sequence[dict]) ->
 
     wild = {i: options for i, ((method, _), options) in enumerate(table) if method == "wbs_lepage"}
     plain = [i for i in range(len(table)) if i not in wild]
-    out = spread(plain).groupBy("symbol", "config").applyInPandas(run, EVENTS) if plain or not wild else None
+    def run_plain(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf)
+
+    out = spread(plain).groupBy("symbol", "config").applyInPandas(run_plain, EVENTS) if plain or not wild else None
     if not wild:
         return out
 
     def run_wild(pdf: pd.DataFrame, limits: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, limits=dict(zip(limits["length"].tolist(), limits["value"].tolist(), strict=True)))
+        return run(pdf, {"limits": dict(zip(limits["length"].tolist(), limits["value"].tolist(), strict=True))})
 
     limits = wild_limits(rows, wild)
     found = spread(list(wild)).groupBy("symbol", "config").cogroup(limits.groupBy("symbol", "config")).applyInPandas(run_wild, EVENTS)

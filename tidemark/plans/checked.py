@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.tables import register
 from tidemark.operators import detect as D
 from tidemark.operators import dmd as K
 from tidemark.operators import evaluate as E
@@ -15,7 +16,7 @@ from tidemark.operators import sampling as S
 from tidemark.operators import structure as T
 from tidemark.operators import vector as V
 from tidemark.plans import bars as B
-from tidemark.plans.queries import BARS, CONFIGS, CUSUM, LABELLED, PRICES, SERIES, TICKS, VARS, _bars, _dif, _events, _labelled, _running, _shape, _vars, query, r
+from tidemark.plans.queries import BARS, CONFIGS, CUSUM, LABELLED, PRICES, SERIES, SQL, TICKS, VARS, _bars, _dif, _events, _labelled, _running, _shape, _vars, query, r
 
 # -- detectors -------------------------------------------------------------------
 
@@ -96,6 +97,34 @@ SETS = "c(method, q) AS (VALUES ('cusum', 100.0::DOUBLE), ('sprt', 0.1), ('cusum
 SILENT = [*CONFIGS, ("cusum", 1e9)]
 
 
+#: Detectors by name: parameter, digits of the score that both sides show, SQL.
+IN_SQL = {
+    "cusum": (100.0, 6, CUSUM), "cusum_ls": (1.0, 6, _LS), "sprt": (0.1, 6, _SPRT), "gma": (0.3, 6, _GMA), "brandt_glr": (0.2, 4, BRANDT),
+    "shewhart": (0.05, 6, SHEWHART), "e_detector": (0.05, 6, SQL["e_detector_events"]),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, symbol, ts, idx, direction, score FROM ({sql})" for m, (_, _, sql) in IN_SQL.items()))
+def detect_udtf(spark, d):
+    """Seven detectors by the table function, in SQL text."""
+    register(spark, "detect")
+    B.log_close(_bars(spark, d)).createOrReplaceTempView("detect_udtf_series")
+    call = "detect(TABLE(detect_udtf_series) PARTITION BY symbol ORDER BY (ts), '{m}', {q:e})"
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{m}' AS method, symbol, ts, idx, direction, round(score, {digits}) AS score FROM {call.format(m=m, q=q)}" for m, (q, digits, _) in IN_SQL.items()
+    ))
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, symbol, ts FROM ({SQL[f'{m}_{end}']})" for m, end in (("swt", "events"), ("cum", "events"), ("page_hinkley", "events"), ("cusum_ls", "samples"), ("sprt", "samples"), ("gma", "samples"), ("e_detector", "samples"), ("brandt_glr", "samples"))))
+def sample_udtf(spark, d):
+    """Eight samplers by the table function, in SQL text."""
+    register(spark, "sample_events")
+    _dif(spark, d).createOrReplaceTempView("sample_udtf_dif")
+    limits = {"swt": "30, b2b => 2", "cum": "60, b2b => 2", "page_hinkley": "200", "cusum_ls": "150", "sprt": "150", "gma": "9", "e_detector": "1.05", "brandt_glr": "1.5"}
+    call = "sample_events(TABLE(sample_udtf_dif) PARTITION BY symbol ORDER BY (ts), '{m}', {q})"
+    return spark.sql(" UNION ALL ".join(f"SELECT '{m}' AS method, symbol, ts FROM {call.format(m=m, q=q)}" for m, q in limits.items()))
+
+
 @query(f"WITH {SETS} SELECT c.method, c.q, count(e.ts) AS n_events FROM c LEFT JOIN e USING (method, q) WHERE c.q < 1e9 GROUP BY 1, 2")
 def detector_counts(spark, d):
     return D.event_counts(D.detect_many(B.log_close(_bars(spark, d)), CONFIGS), CONFIGS)
