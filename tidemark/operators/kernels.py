@@ -447,6 +447,8 @@ class SegmentBeam(Kernel):
     min_seg_len: int = 10
     t: int = -1
     beam: list = field(default_factory=lambda: [(0.0, 0.0, 0, 0.0, 0, 0, ())])
+    recent: deque = field(default_factory=deque)  # the last values, as many as a segment has at least
+    around: dict = field(default_factory=dict)  # of each change place of the beam: values before and from it on
     on = "level"
     source = SEGMENT
 
@@ -462,6 +464,12 @@ class SegmentBeam(Kernel):
 
     def step(self, x):
         self.t += 1
+        self.recent.append(x)
+        if len(self.recent) > self.min_seg_len:
+            self.recent.popleft()
+        for _, right in self.around.values():
+            if len(right) < self.min_seg_len:
+                right.append(x)
         grown = []
         for s, s2, n, rss, total, segments, places in self.beam:
             h = (s + x, s2 + x * x, n + 1, rss, total, segments, places)
@@ -477,8 +485,16 @@ class SegmentBeam(Kernel):
                 break
         self.beam = [h for _, h in best.values()]
         self.costs = [c for c, _ in best.values()]
+        alive = {p for h in self.beam for p in h[6]}
+        if self.around.keys() != alive:  # a place comes in only where the next value begins
+            self.around = {p: self.around.get(p) or (tuple(self.recent), []) for p in sorted(alive)}
         return None
 
+    def direction(self, place: int) -> int:
+        """Sign of the change at a place of the beam: ``direction_around`` of all values."""
+        left, right = (np.array(side) for side in self.around[place])
+        return sign(float(right.mean() - left.mean())) if len(left) >= 2 and len(right) >= 2 else 0
+
     def answer(self) -> tuple[int, ...]:
         if self.t + 1 < 2 * self.min_seg_len:
             return ()

@@ -7,7 +7,9 @@ turned over, so that "further out" is always "larger".
 
 from __future__ import annotations
 
+import bisect
 import math
+from collections import deque
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -26,6 +28,7 @@ class Extreme:
     side: int
     idx: int
     value: float
+    after: int = 0  # extremes of the other side before it
 
 
 @dataclass(frozen=True)
@@ -45,11 +48,54 @@ class Trend:
         return self.side * (1.0 if self.confirmed else 0.5)
 
 
+#: A bar that is furthest out on some side: its number and how far out it is.
+Mark = tuple[int, float]
+
+
+class Reach:
+    """For each side the bars that are further out than all later ones: the first
+    of them from some bar on is the furthest since then.  What no later question
+    can ask for is forgotten, so that the length doesn't grow with the series."""
+
+    def __init__(self):
+        self.left: dict[int, list[Mark]] = {1: [], -1: []}
+        self.most = 64
+
+    def push(self, i: int, high: float, low: float) -> None:
+        for side, out in ((1, high), (-1, -low)):
+            stack = self.left[side]
+            while stack and stack[-1][1] < out:
+                stack.pop()
+            stack.append((i, out))
+
+    def furthest(self, side: int, start: int) -> Mark | None:
+        """The first bar from ``start`` on that is furthest out, up to now."""
+        stack = self.left[side]
+        at = bisect.bisect_left(stack, start, key=lambda m: m[0])
+        return stack[at] if at < len(stack) else None
+
+    def forget(self, asked: list[tuple[int, int]]) -> None:
+        """Keep what questions (side, first bar) lead to: an answer's bar is where
+        the next question about the other side begins, or the bar after it."""
+        keep: dict[int, set[int]] = {1: set(), -1: set()}
+        seen: set[tuple[int, int]] = set()
+        for side, start in asked:
+            while (m := self.furthest(side, start)) is not None and (side, m[0]) not in seen:
+                seen.add((side, m[0]))
+                keep[side].add(m[0])
+                keep[-side].add(self.furthest(-side, m[0])[0])  # there is one: this bar is no further back than the last
+                side, start = -side, m[0] + 1
+        self.left = {side: [m for m in stack if m[0] in keep[side]] for side, stack in self.left.items()}
+        self.most = max(64, 2 * (len(self.left[1]) + len(self.left[-1])))
+
+
 @dataclass
 class Structure:
     """What a reset forgets."""
 
-    extremes: list[Extreme] = field(default_factory=list)
+    tail: list[Extreme] = field(default_factory=list)  # the last three extremes
+    triples: dict = field(default_factory=lambda: {1: None, -1: None})  # the latest that held its ground before the last extreme
+    counts: dict = field(default_factory=lambda: {1: 0, -1: 0})
     fixed: dict = field(default_factory=lambda: {1: None, -1: None})
     running: dict = field(default_factory=lambda: {1: None, -1: None})
     barred: dict = field(default_factory=lambda: {1: -1, -1: -1})
@@ -58,14 +104,33 @@ class Structure:
     status: int = 0
     trend: Trend = field(default_factory=Trend)
 
+    def add(self, new: Extreme) -> None:
+        """An extreme of the other side: the one before it is final now."""
+        for side in (1, -1):
+            self.triples[side] = self.triple(side) or self.triples[side]
+        self.counts[new.side] += 1
+        self.tail = [*self.tail[-2:], replace(new, after=self.counts[-new.side])]
+
+    def triple(self, side: int) -> tuple[Extreme, Extreme] | None:
+        """Points 2 and 3 of the last three extremes, if they keep their ground."""
+        if len(self.tail) < 3:
+            return None
+        a, b, c = self.tail
+        return (b, c) if c.side == -side and b.side == side and a.side == -side and side * (c.value - a.value) >= 0 else None
+
 
 class Machine:
-    """One series' machine.  ``step`` takes a bar and returns its state row."""
+    """One series' machine.  ``step`` takes a bar and returns its state row.  Its
+    memory is bounded: bars that can still become an extreme, the last few
+    extremes, and the last ``lag`` bars."""
 
     def __init__(self, method: str = "cusum", q: float = 1.0, options: dict | None = None, lag: int = 0, reset_on_change: bool = False):
         self.method, self.q, self.lag, self.reset_on_change = method, q, lag, reset_on_change
         self.detector = kernels.make(method, q, **(options or {}))
-        self.bars: list[tuple] = []  # ts, open, high, low, close
+        self.i = -1
+        self.reach = Reach()
+        self.bar: tuple = ()  # high, low of this bar
+        self.recent: deque = deque(maxlen=max(lag, 0) + 2)  # ts, close
         self.waiting: list[tuple] = []  # (place, direction, source, score) not yet confirmed
         self.dated: set[int] = set()  # change places already reported by a segmentation
         self.change: tuple | None = None  # of the latest place
@@ -75,14 +140,18 @@ class Machine:
         self.moves = (0, 0.0, 0.0)  # count, mean, squares of close differences of the regime
         self.best: tuple | None = None  # (side, place of point 3) and the furthest price since
 
-    def out(self, side: int, i: int) -> float:
-        return self.bars[i][2] if side > 0 else -self.bars[i][3]
+    def now(self, side: int) -> Mark:
+        return self.i, self.bar[0] if side > 0 else -self.bar[1]
 
-    def furthest(self, side: int, start: int, i: int) -> int | None:
-        """First bar from ``start`` to i that is furthest out; a result of 0 is
-        taken for none by callers, which is how the indicator is defined."""
-        start = max(0, start)
-        return max(range(start, i + 1), key=lambda j: (self.out(side, j), -j)) if start <= i else None
+    def since(self, side: int, start: int) -> Mark:
+        """The furthest bar from ``start``; this one where there is none, or where it
+        is the series' first, which is how the indicator is defined."""
+        m = self.reach.furthest(side, max(0, start))
+        return m if m and m[0] else self.now(side)
+
+    def then(self, i: int) -> tuple:
+        """ts and close of one of the last bars."""
+        return self.recent[i - self.i - 1]
 
     # -- changes -----------------------------------------------------------
 
@@ -91,14 +160,13 @@ class Machine:
         k = self.detector
         if isinstance(k, kernels.SegmentBeam):
             k.step(close)
-            out, closes = [], None
+            out = []
             for place in k.answer():
                 if place not in self.dated and self.lag <= 0:
                     self.dated.add(place)
-                    closes = np.array([b[4] for b in self.bars]) if closes is None else closes
-                    out.append((i, kernels.direction_around(closes, place, k.min_seg_len), k.source, NAN))
+                    out.append((i, k.direction(place), k.source, NAN))
             return out
-        x = close if k.on == "level" else close - self.bars[i - 1][4] if i else NAN
+        x = close if k.on == "level" else close - self.then(i - 1)[1] if i else NAN
         if x == x and (event := k.step(x)):
             self.waiting.append((i, event[0], k.source, event[1]))
         ready = [e for e in self.waiting if i - e[0] >= self.lag]
@@ -107,19 +175,19 @@ class Machine:
 
     # -- extremes ----------------------------------------------------------
 
-    def anchor(self, i: int, d: int) -> None:
+    def anchor(self, d: int) -> None:
         s = self.s
         if d and s.fixed[-d] is None:
-            s.fixed[-d] = self.furthest(-d, 0, i)
-            s.running[d] = self.furthest(d, s.fixed[-d] + 1, i) or i
+            s.fixed[-d] = self.reach.furthest(-d, 0)
+            s.running[d] = self.since(d, s.fixed[-d][0] + 1)
 
-    def judge(self, i: int, d: int) -> int:
+    def judge(self, d: int) -> int:
         """Exception and status: the direction, turned over while price runs
         against it."""
         s, was = self.s, self.s.direction
         if not d:
             return 0
-        beyond = lambda side: s.fixed[side] is not None and self.out(side, i) >= self.out(side, s.fixed[side])
+        beyond = lambda side: s.fixed[side] is not None and self.now(side)[1] >= s.fixed[side][1]
         if s.exception < 0:
             if was * d == -1 or was and beyond(was):
                 s.exception = 1
@@ -127,50 +195,61 @@ class Machine:
             s.exception = -1
         return d * s.exception
 
-    def push(self, i: int, side: int) -> None:
-        if self.s.running[side] is None or self.out(side, i) >= self.out(side, self.s.running[side]):
-            self.s.running[side] = i
+    def push(self, side: int) -> None:
+        if self.s.running[side] is None or self.now(side)[1] >= self.s.running[side][1]:
+            self.s.running[side] = self.now(side)
 
     def fix(self, side: int) -> None:
         """Keep an alternating list: of one side's successive extremes the outer."""
         s = self.s
-        at = s.running[side]
-        s.fixed[side] = at
-        new = Extreme(side, at, self.bars[at][2] if side > 0 else self.bars[at][3])
-        last = s.extremes[-1] if s.extremes else None
+        at, out = s.fixed[side] = s.running[side]
+        last = s.tail[-1] if s.tail else None
         if last is None or last.side != side and last.idx != at:
-            s.extremes.append(new)
-        elif last.side == side and side * (new.value - last.value) >= 0:
-            s.extremes[-1] = new
+            s.add(Extreme(side, at, side * out))
+        elif last.side == side and side * (side * out - last.value) >= 0:
+            s.tail[-1] = replace(last, idx=at, value=side * out)
 
-    def turn(self, i: int, status: int) -> bool:
+    def turn(self, status: int) -> bool:
         s, was, fixed = self.s, self.s.status, False
         if was:
-            self.push(i, was)
+            self.push(was)
             if status == -was:
                 self.fix(was)
                 fixed = True
-                s.running[-was] = self.furthest(-was, s.fixed[was] + 1, i) or i
+                s.running[-was] = self.since(-was, s.fixed[was][0] + 1)
         elif status and s.running[status] is None:
-            s.running[status] = self.furthest(status, (s.fixed[-status] or -1) + 1, i) or i
+            other = s.fixed[-status]
+            s.running[status] = self.since(status, other[0] + 1 if other and other[0] else 0)
         if status:
-            self.push(i, status)
+            self.push(status)
         s.status = status
         return fixed
 
+    def forget(self) -> None:
+        """Bars that no later extreme or trend can begin at."""
+        if len(self.reach.left[1]) + len(self.reach.left[-1]) <= self.reach.most:
+            return
+        s = self.s
+        marks = [(side, m) for kept in (s.fixed, s.running) for side, m in kept.items()]
+        asked = [(-side, m[0] + 1) for side, m in marks if m is not None]
+        if self.reset_on_change or any(m is None for _, m in marks):
+            asked += [(1, 0), (-1, 0)]
+        thirds = [*s.tail, *[t[1] for t in s.triples.values() if t], *([s.trend.point3] if s.trend.side else [])]
+        asked += [(-e.side, e.idx) for e in thirds] + [(-side, m[0]) for side, m in marks if m is not None]
+        self.reach.forget(asked)
+
     # -- trend -------------------------------------------------------------
 
     def candidate(self, side: int) -> tuple[Extreme, Extreme] | None:
-        """Points 2 and 3 of the latest triple that keeps its ground."""
-        e = self.s.extremes
-        for j in range(len(e) - 1, 1, -1):
-            a, b, c = e[j - 2 : j + 1]
-            if c.side == -side and b.side == side and a.side == -side and side * (c.value - a.value) >= 0 and c.idx > self.s.barred[side]:
-                return b, c
+        """Points 2 and 3 of the latest triple that keeps its ground.  An earlier one
+        would be barred as well."""
+        for t in (self.s.triple(side), self.s.triples[side]):
+            if t and t[1].idx > self.s.barred[side]:
+                return t
         return None
 
     def follow(self, i: int) -> Trend:
-        s, high, low = self.s, self.bars[i][2], self.bars[i][3]
+        s, (high, low) = self.s, self.bar
         found = {side: self.candidate(side) for side in (1, -1)}
         stop, reach = {1: low, -1: high}, {1: high, -1: low}
         now, broken = s.trend, False
@@ -202,10 +281,10 @@ class Machine:
             return NAN, NAN, NAN
         key = (t.side, t.point3.idx)
         if self.best is None or self.best[0] != key:
-            self.best = (key, max(self.out(t.side, j) for j in range(t.point3.idx, i + 1)))
+            self.best = (key, self.reach.furthest(t.side, t.point3.idx)[1])
         else:
-            self.best = (key, max(self.best[1], self.out(t.side, i)))
-        later = sum(1 for e in self.s.extremes if e.side == t.side and e.idx > t.point3.idx)
+            self.best = (key, max(self.best[1], self.now(t.side)[1]))
+        later = self.s.counts[t.side] - t.point3.after
         return abs(t.side * self.best[1] - t.point3.value) / span, float(max(2, 1 + later)), float(i - t.point3.idx)
 
     # -- a bar -------------------------------------------------------------
@@ -216,15 +295,17 @@ class Machine:
         for j in range(start + 1 if moved else i, i + 1):
             if j > start:
                 n, mean, squares = self.moves
-                x = self.bars[j][4] - self.bars[j - 1][4]
+                x = self.then(j)[1] - self.then(j - 1)[1]
                 gap = x - mean
                 self.moves = (n + 1, mean + gap / (n + 1), squares + gap * (x - mean - gap / (n + 1)))
         n, _, squares = self.moves
         return math.sqrt(max(squares, 0.0) / (n - 1)) if n > 1 else 0.0
 
     def step(self, ts, open_: float, high: float, low: float, close: float) -> dict:
-        i = len(self.bars)
-        self.bars.append((ts, open_, high, low, close))
+        i = self.i = self.i + 1
+        self.bar = (high, low)
+        self.recent.append((ts, close))
+        self.reach.push(i, high, low)
         new = self.changes(i, close)
         moved = bool(new)
         if new:
@@ -236,14 +317,14 @@ class Machine:
                 self.s = Structure()
         s = self.s
         start, d, source, score = self.change or (0, 0, None, NAN)
-        self.anchor(i, d)
-        status = self.judge(i, d)
+        self.anchor(d)
+        status = self.judge(d)
         switched = i > 0 and status != s.status
-        fixed = self.turn(i, status)
+        fixed = self.turn(status)
         t = self.follow(i)
         dynamic, movements, since3 = self.quality(i, t)
-        shown = s.extremes[-1] if fixed and s.extremes else None
-        price = lambda side, at: NAN if at is None else self.bars[at][2 if side > 0 else 3]
+        shown = s.tail[-1] if fixed and s.tail else None
+        price = lambda side, m: NAN if m is None else side * m[1]
         top, bottom = price(1, s.fixed[1]), price(-1, s.fixed[-1])
         width = top - bottom
         position = (close - bottom) / width if width == width and width != 0 else NAN
@@ -255,7 +336,7 @@ class Machine:
         row = {
             "timestamp": ts, "Open": open_, "High": high, "Low": low, "Close": close, "detector_method": self.method, "detector_q": float(self.q),
             "cpd_direction_source": source, "cpd_direction_score": score, "cpd_confirm_event": bool(new),
-            "cpd_confirmed_position": last[0] if last else None, "cpd_confirmed_timestamp": self.bars[last[0]][0] if last else None,
+            "cpd_confirmed_position": last[0] if last else None, "cpd_confirmed_timestamp": self.then(last[0])[0] if last else None,
             "cpd_confirmed_direction": last[1] if last else None, "cpd_confirmed_direction_source": last[2] if last else None, "cpd_confirmed_score": last[3] if last else NAN,
             "direction": d, "excep": s.exception, "status": status, "status_switch": switched, "new_extremum_confirmed": fixed,
             "confirmed_extremum_kind": KIND[shown.side] if shown else None, "confirmed_extremum_idx": shown.idx if shown else None,
@@ -272,10 +353,11 @@ class Machine:
             "point2": p2, "point3": p3, "point2_idx": t.point2.idx if t.side else None, "point3_idx": t.point3.idx if t.side else None,
             "candidate_point2": c2.value if c2 else NAN, "candidate_point3": c3.value if c3 else NAN, "candidate_point2_idx": c2.idx if c2 else None, "candidate_point3_idx": c3.idx if c3 else None,
             "last_max": top, "last_min": bottom, "temp_max": price(1, s.running[1]), "temp_min": price(-1, s.running[-1]),
-            "num_confirmed_extrema": len(s.extremes), "regime_start_idx": start,
+            "num_confirmed_extrema": s.counts[1] + s.counts[-1], "regime_start_idx": start,
         }
         s.direction = d
-        self.before = row
+        self.before = {c: row[c] for c in ("current_trend", "trend_age", "position")}
+        self.forget()
         return row
 
 
@@ -397,7 +479,8 @@ def shape_points(
             points = [None] * 11
             if len(four) == 4 and sum(e.side for e in four) == 0:
                 (h1, h2), (l1, l2) = (sorted((e for e in four if e.side == side), key=lambda e: e.idx) for side in (1, -1))
-                gaps = np.diff([e.idx for e in known])
+                gaps = np.diff([e.idx for e in known[-64:]])
+                gaps = gaps if (gaps > 0).sum() >= 20 else np.diff([e.idx for e in known])
                 gaps = gaps[gaps > 0][-20:]
                 points = [four[0].side > 0, h1.value, h1.idx, h2.value, h2.idx, l1.value, l1.idx, l2.value, l2.idx, four[0].idx, four[3].idx]
                 points.append(float(np.median(gaps)) if len(gaps) else None)
