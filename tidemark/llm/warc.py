@@ -203,43 +203,43 @@ def _each_file(batches, read) -> Iterator[tuple]:
 
 
 def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "20000101000000", file_mb: int = 16) -> None:
-    """Write rows as ARC files, compressed, of version 1 and 2 by turns.  Files are
-    of some ``file_mb`` of payloads each."""
+    """Write rows as ARC files, compressed, of version 1 and 2 by turns.  Rows stay
+    where they are read; a file has as many as make some ``file_mb`` of payloads."""
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("binary").alias("url"), F.coalesce(F.col(payload), F.lit("")).cast("binary").alias("payload"))
-    total = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(payload), F.lit(""))))).first()[0] or 0
-    parts = max(1, -(-total // (file_mb << 20)))
+    size = pages.agg(F.sum(F.octet_length(F.coalesce(F.col(payload), F.lit("")))).alias("total"), F.count("*").alias("n")).first()
+    # the writer begins a file at every so many values, of which the first opens the archive
+    each = 1 + max(1, (size["n"] * (file_mb << 20)) // max(1, size["total"] or 0))
 
     def write(batches):
-        at = TaskContext.get().partitionId()
-        version, name = 1 + at % 2, f"tidemark-{at:06d}.arc"
+        task = TaskContext.get().partitionId()
 
         def records():
-            opened = False
+            at = 0
             for b in batches:
                 for k, u, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if not opened:
+                    if at % each == 0:
+                        version, name = 1 + (task + at // each) % 2, f"tidemark-{task:06d}-{at // each:06d}.arc"
                         yield (arc_head(version, name, date),)
-                        opened = True
+                        at += 1
                     head = http_head(k, len(p))
                     line = arc_line(version, clean_url(u), "0.0.0.0", date, "text/html", len(head) + len(p), name=name)
                     yield (line + head + p,)
+                    at += 1
 
         yield from _to_batches(records(), ["value"], [pa.binary()])
 
-    # rows are dealt evenly, also those that are alike; a retry numbers and deals them as before
-    even = rows.withColumn("_row", F.monotonically_increasing_id()).repartition(parts, "_row").drop("_row")
-    out = even.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value"))
-    _write_text(out, path, "\n")
+    _write_text(rows.mapInArrow(write, "value binary").select(F.col("value").cast("string").alias("value")), path, "\n", each)
 
 
-def _write_text(values: DataFrame, path: str, end: str) -> None:
-    """Values with ``end`` after each, a file per partition; few rows at a time go
-    through Python."""
+def _write_text(values: DataFrame, path: str, end: str, each: int = 0) -> None:
+    """Values with ``end`` after each, a file per partition, or for every ``each``
+    values of it; few rows at a time go through Python."""
     spark, option = values.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(option)
     spark.conf.set(option, "200")
     try:
-        values.write.option("lineSep", end).option("compression", "gzip").text(path)
+        out = values.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        out.option("maxRecordsPerFile", each).text(path)
     finally:
         spark.conf.set(option, before)
 
