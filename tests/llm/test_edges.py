@@ -592,3 +592,12 @@ def test_op10_windows_keep_their_budget(spark, budget, history, given):
         assert sum(n) <= budget or len(fresh) == 1 and own[w.conv_id, fresh[0]] > step or budget - history - system < 32
         seen.update((w.conv_id, o) for o in fresh)
     assert max(seen.values()) == 1 and len(seen) == sum(not (r[1] == 0 and r[0] % 3 == 0) for r in rows)
+
+
+@pytest.mark.parametrize("salts", [3, 12, 16, 64])
+@pytest.mark.parametrize("batches", [1, 3, 16])
+def test_op8_hot_pre_tokens_are_spread(salts, batches):
+    """Whatever the tasks and batches, at least half of the groups are used, and none
+    gets far more than its share."""
+    groups = collections.Counter(token_counts.salt_of(task, n, salts) for task in range(4 * salts) for n in range(1, batches + 1))
+    assert len(groups) >= salts / 2 and max(groups.values()) <= 4 * batches * 4

@@ -81,6 +81,14 @@ def piece_counts(model, pre_tokens: list[str]) -> list[int]:
     return [1 if a == "" else x if p[0] in " ▁" else x - 2 for p, a, x in zip(pre_tokens, asked, n, strict=True)]
 
 
+def salt_of(task: int, number: int, salts: int) -> int:
+    """The group of a batch's hot pre-tokens, by a hash of task and number: batches
+    are spread over all groups whatever their tasks and however many each has."""
+    x = (task * 0x9E3779B97F4A7C15 + number * 0xBF58476D1CE4E5B9) & (2**64 - 1)
+    x = ((x ^ x >> 31) * 0x94D049BB133111EB) & (2**64 - 1)
+    return (x ^ x >> 29) % salts
+
+
 def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Runs of ``data`` that end at ``ends`` as a column of binaries."""
     offsets = np.concatenate([[0], ends * data.dtype.itemsize]).astype("<i4")
@@ -110,14 +118,15 @@ def count_tokens(
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, task = 0, TaskContext.get().partitionId()
         for got in batches:
-            texts, at = got.column("t").to_pylist(), 0
+            texts, at = got.column("t"), 0
             while at < len(texts):
                 number += 1
                 batch = (task << 33) + number
+                group = salt_of(task, number, salts)
                 ids: dict[str, int] = {}
                 codes, docs_, times, sizes = [], [], [], []
                 while at + len(sizes) < len(texts) and sum(sizes) < most:
-                    t = texts[at + len(sizes)] or ""
+                    t = texts[at + len(sizes)].as_py() or ""
                     sizes.append(len(t.encode()))
                     f = frequencies(t)
                     codes.append(np.fromiter((ids.setdefault(p, len(ids)) for p in f), np.int64, len(f)))
@@ -128,7 +137,7 @@ def count_tokens(
                 pairs = np.empty(len(code), PAIR)
                 pairs["doc"], pairs["times"] = np.concatenate(docs_)[order], np.concatenate(times)[order]
                 held = np.bincount(code, minlength=len(ids))
-                salt = np.where(held > 3, batch % salts, 0).astype(np.int32)
+                salt = np.where(held > 3, group, 0).astype(np.int32)
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(ids), pa.string()), pa.array(salt), pa.array(np.full(n, batch)), _binaries(pairs, np.cumsum(held))], names
