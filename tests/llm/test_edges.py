@@ -272,20 +272,46 @@ def test_op4_ids_on_random_strings_and_at_the_bound():
 def test_op4_bin_completion():
     assert packing.spans(1024, 1024) == [(0, 1024)] and packing.spans(1030, 1024) == [(0, 6), (6, 1024)] and packing.spans(1, 1024) == [(0, 1)]
     assert packing._dominates(((6, 1),), ((3, 2),)) and not packing._dominates(((3, 2),), ((6, 1),))
-    # best-fit decreasing needs three bins here, two suffice
-    counts = {6: 1, 5: 1, 4: 1, 3: 1, 2: 1}
-    plan = packing.plan_bins(counts, 10)
-    assert sum(m for _, m in plan) == 2
-    g = random.Random(0)
+    assert not packing._dominates(((5, 2),), ((4, 1), (3, 2)))
+    size = lambda plan: sum(m for _, m in plan)
+    # the search alone: best fit puts the fives together and needs a third bin
+    counts = {5: 2, 4: 2, 3: 2}
+    assert (size(packing.best_fit(counts, 12)), size(packing.plan_bins(counts, 12, exchanges=False))) == (3, 2)
+    g, better = random.Random(0), 0
     for _ in range(30):
         counts = collections.Counter(g.randrange(1, 101) for _ in range(g.randrange(1, 200)))
-        plan = packing.plan_bins(counts, 100, nodes=300)
+        plan = packing.plan_bins(counts, 100)
         used = collections.Counter()
         for pattern, times in plan:
             assert sum(x * c for x, c in pattern) <= 100
             for x, c in pattern:
                 used[x] += c * times
-        assert used == counts and packing.lower_bound(counts, 100) <= sum(m for _, m in plan) <= sum(m for _, m in packing.best_fit(counts, 100))
+        assert used == counts and packing.lower_bound(counts, 100) <= size(plan) <= size(packing.best_fit(counts, 100))
+    for _ in range(150):  # against all packings of few items
+        counts = collections.Counter(g.randrange(2, 17) for _ in range(g.randrange(4, 10)))
+        found, fit = size(packing.plan_bins(counts, 20, exchanges=False)), size(packing.best_fit(counts, 20))
+        assert found == fewest(sorted(counts.elements(), reverse=True), 20)
+        better += found < fit
+    assert better
+
+
+def fewest(items, capacity, rooms=()):
+    if not items:
+        return len(rooms)
+    new = fewest(items[1:], capacity, (*rooms, capacity - items[0]))
+    return min([new, *(fewest(items[1:], capacity, (*rooms[:i], r - items[0], *rooms[i + 1 :])) for i, r in enumerate(rooms) if r >= items[0])])
+
+
+def test_op4_fillings_are_full_and_undominated():
+    g = random.Random(1)
+    for _ in range(200):
+        counts, room = collections.Counter(g.randrange(1, 30) for _ in range(g.randrange(1, 9))), g.randrange(1, 60)
+        sums = {0}
+        for x in counts.elements():
+            sums |= {s + x for s in sums if s + x <= room}
+        found = packing.completions(room, counts)
+        assert sum(x * c for x, c in found[0]) == max(sums) and all(c <= counts[x] for f in found for x, c in f)
+        assert not any(packing._dominates(a, b) for i, a in enumerate(found) for b in found[i + 1 :])
 
 
 def test_op5_accuracy_and_special_texts(spark):

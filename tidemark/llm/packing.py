@@ -2,18 +2,18 @@
 
 Only the histogram of piece lengths (at most ``capacity`` numbers) decides how
 many sequences are needed, so the search runs on the driver over the histogram
-while pieces stay distributed.  Around the largest remaining length the search
-enumerates fillings that no other filling dominates, takes the least wasteful
-first, applies each as often as the counts allow, and gives up a branch when its
-waste exceeds what the incumbent permits; best-fit decreasing gives the first
-incumbent.  The search ends at the lower bound or after ``nodes`` steps;
-above the bound, items are then exchanged among the loosest sequences.
+while pieces stay distributed.  Best fit gives the first incumbent.  Then, around
+the longest remaining length, the search enumerates fillings that no other filling
+dominates, by the sums that the remaining lengths can reach, takes the best first,
+applies each as often as the counts allow, and gives up a branch when its waste
+exceeds what the incumbent permits.  It ends at the lower bound or after a number
+of nodes; above the bound, items are then exchanged among the loosest sequences,
+which is an extra to the search and can be left out.
 
 The search is bounded, so the plan is valid but not proven least unless it meets
-the lower bound: of each room at most four fillings are tried, found within some
-thousand steps; 400 open branches are kept; whether one filling dominates another
-is tested by placing the items greedily, which can miss that it does (and then
-keeps a needless branch).
+the lower bound: four fillings of each room are branches, among the first 300
+found; 400 open branches are kept; whether a filling of more than ten items is
+dominated isn't tested (which keeps a needless branch at most).
 
 The plan says which ranks of each length go to which sequence; a piece's rank is
 its place among all pieces of its length, from per-task counters and a running
@@ -29,9 +29,7 @@ no rows.
 from __future__ import annotations
 
 import base64
-import bisect
 import collections
-import math
 import random
 import zlib
 from collections.abc import Iterator
@@ -93,79 +91,73 @@ def spans(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head), *((s, capacity) for s in range(head, n, capacity))]
 
 
-def _dominates(a: Pattern, b: Pattern) -> bool:
-    """Whether the items of ``b`` fit into the items of ``a`` as into bins."""
-    room = [x for x, c in a for _ in range(c)]
-    for x in (x for x, c in b for _ in range(c)):
-        i = min((i for i, r in enumerate(room) if r >= x), key=lambda i: room[i], default=None)
-        if i is None:
-            return False
-        room[i] -= x
-    return True
-
-
-def exact_fillings(room: int, lengths: list[int], counts: dict[int, int], items: int, keep: int, steps: int) -> list[Pattern]:
-    """Up to ``keep`` fillings of ``room`` by ``items`` pieces that leave nothing,
-    those with the largest pieces first: small ones are kept for later."""
-    out: list[Pattern] = []
-    left = steps
-
-    def search(rest: int, at: int, need: int, chosen: tuple[int, ...]) -> None:
-        nonlocal left
-        if need == 1:
-            if rest and rest <= chosen[-1] and counts.get(rest, 0) > chosen.count(rest):
-                out.append(tuple(sorted(collections.Counter((*chosen, rest)).items(), reverse=True)))
-            return
-        for i in range(bisect.bisect_left(lengths, -rest, at), len(lengths)):
-            x = -lengths[i]
-            if x * need < rest or left <= 0 or len(out) >= keep:
-                return
-            left -= 1
-            if counts[x] > chosen.count(x):
-                search(rest - x, i, need - 1, (*chosen, x))
-
-    search(room, 0, items, ())
-    return out
-
-
-def completions(room: int, counts: dict[int, int], keep: int = 4, steps: int = 4000) -> list[Pattern]:
-    """Undominated fillings of ``room``, least waste first."""
+def _fit(items: list[int], rooms: list[int]) -> bool:
+    """Whether the items, longest first, fit into the rooms."""
+    if not items:
+        return True
+    tried = set()
+    for i, r in enumerate(rooms):
+        if r >= items[0] and r not in tried:
+            tried.add(r)
+            if _fit(items[1:], [*rooms[:i], r - items[0], *rooms[i + 1 :]]):
+                return True
+    return False
+
+
+def _dominates(a: Pattern, b: Pattern, most: int = 10) -> bool:
+    """Whether the items of ``b`` fit into the items of ``a`` as into bins (of more
+    than ``most`` items it isn't tried, and both are kept)."""
+    if sum(c for _, c in b) > most:
+        return False
+    return _fit([x for x, c in b for _ in range(c)], [x for x, c in a for _ in range(c)])
+
+
+def _sums(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each place among ``lengths`` the sums within ``room`` that those from
+    there on can make, as bits of a number."""
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in reversed(lengths):
+        now, c, k = reach[-1], min(counts[x], room // x), 1
+        while c > 0:  # any number up to c, by doubling
+            k = min(k, c)
+            now |= now << (k * x) & mask
+            c, k = c - k, 2 * k
+        reach.append(now)
+    return reach[::-1]
+
+
+def completions(room: int, counts: dict[int, int], keep: int = 4, spare: int = 0, price: int = 0, steps: int = 300) -> list[Pattern]:
+    """Fillings of ``room`` of which none dominates another: of the fullest, and of
+    those up to ``spare`` less full.  The best has least waste plus ``price`` for each
+    item; among equals, that with the longest items, since short ones fit anywhere."""
     if counts.get(room):
         return [((room, 1),)]  # one item that fills the rest dominates all others
-    lengths = sorted(-x for x, c in counts.items() if c and x <= room)
+    lengths = sorted((x for x, c in counts.items() if c and x <= room), reverse=True)
     if not lengths:
         return [()]
+    reach = _sums(lengths, counts, room)
+    fullest, left = reach[0].bit_length() - 1, steps
     found: list[tuple[int, Pattern]] = []
-    for items in (2, 3, 4):
-        found = [(0, f) for f in exact_fillings(room, lengths, counts, items, keep, steps)]
-        if found:
-            break
-    else:
-        left = steps // 10
-
-        def fill(at: int, rest: int, chosen: tuple[tuple[int, int], ...]) -> None:
-            nonlocal left
-            left -= 1
-            at = bisect.bisect_left(lengths, -rest, at)
-            if at == len(lengths):
-                found.append((rest, chosen))
+
+    def fill(at: int, rest: int, chosen: Pattern, most: int) -> None:
+        """Fillings that leave nothing of ``rest``, longest items first; no dead ends."""
+        nonlocal left
+        while rest and at < len(lengths):
+            x, at = lengths[at], at + 1
+            for c in range(min(counts[x], rest // x), 0, -1):
+                if reach[at] >> (rest - c * x) & 1 and left > 0 and len(found) < most:
+                    left -= 1
+                    fill(at, rest - c * x, (*chosen, (x, c)), most)
+            if not reach[at] >> rest & 1 or left <= 0 or len(found) >= most:
                 return
-            for i in range(at, len(lengths)):
-                if left <= 0 and found:
-                    return
-                x = -lengths[i]
-                c = min(counts[x], rest // x)
-                fill(i + 1, rest - c * x, (*chosen, (x, c)))
-
-        fill(0, room, ())
-        found.sort(key=lambda f: (f[0], [(-x, -c) for x, c in f[1]]))
-    best: list[Pattern] = []
-    for _, f in found:
-        if not any(_dominates(a, f) for a in best):
-            best.append(f)
-        if len(best) == keep:
-            break
-    return best
+        if not rest and not any(_dominates(f, chosen) for _, f in found):
+            found.append((room - sum(x * c for x, c in chosen), chosen))
+
+    for total in range(fullest, max(fullest - spare - 1, 0), -1):
+        if reach[0] >> total & 1 and left > 0:
+            fill(0, total, (), len(found) + keep)
+    found.sort(key=lambda f: f[0] + price * sum(c for _, c in f[1]))
+    return [f for _, f in found[:keep]]
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -199,36 +191,54 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return out
 
 
-def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[tuple[Pattern, int]]:
-    """(filling, how many sequences), covering ``counts`` exactly."""
-    counts = {int(x): int(c) for x, c in counts.items() if c}
-    best = best_fit(counts, capacity)
+#: (spare, price) of the searches, one after the other: at first always the fullest.
+SEARCHES = ((0, 0), (16, 8), (8, 2), (4, 1), (32, 8), (16, 4), (12, 6), (24, 12))
+
+
+def search_bins(counts: dict[int, int], capacity: int, best: list[tuple[Pattern, int]], nodes: int = 12_000) -> list[tuple[Pattern, int]]:
+    """Bin completion: around the longest length left, each undominated filling is a
+    branch, best first, applied as often as the counts allow; a branch whose waste is
+    more than a better plan can have is cut.  ``best`` is the incumbent.  Several
+    searches share the nodes, each with another price for short items."""
     bins = lambda plan: sum(m for _, m in plan)
     least, total = lower_bound(counts, capacity), sum(x * c for x, c in counts.items())
-    # depth first, with the choices still open at each depth kept on a stack
-    stack: list[tuple[dict[int, int], list[tuple[Pattern, int]], int]] = [(counts, [], 0)]
-    while stack and nodes > 0 and bins(best) > least:
-        left, plan, waste = stack.pop()
-        nodes -= 1
-        if not left:
-            if bins(plan) < bins(best):
-                best = plan
-            continue
-        if waste > (bins(best) - 1) * capacity - total:
-            continue
-        top = max(left)
-        rest = left | {top: left[top] - 1}
-        for f in reversed(completions(capacity - top, rest)):
-            pattern = dict(f)
-            pattern[top] = pattern.get(top, 0) + 1
-            times = min(left[x] // c for x, c in pattern.items())
-            after = {x: c - pattern.get(x, 0) * times for x, c in left.items()}
-            used = capacity - sum(x * c for x, c in pattern.items())
-            stack.append((
-                {x: c for x, c in after.items() if c}, [*plan, (tuple(sorted(pattern.items(), reverse=True)), times)], waste + used * times
-            ))
-        del stack[:-400]
-    return exchange(best, capacity, least) if bins(best) > least else best
+    for i, (spare, price) in enumerate(SEARCHES):
+        budget = nodes // len(SEARCHES)
+        # depth first; of a plan only its last filling is held at a node, with the node before
+        stack: list[tuple[dict[int, int], tuple | None, int]] = [(counts, None, 0)]
+        while stack and budget > 0 and bins(best) > least:
+            left, path, waste = stack.pop()
+            budget -= 1
+            if waste > (bins(best) - 1) * capacity - total:
+                continue
+            if not left:
+                best = []
+                while path is not None:
+                    filling, path = path
+                    best.append(filling)
+                continue
+            top = max(left)
+            rest = left | {top: left[top] - 1}
+            for f in reversed(completions(capacity - top, rest, spare=spare, price=price)):
+                pattern = dict(f)
+                pattern[top] = pattern.get(top, 0) + 1
+                times = min(left[x] // c for x, c in pattern.items())
+                after = {x: n for x, c in left.items() if (n := c - pattern.get(x, 0) * times)}
+                used = capacity - sum(x * c for x, c in pattern.items())
+                stack.append((after, ((tuple(sorted(pattern.items(), reverse=True)), times), path), waste + used * times))
+            del stack[:-400]
+        if bins(best) <= least:
+            break
+    return best
+
+
+def plan_bins(counts: dict[int, int], capacity: int, exchanges: bool = True) -> list[tuple[Pattern, int]]:
+    """(filling, how many sequences), covering ``counts`` exactly: best fit, then
+    bin completion, then, as an extra, exchanges among the loosest sequences."""
+    counts = {int(x): int(c) for x, c in counts.items() if c}
+    least, best = lower_bound(counts, capacity), best_fit(counts, capacity)
+    best = search_bins(counts, capacity, best)
+    return exchange(best, capacity, least) if exchanges and sum(m for _, m in best) > least else best
 
 
 def _fullest(items: list[int], capacity: int) -> tuple[list[int], list[int]]:
@@ -320,9 +330,8 @@ def pack(
             used[x] += c * times
             offset += c * x
         sequence += times
-    # at most one filling is planned per length used up, each of a bounded number of lengths
-    if len(rows) > capacity * max(64, math.isqrt(capacity) * 4):
-        raise ValueError(f"a plan of {len(rows)} rows is too large to broadcast")
+    # broadcast: each filling uses up a length, so there are at most `capacity` of them (and 600 by exchange), each of at most
+    # the square root of twice the capacity in distinct lengths, however many pieces there are
     schema = "length long, _from long, _to long, _sequence long, _each long, _offset long"
     ways = F.broadcast(spark.createDataFrame(rows, schema))
 
