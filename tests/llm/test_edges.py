@@ -627,3 +627,26 @@ def test_op8_hot_pre_tokens_are_spread(salts, batches):
     gets far more than its share."""
     groups = collections.Counter(token_counts.salt_of(task, n, salts) for task in range(4 * salts) for n in range(1, batches + 1))
     assert len(groups) >= salts / 2 and max(groups.values()) <= 4 * batches * 4
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_op1_a_hot_key_is_spread(spark, hot):
+    """Nine tenths of the rows have one key (or none); no shard gets much more than its share."""
+    schema = "doc_id long, text string"
+    rows = [(hot, f"text {i} of the hot key " + "word " * (i % 7)) for i in range(900)] + [(i, f"other text {i}") for i in range(100)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        path = new_path(spark, "hot-key")
+        token_store.write_store(spark.createDataFrame(rows, schema).repartition(6), path)
+        sizes = [r["count"] for r in spark.read.parquet(f"{path}/store").groupBy("shard").count().collect()]
+        assert len(sizes) == 8 and max(sizes) <= 2 * 1000 / 8
+        got = token_store.read_store(spark, path, ids=False).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    at = 0
+    for r in got:  # ascending keys, nulls first, and nothing between
+        assert r.start == at
+        at += r.n_tokens
+    keys = [r.key for r in got]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0)) and len(keys) == 1000

@@ -255,11 +255,13 @@ def write_store(
                     rows, columns=["shard", "nth", "key", "rid", "start", "n_tokens", "lens", "digests", "refs", "shared", "payload", "root"]
                 )
 
-    # the parts of the prefix sums, by their first keys: no second sampling of the payloads
-    firsts = [r["k"] for r in starts.filter("key IS NOT NULL").groupBy("_part").agg(F.min("key").alias("k")).orderBy("k").collect()]  # a row per partition
-    cuts = sorted(set(firsts[1:]))
+    # the parts of the prefix sums, by their first rows (key and row id, so that one key's rows are spread as well): no second
+    # sampling of the payloads
+    place = F.struct("key", "rid")
+    firsts = [r["k"] for r in starts.groupBy("_part").agg(F.min(place).alias("k")).orderBy("_part").collect()]  # a row per partition
+    cuts = [F.struct(F.lit(k["key"]).cast(kt).alias("key"), F.lit(k["rid"]).cast("long").alias("rid")) for k in firsts[1:]]
     both = body.unionByName(meta).repartitionById(
-        len(cuts) + 1, place_among(F.col("key"), cuts).cast("int")
+        len(cuts) + 1, place_among(place, cuts).cast("int")
     ).sortWithinPartitions(F.col("key").asc_nulls_first(), "rid", "kind")
     both.mapInPandas(
         merge,
