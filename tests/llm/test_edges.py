@@ -614,10 +614,28 @@ def test_op10_windows_keep_their_budget(spark, budget, history, given):
         n = [own[w.conv_id, t.ord] for t in w.turns]
         fresh = [t.ord for t in w.turns if t.fresh and not (t.ord == 0 and w.conv_id % 3 == 0)]
         system = own[w.conv_id, 0] if w.conv_id % 3 == 0 else 0
-        step = max(16, (budget - history - system) // 2)
-        assert sum(n) <= budget or len(fresh) == 1 and own[w.conv_id, fresh[0]] > step or budget - history - system < 32
+        assert sum(n) <= budget or len(fresh) == 1 and len(n) <= 2 and own[w.conv_id, fresh[0]] > budget - system or budget - system < 32
         seen.update((w.conv_id, o) for o in fresh)
     assert max(seen.values()) == 1 and len(seen) == sum(not (r[1] == 0 and r[0] % 3 == 0) for r in rows)
+    # windows are those of a plain walk: as many new turns as fit beside what is repeated
+    got = collections.defaultdict(list)
+    for w in chat.format_windows(df, budget, history, "cost" if given else None).collect():
+        got[w.conv_id].append(([t.ord for t in w.turns if not t.fresh and (t.ord or w.conv_id % 3)], [t.ord for t in w.turns if t.fresh and (t.ord or w.conv_id % 3)]))
+    for c in range(30):
+        first = c % 3 == 0
+        room = max(32, budget - (own[c, 0] if first else 0))
+        turns = [(o, max(1, n)) for (k, o), n in sorted(own.items()) if k == c and (o or not first)]
+        want, at = [], 0
+        while at < len(turns):
+            old, allow = at, min(history, max(0, room - turns[at][1]))
+            while old and sum(n for _, n in turns[old - 1 : at]) <= allow:
+                old -= 1
+            end = at + 1
+            while end < len(turns) and sum(n for _, n in turns[old : end + 1]) <= room:
+                end += 1
+            want.append(([o for o, _ in turns[old:at]], [o for o, _ in turns[at:end]]))
+            at = end
+        assert sorted(got[c], key=lambda w: w[1]) == (want or [([], [])]), c
 
 
 @pytest.mark.parametrize("salts", [3, 12, 16, 64])
