@@ -137,6 +137,28 @@ def _rows(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"v": [np.asarray(v, "<f8").tobytes() for v in pdf["v"]]})
+
+
+def _sampled(entries: DataFrame, width: int, n: int, wanted: int) -> np.ndarray:
+    """Some ``wanted`` vectors, those whose ids' hashes lie below a bound: no order is
+    made.  They come as bytes, into a matrix made beforehand, so that the driver holds
+    them once."""
+    share = F.shiftrightunsigned(F.xxhash64(F.element_at("ids", 1)), 11).cast("double") / float(1 << 53)
+    picked = entries.filter(share < wanted / n) if wanted < n else entries
+    x = np.empty((min(n, wanted + 6 * int(wanted**0.5) + 10), width))
+    at = 0
+    for r in picked.select("v").mapInPandas(_packed, "v binary").toLocalIterator():
+        if at < len(x):
+            x[at] = np.frombuffer(r["v"], "<f8")
+            at += 1
+    if not at:  # a bound below which no hash lies
+        return np.array([entries.first()["v"]], np.float64)
+    return x[:at]
+
+
 def nearest(
     table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256,
     sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, block: int = 2048
@@ -166,8 +188,7 @@ def nearest(
     entries = stage(entries, "vectors")
     n_entries = entries.count()
     wanted = max(1, min(max(sample, n_entries // 8), (sample_mb << 20) // (8 * size["n"])))
-    picked = entries.select("v").orderBy(F.xxhash64(F.element_at("ids", 1)), F.element_at("ids", 1)).limit(wanted)
-    x = np.array([r["v"] for r in picked.toLocalIterator()], np.float64)
+    x = _sampled(entries, size["n"], n_entries, wanted)
     tree = grow(_unit(x), branch, max(4, leaf * len(x) // n_entries))
     del x
     shared = spark.sparkContext.broadcast(tree)
