@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric
 from tidemark.operators.vector import finite
+from tidemark.plans.order import column_quantiles, quantiles, with_position
 
 
 def rolling_adf(
@@ -58,7 +59,7 @@ def tertile(column: str) -> Column:
 
 def with_tertiles(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``<column>_group`` by thirds of the whole table."""
-    bounds = rows.agg(*[F.percentile(finite(c), F.array(F.lit(1 / 3), F.lit(2 / 3))).alias(f"_q_{c}") for c in columns])
+    bounds = column_quantiles(rows, columns, (1 / 3, 2 / 3))
     return rows.join(F.broadcast(bounds)).withColumns({f"{c}_group": tertile(c) for c in columns}).drop(*[f"_q_{c}" for c in columns])  # one row of bounds
 
 
@@ -68,12 +69,15 @@ def adf_by_state(adf: DataFrame, columns: Sequence[str]) -> DataFrame:
         "symbol", "adf_pvalue", "adf_reject",
         F.explode(F.array(*[F.struct(F.lit(c).alias("state_variable"), finite(c).alias("v")) for c in columns])).alias("z")
     ).select("symbol", "adf_pvalue", "adf_reject", "z.*").filter("v IS NOT NULL")
-    bounds = long.groupBy("state_variable").agg(F.percentile("v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q_v"))
-    rows = long.join(bounds, "state_variable").withColumn("state_group", tertile("v"))
-    q = lambda p: F.percentile("adf_pvalue", F.lit(p))
-    return rows.groupBy("state_variable", "state_group").agg(
-        F.count("*").alias("n_windows"), F.countDistinct("symbol").alias("n_symbols"), F.avg("adf_reject").alias("adf_reject_rate"), F.avg("adf_pvalue").alias("adf_pvalue_mean"), q(0.5).alias("adf_pvalue_median"), q(0.25).alias("adf_pvalue_q25"), q(0.75).alias("adf_pvalue_q75")
+    bounds = quantiles(long, ["state_variable"], "v", (1 / 3, 2 / 3), "_q_v")
+    rows = long.join(F.broadcast(bounds), "state_variable").withColumn("state_group", tertile("v"))  # a row per variable
+    by = ["state_variable", "state_group"]
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n_windows"), F.countDistinct("symbol").alias("n_symbols"), F.avg("adf_reject").alias("adf_reject_rate"), F.avg("adf_pvalue").alias("adf_pvalue_mean")
     )
+    spread = quantiles(rows, by, "adf_pvalue", (0.5, 0.25, 0.75))
+    names = ("adf_pvalue_median", "adf_pvalue_q25", "adf_pvalue_q75")
+    return sums.join(spread, by).select(*sums.columns, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 #: Composite states as (name, {variable: third}); later ones win.
@@ -182,16 +186,14 @@ def future_targets(rows: DataFrame, returns: Sequence[int] = (5, 10, 20), vols:
 
 def winsorise(rows: DataFrame, columns: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> DataFrame:
     """Columns clipped at quantiles of the whole table."""
-    q = rows.agg(*[F.percentile(finite(c), F.array(F.lit(lower), F.lit(upper))).alias(f"_q_{c}") for c in columns])
+    q = column_quantiles(rows, columns, (lower, upper))
     clip = {c: F.when(finite(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_q_{c}")[1]), F.col(f"_q_{c}")[0])) for c in columns}
     return rows.join(F.broadcast(q)).withColumns(clip).drop(*[f"_q_{c}" for c in columns])  # one row of bounds
 
 
-def even_subsample(rows: DataFrame, x: str, most: int, tie: Sequence[str] = ("symbol", "ts")) -> DataFrame:
-    """At most ``most`` rows, evenly spaced in the order of x."""
-    from tidemark.plans.order import with_position
-
-    placed = with_position(rows, [x, *tie], "_i", "_n")
+def even_subsample(rows: DataFrame, x: str, most: int, tie: Sequence[str] = ("symbol", "ts"), by: Sequence[str] = ()) -> DataFrame:
+    """At most ``most`` rows (of each value of ``by``), evenly spaced in the order of x."""
+    placed = with_position(rows, [x, *tie], "_i", "_n", by)
     step = (F.col("_n") - 1) / F.lit(float(max(most - 1, 1)))
     # row i is taken if some whole j has floor(j * step) = i
     j = F.ceil(F.col("_i") / step)
@@ -210,17 +212,16 @@ def lowess(
     """variable, target, x, y of a local regression for each pair; the points
     given to one fit are bounded by ``max_points`` (evenly spaced in x).  A variable
     with at most eight values collapses to the means of all its rows."""
-    out = None
-    for v in variables:
-        for t in targets:
-            pair = rows.filter(finite(v).isNotNull() & finite(t).isNotNull()).select(
-                "symbol", "ts", F.col(v).cast("double").alias("x"), F.col(t).cast("double").alias("y")
-            )
-            means = pair.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
-            few = F.broadcast(means.agg((F.count("*") <= 8).alias("few")))  # one row
-            part = even_subsample(pair, "x", max_points).select("x", "y", F.lit(1).cast("long").alias("n")).join(few, ~F.col("few")).unionByName(means.join(few, F.col("few")))
-            part = part.select(F.lit(v).alias("variable"), F.lit(t).alias("target"), "x", "y", "n")
-            out = part if out is None else out.unionByName(part)
+    pair = ["variable", "target"]
+    items = F.array(*[
+        F.struct(F.lit(v).alias("variable"), F.lit(t).alias("target"), finite(v).cast("double").alias("x"), finite(t).cast("double").alias("y")) for v in variables for t in targets
+    ])
+    # all pairs in one plan: their rows are numbered together, by (variable, target, x, tie)
+    long = rows.select("symbol", "ts", F.explode(items).alias("z")).select("symbol", "ts", "z.*").filter("x IS NOT NULL AND y IS NOT NULL")
+    means = long.groupBy(*pair, "x").agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+    few = F.broadcast(means.groupBy(*pair).agg((F.count("*") <= 8).alias("few")))  # a row per pair
+    spaced = even_subsample(long, "x", max_points, by=pair).select(*pair, "x", "y", F.lit(1).cast("long").alias("n"))
+    out = spaced.join(few, pair).filter("NOT few").unionByName(means.join(few, pair).filter("few")).drop("few")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)

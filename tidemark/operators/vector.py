@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans import order
+
 #: Names of the vector's columns in its files.
 VARIABLES = [
     "range_pct", "expansion", "structure_dir", "range_pos", "upper_break", "lower_break", "move_age", "extrema_freq", "speed_imbalance", "speed_level"
@@ -121,12 +123,12 @@ def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(rows: DataFrame, columns: Sequence[str], quantiles: Sequence[float] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     """variable, count, mean, std, min, quantiles (pXX), max."""
     names = [f"p{round(q * 100):02d}" for q in quantiles]
-    aggs = []
-    for c in columns:
-        v = finite(c)
-        q = F.percentile(v, F.array(*[F.lit(x) for x in quantiles]))
-        aggs.append(F.struct(
-            F.lit(c).alias("variable"), F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
-            *[q[i].alias(n) for i, n in enumerate(names)], F.max(v).alias("max")
-        ).alias(f"_{c}"))
-    return rows.agg(*aggs).select(F.explode(F.array(*[F.col(f"_{c}") for c in columns])).alias("z")).select("z.*")
+    items = F.array(*[F.struct(F.lit(c).alias("variable"), finite(c).cast("double").alias("v")) for c in columns])
+    long = rows.select(F.explode(items).alias("z")).select("z.*")
+    sums = long.groupBy("variable").agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    levels = order.quantiles(long, ["variable"], "v", quantiles)
+    return sums.join(F.broadcast(levels), "variable", "left").select(  # a row per column
+        "variable", "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(names)], "max"
+    )

@@ -1,4 +1,6 @@
-"""Global order without a single-task sort."""
+"""Global order and exact quantiles without a single-task sort: rows meet in ranges
+of their order, and only one row per range goes through an undivided window.
+Nothing here starts a job: bounds are one-row tables of the same plan."""
 
 from __future__ import annotations
 
@@ -7,13 +9,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sampled rows for each range, of which one is a bound.
+SAMPLES = 64
 
-def place_among(value: Column, cuts: list) -> Column:
-    """How many of the ascending ``cuts`` lie below a value (0 for null), by
-    binary search."""
-    if not cuts:
+
+def place_among(value: Column, cuts: list | Column) -> Column:
+    """How many of the ascending ``cuts`` (a list, or a column of arrays) lie below a
+    value (0 for null), by binary search."""
+    if isinstance(cuts, list) and not cuts:
         return F.lit(0)
-    bounds = F.array(*[F.lit(c) for c in cuts])
+    bounds = F.array(*[F.lit(c) for c in cuts]) if isinstance(cuts, list) else cuts
+    size = F.lit(len(cuts)) if isinstance(cuts, list) else F.size(cuts)
+    steps = F.lit(len(cuts).bit_length()) if isinstance(cuts, list) else F.ceil(F.log2(size + 1)).cast("int") + 1
     half = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
 
     def step(s: Column, _: Column) -> Column:
@@ -22,23 +29,85 @@ def place_among(value: Column, cuts: list) -> Column:
             below, F.struct((half(s) + 1).alias("lo"), s["hi"].alias("hi"))
         ).otherwise(F.struct(s["lo"].alias("lo"), half(s).alias("hi")))
 
-    whole = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(cuts).bit_length())), whole, step, lambda s: s["lo"])
-
-
-def with_position(rows: DataFrame, order: Sequence[str], position: str, total: str | None = None) -> DataFrame:
-    """Add the row's place (from 0) in ``order``, and the number of rows.  Rows
-    are range-partitioned by the leading column; only one row per partition goes
-    through an undivided window."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.select(F.percentile_approx(F.col(order[0]).cast("double"), [i / n for i in range(1, n)] or [0.5], 1000).alias("q")).first()["q"]
-    cuts = sorted(set(bounds or []))
-    placed = rows.withColumn("_part", place_among(F.col(order[0]).cast("double"), cuts))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = sizes.select(
-        "_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"),
-        F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("_t")
-    )
-    out = placed.withColumn("_l", local).join(before, "_part").withColumn(position, F.col("_b") + F.col("_l") - 1)
+    whole = F.struct(F.lit(0).alias("lo"), size.alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), steps), whole, step, lambda s: s["lo"])
+
+
+def _ranges(rows: DataFrame) -> int:
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_position(rows: DataFrame, order: Sequence[str], position: str, total: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Add the row's place (from 0) in ``order``, and the number of rows, each within
+    ``by`` (few values or many).  Ranges are those of (by, order) as a whole, so a value
+    of many rows is spread as far as the other columns of the order tell them apart."""
+    key, n = F.struct(*by, *order), _ranges(rows)
+    some = rows.select(key.alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(SAMPLES * n)
+    sorted_ = some.agg(F.sort_array(F.collect_list("_key")).alias("_all"))
+    bounds = sorted_.select(F.filter("_all", lambda x, i: i % SAMPLES == SAMPLES - 1).alias("_cuts"))  # one row of one bound for each range
+    placed = rows.crossJoin(F.broadcast(bounds)).withColumn("_part", place_among(key, F.col("_cuts"))).drop("_cuts")
+    local = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    sizes = placed.groupBy("_part", *by).agg(F.count("*").alias("_c"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum("_c").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_part", *by, before.alias("_b"), F.sum("_c").over(whole).alias("_t"))
+    same = F.lit(True)
+    for c in ("_part", *by):
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"s.{c}"))
+    out = placed.withColumn("_l", local).alias("p").join(sizes.alias("s"), same).select("p.*", "_b", "_t")
+    out = out.withColumn(position, F.col("_b") + F.col("_l") - 1)
     return (out.withColumn(total, F.col("_t")) if total else out).drop("_part", "_l", "_b", "_t")
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float], out: str = "q") -> DataFrame:
+    """``by`` and an array of exact quantiles, interpolated linearly, of the values
+    that are numbers.  Equal values are counted before they meet; distinct values meet
+    in ranges, so that no buffer holds a group's values.  Groups without a value are
+    left out."""
+    n = _ranges(rows)
+    v = F.col(value).cast("double")
+    known = rows.filter(v.isNotNull() & ~F.isnan(v)).select(*by, (v + F.lit(0.0)).alias("_v"))
+    counts = known.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", [i / n for i in range(1, n)] or [0.5], 1000)).alias("_cuts"))
+    if by:
+        placed = _meet(counts, F.broadcast(cuts) if len(by) == 1 else cuts, by)
+    else:
+        placed = counts.crossJoin(F.broadcast(cuts))  # one row of bounds
+    placed = placed.withColumn("_part", place_among(F.col("_v"), F.col("_cuts"))).drop("_cuts")
+    placed = placed.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*by, "_part").orderBy("_v")))
+    sizes = placed.groupBy(*by, "_part").agg(F.max("_upto").alias("_n"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, "_part", before.alias("_b"), F.sum("_n").over(whole).alias("_t"))
+    ranked = _meet(placed, sizes, [*by, "_part"])
+    last = F.col("_b") + F.col("_upto") - 1  # places of a value: from first to last
+    first = last - F.col("_c") + 1
+    picks = []
+    for i, p in enumerate(probabilities):
+        at = (F.col("_t") - 1) * F.lit(float(p))
+        for name, place in ((f"_lo{i}", F.floor(at)), (f"_hi{i}", F.ceil(at))):
+            picks.append(F.max(F.when((first <= place) & (place <= last), F.col("_v"))).alias(name))
+    found = ranked.groupBy(*by).agg(F.first("_t").alias("_t"), *picks)
+    levels = []
+    for i, p in enumerate(probabilities):
+        at, lo, hi = (F.col("_t") - 1) * F.lit(float(p)), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        levels.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi))
+    return found.select(*by, F.array(*levels).alias(out))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal."""
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *[F.col(f"r.{c}") for c in right.columns if c not in on])
+
+
+def column_quantiles(rows: DataFrame, columns: Sequence[str], probabilities: Sequence[float], prefix: str = "_q_") -> DataFrame:
+    """One row: for each column ``<prefix><column>``, the array of its quantiles (null
+    where no value is finite), all columns in one pass."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    items = F.array(*[F.struct(F.lit(i).alias("_i"), finite(c).cast("double").alias("_x")) for i, c in enumerate(columns)])
+    long = rows.select(F.explode(items).alias("_z")).select("_z.*")
+    found = quantiles(long, ["_i"], "_x", probabilities)
+    return found.agg(*[F.max(F.when(F.col("_i") == i, F.col("q"))).alias(f"{prefix}{c}") for i, c in enumerate(columns)])
