@@ -68,7 +68,7 @@ class Encoder:
         # special strings, and what Python alone takes for white space
         self.apart = [*(t["content"] for t in spec["added_tokens"]), "\x1c", "\x1d", "\x1e", "\x1f"]
         self.model, self.letters = self.library.model, byte_letters()
-        self.known = Memo(self._stretch, 350_000)  # and as many of the generation before: a worker's memory, of whom an executor may have several
+        self.known = Memo(self._stretch, 500_000)  # and as many of the generation before: a worker's memory, of whom an executor may have several
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.pack = struct.Struct(f"<{self.code}").pack
