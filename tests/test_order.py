@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import research, vector
+from tidemark.operators import dmd, research, vector
 from tidemark.plans import order
 
 
@@ -79,3 +79,36 @@ def test_operators_on_quantiles(table, frame):
     assert np.allclose(sorted(r.y for r in research.winsorise(table, ["y"]).collect()), np.sort(np.clip(frame["y"], low, high)))
     got = research.with_tertiles(table, ["y"]).groupBy("y_group").count().collect()
     assert sorted(r["count"] for r in got) == [1000, 1000, 1000]
+
+
+@pytest.mark.parametrize("spread", [True, False])
+def test_blocks_give_what_whole_series_give(spark, spread):
+    rng = np.random.default_rng(8)
+    n = 700
+    pdf = pd.DataFrame({"symbol": ["a"] * n + ["b"] * 40, "ts": pd.date_range("2000-01-01", periods=n).tolist() + pd.date_range("2000-01-01", periods=40).tolist()})
+    pdf["close"] = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, len(pdf))))
+    pdf.loc[rng.random(len(pdf)) < 0.03, "close"] = np.nan
+    pdf["v"], pdf["date"], pdf["bar_index"], pdf["event_id"], pdf["observable"] = rng.normal(0, 1, len(pdf)), pdf["ts"], range(len(pdf)), range(len(pdf)), np.cumsum(rng.normal(0, 1, len(pdf)))
+    df = spark.createDataFrame(pdf).repartition(5)
+    show = lambda d, *c: sorted(tuple(round(x, 9) if isinstance(x, float) else str(x) for x in r) for r in d.select(*c).collect())
+    adf = lambda b: show(research.rolling_adf(df, ["v"], block=b, spread=spread), "symbol", "ts", "adf_stat", "usedlag", "nobs", "v")
+    assert adf(64) == adf(10**9) and len(adf(64)) > 400
+    f = lambda b: show(dmd.rolling_forecasts(df, 5, 20, 3, block=b, spread=spread), "symbol", "start", "true", "pred")
+    assert f(32) == f(10**9) and len(f(32)) == 700 - 26 + 40 - 26
+    blocks = order.halo_blocks(df, 59, size=64, spread=spread).groupBy("symbol", "_block").count()
+    assert blocks.filter("symbol = 'a'").count() == 11 and blocks.agg(F.max("count")).first()[0] <= 64 + 59
+    # scores: plain quantiles of the rows before
+    got = vector.rolling_scores(df, ["v"], window=50, min_periods=10, binary=[], spread=spread).toPandas().sort_values(["symbol", "ts"])
+    for _, g in got.groupby("symbol"):
+        low, high = (g["v"].shift(1).rolling(50, min_periods=10).quantile(q) for q in (0.05, 0.95))
+        want = (2 * (g["v"] - low) / (high - low) - 1).clip(-1, 1)
+        assert np.allclose(g["v_score"].astype(float), want, equal_nan=True)
+
+
+@pytest.mark.parametrize(("m", "n", "rank"), [(5, 20, 3), (3, 3, 3), (4, 30, 1), (8, 4, 2)])
+def test_forecasts_of_all_windows(m, n, rank):
+    x = np.cumsum(np.random.default_rng(m).normal(0, 1, 200)) + np.sin(np.arange(200))
+    want = [dmd.forecast(x[s : s + m + n + 1], m, n, rank) for s in range(200 - m - n)]
+    assert np.allclose(dmd.forecasts(x, m, n, rank, at_once=1000), want, rtol=1e-8, atol=1e-8)
+    with pytest.raises(ValueError):
+        dmd.forecasts(np.ones(60), 5, 20, 3)

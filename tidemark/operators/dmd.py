@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.asof import asof_backward
+from tidemark.plans.order import halo_blocks
 
 #: Names under which other tables carry the same columns.
 ALIASES = {
@@ -164,6 +165,38 @@ def forecast(x, m: int, n: int, rank: int) -> float:
     return float(np.real(d["basis"] @ d["step"] @ d["basis"].T @ d["last"])[-1])
 
 
+def forecasts(x: np.ndarray, m: int, n: int, rank: int, at_once: int = 1 << 22) -> np.ndarray:
+    """``forecast`` for every window of m + n + 1 points.  With the delay matrices' products
+    X X' and Y X', small matrices that change by a rank-one step from window to window,
+    the singular basis and the operator of all windows come from one batch of symmetric
+    eigenproblems.  A window whose singular values are too far apart for that (squared,
+    they would lose half of their digits) is decomposed by itself."""
+    x, size = np.asarray(x, float), m + n + 1
+    count = len(x) - size + 1
+    if count <= 0:
+        return np.zeros(0)
+    out = np.full(count, np.nan)
+    doubtful = np.ones(count, bool)
+    if rank <= m <= n + 1 and np.isfinite(x).all():
+        step = max(1, at_once // (2 * m * (n + 1)))
+        rows = np.lib.stride_tricks.sliding_window_view(np.lib.stride_tricks.sliding_window_view(x, n + 1), m + 1, axis=0)  # window, column, row
+        for a in range(0, count, step):
+            w = rows[a : a + step]
+            big, ahead = w[:, :, :m].transpose(0, 2, 1), w[:, :, 1:].transpose(0, 2, 1)
+            values, basis = np.linalg.eigh(big @ big.transpose(0, 2, 1))
+            values, basis = values[:, ::-1][:, :rank], basis[:, :, ::-1][:, :, :rank]
+            sure = values[:, -1] > 1e-7 * values[:, 0]
+            turned = basis.transpose(0, 2, 1)
+            with np.errstate(all="ignore"):
+                inner = turned @ (ahead @ big.transpose(0, 2, 1)) @ basis / values[:, None, :]
+                next_ = basis[:, -1:, :] @ inner @ turned @ ahead[:, :, -1:]
+            out[a : a + step][sure] = next_[sure, 0, 0]
+            doubtful[a : a + step] = ~sure
+    for s in np.flatnonzero(doubtful):
+        out[s] = forecast(x[s : s + size], m, n, rank)
+    return out
+
+
 def _tail(obs: DataFrame, size: int) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("date"), F.desc("bar_index"), F.desc("event_id"))
     rows = obs.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= size)
@@ -204,17 +237,24 @@ def singular_table(spec: DataFrame) -> DataFrame:
     ).withColumn("energy", energy).withColumn("cumulative", F.sum("energy").over(upto))
 
 
-def rolling_forecasts(obs: DataFrame, m: int, n: int, rank: int) -> DataFrame:
-    """symbol, start, true, pred of the point after every window of m + n + 1."""
+def rolling_forecasts(obs: DataFrame, m: int, n: int, rank: int, block: int = 512, spread: bool = True) -> DataFrame:
+    """symbol, start, true, pred of the point after every window of m + n + 1, in
+    blocks of ``block`` points (more, where windows are longer)."""
     size = m + n + 1
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["date", "bar_index", "event_id"])
-        x = pdf["observable"].to_numpy(float)
-        rows = [(pdf["symbol"].iloc[0], s, float(x[s + size]), forecast(x[s : s + size], m, n, rank)) for s in range(len(x) - size)]
-        return pd.DataFrame(rows, columns=["symbol", "start", "true", "pred"])
-
-    return obs.groupBy("symbol").applyInPandas(run, "symbol string, start int, true double, pred double")
+        pdf = pdf.sort_values("_i")
+        x, own, first = pdf["observable"].to_numpy(float), pdf["_own"].to_numpy(bool), int(pdf["_i"].iloc[0])
+        at = np.flatnonzero(own[size:])
+        if not len(at):
+            return pdf.iloc[:0][["symbol"]].assign(start=0, true=0.0, pred=0.0)
+        skip = at[0]  # own rows follow one another
+        pred = forecasts(x[skip:-1], m, n, rank)
+        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]] * len(at), "start": first + at, "true": x[size + at], "pred": pred})
+
+    points = obs.select("symbol", "date", "bar_index", "event_id", "observable")
+    blocks = halo_blocks(points, size, ("date", "bar_index", "event_id"), size=block, spread=spread)
+    return blocks.groupBy("symbol", "_block").applyInPandas(run, "symbol string, start int, true double, pred double")
 
 
 def forecast_errors(rows: DataFrame) -> DataFrame:

@@ -13,26 +13,28 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric
 from tidemark.operators.vector import finite
-from tidemark.plans.order import column_quantiles, quantiles, with_position
+from tidemark.plans.order import column_quantiles, halo_blocks, quantiles, with_position
 
 
 def rolling_adf(
     rows: DataFrame, columns: Sequence[str] = (), window: int = 60, min_obs: int = 50, maxlag: int = 1, regression: str = "c", alpha: float = 0.05,
-    close_is_log: bool = False
+    close_is_log: bool = False, block: int = 4096, spread: bool = True
 ) -> DataFrame:
     """A unit root test of each ``window`` of log closes: symbol, ts, adf_stat,
     adf_pvalue, adf_reject, usedlag, nobs and the state columns of its last row.
-    Windows with too few finite or no varying values are left out."""
+    Windows with too few finite or no varying values are left out.  A series is
+    tested in blocks of ``block`` rows."""
     schema = "symbol string, ts timestamp, adf_stat double, adf_pvalue double, adf_reject double, usedlag int, nobs int" + "".join(f", `{c}` double" for c in columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("_i").reset_index(drop=True)
         y = pdf["close"].to_numpy(float)
         with np.errstate(all="ignore"):
             y = np.where(np.isfinite(y), y, np.nan) if close_is_log else np.log(np.where(y > 0, y, np.nan))
         names = ["symbol", "ts", "adf_stat", "adf_pvalue", "adf_reject", "usedlag", "nobs", *columns]
         if len(y) < window:
-            return pd.DataFrame({n: [] for n in names}).astype({"ts": "datetime64[ns]"})
+            none = pdf.iloc[:0][["symbol", "ts", *columns]]
+            return none.assign(adf_stat=0.0, adf_pvalue=0.0, adf_reject=0.0, usedlag=0, nobs=0)[names]
         views = np.lib.stride_tricks.sliding_window_view(y, window)
         known = np.isfinite(views).sum(1)
         stats, used = np.full(len(views), np.nan), np.zeros(len(views), np.int64)
@@ -43,12 +45,13 @@ def rolling_adf(
             part = views[i][np.isfinite(views[i])]
             if part.std() > 1e-12:
                 stats[i], used[i] = numeric.unit_root_t(part, maxlag, regression)
-        at = np.flatnonzero(np.isfinite(stats))
+        at = np.flatnonzero(np.isfinite(stats) & pdf["_own"].to_numpy(bool)[window - 1 :])
         p = [numeric.mackinnon_p(s, regression) for s in stats[at]]
         out = pdf.iloc[at + window - 1][["symbol", "ts", *columns]].reset_index(drop=True)
         return out.assign(adf_stat=stats[at], adf_pvalue=p, adf_reject=(np.array(p) < alpha).astype(float), usedlag=maxlag, nobs=used[at])[names]
 
-    return rows.select("symbol", "ts", "close", *[F.col(c).cast("double").alias(c) for c in columns]).groupBy("symbol").applyInPandas(run, schema)
+    rows = rows.select("symbol", "ts", "close", *[F.col(c).cast("double").alias(c) for c in columns])
+    return halo_blocks(rows, window - 1, size=block, spread=spread).groupBy("symbol", "_block").applyInPandas(run, schema)
 
 
 def tertile(column: str) -> Column:

@@ -57,23 +57,24 @@ def prior_bounds(values: np.ndarray, window: int, least: int, levels: tuple[floa
 
 def rolling_scores(
     rows: DataFrame, columns: Sequence[str] = tuple(VARIABLES), window: int = 1000, min_periods: int = 100, lower: float = 0.05, upper: float = 0.95,
-    binary: Sequence[str] = tuple(BINARY)
+    binary: Sequence[str] = tuple(BINARY), spread: bool = True
 ) -> DataFrame:
     """``<column>_score`` in -1..1: where a value lies between quantiles of the
     ``window`` rows before it, of which ``min_periods`` must be known.  One pass
-    per symbol over a sorted window; a window function would sort every frame
-    anew.  Where the quantiles meet, or a value is not finite, there is none."""
+    over a sorted window, in blocks of a symbol's rows; a window function would sort
+    every frame anew.  Where the quantiles meet, or a value is not finite, there is none."""
     moving = [c for c in columns if c not in binary]
     out = rows
     if moving:
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"`_bounds_{c}` array<double>" for c in moving)])
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ts", kind="stable")
+            pdf = pdf.sort_values("_i")
+            own = pdf["_own"].to_numpy(bool)
             found = {f"_bounds_{c}": list(prior_bounds(pdf[c].to_numpy(float, na_value=np.nan), window, min_periods, (lower, upper))) for c in moving}
-            return pdf.assign(**found)
+            return pdf.drop(columns=["_i", "_block", "_own"]).assign(**found)[own]
 
-        out = rows.groupBy("symbol").applyInPandas(run, schema)
+        out = order.halo_blocks(rows, window, size=max(4096, 4 * window), spread=spread).groupBy("symbol", "_block").applyInPandas(run, schema)
         for c in moving:
             lo, hi = F.col(f"_bounds_{c}")[0], F.col(f"_bounds_{c}")[1]
             score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (F.col(c) - lo) / (hi - lo) - 1))

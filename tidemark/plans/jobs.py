@@ -65,7 +65,7 @@ def state_job(
             shape = shape.filter(F.col("ts") <= F.to_timestamp(F.lit(end)))
         shape.write.mode("overwrite").parquet(f"{out}/shape_state")
         shape = spark.read.parquet(f"{out}/shape_state")
-    scored = vector.rolling_scores(vector.state_vector(shape), window=window, min_periods=min_periods, lower=score[0], upper=score[1])
+    scored = vector.rolling_scores(vector.state_vector(shape), window=window, min_periods=min_periods, lower=score[0], upper=score[1], spread=False)
     scored.write.mode("overwrite").parquet(f"{out}/state_vector")
     scored = spark.read.parquet(f"{out}/state_vector")
     valid = scored.filter("valid_state")

@@ -111,3 +111,24 @@ def column_quantiles(rows: DataFrame, columns: Sequence[str], probabilities: Seq
     long = rows.select(F.explode(items).alias("_z")).select("_z.*")
     found = quantiles(long, ["_i"], "_x", probabilities)
     return found.agg(*[F.max(F.when(F.col("_i") == i, F.col("q"))).alias(f"{prefix}{c}") for i, c in enumerate(columns)])
+
+
+def halo_blocks(rows: DataFrame, look_back: int, order: Sequence[str] = ("ts",), by: str = "symbol", size: int | None = None, spread: bool = True) -> DataFrame:
+    """Rows with ``_i`` (their place in their series), ``_block`` and ``_own``: a series in
+    blocks of ``size`` rows, before which the ``look_back`` rows before it are repeated
+    (``_own`` false).  What depends on a row and ``look_back`` rows before it can be
+    computed block by block, and one series is the work of many tasks.
+
+    ``spread``: number rows by ranges, so that no task sorts a series.  This reads the
+    rows twice; where they come from a kernel that is one task per series anyway, a
+    window numbers them in one reading."""
+    size = max(size or 4 * look_back, look_back, 1)
+    if spread:
+        placed = with_position(rows, order, "_i", "_n", [by])
+    else:
+        own = Window.partitionBy(by)
+        placed = rows.withColumns({"_i": F.row_number().over(own.orderBy(*order)) - 1, "_n": F.count("*").over(own)})
+    own = F.floor(F.col("_i") / size)
+    last = F.floor(F.least(F.col("_i") + look_back, F.col("_n") - 1) / size)  # the last block that looks back at this row
+    blocks = F.transform(F.sequence(own, last), lambda b: F.struct(b.alias("_block"), (b == own).alias("_own")))
+    return placed.withColumn("_z", F.explode(blocks)).select("*", "_z._block", "_z._own").drop("_z", "_n")

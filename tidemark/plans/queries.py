@@ -260,7 +260,7 @@ def _shape(spark, d, **o) -> DataFrame:
 _rows_only("market_state", _state)
 _rows_only("core_state_vector", lambda s, d: T.core_vector(_state(s, d)))
 _rows_only("shape_state", lambda s, d: _shape(s, d, n_lags=2, decay=0.5))
-_rows_only("state_vector_scores", lambda s, d: V.rolling_scores(V.state_vector(_shape(s, d))))
+_rows_only("state_vector_scores", lambda s, d: V.rolling_scores(V.state_vector(_shape(s, d)), spread=False))
 _rows_only(
     "state_vector_correlations", lambda s,
     d: V.correlations(V.standardise(V.state_vector(_shape(s, d)).filter("valid_state"), V.VARIABLES), V.VARIABLES)
@@ -487,4 +487,4 @@ _rows_only("swing_events", lambda s, d: K.extreme_events(_state(s, d)))
 _rows_only("swing_observable", _observable)
 _rows_only("delay_spectrum", lambda s, d: K.eigen_table(K.spectrum(_observable(s, d), 5, 20, 3)))
 _rows_only("delay_singular_values", lambda s, d: K.singular_table(K.spectrum(_observable(s, d), 5, 20, 3)))
-_rows_only("delay_forecast_errors", lambda s, d: K.forecast_errors(K.rolling_forecasts(_observable(s, d), 5, 20, 3)))
+_rows_only("delay_forecast_errors", lambda s, d: K.forecast_errors(K.rolling_forecasts(_observable(s, d), 5, 20, 3, spread=False)))
