@@ -285,6 +285,80 @@ def sample_positions(method: str, x: np.ndarray, threshold: np.ndarray, b2b: int
     return out
 
 
+class Paths:
+    """Events of one series for any number of thresholds.  Between two events a
+    statistic starts from nothing and follows numbers that no threshold changes, so
+    those are made once, and the next event is found in blocks of the path from the last
+    one: sums held above nought are sums less their running least.  For samplers of that
+    kind (``KINDS``); equal to ``sample_positions`` but for the rounding of sums."""
+
+    #: method: whether both sides are held above nought
+    KINDS = {"swt": None, "cum": True, "page_hinkley": True, "cusum_ls": True, "sprt": False, "gma": False}
+
+    def __init__(self, method: str, x: np.ndarray, **options):
+        own = SAMPLERS[method](**options)
+        self.held, self.decay, self.drift, self.most = self.KINDS[method], 1.0, getattr(own, "drift", 0.0), 4096
+        x = np.asarray(x, float)
+        if isinstance(own, _Trailing):
+            self.start, n = own.warmup, own.warmup
+            values = x.tolist()
+            self.z = np.array([0.0] * min(n, len(x)) + [values[i] - math.fsum(values[i - n : i]) / n for i in range(n, len(x))])
+        else:
+            self.start, self.z = 0, x
+        self.counted = self.start
+        if method == "page_hinkley":
+            mean, z = 0.0, []
+            for i, v in enumerate(x.tolist()):
+                mean += (v - mean) / (i + 1)
+                z.append(v - mean)
+            self.z, self.decay, self.drift, self.counted = np.array(z), own.alpha, own.delta_ph, own.minimum_instances - 1
+        if method == "gma":
+            self.z, self.decay = (1.0 - own.lam) * self.z, own.lam
+        if not 0 < self.decay <= 1:
+            raise ValueError("a decay is above 0 and at most 1")
+        if self.decay < 1:  # so far the powers of the decay may be taken apart
+            self.most = max(16, min(self.most, int(27 / -math.log(self.decay))))
+        self.scale = self.decay ** np.arange(1, self.most + 1)
+
+    def block(self, at: int, size: int, up: float, down: float) -> tuple[np.ndarray, float, float]:
+        """Statistics of ``size`` points from ``at`` on, and the state after them."""
+        z = self.z[at : at + size]
+        if self.held is None:
+            return np.abs(z), 0.0, 0.0
+        scale = self.scale[: len(z)]
+        rise = (up + np.cumsum((z - self.drift) / scale)) * scale
+        if not self.held:
+            return np.abs(rise), float(rise[-1]), 0.0
+        fall = (down + np.cumsum((-z - self.drift) / scale)) * scale
+        rise -= np.minimum(0.0, np.minimum.accumulate(rise / scale)) * scale
+        fall -= np.minimum(0.0, np.minimum.accumulate(fall / scale)) * scale
+        return np.maximum(rise, fall), float(rise[-1]), float(fall[-1])
+
+    def positions(self, threshold: np.ndarray, b2b: int = 1) -> list[int]:
+        out: list[int] = []
+        at, size, up, down, run = self.start, 64, 0.0, 0.0, 0
+        while at < len(self.z):
+            stat, after_up, after_down = self.block(at, min(size, self.most), up, down)
+            n = len(stat)
+            over = stat > threshold[at : at + n]
+            over[: max(0, self.counted - at)] = False
+            places = np.arange(n)
+            length = places - np.maximum.accumulate(np.where(over, -1 - run, places))  # of the unbroken run up to each point
+            hits = np.flatnonzero(over & (length >= b2b))
+            if not len(hits):
+                at, size, up, down, run = at + n, 2 * size, after_up, after_down, int(length[-1]) if over[-1] else 0
+                continue
+            hit = int(hits[0])
+            if self.held is None:  # nothing is reset: later events of the block are b2b apart in their runs
+                found = hits[length[hits] % b2b == 0]
+                out += (at + found).tolist()
+                at, run = at + n, int(length[-1]) if over[-1] else 0
+                continue
+            out.append(at + hit)
+            at, size, up, down, run = at + hit + 1, max(32, 2 * hit), 0.0, 0.0, 0
+        return out
+
+
 def aligned_threshold(dif: DataFrame, threshold: Column | float) -> DataFrame:
     """symbol, ts, x and thr: finite increments, with gaps of the threshold filled
     forward, then backward; what is left without one never fires."""
@@ -407,10 +481,11 @@ def tuning_history(dif: DataFrame, methods: Sequence[str], target: int, b2b: int
         pdf = pdf.sort_values("ts", kind="stable")
         x, vol, method = pdf["x"].to_numpy(float), pdf["vol"].to_numpy(float), pdf["method"].iloc[0]
         known: dict[float, int] = {}
+        paths = Paths(method, x) if method in Paths.KINDS else None
 
         def count(scale: float) -> int:
             if scale not in known:
-                known[scale] = len(sample_positions(method, x, vol * scale, b2b))
+                known[scale] = len(paths.positions(vol * scale, b2b) if paths else sample_positions(method, x, vol * scale, b2b))
             return known[scale]
 
         rows = [(pdf["symbol"].iloc[0], method, i, *t) for i, t in enumerate(search_scale(count, target, max_iter))]
