@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detect as D
 from tidemark.operators import dmd as K
 from tidemark.operators import evaluate as E
+from tidemark.operators import longrun as L
 from tidemark.operators import research as R
 from tidemark.operators import sampling as S
 from tidemark.operators import structure as T
@@ -113,6 +114,12 @@ def cusum_events_native(spark, d):
     return D.cusum_fold(B.log_close(_bars(spark, d)), 100.0).select("symbol", "ts", "idx", "direction", r("score").alias("score"))
 
 
+@query(CUSUM)
+def cusum_events_blocks(spark, d):
+    """One series over many tasks, in blocks of 500 bars."""
+    return L.detect_long(B.log_close(_bars(spark, d)), q=100.0, size=500).select("symbol", "ts", "idx", "direction", r("score").alias("score"))
+
+
 @query(_running(
     "greatest(0, a + z - 0.003)", "least(0, b + z + 0.003)", "greatest(na, -nb) > 5.0 * sigma", "greatest(na, -nb)",
     "CASE WHEN na >= -nb THEN 1 ELSE -1 END", 30
@@ -178,22 +185,38 @@ def swt_events_native(spark, d):
     return S.sliding_window_events(_dif(spark, d), 30.0, b2b=2).select("symbol", "ts")
 
 
-@query(f"""WITH RECURSIVE {TICKS}, f AS (SELECT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS run, false AS fired FROM (SELECT DISTINCT symbol FROM d)
+CUM = f"""WITH RECURSIVE {TICKS}, f AS (SELECT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS run, false AS fired FROM (SELECT DISTINCT symbol FROM d)
   UNION ALL SELECT symbol, i, CASE WHEN fire THEN 0 ELSE a END, CASE WHEN fire THEN 0 ELSE b END, CASE WHEN fire THEN 0 WHEN hit THEN run + 1 ELSE 0 END, fire
   FROM (SELECT *, hit AND run + 1 >= 2 AS fire FROM (SELECT *, greatest(a, b) > 60 AS hit FROM (SELECT f.symbol, d.i, f.run, greatest(0, f.up + d.x) AS a, greatest(0, f.dn - d.x) AS b FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i + 1))))
-  SELECT f.symbol, d.ts FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i WHERE fired""")
+  SELECT f.symbol, d.ts FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i WHERE fired"""
+
+
+@query(CUM)
 def cum_events(spark, d):
     return S.sample_events(_dif(spark, d), "cum", 60.0, b2b=2).select("symbol", "ts")
 
 
-@query(f"""WITH RECURSIVE {TICKS}, e AS (SELECT *, avg(x) OVER (PARTITION BY symbol ORDER BY i) AS mean FROM d), f AS (SELECT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS fired FROM (SELECT DISTINCT symbol FROM d)
+@query(CUM)
+def cum_events_blocks(spark, d):
+    return L.sample_long(_dif(spark, d), "cum", 60.0, b2b=2, size=500).select("symbol", "ts")
+
+
+HINKLEY = f"""WITH RECURSIVE {TICKS}, e AS (SELECT *, avg(x) OVER (PARTITION BY symbol ORDER BY i) AS mean FROM d), f AS (SELECT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS fired FROM (SELECT DISTINCT symbol FROM d)
   UNION ALL SELECT symbol, i, CASE WHEN fire THEN 0 ELSE a END, CASE WHEN fire THEN 0 ELSE b END, fire
   FROM (SELECT *, greatest(a, b) > 200 AND i >= 10 AS fire FROM (SELECT f.symbol, e.i, greatest(0, 0.9999 * f.up + (e.x - e.mean)) AS a, greatest(0, 0.9999 * f.dn + (e.mean - e.x)) AS b FROM f JOIN e ON e.symbol = f.symbol AND e.i = f.i + 1)))
-  SELECT f.symbol, d.ts FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i WHERE fired""")
+  SELECT f.symbol, d.ts FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i WHERE fired"""
+
+
+@query(HINKLEY)
 def page_hinkley_events(spark, d):
     return S.sample_events(_dif(spark, d), "page_hinkley", 200.0).select("symbol", "ts")
 
 
+@query(HINKLEY)
+def page_hinkley_events_blocks(spark, d):
+    return L.sample_long(_dif(spark, d), "page_hinkley", 200.0, size=500).select("symbol", "ts")
+
+
 def _trailing(warm: int, a: str, b: str, stat: str, limit: float) -> str:
     return f"""WITH RECURSIVE {TICKS}, e AS (SELECT *, x - avg(x) OVER (PARTITION BY symbol ORDER BY i ROWS BETWEEN {warm} PRECEDING AND 1 PRECEDING) AS z FROM d), f AS (SELECT symbol, {warm}::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS fired FROM (SELECT DISTINCT symbol FROM d)
   UNION ALL SELECT symbol, i, CASE WHEN fire THEN 0 ELSE a END, CASE WHEN fire THEN 0 ELSE b END, fire
