@@ -2,9 +2,10 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, structure, vector
+from tidemark.operators import evaluate, sampling, structure, vector
 from tidemark.plans import jobs
 
 T0 = dt.datetime(2018, 1, 1)
@@ -45,9 +46,40 @@ def test_plot_frames_and_level_matching(spark):
     state = structure.market_state(bars, q=50.0)
     e = evaluate.extremes_frame(state)
     assert e.count() == e.select("kind", "idx").distinct().count() > 3 and evaluate.state_bands(state).count() > 1
-    levels = e.select("symbol", F.col("confirmed_at").alias("ts"), F.col("kind").alias("side"), "price")
-    got = evaluate.match_levels(levels, bars).join(e.select(F.col("confirmed_at").alias("ts"), F.col("ts").alias("want"), F.col("kind").alias("side")), ["ts", "side"]).collect()
-    assert got and all(r.bar_ts == r.want for r in got)
+    spans = bars.groupBy("symbol").agg((F.min("ts") + F.expr("INTERVAL 60 DAYS")).alias("start"), F.max("ts").alias("end"))
+    steps = evaluate.step_levels(e, spans).orderBy("kind", "ts").toPandas()
+    for kind, g in steps.groupby("kind"):
+        known = [(r.ts, r.price) for r in e.filter(F.col("kind") == kind).orderBy("ts").collect()]
+        start, end = T0 + dt.timedelta(days=60), T0 + dt.timedelta(days=199)
+        want = [(max(t, start), p) for i, (t, p) in enumerate(known) if t >= start or i + 1 == len(known) or known[i + 1][0] >= start]
+        want += [(end, want[-1][1])] if want[-1][0] < end else []
+        assert list(zip(g["ts"], g["price"], strict=True)) == want
+    assert evaluate.step_levels(e.filter("false"), spans).count() == 0
+
+
+def test_samplers_on_numbers_as_they_come(spark):
+    g = np.random.default_rng(5)
+    x = np.where(g.random(400) < 0.05, np.nan, g.normal(0, 1, 400))
+    limit = np.where(g.random(400) < 0.1, np.nan, g.choice([1.5, 2.5, -1.0], 400, p=[0.6, 0.38, 0.02]))
+    up = down = run = 0
+    want = []
+    for i, (v, top) in enumerate(zip(x.tolist(), limit.tolist(), strict=True)):
+        up, down = (0.0, 0.0) if v != v else (max(0.0, up + v), max(0.0, down - v))
+        run = run + 1 if max(up, down) > top else 0
+        if run == 2:
+            want.append(i)
+            up = down = run = 0
+    assert sampling.raw_positions("cum", x, limit, 2) == want != []
+    clean = np.nan_to_num(x)
+    assert sampling.raw_positions("swt", clean, np.full(400, 1.5), 2) == sampling.sample_positions("swt", clean, np.full(400, 1.5), 2) != []
+    gap = clean.copy()
+    gap[100] = np.nan
+    assert max(sampling.raw_positions("swt", gap, np.full(400, 1.0))) < 100 and sampling.raw_positions("swt", clean[:10], np.zeros(10)) == []
+    with pytest.raises(ValueError):
+        sampling.raw_positions("glr", x, limit)
+    rows = [("a", T0 + dt.timedelta(days=i), None if v != v else v) for i, v in enumerate(x.tolist())]
+    got = sampling.raw_events(spark.createDataFrame(rows, "symbol string, ts timestamp, x double"), "cum", 2.5).orderBy("ts").collect()
+    assert [(r.ts - T0).days for r in got] == sampling.raw_positions("cum", x, np.full(400, 2.5))
 
 
 def test_points_matched_to_bars(spark):

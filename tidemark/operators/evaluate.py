@@ -136,25 +136,18 @@ def state_bands(state: DataFrame, column: str = "current_trend") -> DataFrame:
     return durations(state.withColumn("ts", F.col("timestamp")), column)
 
 
-def match_levels(levels: DataFrame, bars: DataFrame, lookback: int = 260, tolerance: float = 1e-6) -> DataFrame:
-    """For each level (symbol, ts, side high or low, price) the latest bar within
-    ``lookback`` days before ts whose high or low is that price, else the latest
-    with it as any price: level columns and bar_ts.  Levels meet bars by symbol
-    and rounded price, so only likely pairs form."""
-    step = lambda p: F.round(F.ln(p) / tolerance / 2).cast("long")
-    at = bars.select(
-        "symbol", F.col("ts").alias("bar_ts"),
-        F.explode(F.array(*[
-            F.struct(F.lit(s).alias("bar_side"), F.col(c).alias("bar_price")) for c,
-            s in (("high", "high"), ("low", "low"), ("open", "any"), ("close", "any"))
-        ])).alias("z")
-    ).select("symbol", "bar_ts", "z.*").filter("bar_price > 0")
-    at = at.withColumn("step", F.explode(F.sequence(step(F.col("bar_price")) - 1, step(F.col("bar_price")) + 1)))
-    keyed = levels.withColumn("step", step(F.col("price"))).alias("l").join(at.alias("b"), ["symbol", "step"])
-    near = keyed.filter((F.abs(F.col("price") - F.col("bar_price")) <= tolerance * F.abs(F.col("price"))) & (F.col("bar_ts") <= F.col("ts")) & (F.col("bar_ts") >= F.date_sub(F.col("ts"), lookback)))
-    best = Window.partitionBy("symbol", "ts", "side", "price").orderBy(F.when(F.col("side") == F.col("bar_side"), 0).otherwise(1), F.desc("bar_ts"))
-    found = near.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("symbol", "ts", "side", "price", "bar_ts")
-    return levels.join(found, ["symbol", "ts", "side", "price"], "left")
+def step_levels(extremes: DataFrame, spans: DataFrame) -> DataFrame:
+    """For plots: the level of the last extreme of each kind as steps within a span.
+    ``extremes``: symbol, kind, ts, price; ``spans``: symbol, start, end.  The last extreme
+    before the span holds from its start; the last level holds to its end.  Kinds
+    without an extreme by the end have no rows."""
+    rows = extremes.select("symbol", "kind", "ts", F.col("price").cast("double").alias("price")).join(spans, "symbol").filter("ts <= end")
+    before = F.col("ts") < F.col("start")
+    held = rows.filter(before).groupBy("symbol", "kind", "start", "end").agg(F.max_by("price", "ts").alias("price"))
+    inside = rows.filter(~before).select("symbol", "kind", "ts", "price", "start", "end")
+    steps = inside.unionByName(held.select("symbol", "kind", F.col("start").alias("ts"), "price", "start", "end"))
+    last = steps.groupBy("symbol", "kind", "end").agg(F.max("ts").alias("ts"), F.max_by("price", "ts").alias("price")).filter("ts < end")
+    return steps.select("symbol", "kind", "ts", "price").unionByName(last.select("symbol", "kind", F.col("end").alias("ts"), "price"))
 
 
 LEVELS = (("high1", "high"), ("high2", "high"), ("low1", "low"), ("low2", "low"))

@@ -388,6 +388,41 @@ def sample_events(dif: DataFrame, method: str, threshold: Column | float, b2b: i
     return aligned_threshold(dif, threshold).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, method string")
 
 
+def raw_positions(method: str, x: np.ndarray, limit: np.ndarray, b2b: int = 1, window: int = 20) -> list[int]:
+    """``swt`` and ``cum`` on numbers as they come, gaps included: a point or threshold
+    that is no number exceeds nothing, a gap starts the sums of ``cum`` anew, and
+    after one ``swt`` knows no mean any more (its means are of running sums)."""
+    if method == "swt":
+        sums = np.concatenate([[0.0], np.cumsum(x)])
+        stat = np.full(len(x), np.nan)
+        stat[window:] = np.abs(x[window:] - (sums[window:-1] - sums[: len(x) - window]) / window) if len(x) > window else []
+        over, out, run = stat > limit, [], 0
+        for i in range(window, len(x)):
+            run = run + 1 if over[i] else 0
+            if run == b2b:
+                out.append(i)
+                run = 0
+        return out
+    if method != "cum":
+        raise ValueError(f"unknown method {method!r}; known: cum, swt")
+    return sample_positions("cum", x, limit, b2b)  # max(0, nan) is 0, and nothing is above nan
+
+
+def raw_events(dif: DataFrame, method: str, threshold: Column | float, b2b: int = 1, window: int = 20) -> DataFrame:
+    """symbol, ts, method as ``sample_events`` gives them, without its preparation: gaps
+    of increments and thresholds stay, and a threshold below nought is one."""
+    rows = dif.select(
+        "symbol", "ts", F.col("x").cast("double").alias("x"), (threshold if isinstance(threshold, Column) else F.lit(float(threshold))).cast("double").alias("thr")
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        at = raw_positions(method, pdf["x"].to_numpy(float), pdf["thr"].to_numpy(float), b2b, window)
+        return pdf[["symbol", "ts"]].iloc[at].assign(method=method)
+
+    return rows.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, method string")
+
+
 def sample_scaled(base: DataFrame, scales: DataFrame, b2b: int = 1) -> DataFrame:
     """Events of each (symbol, method) of ``scales`` against the base threshold
     (symbol, ts, x, vol) times its scale, in one pass: symbol, ts, method."""

@@ -417,3 +417,48 @@ def structure_points_matched(spark, d):
     last = shape.groupBy("symbol", F.trunc("ts", "month")).agg(F.max("ts").alias("ts")).select("symbol", "ts")
     asks = shape.join(last, ["symbol", "ts"]).select("symbol", "ts", "high1", "high2", "low1", "low2").dropna()
     return E.match_points(asks, _bars(spark, d), price_is_log=True)
+
+
+@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx, min(ts) OVER (PARTITION BY symbol) + INTERVAL 100 DAY AS start, max(ts) OVER (PARTITION BY symbol) - INTERVAL 100 DAY AS stop FROM bars),
+ e AS (SELECT symbol, CASE WHEN idx % 2 = 0 THEN 'high' ELSE 'low' END AS kind, ts, close AS price, start, stop FROM n WHERE idx % 7 = 3 AND ts <= stop),
+ i AS (SELECT symbol, kind, CASE WHEN ts < start THEN start ELSE ts END AS ts, price, stop FROM e QUALIFY ts >= start OR row_number() OVER (PARTITION BY symbol, kind, ts < start ORDER BY ts DESC) = 1),
+ z AS (SELECT symbol, kind, stop AS ts, arg_max(price, ts) AS price FROM i GROUP BY symbol, kind, stop HAVING max(ts) < stop) SELECT symbol, kind, ts, price FROM i UNION ALL SELECT * FROM z""")
+def step_levels(spark, d):
+    rows = _indexed(_bars(spark, d))
+    spans = rows.groupBy("symbol").agg((F.min("ts") + F.expr("INTERVAL 100 DAYS")).alias("start"), (F.max("ts") - F.expr("INTERVAL 100 DAYS")).alias("end"))
+    found = rows.filter("idx % 7 = 3").select("symbol", F.when(F.col("idx") % 2 == 0, "high").otherwise("low").alias("kind"), "ts", F.col("close").alias("price"))
+    return E.step_levels(found, spans)
+
+
+GAPS = TICKS + """, r AS (SELECT symbol, ts, i, CASE WHEN i % 97 = 0 THEN NULL ELSE x END AS x, CASE WHEN i % 31 = 0 THEN NULL ELSE 60.0 END AS thr FROM d)"""
+
+
+@query(f"""WITH RECURSIVE {GAPS}, f AS (SELECT symbol, 0::BIGINT AS i, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0 AS run, false AS fired FROM (SELECT DISTINCT symbol FROM d)
+  UNION ALL SELECT symbol, i, CASE WHEN fire THEN 0 ELSE a END, CASE WHEN fire THEN 0 ELSE b END, CASE WHEN fire THEN 0 WHEN hit THEN run + 1 ELSE 0 END, fire
+  FROM (SELECT *, hit AND run + 1 >= 2 AS fire FROM (SELECT *, coalesce(greatest(a, b) > thr, false) AS hit FROM (SELECT f.symbol, r.i, f.run, r.thr, CASE WHEN r.x IS NULL THEN 0 ELSE greatest(0, f.up + r.x) END AS a, CASE WHEN r.x IS NULL THEN 0 ELSE greatest(0, f.dn - r.x) END AS b FROM f JOIN r ON r.symbol = f.symbol AND r.i = f.i + 1))))
+  SELECT f.symbol, d.ts FROM f JOIN d ON d.symbol = f.symbol AND d.i = f.i WHERE fired""")
+def cum_events_raw(spark, d):
+    """Increments and thresholds with gaps, taken as they are."""
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("ts"))
+    rows = _dif(spark, d).withColumn("i", place)
+    rows = rows.withColumn("x", F.when(F.col("i") % 97 != 0, F.col("x")))
+    return S.raw_events(rows, "cum", F.when(F.col("i") % 31 != 0, F.lit(60.0)), b2b=2).select("symbol", "ts")
+
+
+@query()
+def structure_points(spark, d):
+    """The last four extremes known at each month's last bar."""
+    bars = _bars(spark, d)
+    asks = bars.groupBy("symbol", F.trunc("ts", "month")).agg(F.max("ts").alias("ts")).select("symbol", "ts")
+    return E.structure_points(T.shape_points(bars, q=30.0), asks)
+
+
+@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS idx FROM bars), p AS (SELECT * FROM n WHERE idx % 5 = 0), a AS (SELECT symbol, ts FROM n WHERE idx % 11 = 0),
+ j AS (SELECT a.symbol, a.ts, p.idx, p.high, p.close, p.low, p.open FROM a ASOF JOIN p ON p.symbol = a.symbol AND p.ts <= a.ts), k AS (SELECT * FROM j WHERE idx >= 50)
+ SELECT symbol, ts, 'high1' AS label, 'high' AS kind, idx, high AS level FROM k UNION ALL SELECT symbol, ts, 'high2', 'high', idx + 1, close FROM k
+ UNION ALL SELECT symbol, ts, 'low1', 'low', idx + 2, low FROM k UNION ALL SELECT symbol, ts, 'low2', 'low', idx + 3, open FROM k""")
+def told_structure_points(spark, d):
+    rows = _indexed(_bars(spark, d))
+    known = lambda c: F.when(F.col("idx") >= 50, c)
+    points = rows.filter("idx % 5 = 0").select("symbol", "ts", *[known(F.col(c)).alias(n) for n, c in (("h1", "high"), ("h2", "close"), ("l1", "low"), ("l2", "open"))], *[known(F.col("idx") + k).alias(f"{n}_idx") for k, n in enumerate(("h1", "h2", "l1", "l2"))])
+    return E.structure_points(points, rows.filter("idx % 11 = 0").select("symbol", "ts"))

@@ -26,6 +26,8 @@ SQL: dict[str, str] = {}
 def query(sql: str | None = None, name: str | None = None):
     def register(f):
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"{key} is registered twice")
         QUERIES[key] = f
         if sql is not None:
             SQL[key] = " ".join(sql.split())
@@ -139,12 +141,11 @@ def gma_events(spark, d):
 
 
 def _rows_only(name: str, f) -> None:
-    QUERIES[name] = f
+    query(name=name)(f)
 
 
 for _m, _q in (
-    ("glr", 0.2), ("brandt_glr", 0.2), ("shewhart", 0.05), ("recursive_param_seg", 1.0), ("e_detector", 0.2), ("ssr_cusum", 0.2),
-    ("adaptive_cusum", 0.2)
+    ("glr", 0.2), ("recursive_param_seg", 1.0), ("ssr_cusum", 0.2), ("adaptive_cusum", 0.2)
 ):
     _rows_only(f"{_m}_events", lambda spark, d, m=_m, q=_q: D.detect(B.log_close(_bars(spark, d)), m, q))
 _rows_only("wbs_lepage_events", lambda spark, d: D.detect(B.log_close(_bars(spark, d)), "wbs_lepage", 0.5))
@@ -152,17 +153,6 @@ _rows_only("wbs_lepage_events", lambda spark, d: D.detect(B.log_close(_bars(spar
 CONFIGS = [("cusum", 100.0), ("sprt", 0.1), ("cusum_ls", 1.0), ("gma", 0.3), ("shewhart", 0.05)]
 
 
-@query()
-def detector_comparison(spark, d):
-    """Jaccard similarity of five detectors' events."""
-    return D.jaccard(D.detect_many(B.log_close(_bars(spark, d)), CONFIGS))
-
-
-@query()
-def detector_counts(spark, d):
-    return D.event_counts(D.detect_many(B.log_close(_bars(spark, d)), CONFIGS), CONFIGS)
-
-
 # -- samplers ------------------------------------------------------------------
 
 
@@ -239,7 +229,7 @@ def gma_samples(spark, d):
     return S.sample_events(_dif(spark, d), "gma", 9.0).select("symbol", "ts")
 
 
-for _m, _q in (("glr", 5.0), ("brandt_glr", 3.0), ("e_detector", 1.2), ("ssr_cusum", 3.0), ("adaptive_cusum", 3.0), ("aff", 5.0)):
+for _m, _q in (("glr", 5.0), ("ssr_cusum", 3.0), ("adaptive_cusum", 3.0), ("aff", 5.0)):
     _rows_only(f"{_m}_samples", lambda spark, d, m=_m, q=_q: S.sample_events(_dif(spark, d), m, q))
 
 
