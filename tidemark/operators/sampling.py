@@ -461,8 +461,8 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     rows = rows.withColumn(
         "v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
-    whole = Window.partitionBy("symbol")
-    rows = rows.withColumn("mid", F.percentile(F.abs("x"), F.lit(0.5)).over(whole)).withColumn("avg", F.avg(F.abs("x")).over(whole))
+    typical = dif.groupBy("symbol").agg(F.percentile(F.abs("x"), F.lit(0.5)).alias("mid"), F.avg(F.abs("x")).alias("avg"))
+    rows = rows.join(typical, "symbol")
     floor = F.when(F.col("mid") > 0, F.col("mid")).when(F.col("avg") > 0, F.col("avg")).otherwise(F.lit(1e-8))
     return rows.select("symbol", "ts", "x", F.greatest(F.coalesce("v", floor), floor * 1e-3).alias("vol"))
 
@@ -520,7 +520,9 @@ def tuning_history(dif: DataFrame, methods: Sequence[str], target: int, b2b: int
 
         def count(scale: float) -> int:
             if scale not in known:
-                known[scale] = len(paths.positions(vol * scale, b2b) if paths else sample_positions(method, x, vol * scale, b2b))
+                # by paths where events are rare, as a smaller scale has shown; step by step where they are many
+                rare = paths and (paths.held is None or any(s < scale and n * 100 < len(x) for s, n in known.items()))
+                known[scale] = len(paths.positions(vol * scale, b2b) if rare else sample_positions(method, x, vol * scale, b2b))
             return known[scale]
 
         rows = [(pdf["symbol"].iloc[0], method, i, *t) for i, t in enumerate(search_scale(count, target, max_iter))]
