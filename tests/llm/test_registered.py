@@ -154,7 +154,8 @@ def test_sql(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, small)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
