@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import numeric
 from tidemark.operators import dmd, research, vector
 from tidemark.plans import order
 
@@ -112,3 +113,16 @@ def test_forecasts_of_all_windows(m, n, rank):
     assert np.allclose(dmd.forecasts(x, m, n, rank, at_once=1000), want, rtol=1e-8, atol=1e-8)
     with pytest.raises(ValueError):
         dmd.forecasts(np.ones(60), 5, 20, 3)
+
+
+@pytest.mark.parametrize("lags", [0, 1, 2])
+def test_statistics_of_all_windows(lags):
+    rng = np.random.default_rng(lags)
+    walks = np.cumsum(rng.normal(0, 1, (5, 40)), axis=1)
+    walks[3], walks[4, 10:30] = np.exp(np.arange(40) / 20), 7.0
+    got = numeric.window_statistics(walks, 13, lags)
+    want = np.concatenate([numeric.unit_root_windows(np.lib.stride_tricks.sliding_window_view(walks, size, axis=1).reshape(-1, size), lags, "c").reshape(5, -1) for size in range(13, 41)], axis=1)
+    assert np.allclose(got[:3], want[:3], rtol=1e-10, atol=1e-10)  # the rest is exact, or nearly, and one is constant for half of it
+    best = numeric.explosive_statistics(walks, 13, lags, at_once=500)
+    assert np.allclose(best[:3], np.nanmax(want[:3], axis=1)) and np.isnan(numeric.explosive_statistics(walks, 50)).all()
+    assert numeric.explosive_statistic(walks[0], 13, lags) == pytest.approx(best[0])

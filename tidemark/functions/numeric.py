@@ -90,22 +90,62 @@ def unit_root_windows(y: np.ndarray, lags: int, regression: str) -> np.ndarray:
         return np.where((var > 0) & (n > x.shape[2]), beta[:, 0] / np.sqrt(var), np.nan)
 
 
+def window_statistics(walks: np.ndarray, least: int, lags: int = 1) -> np.ndarray:
+    """The unit root statistics (with a constant) of all windows of at least ``least``
+    points of each row: rows by windows.  A window's normal equations are differences of
+    running sums over its row, shared by all windows, so that none is summed anew; where
+    so little is left unexplained that differences can't tell it, the window is fitted
+    by itself."""
+    walks = np.atleast_2d(np.asarray(walks, float))
+    y = walks - walks.mean(1, keepdims=True)
+    n = y.shape[1]
+    begin, end = (np.concatenate(x) for x in zip(*[(np.arange(n - size + 1), np.arange(size, n + 1)) for size in range(least, n + 1)], strict=True))
+    d = np.diff(y, axis=1)
+    # a row of the regression for each point from the second plus lags on
+    level = [y[:, lags:-1], *(d[:, lags - j : d.shape[1] - j] for j in range(1, lags + 1)), np.ones_like(d[:, lags:])]
+    columns = np.stack([*level, d[:, lags:]], 2)
+    sums = np.concatenate([np.zeros((len(y), 1, lags + 3, lags + 3)), np.cumsum(columns[:, :, :, None] * columns[:, :, None, :], 1)], 1)
+    first, last = begin, end - 1 - lags  # regression rows of a window
+    free = last - first - (lags + 2)
+    gram = sums[:, last] - sums[:, first]
+    x, cross, total = gram[..., :-1, :-1], gram[..., :-1, -1], gram[..., -1, -1]
+    scale = np.sqrt(np.maximum(np.einsum("rwii->rwi", x), 1e-300))
+    with np.errstate(all="ignore"):
+        inverse = np.linalg.pinv(x / scale[..., :, None] / scale[..., None, :], hermitian=True) / scale[..., :, None] / scale[..., None, :]
+        beta = np.einsum("rwjk,rwk->rwj", inverse, cross)
+        rest = total - np.einsum("rwj,rwj->rw", beta, cross)
+        var = rest / np.maximum(free, 1) * inverse[..., 0, 0]
+        out = np.where((var > 0) & (free > 0), beta[..., 0] / np.sqrt(var), np.nan)
+    doubtful = ~(rest > 1e-6 * total) & (free > 0)
+    for size in np.unique((end - begin)[doubtful.any(0)]).tolist():
+        r, w = np.nonzero(doubtful & (end - begin == size))
+        out[r, w] = unit_root_windows(walks[r[:, None], begin[w][:, None] + np.arange(size)], lags, "c")
+    return out
+
+
+def explosive_statistics(walks: np.ndarray, least: int, lags: int = 1, at_once: int = 1 << 16) -> np.ndarray:
+    """For each row the largest right-tailed unit root statistic over all windows of at
+    least ``least`` points (Phillips, Shi and Yu); none: nan."""
+    walks = np.atleast_2d(np.asarray(walks, float))
+    m = walks.shape[1] - least + 1
+    if m < 1:
+        return np.full(len(walks), np.nan)
+    step = max(1, at_once // (m * (m + 1) // 2))
+    best = [np.where(np.isfinite(t := window_statistics(walks[i : i + step], least, lags)), t, -np.inf).max(1) for i in range(0, len(walks), step)]
+    found = np.concatenate(best) if best else np.zeros(0)
+    return np.where(np.isfinite(found), found, np.nan)
+
+
 def explosive_statistic(y: np.ndarray, least: int, lags: int = 1) -> float:
-    """The largest right-tailed unit root statistic over all windows of at least
-    ``least`` points (Phillips, Shi and Yu)."""
-    n, best = len(y), -math.inf
-    for size in range(least, n + 1):
-        stats = unit_root_windows(np.lib.stride_tricks.sliding_window_view(y, size), lags, "c")
-        if np.isfinite(stats).any():
-            best = max(best, float(np.nanmax(stats)))
-    return best if math.isfinite(best) else math.nan
+    """As ``explosive_statistics``, for one series."""
+    return float(explosive_statistics(y, least, lags)[0])
 
 
 def explosive_critical(n: int, least: int, reps: int, seed: int, level: float = 0.95) -> float:
     """Critical value for random walks of n points with a drift of 1/n."""
     rng = np.random.default_rng([seed, n, least])
     walks = np.cumsum(rng.standard_normal((reps, n)) + 1.0 / n, axis=1)
-    return float(np.quantile([explosive_statistic(w, least, 0) for w in walks], level))
+    return float(np.quantile(explosive_statistics(walks, least, 0), level))
 
 
 def local_regression(x: np.ndarray, y: np.ndarray, frac: float = 0.25, robust: int = 1) -> tuple[np.ndarray, np.ndarray]:

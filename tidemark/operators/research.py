@@ -4,7 +4,7 @@ sampled windows, local regression on later return and volatility."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -134,22 +134,41 @@ def explosiveness(windows: DataFrame, minw: int = 50, lag: int = 1, nrep: int =
     lengths = windows.groupBy("window_id").agg(F.count("*").cast("int").alias("n")).filter(F.col("n") > minw + lag + 5).select("n").distinct()
     sims = lengths.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(nrep - 1))))
 
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, rep = int(pdf["n"].iloc[0]), int(pdf["rep"].iloc[0])
-        walk = np.cumsum(np.random.default_rng([seed, n, minw, rep]).standard_normal(n) + 1.0 / n)
-        return pd.DataFrame({"n": [n], "s": [numeric.explosive_statistic(walk, minw, 0)]})
-
-    critical = sims.groupBy("n", "rep").applyInPandas(simulate, "n int, s double").groupBy("n").agg(F.percentile("s", F.lit(0.95)).alias("cv"))
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["log_close"].to_numpy(float)
-        bad = len(x) <= minw + lag + 5 or x.std(ddof=1) <= 1e-12
-        stat = None if bad else numeric.explosive_statistic(x, minw, lag)
-        return pd.DataFrame({
-            "window_id": [pdf["window_id"].iloc[0]], "n": [len(x)], "stat": [stat], "error": ["too_short_or_constant" if bad else ""]
-        }).astype({"stat": "Float64"})
-
-    tested = windows.groupBy("window_id").applyInPandas(test, "window_id string, n int, stat double, error string")
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for n, reps in pdf.groupby("n")["rep"]:
+                walks = [np.cumsum(np.random.default_rng([seed, int(n), minw, int(rep)]).standard_normal(int(n)) + 1.0 / n) for rep in reps]
+                yield pd.DataFrame({"n": [n] * len(walks), "s": numeric.explosive_statistics(np.array(walks), minw, 0)}).astype({"n": "int32"})
+
+    parts = 4 * windows.sparkSession.sparkContext.defaultParallelism
+    critical = sims.repartition(parts, "n", "rep").mapInPandas(simulate, "n int, s double").groupBy("n").agg(F.percentile("s", F.lit(0.95)).alias("cv"))
+
+    def scored(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Whole windows; those of one length are tested together."""
+        names, series = zip(*[(k, g.to_numpy(float)) for k, g in pdf.groupby("window_id", sort=False)["log_close"]], strict=True)
+        out = pd.DataFrame({"window_id": names, "n": [len(x) for x in series]})
+        bad = np.array([len(x) <= minw + lag + 5 or x.std(ddof=1) <= 1e-12 for x in series])
+        stats = np.full(len(series), np.nan)
+        for n in out["n"][~bad].unique():
+            at = np.flatnonzero((out["n"] == n) & ~bad)
+            stats[at] = numeric.explosive_statistics(np.array([series[i] for i in at]), minw, lag)
+        out["stat"] = pd.array([None if b else v for b, v in zip(bad, stats.tolist(), strict=True)], "Float64")
+        return out.assign(error=np.where(bad, "too_short_or_constant", "")).astype({"n": "int32"})
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            if len(pdf):
+                last = pdf["window_id"] == pdf["window_id"].iloc[-1]  # may go on in the next batch
+                if not last.all():
+                    yield scored(pdf[~last])
+                held = pdf[last]
+        if held is not None:
+            yield scored(held)
+
+    ordered = windows.select("window_id", "t", "log_close").repartition("window_id").sortWithinPartitions("window_id", "t")
+    tested = ordered.mapInPandas(test, "window_id string, n int, stat double, error string")
     out = tested.join(F.broadcast(critical), "n", "left")  # a row per window length
     cv = F.when(F.col("error") == "", F.col("cv"))
     return out.select(
