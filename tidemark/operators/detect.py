@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels, wbs
+from tidemark.plans import order
 
 EVENTS = "symbol string, ts timestamp, idx long, direction int, direction_source string, score double, change_ts timestamp, method string, q double"
 COLUMNS = [f.split()[0] for f in EVENTS.split(", ")]
@@ -82,7 +83,7 @@ def detect_many(series: DataFrame, configs: Sequence[tuple] | Sequence[dict]) ->
     def run_plain(pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf)
 
-    out = spread(plain).groupBy("symbol", "config").applyInPandas(run_plain, EVENTS) if plain or not wild else None
+    out = order.spread(spread(plain), "symbol", "config").groupBy("symbol", "config").applyInPandas(run_plain, EVENTS) if plain or not wild else None
     if not wild:
         return out
 

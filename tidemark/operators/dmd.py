@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.asof import asof_backward
+from tidemark.plans import order
 from tidemark.plans.order import halo_blocks
 
 #: Names under which other tables carry the same columns.
@@ -254,7 +255,7 @@ def rolling_forecasts(obs: DataFrame, m: int, n: int, rank: int, block: int = 51
 
     points = obs.select("symbol", "date", "bar_index", "event_id", "observable")
     blocks = halo_blocks(points, size, ("date", "bar_index", "event_id"), size=block, spread=spread)
-    return blocks.groupBy("symbol", "_block").applyInPandas(run, "symbol string, start int, true double, pred double")
+    return order.spread(blocks, "symbol", "_block").groupBy("symbol", "_block").applyInPandas(run, "symbol string, start int, true double, pred double")
 
 
 def forecast_errors(rows: DataFrame) -> DataFrame:

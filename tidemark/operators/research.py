@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric
 from tidemark.operators.vector import finite
+from tidemark.plans import order
 from tidemark.plans.order import column_quantiles, halo_blocks, quantiles, with_position
 
 
@@ -51,7 +52,7 @@ def rolling_adf(
         return out.assign(adf_stat=stats[at], adf_pvalue=p, adf_reject=(np.array(p) < alpha).astype(float), usedlag=maxlag, nobs=used[at])[names]
 
     rows = rows.select("symbol", "ts", "close", *[F.col(c).cast("double").alias(c) for c in columns])
-    return halo_blocks(rows, window - 1, size=block, spread=spread).groupBy("symbol", "_block").applyInPandas(run, schema)
+    return order.spread(halo_blocks(rows, window - 1, size=block, spread=spread), "symbol", "_block").groupBy("symbol", "_block").applyInPandas(run, schema)
 
 
 def tertile(column: str) -> Column:

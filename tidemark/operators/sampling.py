@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels
+from tidemark.plans.order import spread
 
 
 class Sampler:
@@ -385,7 +386,7 @@ def sample_events(dif: DataFrame, method: str, threshold: Column | float, b2b: i
         at = sample_positions(method, pdf["x"].to_numpy(float), pdf["thr"].to_numpy(float), b2b, **options)
         return pdf[["symbol", "ts"]].iloc[at].assign(method=method)
 
-    return aligned_threshold(dif, threshold).groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, method string")
+    return spread(aligned_threshold(dif, threshold), "symbol").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, method string")
 
 
 def raw_positions(method: str, x: np.ndarray, limit: np.ndarray, b2b: int = 1, window: int = 20) -> list[int]:
@@ -435,7 +436,7 @@ def sample_scaled(base: DataFrame, scales: DataFrame, b2b: int = 1) -> DataFrame
         return pdf[["symbol", "ts", "method"]][known].iloc[at]
 
     rows = base.join(scales.select("symbol", "method", "scale"), "symbol")
-    return rows.groupBy("symbol", "method").applyInPandas(run, "symbol string, ts timestamp, method string")
+    return spread(rows, "symbol", "method").groupBy("symbol", "method").applyInPandas(run, "symbol string, ts timestamp, method string")
 
 
 def sliding_window_events(dif: DataFrame, threshold: Column | float, b2b: int = 1, window: int = 20) -> DataFrame:
@@ -457,6 +458,7 @@ def base_threshold(dif: DataFrame, window: int = 128) -> DataFrame:
     part, whole = w.rowsBetween(-(window - 1), 0), w.rowsBetween(Window.unboundedPreceding, 0)
     rolling = F.when(F.count("x").over(part) >= max(8, window // 4), F.stddev_samp("x").over(part))
     wide = F.when(F.count("x").over(whole) >= 8, F.stddev_samp("x").over(whole))
+    dif = spread(dif, "symbol")
     rows = dif.withColumn("v", F.coalesce(rolling, wide))
     rows = rows.withColumn(
         "v", F.coalesce(F.last("v", True).over(w), F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -529,7 +531,7 @@ def tuning_history(dif: DataFrame, methods: Sequence[str], target: int, b2b: int
         return pd.DataFrame(rows, columns=["symbol", "method", "round", "scale", "n_events", "eligible"])
 
     rows = base_threshold(dif, window).withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
-    return rows.groupBy("symbol", "method").applyInPandas(
+    return spread(rows, "symbol", "method").groupBy("symbol", "method").applyInPandas(
         search, "symbol string, method string, round int, scale double, n_events long, eligible boolean"
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import kernels
+from tidemark.plans.order import spread
 
 KIND = {1: "high", -1: "low"}
 NAN = math.nan
@@ -415,7 +416,7 @@ def market_state(
         rows = [m.step(*r) for r in pdf[["ts", "open", "high", "low", "close"]].itertuples(index=False, name=None)]
         return nullable(state_frame(rows, pdf["symbol"].iloc[0]))
 
-    out = clean_bars(bars).select("symbol", "ts", "open", "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, " + STATE)
+    out = spread(clean_bars(bars).select("symbol", "ts", "open", "high", "low", "close"), "symbol").groupBy("symbol").applyInPandas(run, "symbol string, " + STATE)
     return out
 
 
@@ -493,7 +494,7 @@ def shape_points(
         more = state_frame(states, "")[DIAGNOSTICS]
         return nullable(pd.concat([out, more], axis=1))
 
-    return clean_bars(bars).select("symbol", "ts", "open", "high", "low", "close").groupBy("symbol").applyInPandas(run, f"{POINTS}, {extra}")
+    return spread(clean_bars(bars).select("symbol", "ts", "open", "high", "low", "close"), "symbol").groupBy("symbol").applyInPandas(run, f"{POINTS}, {extra}")
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -74,7 +74,7 @@ def rolling_scores(
             found = {f"_bounds_{c}": list(prior_bounds(pdf[c].to_numpy(float, na_value=np.nan), window, min_periods, (lower, upper))) for c in moving}
             return pdf.drop(columns=["_i", "_block", "_own"]).assign(**found)[own]
 
-        out = order.halo_blocks(rows, window, size=max(4096, 4 * window), spread=spread).groupBy("symbol", "_block").applyInPandas(run, schema)
+        out = order.spread(order.halo_blocks(rows, window, size=max(4096, 4 * window), spread=spread), "symbol", "_block").groupBy("symbol", "_block").applyInPandas(run, schema)
         for c in moving:
             lo, hi = F.col(f"_bounds_{c}")[0], F.col(f"_bounds_{c}")[1]
             score = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (F.col(c) - lo) / (hi - lo) - 1))

@@ -33,6 +33,13 @@ def place_among(value: Column, cuts: list | Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), steps), whole, step, lambda s: s["lo"])
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by key over a stated number of partitions: groups that a Python kernel
+    works on are small in bytes and dear in time, and adaptive execution would put many
+    of them in one task."""
+    return rows.repartition(max(_ranges(rows), 4 * rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def _ranges(rows: DataFrame) -> int:
     return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
