@@ -52,3 +52,10 @@ def test_nothing_and_what_never_forgets(table):
         longrun.detect_long(table, "cusum_ls")
     with pytest.raises(ValueError):
         longrun.sample_long(table, "glr", 1.0)
+
+
+def test_running_means_take_no_rounds(table):
+    rows = sampling.aligned_threshold(table, F.lit(15.0))
+    events, rounds = longrun.fold(rows, lambda n, s: longrun.SampleFold("page_hinkley", 1, {}, n, s), 200)
+    assert rounds <= 6  # thirty blocks: means of sums differ in their last digit from those carried on
+    assert show(events, "symbol", "ts") == show(sampling.sample_events(table, "page_hinkley", 15.0), "symbol", "ts")

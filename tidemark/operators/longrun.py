@@ -8,7 +8,8 @@ states agree from the first row on at which both are at nought or fire.  So
 1. series are cut into blocks, and every block is run from a guess of its state
    (nothing gathered yet; running means from the sums of the blocks before it);
 2. a block whose guess isn't what the block before it came out with is run again
-   from that, in rounds, until all agree.
+   from that, in rounds, until all agree.  Running means are no part of what must
+   agree: every run of a block takes them from the sums.
 
 The steps are the kernels' own, so the events are those of a single pass, whatever
 the blocks; only the rounds (two or three, as a rule) depend on how soon runs agree.
@@ -38,6 +39,12 @@ class DetectFold:
     def __init__(self, method: str, q: float, options: dict):
         self.kernel = kernels.make(method, q, **options)
 
+    def carried(self) -> bytes:
+        return pickle.dumps(self.kernel)
+
+    def resume(self, carried: bytes) -> None:
+        self.kernel = pickle.loads(carried)
+
     def feed(self, pdf: pd.DataFrame) -> list[tuple]:
         out, last = [], None
         for ts, i, own, value in zip(pdf["ts"], pdf["_i"].tolist(), pdf["_own"].tolist(), pdf["x"].tolist(), strict=True):
@@ -55,6 +62,12 @@ class SampleFold:
         if isinstance(self.sampler, sampling.PageHinkley) and n:
             self.sampler.n, self.sampler.mean = n, total / n
 
+    def carried(self) -> bytes:
+        return pickle.dumps((self.run, self.sampler.up, self.sampler.down))
+
+    def resume(self, carried: bytes) -> None:
+        self.run, self.sampler.up, self.sampler.down = pickle.loads(carried)
+
     def feed(self, pdf: pd.DataFrame) -> list[tuple]:
         out, s = [], self.sampler
         for ts, i, own, x, limit in zip(pdf["ts"], pdf["_i"].tolist(), pdf["_own"].tolist(), pdf["x"].tolist(), pdf["thr"].tolist(), strict=True):
@@ -75,32 +88,36 @@ class SampleFold:
 def fold(rows: DataFrame, start: Callable[[int, float], object], size: int, look_back: int = 0) -> tuple[DataFrame, int]:
     """(symbol, ts, idx, direction, score) of a fold over symbol, ts, x (and thr), and
     the rounds it took.  ``start``: a state, given how many rows there are before it
-    and their sum."""
+    and their sum; ``carried`` is what it hands to the next block."""
     rows = checkpointed(halo_blocks(rows, look_back, size=size))
     sums = rows.filter("_own").groupBy("symbol", "_block").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
     earlier = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
     seeds = sums.select("symbol", "_block", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("n", "s")])
-    schema = f"symbol string, _block long, before binary, after binary, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"symbol string, _block long, n long, s double, before binary, after binary, events array<struct<{EVENT.replace(' ', ':').replace(',:', ',')}>>"
 
-    def run(state: object, before: bytes, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, n: int, s: float, given: bytes | None = None) -> pd.DataFrame:
+        state = start(n, s)
+        if given is not None:
+            state.resume(given)
+        before = state.carried()
         pdf = pdf.sort_values("_i")
         events = [dict(zip(("ts", "idx", "direction", "score"), e, strict=True)) for e in state.feed(pdf)]
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "_block": [int(pdf["_block"].iloc[0])], "before": [before], "after": [pickle.dumps(state)], "events": [events]})
+        return pd.DataFrame({
+            "symbol": [pdf["symbol"].iloc[0]], "_block": [int(pdf["_block"].iloc[0])], "n": [n], "s": [s], "before": [before], "after": [state.carried()], "events": [events]
+        })
 
     def guess(pdf: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
-        state = start(int(seed["n"].iloc[0]), float(seed["s"].iloc[0]))
-        return run(state, pickle.dumps(state), pdf)
+        return run(pdf, int(seed["n"].iloc[0]), float(seed["s"].iloc[0]))
 
     def again(pdf: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        before = bytes(given["given"].iloc[0])
-        return run(pickle.loads(before), before, pdf)
+        return run(pdf, int(given["n"].iloc[0]), float(given["s"].iloc[0]), bytes(given["given"].iloc[0]))
 
     keys = ["symbol", "_block"]
     done = checkpointed(rows.groupBy(*keys).cogroup(seeds.groupBy(*keys)).applyInPandas(guess, schema))
     rounds = 1
     while True:
         came = done.select("symbol", (F.col("_block") + 1).alias("_block"), F.col("after").alias("given"))
-        changed = checkpointed(done.select(*keys, "before").join(came, keys).filter("before <> given").select(*keys, "given"))
+        changed = checkpointed(done.select(*keys, "n", "s", "before").join(came, keys).filter("before <> given").select(*keys, "n", "s", "given"))
         if changed.isEmpty():
             break
         rounds += 1
