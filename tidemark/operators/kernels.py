@@ -296,29 +296,31 @@ class EDetector(Kernel):
     two_sided: bool = True
     recent: deque = field(default_factory=deque)
     t: int = -1
-    capital: np.ndarray | None = None
+    capital: list[float] | None = None
     source = VALUE
 
-    def bets(self) -> np.ndarray:
+    def __post_init__(self):
         grid = set(self.lambda_grid)
-        return np.array(sorted(grid | {-v for v in grid})) if self.two_sided else np.array(list(self.lambda_grid))
+        self.bets = sorted(grid | {-v for v in grid}) if self.two_sided else list(self.lambda_grid)
 
     def standardised(self, x: float, least: int, epsilon: float) -> float:
         self.t += 1
         self.recent.append(x)
         if len(self.recent) > self.vol_window:
             self.recent.popleft()
-        if len(self.recent) < max(least, 2):
+        n = len(self.recent)
+        if n < max(least, 2):
             return math.nan
-        return float(np.clip(x / (np.std(self.recent, ddof=1) + epsilon), -self.clip, self.clip))
+        mean = sum(self.recent) / n
+        size = math.sqrt(sum([(v - mean) * (v - mean) for v in self.recent]) / (n - 1))
+        return max(-self.clip, min(self.clip, x / (size + epsilon)))
 
     def wager(self, z: float) -> tuple[float, float]:
         """(mean capital, the bet that gained most)"""
-        bets = self.bets()
         if self.capital is None:
-            self.capital = np.ones(len(bets))
-        self.capital = np.exp(bets * z - 0.5 * bets**2) * np.maximum(self.capital, 1.0)
-        return float(self.capital.sum() / len(bets)), float(bets[int(np.argmax(self.capital))])
+            self.capital = [1.0] * len(self.bets)
+        self.capital = [math.exp(b * z - 0.5 * b * b) * max(c, 1.0) for b, c in zip(self.bets, self.capital, strict=True)]
+        return sum(self.capital) / len(self.bets), self.bets[self.capital.index(max(self.capital))]
 
     def step(self, x):
         z = self.standardised(x, self.vol_window, 1e-8)
@@ -372,7 +374,8 @@ ALPHA_UP, BETA_UP, ALPHA_DOWN, BETA_DOWN = 12.0, 15.0, 16.3, 15.0
 class AdaptiveCusum(Kernel):
     """Likelihood ratio sums for eight directions of change (mean up, down or
     same; variance up, down or same), with parameters estimated as they go.
-    The directions are the entries of arrays."""
+    A direction's state is its sum, its points, their sum and squares, and the
+    estimates of mean and variance."""
 
     h0: float = 10.0
     vol_window: int = 30
@@ -383,44 +386,47 @@ class AdaptiveCusum(Kernel):
     rho_theta_up: float = 1.05
     rho_theta_down: float = 1 / 1.05
     recent: deque = field(default_factory=deque)
-    state: np.ndarray | None = None
+    state: list[tuple[float, ...]] | None = None
     source = ADAPTIVE
-    M = np.array([1, 1, 1, -1, -1, -1, 0, 0])
-    V = np.array([1, -1, 0, 1, -1, 0, 1, -1])
+    M = (1, 1, 1, -1, -1, -1, 0, 0)
+    V = (1, -1, 0, 1, -1, 0, 1, -1)
 
-    def start(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.M * self.rho_mu, np.select([self.V > 0, self.V < 0], [self.rho_theta_up, self.rho_theta_down], 1.0)
-
-    def fresh(self) -> np.ndarray:
-        mu, theta = self.start()
-        zero = np.zeros(8)
-        return np.stack([zero, zero, zero, zero, mu, theta])  # C, N, S, Q, mu, theta
+    def start(self, m: int, v: int) -> tuple[float, float]:
+        return m * self.rho_mu, self.rho_theta_up if v > 0 else self.rho_theta_down if v < 0 else 1.0
 
     def spread(self) -> float:
-        r = np.array(self.recent)
+        r = self.recent
         n = len(r)
-        mean = r.sum() / n
-        return float(((r * r).sum() - n * mean * mean) / max(n - 1, 1))
+        mean = sum(r) / n
+        return (sum([v * v for v in r]) - n * mean * mean) / max(n - 1, 1)
 
     def score(self, x: float) -> tuple[float, int]:
         """(largest sum, its direction)"""
         if self.state is None:
-            self.state = self.fresh()
-        c, n, s, q, mu, theta = self.state
-        c = np.maximum(0.0, c + 0.5 * (x * x - (x - mu) ** 2 / theta - np.log(theta)))
-        alive = c > 0
-        mu0, theta0 = self.start()
-        n, s = np.where(alive, n + 1, 0), np.where(alive, s + x, 0)
-        pull = (self.M * self.s + s) / (self.eta + n)
-        mu = np.where(~alive, mu0, np.select([self.M > 0, self.M < 0], [np.maximum(self.rho_mu, pull), np.minimum(-self.rho_mu, pull)], mu))
-        q = np.where(alive, q + (x - mu) ** 2, 0)
-        rise, fall = (BETA_UP + q / 2) / (ALPHA_UP - 1 + n / 2), (BETA_DOWN + q / 2) / (ALPHA_DOWN - 1 + n / 2)
-        theta = np.where(
-            ~alive, theta0, np.select([self.V > 0, self.V < 0], [np.maximum(self.rho_theta_up, rise), np.minimum(self.rho_theta_down, fall)], theta)
-        )
-        self.state = np.stack([c, n, s, q, mu, theta])
-        best = int(np.argmax(c))
-        return float(c[best]), best
+            self.state = [(0.0, 0, 0.0, 0.0, *self.start(m, v)) for m, v in zip(self.M, self.V, strict=True)]
+        state, best, at = [], -1.0, 0
+        for i, ((c, n, s, q, mu, theta), m, v) in enumerate(zip(self.state, self.M, self.V, strict=True)):
+            d = x - mu
+            c += 0.5 * (x * x - d * d / theta - math.log(theta))
+            if c > 0:
+                n, s = n + 1, s + x
+                if m:
+                    pull = (m * self.s + s) / (self.eta + n)
+                    mu = max(self.rho_mu, pull) if m > 0 else min(-self.rho_mu, pull)
+                d = x - mu
+                q += d * d
+                if v > 0:
+                    theta = max(self.rho_theta_up, (BETA_UP + q / 2) / (ALPHA_UP - 1 + n / 2))
+                elif v < 0:
+                    theta = min(self.rho_theta_down, (BETA_DOWN + q / 2) / (ALPHA_DOWN - 1 + n / 2))
+            else:
+                c, n, s, q = 0.0, 0, 0.0, 0.0
+                mu, theta = self.start(m, v)
+            if c > best:
+                best, at = c, i
+            state.append((c, n, s, q, mu, theta))
+        self.state = state
+        return best, at
 
     def step(self, x):
         self.recent.append(x)
