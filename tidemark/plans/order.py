@@ -4,8 +4,10 @@ Nothing here starts a job: bounds are one-row tables of the same plan."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,29 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(max(_ranges(rows), 4 * rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def passes(rows: DataFrame, keys: Sequence[str], begin: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+    """One pass over the rows of each of ``keys`` in order of ts.  Spark sorts them, and
+    a task holds a batch of rows and what the pass carries on, however long a series is.
+    ``begin`` gives a new pass: a function that takes the batches of one series in turn."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, feed = None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            codes = np.array([pd.factorize(pdf[k])[0] for k in keys])
+            cuts = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(axis=0)) + 1).tolist(), len(pdf)]
+            out = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(None if pd.isna(v) else v for v in pdf[list(keys)].iloc[lo])
+                if feed is None or key != last:
+                    last, feed = key, begin()
+                out.append(feed(pdf.iloc[lo:hi]))
+            yield pd.concat(out) if len(out) > 1 else out[0]
+
+    return spread(rows, *keys).sortWithinPartitions(*keys, "ts").mapInPandas(run, schema)
+
+
 def _ranges(rows: DataFrame) -> int:
     return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
