@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric
 from tidemark.operators import detect, dmd, evaluate, kernels, research, sampling, structure, vector
+from tidemark.plans import order
 from tidemark.plans.asof import asof_backward
 from tidemark.sources import readers
 
@@ -246,7 +247,7 @@ def test_native_cusum_equals_the_kernel(spark):
     assert kernels.make("CUSUM").q == 1.0
 
 
-def test_explosive_windows_are_of_the_references_numbers(spark, monkeypatch):
+def test_explosive_windows_are_of_the_references_numbers(spark):
     from tidemark.plans import queries
 
     rng = np.random.default_rng(3)
@@ -275,7 +276,7 @@ def test_local_regression_collapses_few_values_over_all_rows(spark):
     assert (got.variable == "many").sum() == 50
 
 
-def test_local_regression_query_takes_the_operators_points(spark, monkeypatch):
+def test_local_regression_query_takes_the_operators_points(spark):
     from tidemark.plans import queries
 
     asked = []
@@ -327,3 +328,45 @@ def test_extremes_without_a_bar_are_dated_by_their_confirmation(spark):
     state = spark.createDataFrame(rows, "symbol string, timestamp timestamp, new_extremum_confirmed boolean, confirmed_extremum_kind string, confirmed_extremum_idx long, confirmed_extremum_value double")
     got = {r.extreme_type: r.extreme_date for r in dmd.extreme_events(state).collect()}
     assert got == {"high": T0 + dt.timedelta(days=1), "low": T0 + dt.timedelta(days=4)}
+
+
+def test_series_longer_than_a_batch(spark):
+    """Samplers carry their state over batches of rows, and a series' end isn't the next one's beginning."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"symbol": ["a"] * 700 + [None] * 300 + ["b"] * 3, "ts": pd.date_range("2020-01-01", periods=1003, freq="h")})
+    pdf["x"] = rng.normal(0, 1, len(pdf))
+    df = spark.createDataFrame(pdf, "symbol string, ts timestamp, x double").repartition(5)
+    parts = {"a": pdf[:700], None: pdf[700:1000], "b": pdf[1000:]}
+    want = lambda find: sorted(str((k, t.to_pydatetime())) for k, p in parts.items() for t in p["ts"].iloc[find(p["x"].to_numpy())])
+    show = lambda out: sorted(str((r.symbol, r.ts)) for r in out.collect())
+    limits = {"swt": 1.5, "cum": 3.0, "page_hinkley": 3.0, "cusum_ls": 3.0, "sprt": 2.0, "gma": 0.2, "glr": 5.0, "brandt_glr": 1.5, "e_detector": 1.05, "ssr_cusum": 3.0, "adaptive_cusum": 3.0, "aff": 0.2}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        for method, q in limits.items():
+            assert show(sampling.sample_events(df, method, q, b2b=2)) == want(lambda x: sampling.sample_positions(method, x, np.full(len(x), q), 2)), method  # noqa: B023
+        for method in ("cum", "swt"):
+            assert show(sampling.raw_events(df, method, 1.5, b2b=2)) == want(lambda x: sampling.raw_positions(method, x, np.full(len(x), 1.5), 2)) != [], method  # noqa: B023
+        tuned = sampling.tune_scales(df, ["cum"], 10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert tuned and sorted(map(str, tuned)) == sorted(map(str, sampling.tune_scales(df, ["cum"], 10).collect()))
+
+
+def test_a_sampler_sees_batches_not_series(spark):
+    sizes = spark.sparkContext.accumulator(0)
+    rows = spark.range(1000).selectExpr("'a' AS symbol", "timestamp_seconds(id) AS ts", "1D AS x")
+
+    def begin():
+        def feed(pdf):
+            sizes.add(1)
+            return pdf[["symbol"]].iloc[:1]
+
+        return feed
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        assert order.passes(rows, ["symbol"], begin, "symbol string").count() == 10 == sizes.value
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

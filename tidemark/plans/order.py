@@ -45,7 +45,11 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 def passes(rows: DataFrame, keys: Sequence[str], begin: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
     """One pass over the rows of each of ``keys`` in order of ts.  Spark sorts them, and
     a task holds a batch of rows and what the pass carries on, however long a series is.
-    ``begin`` gives a new pass: a function that takes the batches of one series in turn."""
+    ``begin`` gives a new pass: a function that takes the batches of one series in turn.
+    What it gives back at the end, if it has a ``close``, comes last."""
+
+    def closed(feed: Callable | None) -> list[pd.DataFrame]:
+        return [feed.close()] if hasattr(feed, "close") else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, feed = None, None
@@ -58,9 +62,11 @@ def passes(rows: DataFrame, keys: Sequence[str], begin: Callable[[], Callable[[p
             for lo, hi in zip(cuts, cuts[1:]):
                 key = tuple(None if pd.isna(v) else v for v in pdf[list(keys)].iloc[lo])
                 if feed is None or key != last:
+                    out += closed(feed)
                     last, feed = key, begin()
                 out.append(feed(pdf.iloc[lo:hi]))
             yield pd.concat(out) if len(out) > 1 else out[0]
+        yield from closed(feed)
 
     return spread(rows, *keys).sortWithinPartitions(*keys, "ts").mapInPandas(run, schema)
 
