@@ -67,3 +67,16 @@ def test_empty_and_missing_values(views):
     views.sql("SELECT symbol, ts, IF(day(ts) % 3 = 0, NULL, value) AS value FROM udtf_series").createOrReplaceTempView("udtf_gaps")
     got = views.sql("SELECT * FROM detect(TABLE(udtf_gaps) PARTITION BY symbol ORDER BY (ts), 'sprt', 0.1)")
     assert rows(got, "symbol", "ts", "idx") == rows(detect.detect(views.table("udtf_gaps"), "sprt", 0.1), "symbol", "ts", "idx") != []
+
+
+def test_many_samplers_in_one_pass(views):
+    text = "SELECT * FROM sample_many(TABLE(udtf_dif) PARTITION BY symbol ORDER BY (ts), 'swt 30 2, cum 60 2, e_detector 1.05')"
+    one = "SELECT '{m}' AS method, symbol, ts FROM sample_events(TABLE(udtf_dif) PARTITION BY symbol ORDER BY (ts), '{m}', {q})"
+    want = views.sql(" UNION ALL ".join(one.format(m=m, q=q) for m, q in {"swt": "30, b2b => 2", "cum": "60, b2b => 2", "e_detector": "1.05"}.items()))
+    assert rows(views.sql(text), "method", "symbol", "ts") == rows(want, "method", "symbol", "ts") != []
+    # symbols that meet in one partition, and more rows than come together at once
+    views.sql("SELECT CAST(id DIV 5000 AS STRING) AS symbol, timestamp_seconds(id) AS ts, CAST(hash(id) % 100 AS DOUBLE) AS x FROM range(0, 15000, 1, 3)").createOrReplaceTempView("udtf_long")
+    got = views.sql("SELECT * FROM sample_many(TABLE(udtf_long) WITH SINGLE PARTITION ORDER BY (symbol, ts), 'cum 300 2')")
+    assert rows(got, "symbol", "ts") == rows(sampling.sample_events(views.table("udtf_long"), "cum", 300.0, b2b=2), "symbol", "ts") != []
+    with pytest.raises(PySparkException):
+        views.sql("SELECT * FROM sample_many(TABLE(udtf_dif) PARTITION BY symbol ORDER BY (ts), 'nothing 1')").collect()

@@ -4,6 +4,7 @@
     SELECT * FROM detect(TABLE(series) PARTITION BY symbol ORDER BY (ts), 'cusum', 100.0)
     SELECT * FROM detect(TABLE(series) PARTITION BY symbol ORDER BY (ts), 'cusum', 100.0, h => 0.05)
     SELECT * FROM sample_events(TABLE(dif) PARTITION BY symbol ORDER BY (ts), 'swt', 30.0, b2b => 2)
+    SELECT * FROM sample_many(TABLE(dif) PARTITION BY symbol ORDER BY (ts), 'swt 30 2, cum 60 2, gma 9')
     SELECT * FROM market_state(TABLE(bars) PARTITION BY symbol ORDER BY (ts), 'cusum', 30.0)
 
 Spark partitions and sorts the table; a partition is one pass of the same kernel
@@ -158,6 +159,53 @@ class SampleEvents(_Ordered):
             yield rows["symbol"], rows["ts"]
 
 
+class SampleMany(_Ordered):
+    """method, symbol and ts of sampled events of several methods in one pass, since it is
+    dear to hand a row over: of each its name, threshold and b2b (1 where it is left out)."""
+
+    @staticmethod
+    def table(text: str) -> list[tuple[str, float, int]]:
+        out = []
+        for method, threshold, *b2b in (part.split() for part in text.split(",")):
+            if method not in sampling.SAMPLERS:
+                raise ValueError(f"unknown method {method!r}; known: {', '.join(sampling.SAMPLERS)}")
+            limit = float(threshold)
+            out.append((method, max(0.0, limit) if math.isfinite(limit) else math.inf, int(b2b[0]) if b2b else 1))
+        return out
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, methods: AnalyzeArgument) -> AnalyzeResult:
+        table = _columns(rows, "symbol", "ts", "x")
+        SampleMany.table(_constant(methods, "methods"))
+        return AnalyzeResult(_schema(method=StringType(), symbol=table["symbol"].dataType, ts=table["ts"].dataType))
+
+    def __init__(self):
+        super().__init__()
+        self.x, self.stamps = [], []
+
+    def eval(self, rows, methods) -> list[tuple] | None:
+        _, ts, x = row = rows["symbol"], rows["ts"], rows["x"]
+        if x is None or not math.isfinite(x):
+            return None
+        of, out = self.symbol, None
+        if self.moved(*row[:2]):
+            out = self.found(of)
+            self.passes = [(m, limit, sampling.Pass(m, b2b)) for m, limit, b2b in self.table(methods)]
+        self.x.append(float(x))
+        self.stamps.append(ts)
+        return out if out or len(self.x) < 4096 else self.found(self.symbol)
+
+    def found(self, symbol) -> list[tuple]:
+        """Events of the rows that have come together."""
+        if not self.x:
+            return []
+        x, stamps, self.x, self.stamps = np.array(self.x), self.stamps, [], []
+        return [(m, symbol, stamps[i]) for m, limit, one in self.passes for i in one.feed(x, np.full(len(x), limit))]
+
+    def terminate(self) -> list[tuple]:
+        return self.found(self.symbol)
+
+
 class MarketState(_Ordered):
     """A state row per bar: symbol and the 57 fields.  Of bars with the same ts the
     first counts; prices must be complete."""
@@ -197,7 +245,7 @@ def _schema(**columns: DataType) -> StructType:
     return out
 
 
-FUNCTIONS = {"detect": Detect, "sample_events": SampleEvents, "market_state": MarketState}
+FUNCTIONS = {"detect": Detect, "sample_events": SampleEvents, "sample_many": SampleMany, "market_state": MarketState}
 
 
 def register(spark: SparkSession, *names: str) -> None:

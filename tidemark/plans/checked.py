@@ -117,12 +117,11 @@ def detect_udtf(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{m}' AS method, symbol, ts FROM ({SQL[f'{m}_{end}']})" for m, end in (("swt", "events"), ("cum", "events"), ("page_hinkley", "events"), ("cusum_ls", "samples"), ("sprt", "samples"), ("gma", "samples"), ("e_detector", "samples"), ("brandt_glr", "samples"))))
 def sample_udtf(spark, d):
-    """Eight samplers by the table function, in SQL text."""
-    register(spark, "sample_events")
+    """Eight samplers by the table function, in SQL text and one pass."""
+    register(spark, "sample_many")
     _dif(spark, d).createOrReplaceTempView("sample_udtf_dif")
-    limits = {"swt": "30, b2b => 2", "cum": "60, b2b => 2", "page_hinkley": "200", "cusum_ls": "150", "sprt": "150", "gma": "9", "e_detector": "1.05", "brandt_glr": "1.5"}
-    call = "sample_events(TABLE(sample_udtf_dif) PARTITION BY symbol ORDER BY (ts), '{m}', {q})"
-    return spark.sql(" UNION ALL ".join(f"SELECT '{m}' AS method, symbol, ts FROM {call.format(m=m, q=q)}" for m, q in limits.items()))
+    methods = "swt 30 2, cum 60 2, page_hinkley 200, cusum_ls 150, sprt 150, gma 9, e_detector 1.05, brandt_glr 1.5"
+    return spark.sql(f"SELECT method, symbol, ts FROM sample_many(TABLE(sample_udtf_dif) PARTITION BY symbol ORDER BY (ts), '{methods}')")
 
 
 @query(f"WITH {SETS} SELECT c.method, c.q, count(e.ts) AS n_events FROM c LEFT JOIN e USING (method, q) WHERE c.q < 1e9 GROUP BY 1, 2")
