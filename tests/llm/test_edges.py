@@ -127,6 +127,22 @@ def test_op1_encoder_on_random_strings():
         assert enc.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_token_store_encodes_a_word_once_whatever_marks_it_has():
+    class Counting:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, word):
+            self.asked.append(word)
+            return self.model.tokenize(word)
+
+    lib, enc = library("word_bpe_49k.json"), token_store.Encoder(vocabulary("word_bpe_49k.json"))
+    enc.model = Counting(enc.model)
+    text = "thandsti thandsti, (thandsti) thandsti's èlleên ..èlleên.. don't 'tis ''s'' a'll'd 12a_b-3 __"
+    assert enc.encode(text).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert enc.model.asked.count("thandsti") == 1 and len(enc.model.asked) == len(set(enc.model.asked))
+
+
 def test_op1_chunks_move_with_their_text():
     ids = np.random.default_rng(0).integers(0, 49000, 20_000).astype("<u2")
     ends = token_store.boundaries(ids)

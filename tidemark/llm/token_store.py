@@ -52,8 +52,9 @@ from tidemark.plans.order import place_among
 class Encoder:
     """Ids by the tokenizers library.  Where the vocabulary drops white space
     before splitting (it has a word-end suffix and a removing splitter), plain
-    text is encoded one blank-delimited stretch at a time, each distinct one by
-    the library's model once; otherwise the library encodes whole texts."""
+    text is encoded one blank-delimited stretch at a time, each distinct word of
+    them by the library's model once, with whatever marks it stands; otherwise
+    the library encodes whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -79,9 +80,9 @@ class Encoder:
         plain = stretch.isascii()
         if not plain and _OTHER.search(stretch) or plain and not stretch.isprintable():
             return None
-        ids, tokenize = [], self.model.tokenize
-        for w in (stretch,) if stretch.isalpha() else _WORD.findall(stretch):
-            ids += [t.id for t in tokenize(w if plain else "".join(map(self.letters.__getitem__, w.encode())))]
+        if not stretch.isalpha() and len(words := _WORD.findall(stretch)) > 1:
+            return b"".join(map(self.known.__getitem__, words))  # each of them a stretch of its own, with the same ids
+        ids = [t.id for t in self.model.tokenize(stretch if plain else "".join(map(self.letters.__getitem__, stretch.encode())))]
         return self.pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
