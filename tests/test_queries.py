@@ -44,3 +44,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["aff_samples", "gma_samples", "cum_events_raw", "sprt_samples", "page_hinkley_events", "cusum_ls_samples", "ssr_cusum_samples"])
+def test_samplers_take_no_series_as_one_frame(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
