@@ -3,11 +3,14 @@ tables and clashing column names, against brute force or the libraries."""
 
 import collections
 import hashlib
+import heapq
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +180,65 @@ def test_op2_against_brute_force(spark):
     assert [(r.query_id, r.vec_id) for r in ann_tree.nearest(two, F.col("vec_id") == 1).collect()] == [(1, 2)]
 
 
+def test_op2_reach_orders_leaves_best_bin_first():
+    g = np.random.default_rng(3)
+    x, q = (ann_tree._unit(g.normal(size=(n, 5))) for n in (600, 20))
+    tree = ann_tree.grow(x, branch=4, leaf=6)
+    leaves = tree.leaves()
+    assert set(tree.descend(x).tolist()) == set(leaves.tolist()) and len(leaves) > 100
+    for row, reach in zip(q, ann_tree.Tree.reach(q, tree.paths(leaves)), strict=True):
+        heap, out = [(0.0, 0)], []
+        while heap:  # branches by their centre's nearness
+            _, node = heapq.heappop(heap)
+            if not tree.n[node]:
+                out.append(node)
+            for kid in range(tree.first[node], tree.first[node] + tree.n[node]):
+                heapq.heappush(heap, (-float(tree.centres[kid] @ row), kid))
+        got = reach[np.searchsorted(leaves, out)]
+        assert len(out) == len(leaves) and (np.diff(got) <= 1e-12).all()
+    some = leaves[5:40]
+    assert np.allclose(ann_tree.Tree.reach(q, tree.paths(some)), ann_tree.Tree.reach(q, tree.paths(leaves))[:, 5:40])
+
+
+def test_op2_tiles_hold_whole_leaves_or_parts_of_one():
+    first, many = ann_tree._tiles(np.arange(7), np.array([3, 4, 0, 25, 2, 9, 8]), most=10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5, 6] and many.tolist() == [1, 1, 1, 3, 1, 1, 1]
+
+
+def test_op2_compares_visited_leaves_only_and_settles_ties():
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, 4)).astype("<f4")
+    x[100:140] = x[100] * np.float32(2) ** np.arange(40)[:, None]  # equal cosines of other vectors
+    tree = ann_tree.grow(ann_tree._unit(x.astype(float)), branch=4, leaf=20)
+    leaf, e, q = tree.descend(ann_tree._unit(x.astype(float))), np.arange(300) + 7, x[95:105]
+    for least in (np.full(10, -np.inf), np.linspace(-0.5, 0.9, 10)):
+        reach = ann_tree.Tree.reach(ann_tree._unit(q.astype(float)), tree.paths(leaf))
+        got = sorted(tuple(r) for part in ann_tree.compare(q, least, x, leaf, e, -e, tree, 6, step=16) for r in zip(*(c.tolist() for c in part), strict=True))
+        want = []
+        for i in range(10):
+            s = ann_tree.cosines(q[i].astype(float), x.astype(float))
+            rows = sorted(((-s[j], -e[j], e[j]) for j in range(300) if reach[i, j] >= least[i]))[:6]
+            want += [(i, -a, c, b) for a, b, c in rows]
+        assert got == sorted(want)
+
+
+def test_op2_driver_holds_no_list_of_leaves_for_each_probe(spark):
+    """12,000 rows in thousands of leaves, 240 queries."""
+    x = np.random.default_rng(1).normal(size=(12_000, 3))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(12_000), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+    tracemalloc.start()
+    try:
+        out = ann_tree.nearest(df, F.col("vec_id") % 50 == 0, leaf=4)
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert most < 64, most
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    got = {(r.query_id, r.vec_id) for r in out.collect()}
+    want = {(q, j) for q in range(0, 12_000, 50) for j in np.argsort(-np.where(np.arange(12_000) == q, -9, u @ u[q]))[:5].tolist()}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
 def brute_components(rows, n, num):
     sets = []
     for _, t in rows:

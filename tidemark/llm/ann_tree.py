@@ -9,6 +9,11 @@ the table is then put in the leaf it descends to.  A query visits leaves best bi
 first: a priority queue holds open branches by their centre's distance, the
 nearest is opened first, and leaves come out in that order.
 
+Leaves come out in falling order of their *reach*, the least cosine of the query
+with a centre on the leaf's path, so that a query's visits are the leaves whose
+reach is not under that of the last one.  This one number goes with the query in
+place of a list of leaves.
+
 How many leaves a query visits is calibrated: for ``probes`` queries the true
 neighbours are found by comparison with all rows, and visits are widened until
 ``recall`` of those of one half of the probes lie in visited leaves; the same
@@ -19,7 +24,11 @@ recall, whatever the tree; then the search compares most rows.
 
 Equal vectors are one entry with the smallest ids that any query can need
 (k + 1 of them), so copies neither fill a leaf nor multiply comparisons, and
-equal queries are searched once.  Leaves are compared in blocks of bounded size.
+equal queries are searched once.  Neighbouring leaves make a tile of rows, a leaf
+beyond its size several; a tile meets the queries that visit one of its leaves, in
+groups of bounded size, and each leaf in it is compared with its own visitors.
+What is shuffled grows with rows times groups and visitors times tiles, the work
+with the rows of visited leaves; no task holds more than a tile and a group.
 Cosines are computed in double precision on the original vectors; nearest first,
 ties to the smaller id.
 
@@ -34,12 +43,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import drop, join_skewed, stage
 
@@ -51,10 +62,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines of one query with rows, each dot product on its own, so that a
-    pair's value does not depend on what stands beside it."""
-    a, b = q / np.abs(q).max(), x / np.abs(x).max(1, keepdims=True)
-    return np.clip((b * a).sum(1) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum())), -1.0, 1.0)
+    """Cosines of one query (or of as many) with rows, each dot product on its own,
+    so that a pair's value does not depend on what stands beside it."""
+    a, b = q / np.abs(q).max(-1, keepdims=True), x / np.abs(x).max(1, keepdims=True)
+    return np.clip((b * a).sum(1) / (np.sqrt((b * b).sum(1)) * np.sqrt((a * a).sum(-1))), -1.0, 1.0)
+
+
+#: Numbers in a matrix that is made for a moment.
+MATRIX = 1 << 22
+#: Two ways to the same cosine differ by less.
+NEAR = 1e-9
 
 
 @dataclass
@@ -62,64 +79,89 @@ class Tree:
     """Nodes in arrays: children of node i are ``first[i] .. first[i] + n[i]``
     with unit centres; n = 0 for a leaf."""
 
-    centres: list[np.ndarray] = field(default_factory=list)
-    first: list[int] = field(default_factory=list)
-    n: list[int] = field(default_factory=list)
+    centres: np.ndarray
+    parent: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
 
     def descend(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each (unit) row."""
         at = np.zeros(len(x), np.int64)
-        open_ = np.ones(len(x), bool) if self.n[0] else np.zeros(len(x), bool)
-        while open_.any():
-            for node in np.unique(at[open_]):
-                rows = np.flatnonzero(open_ & (at == node))
-                c = np.stack(self.centres[self.first[node] : self.first[node] + self.n[node]])
-                at[rows] = self.first[node] + np.argmax(x[rows] @ c.T, 1)
-            open_ = np.array([self.n[i] > 0 for i in at])
+        while len(open_ := np.flatnonzero(self.n[at])):
+            open_ = open_[np.argsort(at[open_], kind="stable")]
+            for rows in np.split(open_, np.flatnonzero(np.diff(at[open_])) + 1):
+                first = self.first[at[rows[0]]]
+                at[rows] = first + np.argmax(x[rows] @ self.centres[first : first + self.n[at[rows[0]]]].T, 1)
         return at
 
-    def leaves(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves of a (unit) query, best bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < most:
-            _, node = heapq.heappop(heap)
-            if not self.n[node]:
-                out.append(node)
-                continue
-            kids = range(self.first[node], self.first[node] + self.n[node])
-            for k, s in zip(kids, np.stack([self.centres[k] for k in kids]) @ q, strict=True):
-                heapq.heappush(heap, (-float(s), k))
-        return out
+    def leaves(self) -> np.ndarray:
+        return np.flatnonzero(self.n == 0)
+
+    def paths(self, leaves: np.ndarray) -> list[np.ndarray]:
+        """The centres of the nodes on the paths of some leaves, then step by step the
+        places of nodes and of their parents, and at last the leaves' places."""
+        levels = [np.unique(leaves)]
+        while len(up := levels[-1][levels[-1] > 0]):
+            levels.append(np.unique(self.parent[up]))
+        nodes = np.unique(np.concatenate(levels))
+        depth = np.zeros(len(nodes), np.int64)
+        above = np.searchsorted(nodes, np.maximum(self.parent[nodes], 0))
+        for i in range(1, len(nodes)):  # a parent's number is below its children's
+            depth[i] = depth[above[i]] + 1
+        levels = [np.flatnonzero(depth == d) for d in range(1, depth.max(initial=0) + 1)]
+        steps = [x for at in levels for x in (at, above[at])]
+        return [self.centres if len(nodes) == len(self.centres) else self.centres[nodes], *steps, np.searchsorted(nodes, leaves)]
+
+    @staticmethod
+    def reach(q: np.ndarray, paths: list[np.ndarray]) -> np.ndarray:
+        """Of each (unit) query and leaf of ``paths``: the least cosine of the query
+        with a centre on the way.  Best bin first takes leaves in its falling order."""
+        centres, *steps, leaves = paths
+        s = q @ centres.T
+        s[:, 0] = np.inf  # the root
+        for at, above in zip(steps[::2], steps[1::2], strict=True):
+            s[:, at] = np.minimum(s[:, at], s[:, above])
+        return s[:, leaves]
 
 
 def grow(x: np.ndarray, branch: int, leaf: int, seed: int = 7, rounds: int = 8) -> Tree:
-    """k-means of unit vectors, node by node."""
+    """k-means of unit vectors, node by node, in blocks of them: beside ``x`` it
+    holds their numbers and the tree."""
     rng = np.random.default_rng(seed)
-    tree = Tree([np.zeros(x.shape[1])], [0], [0])
+    centres, parent, first, n = [np.zeros((1, x.shape[1]))], [-1], [0], [0]
+
+    def assign(rows: np.ndarray, c: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+        """The nearest centre of each row; ``sums`` gets those of their vectors."""
+        near = np.empty(len(rows), np.int64)
+        for i in range(0, len(rows), 8192):
+            part = x[rows[i : i + 8192]]
+            near[i : i + 8192] = own = np.argmax(part @ c.T, 1)
+            if sums is not None:
+                sums += (own == np.arange(len(c))[:, None]).astype(np.float64) @ part
+        return near
+
     todo = [(0, np.arange(len(x)))]
     while todo:
         node, rows = todo.pop()
         if len(rows) <= leaf:
             continue
-        part, k = x[rows], min(branch, len(rows))
-        c = part[rng.choice(len(rows), k, replace=False)]
+        k = min(branch, len(rows))
+        c = x[rows[rng.choice(len(rows), k, replace=False)]]
         for _ in range(rounds):
-            near = np.argmax(part @ c.T, 1)
-            for j in range(k):
-                if (m := near == j).any():
-                    s = part[m].sum(0)
-                    c[j] = s / max(np.linalg.norm(s), 1e-12)
-        near = np.argmax(part @ c.T, 1)
-        used = [j for j in range(k) if (near == j).any()]
+            has = np.bincount(assign(rows, c, sums := np.zeros_like(c)), minlength=k) > 0
+            c[has] = sums[has] / np.maximum(np.linalg.norm(sums[has], axis=1, keepdims=True), 1e-12)
+        near = assign(rows, c)
+        used = np.flatnonzero(np.bincount(near, minlength=k))
         if len(used) < 2:
             continue
-        tree.first[node], tree.n[node] = len(tree.n), len(used)
-        for j in used:
-            tree.centres.append(c[j])
-            tree.first.append(0)
-            tree.n.append(0)
-            todo.append((len(tree.n) - 1, rows[near == j]))
-    return tree
+        first[node], n[node] = len(n), len(used)
+        centres.append(c[used])
+        for j in used.tolist():
+            parent.append(node)
+            first.append(0)
+            n.append(0)
+            todo.append((len(n) - 1, rows[near == j]))
+    return Tree(np.concatenate(centres), np.array(parent), np.array(first), np.array(n))
 
 
 def top(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -132,42 +174,115 @@ def top(q: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.n
         yield keep, cosines(q[i], x[keep])
 
 
-def _rows(column: pd.Series) -> np.ndarray:
-    """Vectors kept as bytes of doubles, as a matrix."""
-    return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
+def _rows(column, kind: str) -> np.ndarray:
+    """Vectors kept as bytes of numbers of a kind, as a matrix of these."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"v": [np.asarray(v, "<f8").tobytes() for v in pdf["v"]]})
+        if len(pdf):
+            yield pd.DataFrame({"v": [r.tobytes() for r in _unit(np.stack(pdf["v"].to_numpy()).astype("<f8"))]})
 
 
 def _sampled(entries: DataFrame, width: int, n: int, wanted: int) -> np.ndarray:
-    """Some ``wanted`` vectors, those whose ids' hashes lie below a bound: no order is
-    made.  They come as bytes, into a matrix made beforehand, so that the driver holds
-    them once."""
+    """Some ``wanted`` unit vectors, those whose ids' hashes lie below a bound: no order
+    is made.  They come as bytes, into a matrix made beforehand, so that the driver
+    holds them once."""
     share = F.shiftrightunsigned(F.xxhash64(F.element_at("ids", 1)), 11).cast("double") / float(1 << 53)
     picked = entries.filter(share < wanted / n) if wanted < n else entries
     x = np.empty((min(n, wanted + 6 * int(wanted**0.5) + 10), width))
     at = 0
-    for r in picked.select("v").mapInPandas(_packed, "v binary").toLocalIterator():
+    for r in picked.select("v").mapInPandas(_units, "v binary").toLocalIterator():
         if at < len(x):
             x[at] = np.frombuffer(r["v"], "<f8")
             at += 1
     if not at:  # a bound below which no hash lies
-        return np.array([entries.first()["v"]], np.float64)
+        return _unit(np.array([entries.first()["v"]], np.float64))
     return x[:at]
 
 
+def _tiles(leaves: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tile of each leaf and how many it has: leaves in a row share one
+    while their rows are no more than ``most``, a larger leaf has several of its own."""
+    first, many, tile, held = np.zeros(len(leaves), np.int64), np.ones(len(leaves), np.int64), 0, 0
+    for i, c in enumerate(counts.tolist()):
+        if held and held + c > most:
+            tile, held = tile + 1, 0
+        first[i], held = tile, held + c
+        if c > most:
+            many[i] = -(-c // most)
+            tile, held = tile + many[i], 0
+    return first, many
+
+
+class _Held:
+    """The ``k`` nearest rows of each query so far: score, and of equal scores the
+    smallest first id and entry."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.s = k, np.full((n, k), -np.inf)
+        self.e, self.f = np.full((2, n, k), np.iinfo(np.int64).max)
+
+    def add(self, q: np.ndarray, s: np.ndarray, e: np.ndarray, f: np.ndarray) -> None:
+        own = np.unique(q)
+        of = np.concatenate([np.repeat(own, self.k), q])
+        s, e, f = (np.concatenate([x[own].ravel(), y]) for x, y in ((self.s, s), (self.e, e), (self.f, f)))
+        order = np.lexsort((e, f, -s, of))
+        of = of[order]
+        order = order[np.arange(len(of)) - np.searchsorted(of, of) < self.k]
+        for x, y in ((self.s, s), (self.e, e), (self.f, f)):
+            x[own] = y[order].reshape(len(own), self.k)
+
+
+def compare(q: np.ndarray, least: np.ndarray, x: np.ndarray, leaf: np.ndarray, e: np.ndarray, f: np.ndarray, tree: Tree, k: int, step: int = 2048) -> Iterator[tuple[np.ndarray, ...]]:
+    """Each leaf's rows of a tile with the queries whose ``least`` reach it has.
+    Matrix products of at most ``step`` queries and rows find those that can be among
+    the k nearest, whose cosines are then computed singly.  For some queries at a
+    time: their places, and score, entry and first id of the k best."""
+    by = np.argsort(leaf, kind="stable")
+    x, e, f = x[by], e[by], f[by]
+    unit = np.concatenate([_unit(x[i : i + step].astype("<f8")) for i in range(0, len(x), step)])
+    leaves, starts = np.unique(leaf[by], return_index=True)
+    ends, paths = [*starts[1:].tolist(), len(x)], tree.paths(leaves)
+    step_q = max(1, min(step, MATRIX // len(paths[0])))
+    for at in range(0, len(q), step_q):
+        mine = q[at : at + step_q].astype("<f8")
+        uq, held = _unit(mine), _Held(len(mine), k)
+        visits = tree.reach(uq, paths) >= least[at : at + step_q, None] - NEAR
+        for j, (begin, end) in enumerate(zip(starts.tolist(), ends, strict=True)):
+            asking = np.flatnonzero(visits[:, j])
+            for a in range(begin, end, step) if len(asking) else ():
+                b = min(end, a + step)
+                rough = uq[asking] @ unit[a:b].T
+                hit = np.flatnonzero(rough.max(1) >= held.s[asking, -1] - NEAR)
+                if not len(hit):
+                    continue
+                rough, own = rough[hit], asking[hit]
+                bar = held.s[own, -1]
+                if b - a > k:
+                    bar = np.maximum(bar, np.partition(rough, b - a - k, axis=1)[:, b - a - k])
+                i, r = np.nonzero(rough >= bar[:, None] - NEAR)
+                for c in range(0, len(i), 1 << 16):
+                    of, row = own[i[c : c + (1 << 16)]], a + r[c : c + (1 << 16)]
+                    held.add(of, cosines(mine[of], x[row].astype("<f8")), e[row], f[row])
+        i, r = np.nonzero(held.s > -np.inf)
+        yield at + i, held.s[i, r], held.e[i, r], held.f[i, r]
+
+
 def nearest(
     table: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", branch: int = 16, leaf: int = 256,
-    sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, block: int = 2048
+    sample: int = 16384, sample_mb: int = 128, probes: int = 200, recall: float = 0.97, tile_mb: int = 64
 ) -> DataFrame:
     """Per query and rank: query_id, rank, vec_id, score, and ``visits`` and
-    ``probe_recall``: leaves visited of each query, and the share of the true
-    neighbours of the probes kept apart that lie in as many leaves."""
+    ``probe_recall``: leaves visited of each query (and those of the same reach as
+    the last), and the share of the true neighbours of the probes kept apart that
+    lie in as many leaves."""
     spark = table.sparkSession
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    of = table.schema[vector].dataType
+    # single precision is carried as it is, other numbers as doubles; all is computed in doubles
+    kind, of = ("<f4", "float") if isinstance(of, T.ArrayType) and isinstance(of.elementType, T.FloatType) else ("<f8", "double")
+    v = F.transform(F.col(vector), lambda x: x.cast(of))
     sound = F.col(vector).isNotNull() & F.forall(
         v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
     ) & F.exists(v, lambda x: x != 0)
@@ -192,12 +307,13 @@ def nearest(
     tree = grow(_unit(x), branch, max(4, leaf * len(x) // n_entries))
     del x
     shared = spark.sparkContext.broadcast(tree)
+    leaves = tree.leaves()
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                m = np.stack(pdf["v"].to_numpy()).astype("<f8")
-                yield pd.DataFrame({"v": [r.tobytes() for r in m], "ids": pdf["ids"], "e": pdf["e"], "leaf": shared.value.descend(_unit(m))})
+                m = np.stack(pdf["v"].to_numpy()).astype(kind)
+                yield pd.DataFrame({"v": [r.tobytes() for r in m], "ids": pdf["ids"], "e": pdf["e"], "leaf": shared.value.descend(_unit(m.astype("<f8")))})
 
     located = stage(entries.mapInPandas(locate, "v binary, ids array<long>, e long, leaf long"), "leaves")
 
@@ -211,7 +327,7 @@ def nearest(
     queries = stage(times.select("e", "times").join(located.select("e", "v"), "e"), "queries")
 
     # calibration: true neighbours of some queries among all rows
-    some = [(r["e"], np.frombuffer(bytes(r["v"]), "<f8")) for r in queries.orderBy(F.xxhash64("e"), "e").limit(probes).select("e", "v").collect()]
+    some = [(r["e"], np.frombuffer(bytes(r["v"]), kind).astype("<f8")) for r in queries.orderBy(F.xxhash64("e"), "e").limit(probes).select("e", "v").collect()]
     probe = spark.sparkContext.broadcast(some)
 
     def truth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,20 +335,25 @@ def nearest(
         for pdf in batches if probe.value else ():
             if not len(pdf):
                 continue
-            m, e, leaves = _rows(pdf["v"]), pdf["e"].to_numpy(), pdf["leaf"].to_numpy()
+            m, e, own = _rows(pdf["v"], kind).astype("<f8"), pdf["e"].to_numpy(), pdf["leaf"].to_numpy()
             for (qe, _), (keep, s) in zip(probe.value, top(np.stack([q for _, q in probe.value]), m, k + 1), strict=True):
-                best[qe] = heapq.nsmallest(k + 1, best[qe] + [(-a, int(e[i]), int(leaves[i])) for i, a in zip(keep, s, strict=True)])
+                best[qe] = heapq.nsmallest(k + 1, best[qe] + [(-a, int(e[i]), int(own[i])) for i, a in zip(keep, s, strict=True)])
         yield pd.DataFrame([(qe, -a, e, leaf) for qe, b in best.items() for a, e, leaf in b], columns=["q", "s", "e", "leaf"])
 
     near = located.select("v", "e", "leaf").mapInPandas(truth, "q long, s double, e long, leaf long")
     near = near.withColumn(
         "r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "e"))
     ).filter((F.col("r") <= k + 1) & (F.col("q") != F.col("e"))).collect()
-    n_leaves = sum(1 for n in tree.n if not n)
-    order = {e: {leaf: i for i, leaf in enumerate(tree.leaves(_unit(q[None])[0], n_leaves))} for e, q in some}
-    place = {e: [] for e, _ in some}
-    for r in near:
-        place[r["q"]].append(order[r["q"]][r["leaf"]] + 1)
+    # how many leaves reach further than that of a true neighbour: some queries at a time
+    paths = tree.paths(leaves)
+    place, step = {e: [] for e, _ in some}, max(1, MATRIX // len(paths[0]))
+    for i in range(0, len(some), step):
+        part = {e: q for e, q in some[i : i + step]}
+        reach = dict(zip(part, tree.reach(_unit(np.stack(list(part.values()))), paths), strict=True))
+        for r in near:
+            if (own := reach.get(r["q"])) is not None:
+                place[r["q"]].append(int((own > own[np.searchsorted(leaves, r["leaf"])]).sum()) + 1)
+    del paths
     apart = len(some) >= 20
     fitted = sorted(x for i, (e, _) in enumerate(some) if not apart or i % 2 for x in place[e])
     kept = [x for i, (e, _) in enumerate(some) if not apart or not i % 2 for x in place[e]]
@@ -240,36 +361,53 @@ def nearest(
     found = sum(x <= visits for x in kept) / len(kept) if kept else 1.0
     probe.destroy()
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for s in range(0, len(pdf), 64):
-                part = pdf.iloc[s : s + 64]
-                visited = [shared.value.leaves(q, visits) for q in _unit(_rows(part["v"]))]
-                yield pd.DataFrame({"q": np.repeat(part["e"].to_numpy(), [len(x) for x in visited]), "leaf": np.concatenate(visited)})
-
-    routed = queries.select("e", "v").mapInPandas(route, "q long, leaf long")
-    # leaves in blocks of bounded size: every block of a leaf meets the leaf's queries
-    blocks = located.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = located.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("e"), F.col("blocks")).cast("int"))
-    visiting = routed.join(blocks, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(
-        queries.select(F.col("e").alias("q"), F.col("v").alias("qv")), "q"
+    # tiles: as many rows as their share of the bytes, or fewer where that leaves cores without work
+    most = max(1, min((tile_mb << 20) // (8 * size["n"]), max(256, n_entries // (4 * spark.sparkContext.defaultParallelism))))
+    counts, in_leaf = np.zeros(len(leaves), np.int64), located.groupBy("leaf").count().toArrow()
+    counts[np.searchsorted(leaves, in_leaf["leaf"].to_numpy())] = in_leaf["count"].to_numpy()
+    first, many = _tiles(leaves, counts, most)
+    n_queries, n_tiles = queries.count(), int((first + many).max())
+    groups = -(-n_queries // max(1, (tile_mb << 20) // (8 * size["n"])))
+    starts = np.flatnonzero(np.diff(first, prepend=-1))  # leaves of one tile stand in a row
+    spans = spark.sparkContext.broadcast((first[starts], np.maximum.reduceat(many, starts), starts))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, (tile, wide, starts) = shared.value.paths(shared.value.leaves()), spans.value
+        step = max(1, MATRIX // len(paths[0]))
+        for b in batches:
+            for s in range(0, len(b), step):
+                part = b.slice(s, step)
+                reach = Tree.reach(_unit(_rows(part.column("v").to_pylist(), kind).astype("<f8")), paths)
+                nth = max(0, reach.shape[1] - visits)
+                least = np.partition(reach, nth, axis=1)[:, nth]
+                met = np.logical_or.reduceat(reach >= least[:, None] - NEAR, starts, axis=1)
+                tiles = [np.concatenate([np.arange(tile[i], tile[i] + wide[i]) for i in np.flatnonzero(m)]) for m in met]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("e"), part.column("v"), pa.array(least), pa.array(tiles, pa.list_(pa.int64()))], ["q", "qv", "least", "tiles"]
+                )
+
+    # a tile meets its visitors, in groups by hash
+    keys, n_parts = ["tile", "group"], max(1, n_tiles * groups)
+    visiting = queries.select("e", "v").mapInArrow(route, "q long, qv binary, least double, tiles array<long>").select(
+        F.explode("tiles").alias("tile"), F.pmod(F.xxhash64("q"), F.lit(max(1, groups))).alias("group"), "q", "qv", "least"
+    )
+    spread = spark.createDataFrame(pa.table({"leaf": leaves, "first": first, "many": many}))
+    placed = located.join(F.broadcast(spread), "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64("e"), "many")).alias("tile"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group") if groups > 1 else F.lit(0).cast("long").alias("group"),
+        "e", F.element_at("ids", 1).alias("f"), "leaf", "v"
     )
-    # queries of a block in groups of bounded size as well
-    crowd = visiting.groupBy("leaf", "block").agg(F.ceil(F.count("*") / block).cast("int").alias("groups"))
-    visiting = visiting.join(crowd, ["leaf", "block"]).withColumn("group", F.pmod(F.xxhash64("q"), F.col("groups")).cast("int"))
-    sides = placed.join(crowd, ["leaf", "block"]).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "e": [], "f": [], "s": []}).astype({"q": "int64", "e": "int64", "f": "int64", "s": "float64"})
-        e, f, out = right["e"].to_numpy(), right["f"].to_numpy(), []
-        for q, (keep, s) in zip(left["q"], top(_rows(left["qv"]), _rows(right["v"]), k + 1), strict=True):
-            out.append((np.full(len(keep), q), e[keep], f[keep], s))
-        return pd.DataFrame(dict(zip("qefs", map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    keys = ["leaf", "block", "group"]
-    sides = sides.select(*keys, "e", F.element_at("ids", 1).alias("f"), "v")
-    pairs = visiting.select(*keys, "q", "qv").groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(compare, "q long, e long, f long, s double")
+
+    def meet(asking: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        if len(asking) and len(rows):
+            q, x = (_rows(t.column(c).to_pylist(), kind) for t, c in ((asking, "qv"), (rows, "v")))
+            names, least, own, e, f = (t.column(c).to_numpy() for t, c in ((asking, "q"), (asking, "least"), (rows, "leaf"), (rows, "e"), (rows, "f")))
+            parts = [(names[i], s, e, f) for i, s, e, f in compare(q, least, x, own, e, f, shared.value, k + 1)]
+            out = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.table(dict(zip("qsef", out, strict=True)))
+
+    pairs = visiting.repartition(n_parts, *keys).groupBy(*keys).cogroup(placed.repartition(n_parts, *keys).groupBy(*keys)).applyInArrow(meet, "q long, s double, e long, f long")
     # of equal scores the entries with the smallest ids: k + 1 entries hold the k + 1 best ids
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "f", "e"))).filter(F.col("r") <= k + 1)
     full = near.join(located.select("e", "ids"), "e").select("q", F.explode("ids").alias("vec_id"), F.col("s").alias("score"))
