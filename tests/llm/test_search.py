@@ -1,14 +1,18 @@
 """Block-max search against brute force over all documents."""
 
 import collections
+import glob
 import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import queries, search
+from tidemark.llm.common import arrow_rows, drop
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SCHEMA = "doc_id long, text string, block long, score long, terms string"
@@ -92,3 +96,17 @@ def test_query(spark, small):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert sorted(map(tuple, queries.op11_block_max_search(spark, small).collect()), key=str) == plain(docs, items)
+
+
+def test_a_reader_of_the_index_holds_few_blocks(spark):
+    """Of 40 blocks of a MB each a row group has no more than fit, and a worker gets few at a time."""
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(50_000))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    index, n = search.build_index(docs, per_block=1)
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{index._staged_path.removeprefix('file:')}/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert n == sum(g.num_rows for g in groups) == 40 and max(g.total_byte_size for g in groups) < 12 << 20
+    with arrow_rows(spark, search.AT_ONCE):
+        sizes = [r.n for r in index.select("block").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 8
+    drop(index)

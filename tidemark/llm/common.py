@@ -3,8 +3,10 @@ order over a whole table without a single-task sort, vocabulary files."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,19 +32,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, path: str | None = None, rows_at_once: int | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the
-    lineage, survives lost executors and fixes row ids and partition numbers.
-    ``rows_at_once``: how many rows Python workers get at a time meanwhile
-    (texts are long, and the default of ten thousand takes much memory)."""
-    spark, option = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    path, before = path or new_path(spark, name), spark.conf.get(option)
-    if rows_at_once:
-        spark.conf.set(option, str(rows_at_once))
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """How many rows Python workers get at a time in what runs meanwhile (texts are
+    long, and the default of ten thousand takes much memory)."""
+    option = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(option)
+    if rows:
+        spark.conf.set(option, str(rows))
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(option, before)
+
+
+def stage(df: DataFrame, name: str, path: str | None = None, rows_at_once: int | None = None, group_mb: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the
+    lineage, survives lost executors and fixes row ids and partition numbers.
+    ``rows_at_once``: how many rows Python workers get at a time meanwhile.
+    ``group_mb``: for rows of a MB, of which a reader would hold thousands; it holds
+    a row group at most, and these then end with the row that exceeds so much."""
+    spark, path = df.sparkSession, path or new_path(df.sparkSession, name)
+    out = df.write.mode("overwrite").option("compression", "zstd")
+    if group_mb:  # and sizes are looked at after every row
+        out = out.option("parquet.block.size", str(group_mb << 20)).option("parquet.page.size.row.check.min", "1").option("parquet.page.size.row.check.max", "1")
+    with arrow_rows(spark, rows_at_once):
+        out.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

@@ -5,7 +5,9 @@
 2. *Index.*  Ranges of documents, in the table's own order, are blocks: their
    distinct terms with the largest impact of each and the number of documents that
    hold it, and forward postings (document, impact) by term.  A table with one row
-   per block: what bounds need is read without the postings.
+   per block, of a MB or more: what bounds need is read without the postings, and
+   row groups of a few blocks are all that a reader holds, however large its share
+   of the table.
 3. *Bounds.*  A query's weights times a block's maxima bound every score in it from
    above.  Each task sorts its blocks by them; the best few of all give a first
    threshold, the score of the ``top``-th document there.
@@ -40,13 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, stage
+from tidemark.llm.common import arrow_rows, drop, stage
 
 #: Letters A-Z become small; what is no term becomes a blank.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 BLOCK = "block long, docs array<long>, terms binary, tops binary, dfs binary, starts binary, places binary, impacts binary"
 #: Numbers in a chunk's matrix of weights.
 MATRIX = 1 << 22
+#: Blocks that a Python worker gets at a time, and MB after which a row group of the index ends.
+AT_ONCE, GROUP_MB = 8, 8
 
 
 def terms_of(text: bytes | None, run: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -154,7 +158,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", per_bl
         if own.docs:
             yield pa.RecordBatch.from_pylist([own.row(at)], _ARROW)
 
-    return stage(_texts(docs, key, text).mapInArrow(index, BLOCK), "search-index", path, rows_at_once=500), n
+    return stage(_texts(docs, key, text).mapInArrow(index, BLOCK), "search-index", path, rows_at_once=500, group_mb=GROUP_MB), n
 
 
 class _Chunk:
@@ -255,8 +259,9 @@ def _document_counts(index: DataFrame, chunk: _Chunk) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"term": np.flatnonzero(total), "df": total[np.flatnonzero(total)]})
 
     out = np.zeros(len(chunk.terms), np.int64)
-    for term, df in index.select("terms", "dfs").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
-        out[term] = df
+    with arrow_rows(index.sparkSession, AT_ONCE):
+        for term, df in index.select("terms", "dfs").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
+            out[term] = df
     return out
 
 
@@ -277,8 +282,9 @@ def _first_blocks(index: DataFrame, chunk: _Chunk, each: int) -> dict[int, list[
     rows = index.select("block", "terms", "tops").mapInArrow(find, "q long, block long, bound double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "block"))
     out: dict[int, list[int]] = {}
-    for q, block in rows.withColumn("r", rank).filter(F.col("r") <= each).select("q", "block").collect():
-        out.setdefault(block, []).append(q)
+    with arrow_rows(index.sparkSession, AT_ONCE):
+        for q, block in rows.withColumn("r", rank).filter(F.col("r") <= each).select("q", "block").collect():
+            out.setdefault(block, []).append(q)
     return out
 
 
@@ -304,7 +310,7 @@ def _scored(index: DataFrame, chunk: _Chunk, floors: np.ndarray, top: int, only:
         yield best.rows(chunk)
 
     blocks = index if only is None else index.filter(F.col("block").isin(list(only)))
-    return stage(blocks.mapInArrow(score, "query long, item_id long, doc_id long, score long"), "search-scored", rows_at_once=64)
+    return stage(blocks.mapInArrow(score, "query long, item_id long, doc_id long, score long"), "search-scored", rows_at_once=AT_ONCE)
 
 
 def _ranked(rows: DataFrame, top: int) -> DataFrame:
